@@ -6,9 +6,13 @@ The same text feeds the Spark queries (as temp views' common table expressions)
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gatewaylens.schemas import EVENTS
+from gatewaylens.sources.streams import file_stream
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -160,8 +164,18 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getitem__(self, view: str) -> DataFrame:
+        return self._view(view, self.base)
+
+    def streaming(self, view: str) -> DataFrame:
+        """A view over the events table read as a file stream."""
+        def source(name: str) -> DataFrame:
+            # A pattern, as the stream source takes a table that is one file only through one.
+            return file_stream(self.spark, f"{self.sf_dir}/events.parquet*", EVENTS) if name == "events" else self.base(name)
+        return self._view(view, source)
+
+    def _view(self, view: str, source: Callable[[str], DataFrame]) -> DataFrame:
         text = with_views(f"SELECT * FROM {view}", view)
         for table in BASE_TABLES:
             if re.search(rf"\b{table}\b", text):
-                self.base(table).createOrReplaceTempView(table)
+                source(table).createOrReplaceTempView(table)
         return self.spark.sql(text)
