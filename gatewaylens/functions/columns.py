@@ -224,8 +224,7 @@ def is_live(expires: Column, at: Column) -> Column:
 def duration_ms(text: Column) -> Column:
     """Milliseconds of a duration such as `1h2m3.5s`, `250ms` or `0s`."""
     def part(pattern: str, factor: int) -> Column:
-        digits = F.regexp_extract(text, pattern, 1)
-        return F.when(digits != "", digits.try_cast("double") * factor).otherwise(F.lit(0.0))
+        return F.coalesce(F.regexp_extract(text, pattern, 1).try_cast("double") * factor, F.lit(0.0))
 
     total = (
         part("([0-9]+)h", 3_600_000)

@@ -325,7 +325,8 @@ def _entering_states(rule: Rule, chunked: DataFrame) -> dict[int, int | None]:
                     waiting.append(n)
                     carry, known = None, False
         if not waiting:
-            return entering
+            # Chunks that begin with a fresh key need no entry; what ships to the tasks stays small.
+            return {chunk: state for chunk, state in entering.items() if state is not None}
         closed.update(_run_waiting(rule, chunked, rows, waiting, entering))
 
 
