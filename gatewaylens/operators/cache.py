@@ -119,7 +119,6 @@ def trim_cache(entries: DataFrame, limit_bytes: int, mode: str = "pass") -> Data
         weight, need = size, total - limit_bytes
     else:
         raise ValueError(f"unknown trim mode {mode!r}")
-    stored = C.micros(F.col("created_at"))
-    cut = prefix_cutoff(entries, [("at", stored), ("id", F.col("id"))], weight, need)
-    at = F.timestamp_micros(F.lit(cut["at"])).cast("timestamp_ntz")
+    cut = prefix_cutoff(entries, ["created_at", "id"], weight, need)
+    at = F.timestamp_micros(F.lit(cut["created_at"])).cast("timestamp_ntz")
     return entries.where((F.col("created_at") > at) | ((F.col("created_at") == at) & (F.col("id") > cut["id"])))

@@ -141,18 +141,17 @@ def admission_status(
     """
     policy = keys.select("key_hash", "disabled", F.col("rate_limit_per_sec").alias("rate"))
     narrow = requests.select("id", "api_key", "created_at", "body_bytes")
-    joined = narrow.join(policy, F.col("api_key") == F.col("key_hash"), "left").drop("key_hash")
+    joined = narrow.join(policy, F.col("api_key") == F.col("key_hash"), "left")
     blank = F.coalesce(C.trimmed(F.col("api_key")), F.lit("")) == ""
-    early = F.when(blank, MISSING_KEY).when(F.col("disabled"), DISABLED).when(F.coalesce("rate", F.lit(0)) <= 0, LIMITED)
-    staged = joined.withColumn("early", early)
-    limited = rate_limit(
-        staged.where("early IS NULL").select("id", "api_key", "created_at", "body_bytes", "rate"), F.col("rate"), unit_s,
-        partitions=partitions,
-    )
+    rate = F.coalesce("rate", F.lit(0))
+    early = F.when(blank, MISSING_KEY).when(F.col("disabled"), DISABLED).when(rate <= 0, LIMITED)
+    # Early outcomes hold for a whole key, so its rows go along with rate 0, which leaves no bucket.
+    staged = joined.select("id", "api_key", "created_at", "body_bytes", early.alias("early"), rate.alias("rate"))
+    bucket_rate = F.when(F.col("early").isNull(), F.col("rate")).otherwise(F.lit(0))
+    limited = rate_limit(staged, bucket_rate, unit_s, partitions=partitions)
     too_large = (F.lit(max_body) > 0) & (F.col("body_bytes") > max_body)
     late = F.when(~F.col("allowed"), LIMITED).when(too_large, TOO_LARGE).otherwise(PASSED)
-    refused = staged.where("early IS NOT NULL").select("id", "api_key", F.col("early").alias("outcome"))
-    return refused.unionByName(limited.select("id", "api_key", late.alias("outcome")))
+    return limited.select("id", "api_key", F.coalesce("early", late).alias("outcome"))
 
 
 def admission_outcomes(

@@ -12,23 +12,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatewaylens.session import use_checkpoints
+from gatewaylens.session import use_checkpoints, written
 
 # Position = chunk number in the upper bits, row number inside the chunk below.
 CHUNK_BITS = 33
 
 
+def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], partitions: int | None) -> DataFrame:
+    wanted = [F.col(k) for k in keys] + list(order)
+    ranged = df.repartitionByRange(partitions, *wanted) if partitions else df.repartitionByRange(*wanted)
+    placed = ranged.sortWithinPartitions(*wanted).withColumn("pos", F.monotonically_increasing_id())
+    return placed.withColumn("chunk", F.shiftright("pos", CHUNK_BITS).cast("int"))
+
+
 def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], partitions: int | None = None) -> DataFrame:
-    """Rows sorted by (keys, order) over even chunks, with columns `pos` and `chunk`.
+    """Rows sorted by (keys, order) over even chunks, one partition each, with columns `pos` and `chunk`.
 
     Range bounds come from a sample, so a second evaluation could cut elsewhere: the result is
     checkpointed once and every later pass reads the same cut. Select only the columns needed first.
     """
     use_checkpoints(df.sparkSession)
-    wanted = [F.col(k) for k in keys] + list(order)
-    ranged = df.repartitionByRange(partitions, *wanted) if partitions else df.repartitionByRange(*wanted)
-    placed = ranged.sortWithinPartitions(*wanted).withColumn("pos", F.monotonically_increasing_id())
-    return placed.withColumn("chunk", F.shiftright("pos", CHUNK_BITS).cast("int")).checkpoint()
+    return _placed(df, keys, order, partitions).checkpoint()
+
+
+def numbered_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], partitions: int | None = None) -> DataFrame:
+    """The same rows as a written table, for passes that need `pos` and `chunk` but not the partitions.
+
+    Written in columns, so that each pass reads only those it uses.
+    """
+    return written(_placed(df, keys, order, partitions), "ordered")
 
 
 def chunk_offsets(chunked: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
@@ -43,9 +55,12 @@ def chunk_offsets(chunked: DataFrame, keys: Sequence[str], value: Column) -> Dat
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "n") -> DataFrame:
-    """Row number from 1 within each key, exact, with no key in a single task."""
-    chunked = in_order(df, keys, order)
-    offsets = chunk_offsets(chunked, keys, F.lit(1).cast("bigint"))
+    """Row number from 1 within each key, exact, with no key in a single task.
+
+    With few keys the offsets are little more than one row per chunk and the rows are not shuffled again.
+    """
+    chunked = numbered_rows(df, keys, order)
+    offsets = written(chunk_offsets(chunked, keys, F.lit(1).cast("bigint")), "offsets")
     joined = chunked.join(offsets, [*keys, "chunk"])
     number = F.col("pos") - F.col("first_pos") + F.col("before") + 1
     return joined.withColumn(name, number).drop("pos", "chunk", "first_pos", "before")
@@ -63,7 +78,7 @@ def last_before(
     both = probes.select(*keys, at, id_col, F.lit(False).alias("is_fact")).unionByName(
         facts.select(*keys, at, id_col, F.lit(True).alias("is_fact"), *carried), allowMissingColumns=True
     )
-    chunked = in_order(both, keys, [F.col(at), F.col("is_fact"), F.col(id_col)])
+    chunked = numbered_rows(both, keys, [F.col(at), F.col("is_fact"), F.col(id_col)])
     fact_pos = F.when(F.col("is_fact"), F.col("pos"))
     touched = chunked.groupBy(*keys, "chunk").agg(
         F.max(fact_pos).alias("last_pos"), *[F.max_by(c, fact_pos).alias(c) for c in carried]
@@ -73,6 +88,7 @@ def last_before(
     carry = touched.select(
         *keys, "chunk", F.last(handed_on, ignorenulls=True).over(earlier).alias("from_earlier")
     ).where("from_earlier IS NOT NULL")
+    carry = written(carry, "carried")
     upto = Window.partitionBy(*keys, "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     here = F.when(F.col("is_fact"), F.struct(*carried))
     inside = chunked.withColumn("near", F.last(here, ignorenulls=True).over(upto)).where("NOT is_fact")
@@ -83,33 +99,39 @@ def last_before(
 
 
 def prefix_cutoff(
-    df: DataFrame, axes: Sequence[tuple[str, Column]], weight: Column, need: int, cells: int = 4096
+    df: DataFrame, axes: Sequence[str], weight: Column, need: int, cells: int = 1 << 16
 ) -> dict[str, int] | None:
-    """The first row, in the order of whole-number `axes`, at which the running weight reaches `need`.
+    """The first row, in the order of the `axes`, at which the running weight reaches `need`.
 
-    Each step counts weight over at most `cells` equal cells of the current range and narrows to the cell
-    that holds the boundary: a few pruned scans with tiny results in place of a global sort, exact for any
-    spread of values, many rows at one instant included. None where the whole weight is below `need`.
+    Axes are whole numbers or timestamps (as microseconds); the last one must be unique. Each step counts
+    weight over at most `cells` equal cells of the current range and narrows to the cell that holds the
+    boundary: a few scans, filtered ever more tightly, with small results in place of a global sort. It is
+    exact for any spread of values, many rows at one instant included. None where all weight is below `need`.
     """
     here = df
     found: dict[str, int] = {}
-    for name, axis in axes:
-        placed = here.select(axis.alias("x"), weight.alias("w"))
-        low, high, whole = placed.agg(F.min("x"), F.max("x"), F.sum("w")).first()
+    for name in axes:
+        is_time = df.schema[name].dataType.typeName().startswith("timestamp")
+        axis = F.unix_micros(F.col(name).cast("timestamp")) if is_time else F.col(name)
+
+        def value(x: int, name: str = name, is_time: bool = is_time) -> Column:
+            kind = df.schema[name].dataType
+            return F.timestamp_micros(F.lit(x)).cast(kind) if is_time else F.lit(x).cast(kind)
+
+        low, high, whole = here.agg(F.min(axis), F.max(axis), F.sum(weight)).first()
         if low is None or whole < need:
             return None
         while low < high:
             width = -(-(high - low + 1) // cells)
-            cell = F.floor((F.col("x") - F.lit(low)) / F.lit(width)) if width > 1 else F.col("x") - F.lit(low)
-            weights = (
-                placed.where(F.col("x").between(low, high))
-                .groupBy(cell.cast("bigint").alias("cell")).agg(F.sum("w").alias("w")).collect()
-            )
-            for row in sorted(weights):
+            cell = F.expr(f"(x - {low}L) div {width}L")
+            # The bounds compare the plain column, so that the scan can skip what lies outside.
+            inside = here.where((F.col(name) >= value(low)) & (F.col(name) <= value(high)))
+            weights = inside.select(axis.alias("x"), weight.alias("w")).groupBy(cell.alias("cell")).agg(F.sum("w").alias("w"))
+            for row in sorted(weights.collect()):
                 if row["w"] >= need:
                     low, high = low + row["cell"] * width, min(high, low + (row["cell"] + 1) * width - 1)
                     break
                 need -= row["w"]
         found[name] = low
-        here = here.where(axis == low)
+        here = here.where(F.col(name) == value(low))
     return found

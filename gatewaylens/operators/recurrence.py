@@ -293,6 +293,7 @@ def _through_steps(rows: DataFrame, heads: list[tuple[int, int]], longest: int)
 
 def _entering_states(rule: Rule, chunked: DataFrame) -> dict[int, int | None]:
     """State at the start of each chunk, from one summary row per chunk."""
+    chunked = chunked.select("key_", "at_", "arg_", "chunk")
     rows = sorted(chunked.mapInArrow(_summarise(rule), SUMMARY).collect(), key=lambda r: r["chunk"])
     closed: dict[int, int | None] = {}  # closing states found by jobs
     while True:

@@ -58,11 +58,17 @@ def allocate_requests(requests: DataFrame, tokens: DataFrame, limits: DataFrame)
     units = quota.select(
         "category", "token_id", "reset", "last_ok_at", F.explode(F.sequence(F.lit(1), F.col("remaining"))).alias("level")
     )
-    units = numbered(units, ["category"], [F.col("level").desc(), *_token_order()])
+    units = numbered(units, ["category"], [F.col("level").desc(), *_token_order()]).select("category", "n", "token_id")
+    # At most one row per category: how many requests can get a token at all. Only those meet the units.
+    whole = {r["category"]: r["n"] for r in quota.groupBy("category").agg(F.sum("remaining").alias("n")).collect()}
+    last_unit = F.lit(0).cast("bigint")
+    for category, count in whole.items():
+        last_unit = F.when(F.col("category") == category, F.lit(count)).otherwise(last_unit)
     asked = numbered(requests.select("id", "category", "created_at"), ["category"], [F.col("created_at"), F.col("id")])
-    return asked.select("id", "category", "n").join(
-        units.select("category", "n", "token_id"), ["category", "n"], "left"
-    ).select("id", "category", "token_id")
+    asked = asked.select("id", "category", "n")
+    served = asked.where(F.col("n") <= last_unit).join(units, ["category", "n"]).select("id", "category", "token_id")
+    beyond = asked.where(F.col("n") > last_unit).select("id", "category")
+    return served.unionByName(beyond, allowMissingColumns=True)
 
 
 def donor_attribution(allocated: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -55,3 +55,14 @@ def use_checkpoints(spark: SparkSession) -> None:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table or stream state inside the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/gatewaylens/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` computed once into a table of the shared folder and read back.
+
+    It survives the loss of executors, every later pass reads only the columns it needs, and its size is
+    known, so that Spark broadcasts it in a join exactly where it is small enough.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -170,5 +170,5 @@ def test_cutoff_finds_the_exact_row(spark, spread):
             running += w
             if running >= need:
                 break
-        assert prefix_cutoff(df, [("at", F.col("at")), ("id", F.col("id"))], F.col("w"), need, cells=7) == {"at": at, "id": i}
-    assert prefix_cutoff(df, [("at", F.col("at"))], F.col("w"), 10**9) is None
+        assert prefix_cutoff(df, ["at", "id"], F.col("w"), need, cells=7) == {"at": at, "id": i}
+    assert prefix_cutoff(df, ["at"], F.col("w"), 10**9) is None
