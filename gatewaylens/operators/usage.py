@@ -177,8 +177,8 @@ def with_display(newest: DataFrame, keys: DataFrame, as_of: Column) -> DataFrame
 def retain_log(log: DataFrame, keep: int = 1000) -> DataFrame:
     """Rows whose id is above the newest id minus `keep`: by id value, not by row count.
 
-    The newest id is a scalar subquery, so the comparison is an ordinary filter on the scan.
+    The bound is a scalar subquery as a whole, so the comparison is a plain filter that reaches the scan.
     """
-    newest = log.select(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
-    floor_id = F.greatest(newest - F.lit(keep), F.lit(0).cast("bigint"))
-    return log.where(F.col("id") > floor_id)
+    zero = F.lit(0).cast("bigint")
+    below = log.select(F.greatest(F.coalesce(F.max("id"), zero) - F.lit(keep), zero)).scalar()
+    return log.where(F.col("id") > below)

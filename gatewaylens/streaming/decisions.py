@@ -19,21 +19,27 @@ from gatewaylens.operators.limiter import TokenBucket
 from gatewaylens.operators.recurrence import Rule
 from gatewaylens.operators.replay import CacheLifetime
 
+ROWS_PER_FRAME = 100_000
+
 
 def _decide_stream(rows: DataFrame, keys: list[str], rule: Rule, out: str, output: str) -> DataFrame:
-    """`rows` has the keys, `id`, `at_` (microseconds), `arg_` and columns to pass on."""
+    """`rows` has the keys, `id`, `at_` (microseconds) and `arg_`; `output` the keys, `id` and `out`."""
 
     def each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = list(frames)
+        # The key is the same in all rows: only three numbers per row are held to sort them.
+        parts = [frame[["id", "at_", "arg_"]] for frame in frames]
         if not parts:
             return
-        pdf = pd.concat(parts).sort_values(["at_", "id"])
+        held = pd.concat(parts, ignore_index=True).sort_values(["at_", "id"], ignore_index=True)
         before, seen = (None, None) if not state.exists else state.get
-        times = pdf["at_"] if seen is None else pdf["at_"].clip(lower=seen)
-        after, marks = rule.replay(None if before is None else int(before), times.tolist(), pdf["arg_"].tolist())
-        state.update((None if after is None else str(after), int(times.iloc[-1])))
-        pdf[out] = marks
-        yield pdf.drop(columns=["at_", "arg_"])
+        times = held["at_"] if seen is None else held["at_"].clip(lower=seen)
+        now = None if before is None else int(before)
+        for begin in range(0, len(held), ROWS_PER_FRAME):
+            end = begin + ROWS_PER_FRAME
+            now, marks = rule.replay(now, times[begin:end].tolist(), held["arg_"][begin:end].tolist())
+            decided = pd.DataFrame({"id": held["id"][begin:end], out: marks})
+            yield decided.assign(**dict(zip(keys, key)))
+        state.update((None if now is None else str(now), int(times.iloc[-1])))
 
     return rows.groupBy(*keys).applyInPandasWithState(
         each, output, "before string, seen long", "append", GroupStateTimeout.NoTimeout

@@ -40,9 +40,10 @@ def stream_recent(log: DataFrame, path: str, checkpoint: str, n: int = 1000) ->
 
     last: list[int] = []
     run_available(log, "append", each, checkpoint)
-    if not last:
-        return spark.read.parquet(path).where("version = (SELECT max(version) FROM parquet.`%s`)" % path).drop("version")
-    return spark.read.parquet(_version(path, last[-1]))
+    if last:
+        return spark.read.parquet(_version(path, last[-1]))
+    kept = spark.read.parquet(path)
+    return kept.where(F.col("version") == kept.select(F.max("version")).scalar()).drop("version")
 
 
 def _version(path: str, number: int) -> str:

@@ -13,7 +13,7 @@ from gatewaylens.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.shuffle.partitions": "4",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         # Small data would be coalesced into one partition and hide what crosses chunks.

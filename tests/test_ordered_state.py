@@ -71,9 +71,9 @@ BUCKETS = [
 
 @pytest.mark.parametrize("seed,gap,hot,rate,unit,whole", BUCKETS)
 def test_bucket_equals_step_by_step(spark, seed, gap, hot, rate, unit, whole):
-    rows = log_rows(seed, 2500, gap, hot, rate, whole_seconds=whole)
+    rows = log_rows(seed, 2000, gap, hot, rate, whole_seconds=whole)
     df = spark.createDataFrame(rows, LOG)
-    got = {r["id"]: r["allowed"] for r in limiter.rate_limit(df, F.col("rate"), unit, partitions=24).collect()}
+    got = {r["id"]: r["allowed"] for r in limiter.rate_limit(df, F.col("rate"), unit, partitions=16).collect()}
     assert got == bucket_by_hand(rows, unit)
 
 
@@ -96,9 +96,9 @@ REPLAYS = [
 
 @pytest.mark.parametrize("seed,gap,hot,ttl,ok,whole", REPLAYS)
 def test_replay_equals_step_by_step(spark, seed, gap, hot, ttl, ok, whole):
-    rows = log_rows(seed, 2500, gap, hot, ok=ok, whole_seconds=whole)
+    rows = log_rows(seed, 2000, gap, hot, ok=ok, whole_seconds=whole)
     df = spark.createDataFrame(rows, LOG)
-    got = {r["id"]: r["hit"] for r in replay.cache_replay(df, ttl, partitions=40).collect()}
+    got = {r["id"]: r["hit"] for r in replay.cache_replay(df, ttl, partitions=20).collect()}
     assert got == replay_by_hand(rows, ttl)
 
 
