@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 
 from gatewaylens.session import new_path
 
-# Bounds the rows of one micro-batch, and with them the rows any key can have in it.
-BYTES_PER_BATCH = 1 << 30
+# Input of one micro-batch. Keyed decisions hold a key's rows of a batch in memory, so theirs is small;
+# aggregations combine rows before the shuffle and can take far more at once.
+BYTES_PER_BATCH = 1 << 40
+BYTES_PER_KEYED_BATCH = 1 << 30
 
 
 def file_stream(

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gatewaylens.schemas import EVENTS
-from gatewaylens.sources.streams import file_stream
+from gatewaylens.sources.streams import BYTES_PER_BATCH, file_stream
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -163,17 +163,21 @@ class Tables:
 
     def base(self, name: str) -> DataFrame:
         if name not in self._read:
-            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            reader = self.spark.read.schema(EVENTS) if name == "events" else self.spark.read
+            self._read[name] = reader.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._read[name]
 
     def __getitem__(self, view: str) -> DataFrame:
         return self._view(view, self.base)
 
-    def streaming(self, view: str) -> DataFrame:
+    def streaming(self, view: str, bytes_per_batch: int = BYTES_PER_BATCH) -> DataFrame:
         """A view over the events table read as a file stream."""
         def source(name: str) -> DataFrame:
+            if name != "events":
+                return self.base(name)
             # A pattern, as the stream source takes a table that is one file only through one.
-            return file_stream(self.spark, f"{self.sf_dir}/events.parquet*", EVENTS) if name == "events" else self.base(name)
+            path = f"{self.sf_dir}/events.parquet*"
+            return file_stream(self.spark, path, EVENTS, bytes_per_batch=bytes_per_batch)
         return self._view(view, source)
 
     def _view(self, view: str, source: Callable[[str], DataFrame]) -> DataFrame:

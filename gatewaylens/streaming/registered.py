@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatewaylens.operators import usage
 from gatewaylens.plans.parameters import AS_OF, BUCKET_RATE, BUCKET_UNIT_S, LOOKUP_TTL_S, RECENT_ROWS
-from gatewaylens.sources.streams import append_decisions, fresh_paths
+from gatewaylens.sources.streams import BYTES_PER_KEYED_BATCH, append_decisions, fresh_paths
 from gatewaylens.sources.views import Tables
 from gatewaylens.streaming import decisions, totals
 
@@ -29,14 +29,15 @@ def _recent(t: Tables) -> DataFrame:
 
 def _rate_limit(t: Tables) -> DataFrame:
     path, checkpoint = fresh_paths(t.spark, "limits")
-    decided = decisions.stream_rate_limit(t.streaming("request_log"), F.lit(BUCKET_RATE), BUCKET_UNIT_S)
-    append_decisions(decided, path, checkpoint)
+    log = t.streaming("request_log", BYTES_PER_KEYED_BATCH)
+    append_decisions(decisions.stream_rate_limit(log, F.lit(BUCKET_RATE), BUCKET_UNIT_S), path, checkpoint)
     return t.spark.read.parquet(path)
 
 
 def _cache_replay(t: Tables) -> DataFrame:
     path, checkpoint = fresh_paths(t.spark, "replay")
-    append_decisions(decisions.stream_cache_replay(t.streaming("request_log"), LOOKUP_TTL_S), path, checkpoint)
+    log = t.streaming("request_log", BYTES_PER_KEYED_BATCH)
+    append_decisions(decisions.stream_cache_replay(log, LOOKUP_TTL_S), path, checkpoint)
     return t.spark.read.parquet(path)
 
 
