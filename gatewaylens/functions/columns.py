@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,6 +156,11 @@ def pct_label(pct: Column) -> Column:
 
 # --- time -------------------------------------------------------------------------------------
 
+def instant(at: dt.datetime | dt.date) -> Column:
+    """A UTC timestamp without zone, whatever the zone of the driver's machine."""
+    return F.lit(str(at)).cast("timestamp_ntz")
+
+
 def micros(ts: Column) -> Column:
     """Epoch microseconds of a timestamp; the session zone is UTC."""
     return F.unix_micros(ts.cast("timestamp"))

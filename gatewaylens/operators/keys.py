@@ -30,7 +30,7 @@ def mask_collisions(plain: DataFrame) -> DataFrame:
 
 def idle_keys(keys: DataFrame, log: DataFrame, since: dt.datetime) -> DataFrame:
     """Ids of keys without a request since a time. The log shrinks to its distinct keys before the join."""
-    used = log.where(F.col("created_at") >= F.lit(since).cast("timestamp_ntz")).select("api_key").distinct()
+    used = log.where(F.col("created_at") >= C.instant(since)).select("api_key").distinct()
     return keys.select("id", "key_hash").join(used, F.col("key_hash") == F.col("api_key"), "left_anti").select("id")
 
 

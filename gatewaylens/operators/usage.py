@@ -116,8 +116,7 @@ def usage_series(log: DataFrame, keys: DataFrame, last_day: dt.date, days: int =
     window = _window_days(last_day, days)
     day = F.to_date("created_at")
     inside = log.where(
-        (F.col("created_at") >= F.lit(dt.datetime.combine(window[0], dt.time())).cast("timestamp_ntz"))
-        & (F.col("created_at") < F.lit(dt.datetime.combine(last_day + dt.timedelta(days=1), dt.time())).cast("timestamp_ntz"))
+        (F.col("created_at") >= C.instant(window[0])) & (F.col("created_at") < C.instant(last_day + dt.timedelta(days=1)))
     )
     counts = inside.groupBy("api_key").agg(
         *[F.count_if(day == F.lit(d)).alias(f"day{i}") for i, d in enumerate(window)]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +18,6 @@ from gatewaylens.sources.views import Tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _instant(at: dt.datetime):
-    return F.lit(at).cast("timestamp_ntz")
-
-
 def _lookup_requests(t: Tables) -> DataFrame:
     """Requests with the target their path stands for; the stored entries carry it without a query."""
     return t["request_log"].select("id", "method", C.proxied_target(F.col("path")).alias("url"), "created_at")
@@ -54,14 +49,14 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "category_usage": lambda t: usage.category_usage(t["request_log"]),
     "system_totals": lambda t: usage.system_totals(t["request_log"]),
     "key_report": lambda t: usage.key_report(t["api_keys"], t["request_log"]),
-    "recent_activity": lambda t: usage.recent_activity(t["request_log"], t["api_keys"], _instant(AS_OF)),
+    "recent_activity": lambda t: usage.recent_activity(t["request_log"], t["api_keys"], C.instant(AS_OF)),
     "key_usage_nested": lambda t: usage.key_usage_nested(t["request_log"], t["api_keys"], LAST_DAY),
     "usage_sparkline": lambda t: usage.usage_sparkline(t["request_log"], t["api_keys"], LAST_DAY),
     "log_retention": lambda t: usage.retain_log(t["request_log"].select("id", "api_key", "created_at"), LOG_KEEP),
     # cache
     "cache_entries": lambda t: cache.build_cache_entries(t["responses"], LOOKUP_TTL_S),
     "cache_admission": lambda t: cache.cache_admission(t["responses"]),
-    "cache_snapshot": lambda t: cache.cache_snapshot(t["cached_responses"], _instant(SNAPSHOT_AT)),
+    "cache_snapshot": lambda t: cache.cache_snapshot(t["cached_responses"], C.instant(SNAPSHOT_AT)),
     "cache_lookup": lambda t: cache.cache_lookup(_lookup_requests(t), t["cached_responses"]),
     "cache_trim": lambda t: cache.trim_cache(
         t["cached_responses"].select("id", "created_at", "resp_bytes"), CACHE_LIMIT, "pass"),
@@ -75,8 +70,8 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "rate_limit_snapshot": lambda t: tokens.ingest_rate_limits(t["rate_limit_snapshots"]),
     "token_upsert": lambda t: tokens.upsert_tokens(t["donated_tokens"], t["donations"]),
     "token_status": lambda t: tokens.token_status(t["token_events"], t["donated_tokens"]),
-    "token_age": lambda t: tokens.token_age(t["donated_tokens"], _instant(AS_OF)),
-    "donor_summary": lambda t: tokens.donor_summary(t["donated_tokens"], _instant(AS_OF)),
+    "token_age": lambda t: tokens.token_age(t["donated_tokens"], C.instant(AS_OF)),
+    "donor_summary": lambda t: tokens.donor_summary(t["donated_tokens"], C.instant(AS_OF)),
     "donor_attribution": lambda t: tokens.donor_attribution(_allocated(t), t["donated_tokens"]),
     "token_migration": _migrated,
     "token_reconcile": lambda t: tokens.reconcile_tokens(t["donated_tokens"], _migrated(t), EXCLUDED_USER),

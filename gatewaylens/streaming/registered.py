@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewaylens.functions import columns as C
 from gatewaylens.operators import usage
 from gatewaylens.plans.parameters import AS_OF, BUCKET_RATE, BUCKET_UNIT_S, LOOKUP_TTL_S, RECENT_ROWS
 from gatewaylens.sources.streams import BYTES_PER_KEYED_BATCH, append_decisions, fresh_paths
@@ -24,7 +25,7 @@ def _key_totals(t: Tables) -> DataFrame:
 
 def _recent(t: Tables) -> DataFrame:
     newest = totals.stream_recent(t.streaming("request_log"), *fresh_paths(t.spark, "recent"), n=RECENT_ROWS)
-    return usage.with_display(newest, t["api_keys"], F.lit(AS_OF).cast("timestamp_ntz"))
+    return usage.with_display(newest, t["api_keys"], C.instant(AS_OF))
 
 
 def _rate_limit(t: Tables) -> DataFrame:

@@ -67,8 +67,8 @@ def test_ages(spark):
     words = [r[0] for r in df.select(C.humanize_age(F.col("s"))).collect()]
     assert words == ["just now", "just now", "1 minutes ago", "59 minutes ago", "1 hours ago", "23 hours ago", "1 days ago",
                      "29 days ago", "1 months ago", "11 months ago", "1 years ago", "2 years ago"]
-    short = df.select(C.short_age(F.lit(T0).cast("timestamp_ntz") - F.make_dt_interval(secs=F.col("s")),
-                                  F.lit(T0).cast("timestamp_ntz")))
+    short = df.select(C.short_age(C.instant(T0) - F.make_dt_interval(secs=F.col("s")),
+                                  C.instant(T0)))
     assert [r[0] for r in short.collect()][:6] == ["1s ago", "59s ago", "1m ago", "59m ago", "1h ago", "23h ago"]
 
 
@@ -106,7 +106,7 @@ def test_empty_log(spark):
 def test_unknown_key_has_no_display_and_usage_ignores_it(spark):
     rows = log(spark, req(1, "a", at(0)), req(2, "nobody", at(5), hit=True))
     registry = spark.createDataFrame([(1, "a", "u", "ap", "m", "", 2, False, T0)], KEYS)
-    as_of = F.lit(at(65)).cast("timestamp_ntz")
+    as_of = C.instant(at(65))
     shown = {r["id"]: (r["display"], r["age"]) for r in usage.recent_activity(rows, registry, as_of).collect()}
     assert shown == {1: ("u_ap_m", "1m ago"), 2: ("", "1m ago")}
     assert sum(r["c"] for r in usage.key_usage(rows, registry, dt.date(2024, 3, 1)).collect()) == 1
@@ -155,7 +155,7 @@ def test_snapshot_keeps_the_newest_live_duplicate(spark):
         (1, "GET", "u", "h", at(0), None, 1), (2, "GET", "u", "h", at(1), at(50), 1), (3, "GET", "u", "h", at(2), at(30), 1),
         (4, "GET", "u", "h", at(40), at(90), 1),
     ], ENTRY)
-    row = cache.cache_snapshot(entries, F.lit(at(30)).cast("timestamp_ntz")).collect()
+    row = cache.cache_snapshot(entries, C.instant(at(30))).collect()
     assert [(r["entry_id"], r["expires_at"]) for r in row] == [(2, at(50))]
 
 
