@@ -127,6 +127,15 @@ def rate_limit(
     return R.decide(requests, TokenBucket(unit_s), F.col(key_col), at_us, id_col, rate, "allowed", partitions)
 
 
+def rate_limit_from(
+    requests: DataFrame, rate: Column, states: DataFrame, unit_s: int = 1, key_col: str = "api_key",
+    at_col: str = "created_at", id_col: str = "id", partitions: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """`rate_limit` going on from the buckets an earlier run left, and the buckets afterwards."""
+    at_us = C.micros(F.col(at_col))
+    return R.decide_from(requests, TokenBucket(unit_s), F.col(key_col), at_us, id_col, rate, "allowed", states, partitions)
+
+
 # Outcome names by the status the client sees.
 MISSING_KEY, DISABLED, LIMITED, TOO_LARGE, PASSED = "401", "403", "429", "413", "pass"
 

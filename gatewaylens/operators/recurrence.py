@@ -21,17 +21,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatewaylens.operators.ordered import in_order
+from gatewaylens.session import written
 
 NEVER = -(2**62)  # an entering time before all others: nothing has happened yet
 FOREVER = 2**62
 RADIX = 8  # chunks combined by one group of the tree
 
-SUMMARY = "chunk int, first_key string, last_key string, single boolean, arg long, kind string, payload string"
+SUMMARY = (
+    "chunk int, first_key string, first_state string, last_key string, single boolean, arg long, kind string, payload string"
+)
+# What is kept of a key between runs: its state and the time of its newest row.
+STATES = "key_ string, state_ string, seen_ long"
 # What a chunk does to the entering state: it ends in a known one, leaves it alone, follows a closed form,
 # is a step function of the entering time, or has to be replayed once that state is known.
 KNOWN, SAME, CLOSED, STEPS, REPLAY = "known", "same", "closed", "steps", "replay"
@@ -87,6 +92,12 @@ class Batch:
     times: np.ndarray
     args: np.ndarray
     starts: list[int]
+    kept: pa.Array | None  # states kept from an earlier run
+
+    def opening(self, row: int) -> int | None:
+        """State of a key that begins at a row."""
+        kept = None if self.kept is None else self.kept[row].as_py()
+        return None if kept is None else int(kept)
 
 
 def _batches(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Batch]]:
@@ -102,25 +113,27 @@ def _batches(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             starts.insert(0, 0)
         begun, last_key = True, keys[batch.num_rows - 1].as_py()
         yield batch, Batch(
-            keys, batch.column("at_").to_numpy(zero_copy_only=False), batch.column("arg_").to_numpy(zero_copy_only=False), starts
+            keys, batch.column("at_").to_numpy(zero_copy_only=False), batch.column("arg_").to_numpy(zero_copy_only=False), starts,
+            batch.column("state_") if "state_" in batch.schema.names else None,
         )
 
 
 def _summarise(rule: Rule):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = first_key = last_key = None
+        chunk = first_key = first_state = last_key = None
         arg, single, state = 0, True, None
         summary = rule.summary()
         for batch, b in _batches(source):
             if chunk is None:
                 chunk, first_key, arg = batch.column("chunk")[0].as_py(), b.keys[0].as_py(), int(b.args[0])
+                first_state = b.opening(0)
                 b.starts = b.starts[1:]
             last_key = b.keys[batch.num_rows - 1].as_py()
             if b.starts:
                 # Another key begins here: only the last one can go on in the next chunk.
-                single, state = False, None
+                single = False
                 begin = b.starts[-1]
-                state, _ = rule.replay(None, b.times[begin:].tolist(), b.args[begin:].tolist())
+                state, _ = rule.replay(b.opening(begin), b.times[begin:].tolist(), b.args[begin:].tolist())
             elif single:
                 summary.add(b.times.tolist(), b.args.tolist())
             else:
@@ -128,19 +141,21 @@ def _summarise(rule: Rule):
         if chunk is not None:
             kind, payload = summary.finish() if single else (KNOWN, [state])
             yield pa.RecordBatch.from_pylist([{
-                "chunk": chunk, "first_key": first_key, "last_key": last_key, "single": single, "arg": arg,
-                "kind": kind, "payload": json.dumps(payload),
+                "chunk": chunk, "first_key": first_key, "first_state": json.dumps(first_state), "last_key": last_key,
+                "single": single, "arg": arg, "kind": kind, "payload": json.dumps(payload),
             }], schema=_SUMMARY_ARROW)
     return run
 
 
 _SUMMARY_ARROW = pa.schema([
-    ("chunk", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("single", pa.bool_()),
-    ("arg", pa.int64()), ("kind", pa.string()), ("payload", pa.string()),
+    ("chunk", pa.int32()), ("first_key", pa.string()), ("first_state", pa.string()), ("last_key", pa.string()),
+    ("single", pa.bool_()), ("arg", pa.int64()), ("kind", pa.string()), ("payload", pa.string()),
 ])
 
 
-def _decide(rule: Rule, entering: dict[int, int | None], out: str):
+def _decide(rule: Rule, entering: dict[int, int], out: str, keep: bool = False):
+    """Replays each chunk from its entering state. With `keep`, the last row of a key in each batch also
+    carries the state after it."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, begun = None, False
         for batch, b in _batches(source):
@@ -150,15 +165,25 @@ def _decide(rule: Rule, entering: dict[int, int | None], out: str):
                 b.starts = b.starts[1:]
             times, args = b.times.tolist(), b.args.tolist()
             marks: list[bool] = []
+            after: list[str | None] = [None] * batch.num_rows
             edges = [0, *b.starts, batch.num_rows] if not b.starts or b.starts[0] != 0 else [*b.starts, batch.num_rows]
             fresh = set(b.starts)
             for begin, end in zip(edges, edges[1:]):
-                state, outcome = rule.replay(None if begin in fresh else state, times[begin:end], args[begin:end])
+                before = b.opening(begin) if begin in fresh else state
+                state, outcome = rule.replay(before, times[begin:end], args[begin:end])
                 marks.extend(outcome)
-            yield batch.drop_columns(["key_", "at_", "arg_", "pos", "chunk"]).append_column(out, pa.array(marks, pa.bool_()))
+                after[end - 1] = None if state is None else str(state)
+            decided = batch.append_column(out, pa.array(marks, pa.bool_()))
+            if keep:
+                decided = decided.append_column("after_", pa.array(after, pa.string()))
+            yield decided.drop_columns([c for c in INNER if c in decided.schema.names and not (keep and c in KEPT)])
     return run
 
 
+INNER = ("key_", "at_", "arg_", "state_", "pos", "chunk")
+KEPT = ("key_", "at_", "pos")
+
+
 def _closing_states(rule: Rule, entering: dict[int, int | None]):
     """Closing state of single-key chunks replayed from a known entering state."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +318,7 @@ def _through_steps(rows: DataFrame, heads: list[tuple[int, int]], longest: int)
 
 def _entering_states(rule: Rule, chunked: DataFrame) -> dict[int, int | None]:
     """State at the start of each chunk, from one summary row per chunk."""
-    chunked = chunked.select("key_", "at_", "arg_", "chunk")
+    chunked = chunked.select("key_", "at_", "arg_", "chunk", *[c for c in chunked.columns if c == "state_"])
     rows = sorted(chunked.mapInArrow(_summarise(rule), SUMMARY).collect(), key=lambda r: r["chunk"])
     closed: dict[int, int | None] = {}  # closing states found by jobs
     while True:
@@ -303,7 +328,7 @@ def _entering_states(rule: Rule, chunked: DataFrame) -> dict[int, int | None]:
         for n, row in enumerate(rows):
             chunk = row["chunk"]
             goes_on = n > 0 and row["first_key"] == carry_key
-            state, state_known = (carry, known) if goes_on else (None, True)
+            state, state_known = (carry, known) if goes_on else (json.loads(row["first_state"]), True)
             carry_key = row["last_key"]
             if state_known:
                 entering[chunk] = state
@@ -361,12 +386,48 @@ def _run_waiting(rule, chunked, rows, waiting, entering) -> dict[int, int | None
     return found
 
 
+def _placed(
+    df: DataFrame, key: Column, at_us: Column, id_col: str, arg: Column, states: DataFrame | None, partitions: int | None
+) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    rows = df.withColumns({"key_": F.coalesce(key, F.lit("")), "at_": at_us, "arg_": F.coalesce(arg.cast("bigint"), zero)})
+    if states is not None:
+        # A row older than its key's state counts as arriving at the state's time.
+        rows = rows.join(states, "key_", "left").withColumn("at_", F.greatest("at_", "seen_")).drop("seen_")
+    return in_order(rows, ["key_"], [F.col("at_"), F.col(id_col)], partitions)
+
+
 def decide(
     df: DataFrame, rule: Rule, key: Column, at_us: Column, id_col: str, arg: Column, out: str, partitions: int | None = None
 ) -> DataFrame:
     """`df` with the boolean column `out`, decided row by row in (key, time, id) order."""
-    rows = df.withColumns({"key_": F.coalesce(key, F.lit("")), "at_": at_us, "arg_": F.coalesce(arg.cast("bigint"), F.lit(0).cast("bigint"))})
-    chunked = in_order(rows, ["key_"], [F.col("at_"), F.col(id_col)], partitions)
+    chunked = _placed(df, key, at_us, id_col, arg, None, partitions)
     entering = _entering_states(rule, chunked)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())])
     return chunked.mapInArrow(_decide(rule, entering, out), schema)
+
+
+def decide_from(
+    df: DataFrame, rule: Rule, key: Column, at_us: Column, id_col: str, arg: Column, out: str, states: DataFrame,
+    partitions: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The same, going on from kept states: the decided rows, and the states of all keys afterwards.
+
+    Deciding a log piece by piece in time order gives what deciding it whole gives, so history is read once.
+    """
+    chunked = _placed(df, key, at_us, id_col, arg, states, partitions)
+    entering = _entering_states(rule, chunked)
+    inner = [f for f in chunked.schema.fields if f.name in KEPT]
+    added = [T.StructField(out, T.BooleanType()), T.StructField("after_", T.StringType())]
+    # Columns stand in the order of the chunked rows.
+    fields = [f for f in chunked.schema.fields if f.name in df.columns or f in inner]
+    rows = written(chunked.mapInArrow(_decide(rule, entering, out, keep=True), T.StructType([*fields, *added])), "decided")
+    fresh = rows.where("after_ IS NOT NULL").groupBy("key_").agg(
+        F.max_by("after_", "pos").alias("state_"), F.max("at_").alias("seen_")
+    )
+    untouched = states.join(fresh.select("key_"), "key_", "left_anti")
+    return rows.select(*df.columns, out), untouched.unionByName(fresh)
+
+
+def no_states(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], STATES)

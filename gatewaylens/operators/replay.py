@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
@@ -76,6 +76,12 @@ class _LifetimeSummary(R.Summary):
         return (R.SAME, []) if self.newest is None else (R.STEPS, [])
 
 
+def _cacheable(log: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The requests that consult the cache, their cache key, and whether each response may be stored."""
+    requests = log.where(C.is_cacheable(F.col("method"))).select("id", "method", "path", "status", "created_at")
+    return requests, F.concat_ws("\n", "method", "path"), (F.col("status") == 200).cast("bigint")
+
+
 def cache_replay(log: DataFrame, ttl_s: int, partitions: int | None = None) -> DataFrame:
     """Each GET or HEAD request with `hit` under a lifetime of `ttl_s` (zero or less: entries never end).
 
@@ -83,9 +89,17 @@ def cache_replay(log: DataFrame, ttl_s: int, partitions: int | None = None) -> D
     response headers, so a response may be stored if its status is 200. The cache key is the method and the
     logged path, which has no query.
     """
-    requests = log.where(C.is_cacheable(F.col("method"))).select("id", "method", "path", "status", "created_at")
-    key = F.concat_ws("\n", "method", "path")
-    storable = (F.col("status") == 200).cast("bigint")
-    rule = CacheLifetime(ttl_s)
-    decided = R.decide(requests, rule, key, C.micros(F.col("created_at")), "id", storable, "hit", partitions)
+    requests, key, storable = _cacheable(log)
+    at_us = C.micros(F.col("created_at"))
+    decided = R.decide(requests, CacheLifetime(ttl_s), key, at_us, "id", storable, "hit", partitions)
     return decided.select("id", "method", "path", "hit")
+
+
+def cache_replay_from(
+    log: DataFrame, ttl_s: int, states: DataFrame, partitions: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """`cache_replay` going on from the entries an earlier run left, and the entries afterwards."""
+    requests, key, storable = _cacheable(log)
+    at_us = C.micros(F.col("created_at"))
+    decided, kept = R.decide_from(requests, CacheLifetime(ttl_s), key, at_us, "id", storable, "hit", states, partitions)
+    return decided.select("id", "method", "path", "hit"), kept

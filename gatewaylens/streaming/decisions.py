@@ -1,13 +1,17 @@
 """Keyed stateful streams: token bucket and cache lifetime.
 
 Rows of a key are decided in (time, id) order inside each micro-batch, from the state the batch before left.
-A micro-batch is bounded by the stream's reader, so a key's rows in one batch are too. Time never runs back:
-a row older than the state counts as arriving at the state's time.
+Time never runs back: a row older than the state counts as arriving at the state's time.
+
+`stream_*` keep the state in Spark's state store. A key's rows of one micro-batch are sorted in one task, which
+the reader bounds by bytes: the form for steady, small batches. `*_in_batches` run the batch operators on each
+micro-batch and keep the states in written tables: no key is held in one task, so batches may be large, which
+is the form for catching up with a long history.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gatewaylens.functions import columns as C
-from gatewaylens.operators.limiter import TokenBucket
-from gatewaylens.operators.recurrence import Rule
-from gatewaylens.operators.replay import CacheLifetime
+from gatewaylens.operators.limiter import TokenBucket, rate_limit_from
+from gatewaylens.operators.recurrence import Rule, no_states
+from gatewaylens.operators.replay import CacheLifetime, cache_replay_from
+from gatewaylens.sources.streams import run_available
 
 ROWS_PER_FRAME = 100_000
 
@@ -62,3 +67,38 @@ def stream_cache_replay(log: DataFrame, ttl_s: int) -> DataFrame:
     return _decide_stream(
         rows, ["method", "path"], CacheLifetime(ttl_s), "hit", "id long, method string, path string, hit boolean"
     )
+
+
+def _in_batches(
+    stream: DataFrame, each: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], path: str, checkpoint: str
+) -> DataFrame:
+    """Decide micro-batch by micro-batch; rows and states are written under the batch's number.
+
+    A batch reads the states of the batch before and overwrites only its own folders, so running it again
+    after a failure changes nothing.
+    """
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        states = no_states(session) if number == 0 else session.read.parquet(f"{path}/states/{number - 1}")
+        decided, kept = each(batch, states)
+        decided.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        kept.write.mode("overwrite").parquet(f"{path}/states/{number}")
+
+    run_available(stream, "append", run, checkpoint)
+    return spark.read.parquet(f"{path}/rows").drop("batch")
+
+
+def rate_limit_in_batches(requests: DataFrame, rate: Column, unit_s: int, path: str, checkpoint: str) -> DataFrame:
+    """`id, api_key, allowed` of a stream of requests (`id, api_key, created_at` and what the rate needs)."""
+    def each(batch: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+        decided, kept = rate_limit_from(batch, rate, states, unit_s)
+        return decided.select("id", "api_key", "allowed"), kept
+
+    return _in_batches(requests, each, path, checkpoint)
+
+
+def cache_replay_in_batches(log: DataFrame, ttl_s: int, path: str, checkpoint: str) -> DataFrame:
+    """`id, method, path, hit` of a stream of logged requests under one cache lifetime."""
+    return _in_batches(log, lambda batch, states: cache_replay_from(batch, ttl_s, states), path, checkpoint)

@@ -102,6 +102,22 @@ def test_replay_equals_step_by_step(spark, seed, gap, hot, ttl, ok, whole):
     assert got == replay_by_hand(rows, ttl)
 
 
+@pytest.mark.parametrize("rate,gap,unit", [(1, 0.3, 7), (3, 0.1, 20)])
+def test_pieces_give_what_the_whole_gives(spark, rate, gap, unit):
+    rows = sorted(log_rows(21, 1500, gap, 0.8, rate), key=lambda r: r[0])
+    limits, entries = recurrence.no_states(spark), recurrence.no_states(spark)
+    allowed, hits = {}, {}
+    for piece in (rows[:600], rows[600:601], rows[601:]):
+        df = spark.createDataFrame(piece, LOG)
+        decided, limits = limiter.rate_limit_from(df, F.col("rate"), limits, unit, partitions=6)
+        allowed.update({r["id"]: r["allowed"] for r in decided.collect()})
+        decided, entries = replay.cache_replay_from(df, unit, entries, partitions=6)
+        hits.update({r["id"]: r["hit"] for r in decided.collect()})
+        assert limits.count() == limits.select("key_").distinct().count()
+    assert allowed == bucket_by_hand(rows, unit)
+    assert hits == replay_by_hand(rows, unit)
+
+
 def test_replay_without_expiry_never_misses_after_the_first_store(spark):
     rows = log_rows(9, 800, 1.0, 0.8, ok=1.0)
     decided = replay.cache_replay(spark.createDataFrame(rows, LOG), 0, partitions=8).collect()

@@ -89,6 +89,17 @@ def test_cache_replay(spark, log, parts, tmp_path, each):
     same(spark.read.parquet(path), replay.cache_replay(log, 21_600))
 
 
+@pytest.mark.parametrize("each", [2])
+def test_large_batches_and_a_restart(spark, log, parts, tmp_path, each):
+    path, checkpoint = paths(tmp_path)
+    for _ in range(2):
+        got = decisions.rate_limit_in_batches(source(spark, parts, each), F.lit(2), 57_600, path, checkpoint)
+    batch = limiter.rate_limit(log.select("id", "api_key", "created_at"), F.lit(2), 57_600)
+    same(got, batch.select("id", "api_key", "allowed"))
+    got = decisions.cache_replay_in_batches(source(spark, parts, each), 21_600, path + "-replay", checkpoint + "-replay")
+    same(got, replay.cache_replay(log, 21_600))
+
+
 def test_token_status(spark, log, parts, tmp_path):
     def events(rows):
         body = F.when(F.col("status") == 403, '{"message":"Bad credentials"}').otherwise("{}")
