@@ -13,14 +13,15 @@ from gatewaylens.functions import columns as C
 def onboard_keys(plain: DataFrame) -> DataFrame:
     """Register keys in bulk: only hash, hint and prefix are kept, one row per hash (the lowest id)."""
     key = F.col("plain_key")
-    row = F.struct(
-        F.col("id").alias("id"),
-        C.key_hint(key).alias("key_hint"),
-        C.key_prefix(key).alias("key_prefix"),
-        C.rate_or_default(F.col("rate_text")).alias("rate_limit"),
+    # Hint and prefix follow from the key as the hash does, so they may join the grouping.
+    made = plain.select(
+        "id", C.sha256_hex(key).alias("key_hash"), C.key_hint(key).alias("key_hint"), C.key_prefix(key).alias("key_prefix"),
+        C.rate_or_default(F.col("rate_text")).alias("rate"),
     )
-    first = plain.groupBy(C.sha256_hex(key).alias("key_hash")).agg(F.min(row).alias("row"))
-    return first.select("row.id", "key_hash", "row.key_hint", "row.key_prefix", "row.rate_limit")
+    first = made.groupBy("key_hash", "key_hint", "key_prefix").agg(
+        F.min("id").alias("id"), F.min_by("rate", "id").alias("rate_limit")
+    )
+    return first.select("id", "key_hash", "key_hint", "key_prefix", "rate_limit")
 
 
 def mask_collisions(plain: DataFrame) -> DataFrame:

@@ -81,17 +81,17 @@ def donor_attribution(allocated: DataFrame, tokens: DataFrame) -> DataFrame:
 def ingest_rate_limits(snapshots: DataFrame) -> DataFrame:
     """The newest quota per (token, category) from snapshot JSON, by fetch time and then snapshot id."""
     parsed = F.from_json("body", QUOTA_SNAPSHOT)["resources"]
-    rows = snapshots.select("token_id", "fetched_at", "snap_id", F.explode(parsed).alias("category", "quota"))
-    newest = F.max_by(F.struct("quota", "fetched_at"), F.struct("fetched_at", "snap_id"))
-    latest = rows.groupBy("token_id", "category").agg(newest.alias("newest"))
-    quota = F.col("newest.quota")
-    return latest.select(
-        "token_id", "category",
-        quota["limit"].alias("rate_limit"),
-        quota["remaining"].alias("remaining"),
-        C.epoch_to_ntz(quota["reset"]).alias("reset"),
-        F.col("newest.fetched_at").alias("updated_at"),
+    order = C.time_and_id(F.col("fetched_at"), F.col("snap_id"))
+    rows = snapshots.select("token_id", "fetched_at", order.alias("order"), F.explode(parsed).alias("category", "quota"))
+    flat = rows.select(
+        "token_id", "category", "order",
+        F.col("quota.limit").alias("rate_limit"),
+        F.col("quota.remaining").alias("remaining"),
+        C.epoch_to_ntz(F.col("quota.reset")).alias("reset"),
+        F.col("fetched_at").alias("updated_at"),
     )
+    values = ("rate_limit", "remaining", "reset", "updated_at")
+    return flat.groupBy("token_id", "category").agg(*[F.max_by(v, "order").alias(v) for v in values])
 
 
 def merge_rate_limits(current: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -152,12 +152,14 @@ def status_changes(events: DataFrame) -> DataFrame:
     """Per token the last status-changing event and the number of refused credentials.
 
     Donations bring a token back, bad credentials revoke it, all else changes nothing. The result is
-    mergeable: the maximum of `last` and the sum of `revocations` over any split of the events.
+    mergeable: the newest change and the sum of `revocations` over any split of the events.
     """
     refused = (F.col("kind") == "response") & C.is_bad_credential(F.col("status"), F.col("body"))
     changing = events.withColumn("refused", refused).where(F.col("refused") | (F.col("kind") == "donation"))
+    order = C.time_and_id(F.col("created_at"), F.col("id"))
     return changing.groupBy("token_id").agg(
-        F.max(F.struct("created_at", "id", "refused")).alias("last"),
+        F.max_by("created_at", order).alias("changed_at"),
+        F.max_by("refused", order).alias("refused"),
         F.count_if("refused").alias("revocations"),
     )
 
@@ -171,8 +173,8 @@ def status_from_changes(changes: DataFrame, tokens: DataFrame) -> DataFrame:
     pool = tokens.select(F.col("id").alias("token_id"), "github_user", F.col("revoked").alias("was_revoked"))
     return pool.join(changes, "token_id", "left").select(
         "token_id", "github_user",
-        F.coalesce("last.refused", "was_revoked").alias("revoked"),
-        F.col("last.created_at").alias("changed_at"),
+        F.coalesce("refused", "was_revoked").alias("revoked"),
+        "changed_at",
         F.coalesce("revocations", F.lit(0).cast("bigint")).alias("revocations"),
     )
 

@@ -52,8 +52,8 @@ def write_changes(stream: DataFrame, path: str, checkpoint: str) -> None:
 def latest_rows(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The newest version of every row written by `write_changes`."""
     values = [c for c in changes.columns if c not in (*keys, "batch")]
-    newest = F.max_by(F.struct(*values), F.col("batch").cast("bigint"))
-    return changes.groupBy(*keys).agg(newest.alias("newest")).select(*keys, *[F.col("newest")[v].alias(v) for v in values])
+    number = F.col("batch").cast("bigint")
+    return changes.groupBy(*keys).agg(*[F.max_by(v, number).alias(v) for v in values])
 
 
 def compact_changes(spark: SparkSession, path: str, target: str, keys: Sequence[str]) -> None:
