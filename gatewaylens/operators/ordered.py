@@ -1,5 +1,6 @@
 """Work that needs an order inside a key, without ever giving a whole key to one task.
 
+Where a count shows that no key is large, rows are shuffled once by key and ordered there. Otherwise
 `in_order` range-partitions rows by (keys, order). With a unique id as the last order column the ranges
 come out even however the keys are spread: a key that holds a third of the table simply spans a third of
 the partitions ("chunks"). What must pass from chunk to chunk is then one small row per chunk and key.
@@ -14,10 +15,19 @@ from pyspark.sql import functions as F
 
 from gatewaylens.session import use_checkpoints, written
 
+# Rows of one key that one task may order by itself. Beyond it the rows are cut into chunks.
+ROWS_PER_KEY = 4_000_000
+
 # Position = chunk number in the upper bits, row number inside the chunk below.
 CHUNK_BITS = 33
 
 
+def has_large_key(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
+    """Whether any key has more rows than one task should order. Counts are combined before the shuffle."""
+    limit = ROWS_PER_KEY if limit is None else limit
+    return not df.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > limit).isEmpty()
+
+
 def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], partitions: int | None) -> DataFrame:
     wanted = [F.col(k) for k in keys] + list(order)
     ranged = df.repartitionByRange(partitions, *wanted) if partitions else df.repartitionByRange(*wanted)
@@ -71,14 +81,21 @@ def last_before(
 ) -> DataFrame:
     """As-of join: each probe with the newest fact of its key strictly before it (nulls where none).
 
-    Both sides are ordered together; at equal times the probe comes first. Inside a chunk a window carries
-    the newest fact forward. From chunk to chunk only the last fact of a key that goes on is carried: at
-    most one row per chunk, so the join that brings it back is small on one side.
+    Both sides are ordered together; at equal times the probe comes first, and a window carries the newest
+    fact forward. With a large key the window works inside chunks. From chunk to chunk only the last fact
+    of a key that goes on is carried: at most one row per chunk, so the join that brings it back is small
+    on one side.
     """
     both = probes.select(*keys, at, id_col, F.lit(False).alias("is_fact")).unionByName(
         facts.select(*keys, at, id_col, F.lit(True).alias("is_fact"), *carried), allowMissingColumns=True
     )
-    chunked = numbered_rows(both, keys, [F.col(at), F.col("is_fact"), F.col(id_col)])
+    order = [F.col(at), F.col("is_fact"), F.col(id_col)]
+    here = F.when(F.col("is_fact"), F.struct(*carried))
+    if not has_large_key(both, keys):
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        near = both.withColumn("near", F.last(here, ignorenulls=True).over(upto)).where("NOT is_fact")
+        return near.select(*keys, at, id_col, *[F.col("near")[c].alias(c) for c in carried])
+    chunked = numbered_rows(both, keys, order)
     fact_pos = F.when(F.col("is_fact"), F.col("pos"))
     touched = chunked.groupBy(*keys, "chunk").agg(
         F.max(fact_pos).alias("last_pos"), *[F.max_by(c, fact_pos).alias(c) for c in carried]
@@ -90,7 +107,6 @@ def last_before(
     ).where("from_earlier IS NOT NULL")
     carry = written(carry, "carried")
     upto = Window.partitionBy(*keys, "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    here = F.when(F.col("is_fact"), F.struct(*carried))
     inside = chunked.withColumn("near", F.last(here, ignorenulls=True).over(upto)).where("NOT is_fact")
     found = F.coalesce("near", "from_earlier")
     return inside.join(carry, [*keys, "chunk"], "left").select(

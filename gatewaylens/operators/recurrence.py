@@ -6,6 +6,8 @@ Rows are cut into even chunks in (key, time, id) order, so a hot key spans many
 2. those rows, one per chunk, are chained to the state at the start of each chunk;
 3. every chunk replays its rows from that state.
 
+Where no key is large, rows are instead shuffled once by key and replayed in a single pass.
+
 A chunk whose closing state does not depend on the entering one (the usual case) says so. Otherwise a rule
 may know a closed form, or the chunk is a step function of the entering time; long rows of step functions
 are combined by a tree of small group jobs, so that no task ever sees more than a few chunks.
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatewaylens.operators.ordered import in_order
+from gatewaylens.operators.ordered import has_large_key, in_order
 from gatewaylens.session import written
 
 NEVER = -(2**62)  # an entering time before all others: nothing has happened yet
@@ -153,16 +155,19 @@ _SUMMARY_ARROW = pa.schema([
 ])
 
 
-def _decide(rule: Rule, entering: dict[int, int], out: str, keep: bool = False):
-    """Replays each chunk from its entering state. With `keep`, the last row of a key in each batch also
+def _decide(rule: Rule, entering: dict[int, int] | None, out: str, keep: bool = False):
+    """Replays each chunk from its entering state; without any, every key is whole in its partition. With `keep`, the last row of a key in each batch also
     carries the state after it."""
+    chunked = entering is not None
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, begun = None, False
         for batch, b in _batches(source):
             if not begun:
-                state = entering.get(batch.column("chunk")[0].as_py())
                 begun = True
-                b.starts = b.starts[1:]
+                if chunked:
+                    state = entering.get(batch.column("chunk")[0].as_py())
+                    b.starts = b.starts[1:]
             times, args = b.times.tolist(), b.args.tolist()
             marks: list[bool] = []
             after: list[str | None] = [None] * batch.num_rows
@@ -386,25 +391,41 @@ def _run_waiting(rule, chunked, rows, waiting, entering) -> dict[int, int | None
     return found
 
 
-def _placed(
-    df: DataFrame, key: Column, at_us: Column, id_col: str, arg: Column, states: DataFrame | None, partitions: int | None
+def _replayed(
+    df: DataFrame, rule: Rule, key: Column, at_us: Column, id_col: str, arg: Column, out: str, partitions: int | None,
+    states: DataFrame | None = None,
 ) -> DataFrame:
+    """Decided rows; with `states` they also carry `key_`, `at_`, `pos` and `after_`."""
+    keep = states is not None
     zero = F.lit(0).cast("bigint")
     rows = df.withColumns({"key_": F.coalesce(key, F.lit("")), "at_": at_us, "arg_": F.coalesce(arg.cast("bigint"), zero)})
-    if states is not None:
+    if keep:
         # A row older than its key's state counts as arriving at the state's time.
         rows = rows.join(states, "key_", "left").withColumn("at_", F.greatest("at_", "seen_")).drop("seen_")
-    return in_order(rows, ["key_"], [F.col("at_"), F.col(id_col)], partitions)
+    order = [F.col("at_"), F.col(id_col)]
+    if partitions is None and not has_large_key(rows, ["key_"]):
+        # By a hash of the key: Spark leaves out a repartition by the key itself where a join has placed the
+        # rows by it, and adaptive execution may then turn that join into one that does not.
+        placed = rows.repartition(F.xxhash64("key_")).sortWithinPartitions("key_", *order)
+        if keep:
+            placed = placed.withColumn("pos", F.monotonically_increasing_id())
+        entering = None
+    else:
+        placed = in_order(rows, ["key_"], order, partitions)
+        entering = _entering_states(rule, placed)
+    passed_on = [f for f in placed.schema.fields if f.name in df.columns or (keep and f.name in KEPT)]
+    added = [T.StructField(out, T.BooleanType())] + ([T.StructField("after_", T.StringType())] if keep else [])
+    return placed.mapInArrow(_decide(rule, entering, out, keep), T.StructType([*passed_on, *added]))
 
 
 def decide(
     df: DataFrame, rule: Rule, key: Column, at_us: Column, id_col: str, arg: Column, out: str, partitions: int | None = None
 ) -> DataFrame:
-    """`df` with the boolean column `out`, decided row by row in (key, time, id) order."""
-    chunked = _placed(df, key, at_us, id_col, arg, None, partitions)
-    entering = _entering_states(rule, chunked)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())])
-    return chunked.mapInArrow(_decide(rule, entering, out), schema)
+    """`df` with the boolean column `out`, decided row by row in (key, time, id) order.
+
+    With a number of partitions the rows are cut into that many chunks, whether or not a key is large.
+    """
+    return _replayed(df, rule, key, at_us, id_col, arg, out, partitions)
 
 
 def decide_from(
@@ -415,13 +436,7 @@ def decide_from(
 
     Deciding a log piece by piece in time order gives what deciding it whole gives, so history is read once.
     """
-    chunked = _placed(df, key, at_us, id_col, arg, states, partitions)
-    entering = _entering_states(rule, chunked)
-    inner = [f for f in chunked.schema.fields if f.name in KEPT]
-    added = [T.StructField(out, T.BooleanType()), T.StructField("after_", T.StringType())]
-    # Columns stand in the order of the chunked rows.
-    fields = [f for f in chunked.schema.fields if f.name in df.columns or f in inner]
-    rows = written(chunked.mapInArrow(_decide(rule, entering, out, keep=True), T.StructType([*fields, *added])), "decided")
+    rows = written(_replayed(df, rule, key, at_us, id_col, arg, out, partitions, states), "decided")
     fresh = rows.where("after_ IS NOT NULL").groupBy("key_").agg(
         F.max_by("after_", "pos").alias("state_"), F.max("at_").alias("seen_")
     )

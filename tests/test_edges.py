@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
-from gatewaylens.operators import cache, keys, limiter, logs, replay, tokens, usage
+from gatewaylens.operators import cache, keys, limiter, logs, ordered, replay, tokens, usage
 
 LOG = "id long, api_key string, method string, path string, status int, cache_hit boolean, created_at timestamp_ntz, body_bytes long"
 KEYS = "id long, key_hash string, hc_username string, app_name string, machine string, key_hint string, rate_limit_per_sec int, disabled boolean, created_at timestamp_ntz"
@@ -127,7 +127,9 @@ ASK = "id long, method string, url string, content_hash string, created_at times
 
 
 @pytest.mark.parametrize("fixed", [True, False])
-def test_lookup_boundaries(spark, fixed):
+@pytest.mark.parametrize("limit", [1, 1000])
+def test_lookup_boundaries(spark, monkeypatch, fixed, limit):
+    monkeypatch.setattr(ordered, "ROWS_PER_KEY", limit)
     entries = spark.createDataFrame([
         (1, "GET", "u", "h", at(0), at(60), 1), (2, "GET", "u", "h", at(10), at(70), 1), (3, "GET", "u", "other", at(10), at(70), 1),
     ], ENTRY)

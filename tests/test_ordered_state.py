@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatewaylens.operators import limiter, recurrence, replay
+from gatewaylens.operators import limiter, ordered, recurrence, replay
 from gatewaylens.operators.ordered import in_order, last_before, numbered, prefix_cutoff
 
 START = dt.datetime(2024, 1, 1)
@@ -77,6 +77,26 @@ def test_bucket_equals_step_by_step(spark, seed, gap, hot, rate, unit, whole):
     assert got == bucket_by_hand(rows, unit)
 
 
+def test_without_a_large_key_one_pass_decides(spark):
+    rows = log_rows(31, 2000, 0.5, 0.6, 3)
+    df = spark.createDataFrame(rows, LOG)
+    assert {r["id"]: r["allowed"] for r in limiter.rate_limit(df, F.col("rate"), 10).collect()} == bucket_by_hand(rows, 10)
+    assert {r["id"]: r["hit"] for r in replay.cache_replay(df, 10).collect()} == replay_by_hand(rows, 10)
+    states, got = recurrence.no_states(spark), {}
+    for piece in (sorted(rows)[:900], sorted(rows)[900:]):
+        decided, states = limiter.rate_limit_from(spark.createDataFrame(piece, LOG), F.col("rate"), states, 10)
+        got.update({r["id"]: r["allowed"] for r in decided.collect()})
+    assert got == bucket_by_hand(rows, 10)
+
+
+def test_a_large_key_is_noticed(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_KEY", 100)
+    rows = log_rows(32, 1000, 0.5, 0.9, 2)
+    df = spark.createDataFrame(rows, LOG)
+    assert ordered.has_large_key(df, ["api_key"]) and not ordered.has_large_key(df, ["id"])
+    assert {r["id"]: r["allowed"] for r in limiter.rate_limit(df, F.col("rate"), 10).collect()} == bucket_by_hand(rows, 10)
+
+
 def test_bucket_falls_back_to_replaying_a_chunk(spark, monkeypatch):
     """Chunks with neither a sure refill nor a closed form are replayed one after another."""
     def unresolved(self, payload, state):
@@ -161,7 +181,9 @@ def test_numbering_is_exact_per_key(spark):
     assert got == expected
 
 
-def test_as_of_join_is_strict_and_crosses_chunks(spark):
+@pytest.mark.parametrize("limit", [100, 10**6])
+def test_as_of_join_is_strict_and_crosses_chunks(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "ROWS_PER_KEY", limit)
     rnd = random.Random(8)
     facts = [(n, "hot" if rnd.random() < 0.3 else f"k{n % 5}", rnd.randrange(400)) for n in range(60)]
     probes = [(1000 + n, "hot" if rnd.random() < 0.8 else f"k{n % 7}", rnd.randrange(400)) for n in range(3000)]
