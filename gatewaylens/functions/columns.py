@@ -166,15 +166,6 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def time_and_id(ts: Column, row_id: Column) -> Column:
-    """One number that orders by time and then by id.
-
-    A decimal fits a hash aggregation's buffer, where a struct of the two would make Spark sort the rows.
-    """
-    step = F.lit("20000000000000000000").cast("decimal(20,0)")  # wider than all ids
-    return micros(ts).cast("decimal(17,0)") * step + row_id.cast("decimal(19,0)")
-
-
 def age_seconds(ts: Column, as_of: Column) -> Column:
     return F.floor((micros(as_of) - micros(ts)) / 1_000_000).cast("bigint")
 

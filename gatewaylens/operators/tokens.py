@@ -81,17 +81,16 @@ def donor_attribution(allocated: DataFrame, tokens: DataFrame) -> DataFrame:
 def ingest_rate_limits(snapshots: DataFrame) -> DataFrame:
     """The newest quota per (token, category) from snapshot JSON, by fetch time and then snapshot id."""
     parsed = F.from_json("body", QUOTA_SNAPSHOT)["resources"]
-    order = C.time_and_id(F.col("fetched_at"), F.col("snap_id"))
-    rows = snapshots.select("token_id", "fetched_at", order.alias("order"), F.explode(parsed).alias("category", "quota"))
-    flat = rows.select(
-        "token_id", "category", "order",
-        F.col("quota.limit").alias("rate_limit"),
-        F.col("quota.remaining").alias("remaining"),
-        C.epoch_to_ntz(F.col("quota.reset")).alias("reset"),
-        F.col("fetched_at").alias("updated_at"),
+    rows = snapshots.select("token_id", "fetched_at", "snap_id", F.explode(parsed).alias("category", "quota"))
+    # Time and id come first in the struct and decide; the rest goes along.
+    newest = F.max(F.struct("fetched_at", "snap_id", "quota.limit", "quota.remaining", "quota.reset"))
+    return rows.groupBy("token_id", "category").agg(newest.alias("newest")).select(
+        "token_id", "category",
+        F.col("newest.limit").alias("rate_limit"),
+        F.col("newest.remaining").alias("remaining"),
+        C.epoch_to_ntz(F.col("newest.reset")).alias("reset"),
+        F.col("newest.fetched_at").alias("updated_at"),
     )
-    values = ("rate_limit", "remaining", "reset", "updated_at")
-    return flat.groupBy("token_id", "category").agg(*[F.max_by(v, "order").alias(v) for v in values])
 
 
 def merge_rate_limits(current: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -156,12 +155,9 @@ def status_changes(events: DataFrame) -> DataFrame:
     """
     refused = (F.col("kind") == "response") & C.is_bad_credential(F.col("status"), F.col("body"))
     changing = events.withColumn("refused", refused).where(F.col("refused") | (F.col("kind") == "donation"))
-    order = C.time_and_id(F.col("created_at"), F.col("id"))
-    return changing.groupBy("token_id").agg(
-        F.max_by("created_at", order).alias("changed_at"),
-        F.max_by("refused", order).alias("refused"),
-        F.count_if("refused").alias("revocations"),
-    )
+    last = F.max(F.struct("created_at", "id", "refused"))
+    found = changing.groupBy("token_id").agg(last.alias("last"), F.count_if("refused").alias("revocations"))
+    return found.select("token_id", F.col("last.created_at").alias("changed_at"), F.col("last.refused").alias("refused"), "revocations")
 
 
 def token_status(events: DataFrame, tokens: DataFrame) -> DataFrame:
