@@ -65,10 +65,14 @@ def chunk_offsets(chunked: DataFrame, keys: Sequence[str], value: Column) -> Dat
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "n") -> DataFrame:
-    """Row number from 1 within each key, exact, with no key in a single task.
+    """Row number from 1 within each key, exact.
 
-    With few keys the offsets are little more than one row per chunk and the rows are not shuffled again.
+    A table that one task could order whole is numbered by a plain window; its count needs no columns. Beyond
+    that no key is in a single task: with few keys the offsets are little more than one row per chunk, and the
+    rows are not shuffled again.
     """
+    if df.count() <= ROWS_PER_KEY:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     chunked = numbered_rows(df, keys, order)
     offsets = written(chunk_offsets(chunked, keys, F.lit(1).cast("bigint")), "offsets")
     joined = chunked.join(offsets, [*keys, "chunk"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatewaylens.functions import columns as C
 from gatewaylens.operators.ordered import numbered
 from gatewaylens.schemas import QUOTA_SNAPSHOT
+from gatewaylens.session import written
 
 
 def live_quota(tokens: DataFrame, limits: DataFrame) -> DataFrame:
@@ -54,7 +55,8 @@ def allocate_requests(requests: DataFrame, tokens: DataFrame, limits: DataFrame)
     gathering a category in one task and met by an equi-join on (category, n), which is even by nature.
     Requests beyond the whole quota get no token.
     """
-    quota = live_quota(tokens, limits).where("remaining > 0")
+    # Read three times below, and never larger than the pool times the categories.
+    quota = written(live_quota(tokens, limits).where("remaining > 0"), "quota")
     units = quota.select(
         "category", "token_id", "reset", "last_ok_at", F.explode(F.sequence(F.lit(1), F.col("remaining"))).alias("level")
     )

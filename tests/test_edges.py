@@ -216,7 +216,9 @@ def pool(spark, *rows):
 LIMITS = "token_id long, category string, rate_limit int, remaining long, reset timestamp_ntz"
 
 
-def test_ranking_puts_a_missing_quota_row_before_a_spent_one(spark):
+@pytest.mark.parametrize("limit", [1, 1000])
+def test_ranking_puts_a_missing_quota_row_before_a_spent_one(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "ROWS_PER_KEY", limit)
     tokens_df = pool(spark, (1, "a", "t", T0, False, at(9), None), (2, "b", "t", T0, False, None, None),
                      (3, "c", "t", T0, True, None, None), (4, "d", "t", T0, False, at(1), None), (5, "e", "t", T0, False, None, None))
     limits = spark.createDataFrame([(1, "core", 60, 0, at(5)), (4, "core", 60, 9, at(50)), (3, "core", 60, 99, at(1))], LIMITS)
@@ -226,7 +228,9 @@ def test_ranking_puts_a_missing_quota_row_before_a_spent_one(spark):
     assert best == {"core": 4, "search": 2, "code_search": 2, "graphql": 2}
 
 
-def test_allocation_equals_taking_the_fullest_token_each_time(spark):
+@pytest.mark.parametrize("limit", [1, 1000])
+def test_allocation_equals_taking_the_fullest_token_each_time(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "ROWS_PER_KEY", limit)
     tokens_df = pool(spark, *[(i, f"u{i}", "t", T0, i == 4, at(i) if i % 2 else None, None) for i in range(1, 8)])
     limits = [(i, "core", 60, (i * 7) % 5, at(i % 3)) for i in range(1, 7)]
     asks = spark.createDataFrame([(n, "core" if n % 4 else "search", at(n % 5)) for n in range(40)],

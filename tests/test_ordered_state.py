@@ -170,7 +170,9 @@ def test_step_functions_compose_like_one():
             assert int(now[0]) == expected
 
 
-def test_numbering_is_exact_per_key(spark):
+@pytest.mark.parametrize("limit", [100, 10**6])
+def test_numbering_is_exact_per_key(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "ROWS_PER_KEY", limit)
     rows = log_rows(12, 3000, 1.0, 0.7)
     df = spark.createDataFrame(rows, LOG).select("id", "api_key", "created_at")
     got = {r["id"]: r["n"] for r in numbered(df, ["api_key"], [F.desc("created_at"), F.desc("id")]).collect()}
