@@ -6,11 +6,13 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from compare import connect, differences
+from gatewaylens.plans.oracle import oracle_texts
+from gatewaylens.plans.queries import registered
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, TWINS = queries(), oracle_sql()
+QUERIES, TWINS = registered(), oracle_texts()
 
 
 @pytest.fixture(scope="module")
