@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewaylens.llm import decontaminate, language_id, line_dedup, sentencepiece_suffix, simhash_dedup
+from gatewaylens.llm import (
+    decontaminate, language_id, line_dedup, lm_scoring, pii, sentencepiece_suffix, simhash_dedup, topk, url_filter, warc,
+)
 from gatewaylens.llm.common import read_table, remainder
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -31,6 +33,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(held_out, model, keep=["doc_id", "held_out"])
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_archives(warc.planned(read_table(spark, sf_dir, "pages")))
+    return warc.read_archives(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -46,7 +59,73 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op1_sentencepiece, op2_language_id, op5_decontaminate, op6_line_dedup, op7_simhash)}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs)).withColumn("known", F.filter("spans", lambda s: s["base"]))
+    def count(kind: str) -> Column:
+        return F.size(F.filter("known", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(_spelled("known"), 256).alias("base_sha256"), _spelled("spans").alias("spans"))
+
+
+def _spelled(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-SQL: dict[str, str] = {}
+
+RULES = [  # fixed values
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.build(spark, RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = lm_scoring.score_documents(docs, remainder(F.col("doc_id"), 10) != 0)
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (
+    op1_sentencepiece, op2_language_id, op3_warc, op4_topk, op5_decontaminate, op6_line_dedup, op7_simhash, op8_pii,
+    op9_url_filter, op10_lm_scoring)}
+
+SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        m AS (SELECT *, CASE WHEN payload_bytes >= 1000
+                             THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS newest FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN newest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN newest <> page_id THEN newest END AS refers_to
+        FROM m""",
+    "op4_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                   FROM embeddings
+                   WHERE embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                     CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op9_url_filter": """
+        WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+        h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+        rules(rh, rp, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+                                          ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        best AS (SELECT page_id, max_by(rh || rp, length(rh || rp)) AS rule, max_by(verdict, length(rh || rp)) AS verdict
+                 FROM h JOIN rules ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp) GROUP BY page_id)
+        SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM h LEFT JOIN best ON h.page_id = best.page_id""",
+}
