@@ -228,6 +228,8 @@ def _walk(model: Automaton, states: list[np.ndarray], ids: np.ndarray, unigram:
     and the failure weights on the way down to it."""
     result = unigram.copy()
     for level, state in enumerate(states):
+        if not len(model.backoffs[level]):
+            continue  # no history is that long
         has = state >= 0
         arc = _find(model.codes[level], np.where(has & (ids >= 0), state * model.width + ids, -1))
         failed = result + np.where(has, model.backoffs[level][np.maximum(state, 0)], 0.0)

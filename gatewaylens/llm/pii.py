@@ -4,8 +4,7 @@ Generators with high recall propose overlapping spans in looser formats; boosted
 context, and per kind a threshold calibrated on held-out examples selects what is added to the base spans.
 
 The trees learn from the corpus itself: base spans in their context, rewritten in looser formats, are examples of
-personal data; the same with broken checks (digit sums, ranges, lengths), other numbers and words around them are
-not. At most SAMPLE base spans and SAMPLE other candidates are used, those of the smallest hash; everything else covers all text.
+personal data; the same with broken checks (digit sums, ranges, lengths), in a wrong kind, and other numbers are not. At most SAMPLE base spans and SAMPLE other candidates are used, those of the smallest hash; everything else covers all text.
 """
 
 from __future__ import annotations
@@ -171,9 +170,11 @@ def _meets(a: int, b: int, spans) -> bool:
 def _loosened(kind: str, span: str, draw: random.Random) -> str:
     """The same data in another format."""
     if kind == "email":
+        if draw.random() < 0.5:  # names without numbers are names too
+            span = re.sub(r"[0-9]", "", span).replace(".@", "@").replace("@.", "@")
         name, _, host = span.partition("@")
         at, dot = draw.choice([(" [at] ", " [dot] "), ("(at)", "."), (" at ", " dot "), ("[at]", "."), (" (at) ", " (dot) ")])
-        return name + at + host.replace(".", dot)
+        return (name or "a") + at + host.replace(".", dot)
     if kind == "ip":
         return span.replace(".", draw.choice(["[.]", " [.] ", "(dot)"]))
     digits = _digits(span)
@@ -203,20 +204,43 @@ def _broken(kind: str, span: str, draw: random.Random) -> str:
     return draw.choice([".", "/", "-"]).join([cut[:2], cut[2:4], cut[4:]])
 
 
+def _number(draw: random.Random) -> str:
+    """A number that is nobody's: a date, a version, an amount, a book number."""
+    year, month, day = draw.randint(1900, 2099), draw.randint(1, 12), draw.randint(1, 28)
+    mark = draw.choice("-./ ")
+    thousands = [str(draw.randint(1, 999)), *(f"{draw.randint(0, 999):03}" for _ in range(draw.randint(1, 3)))]
+    return draw.choice([
+        f"{year}{mark}{month:02}{mark}{day:02}", f"{day:02}{mark}{month:02}{mark}{year}",
+        ".".join(str(draw.randint(0, 30)) for _ in range(draw.randint(2, 4))), mark.join(thousands),
+        "978" + "".join(f"{mark}{draw.randint(0, 9999)}" for _ in range(3)), str(draw.randint(10 ** 4, 10 ** 11)),
+        ".".join(str(draw.randint(256, 999)) for _ in range(4)), f"{draw.randint(1, 99)}-{draw.randint(100, 999)}-{draw.randint(10, 99)}",
+    ])
+
+
 def train(docs: DataFrame, text: str = "text", seed: int = 7) -> Model:
-    """Trees and thresholds from the corpus; without any base span nothing is added."""
+    """Trees and thresholds from the corpus; without any base span nothing is added.
+
+    Each base span is put back into its context in a looser format, broken, and as a plain number. What the
+    generators propose there are the examples: personal if it is the whole span in its own kind.
+    """
     draw = random.Random(seed)
     rows, target, kinds = [], [], []
-    sample = _samples(docs, text)
-    for kind, span, before, after in sample:
+
+    def learn(kind: str, span: str, before: str, after: str, label: int) -> None:
+        rows.append(features(kind, span, before, after))
+        target.append(label)
+        kinds.append(kind)
+
+    for kind, span, before, after in _samples(docs, text):
         if kind.startswith("other-"):
-            examples = [(kind[6:], span, 0)]
-        else:
-            examples = [(kind, _loosened(kind, span, draw), 1), (kind, _broken(kind, span, draw), 0), (kind, span, 1)]
-        for own, form, label in examples:
-            rows.append(features(own, form, before, after))
-            target.append(label)
-            kinds.append(own)
+            learn(kind[6:], span, before, after, 0)
+            continue
+        for form, good in ((_loosened(kind, span, draw), True), (_broken(kind, span, draw), False), (_number(draw), False)):
+            whole, first, last = before + form + after, len(before), len(before) + len(form)
+            for a, b, own in candidates(whole):
+                if a < last and b > first:
+                    learn(own, whole[a:b], whole[max(0, a - CONTEXT):a], whole[b:b + CONTEXT],
+                          int(good and own == kind and a <= first and b >= last))
     if not any(target):
         return Model(None, {})
     x, y, k = np.array(rows, float), np.array(target, float), np.array(kinds)
