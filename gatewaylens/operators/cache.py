@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
-from gatewaylens.operators.ordered import last_before, prefix_cutoff
+from gatewaylens.operators.ordered import prefix_cutoff
+
+ENTRY_KEY = ("method", "url", "content_hash")  # what two requests must share to share a response
 
 
 def _store_block(headers: Column) -> Column:
@@ -31,11 +35,17 @@ def cache_admission(responses: DataFrame) -> DataFrame:
 
 
 def build_cache_entries(responses: DataFrame, ttl_s: int) -> DataFrame:
-    """Cache entries of the admitted responses, with body hash and end of life."""
+    """Cache entries of the admitted responses: what is served again, body hash, size and end of life.
+
+    `resp_headers` is JSON text. The size is that of headers and body in bytes.
+    """
     admitted = responses.where(_store_block(C.header_map(F.col("resp_headers"))) == "ok")
+    headers, body = (F.coalesce(F.octet_length(c), F.lit(0)) for c in ("resp_headers", "resp_body"))
     return admitted.select(
         "id", "method", "url",
         C.sha256_hex(F.col("req_body")).alias("content_hash"),
+        "status", "resp_headers", "resp_body",
+        (headers + body).cast("bigint").alias("resp_bytes"),
         "created_at",
         C.expires_at(F.col("created_at"), ttl_s).alias("expires_at"),
     )
@@ -57,68 +67,106 @@ def target_verdicts(targets: DataFrame) -> DataFrame:
     return targets.groupBy(host.alias("host"), verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-def _entry_key(entries: DataFrame) -> list[str]:
-    return [c for c in ("method", "url", "content_hash") if c in entries.columns]
-
-
-def cache_snapshot(entries: DataFrame, at: Column) -> DataFrame:
+def cache_snapshot(entries: DataFrame, at: Column, keys: Sequence[str] = ENTRY_KEY) -> DataFrame:
     """The newest live entry of each (method, URL, body hash) at a time.
 
     Both results are primitive aggregates, so the plan stays a hash aggregation with a map-side step.
     """
     known = entries.where((F.col("created_at") < at) & C.is_live(F.col("expires_at"), at))
-    return known.groupBy(*_entry_key(entries)).agg(
+    return known.groupBy(*keys).agg(
         F.max("id").alias("entry_id"), F.max_by("expires_at", "id").alias("expires_at")
     )
 
 
-def cache_lookup(requests: DataFrame, entries: DataFrame, fixed_ttl: bool = True) -> DataFrame:
-    """The entry each cacheable request finds: stored before it, still live, newest id.
+BITS = 4  # a node of one level has 16 of the level below
+LEVELS = 14  # microseconds up to 2^56, the year 4253
+NEVER_ENDS = 1 << (BITS * LEVELS)
+
 
-    Needs `id, method, url, created_at` (and `content_hash`, where entries carry it). With one lifetime for
-    all entries the last one stored is the last to expire, so an as-of join answers it. With mixed lifetimes
-    (`fixed_ttl=False`) that holds within each lifetime: every request asks once per lifetime its key has,
-    and the newest id among the answers wins.
+def _node(at: Column, level: int) -> Column:
+    return F.shiftright(at, BITS * level)
+
+
+def _nodes_within(low: Column, high: Column) -> Column:
+    """The fewest nodes (level, first, last) that make up the times from `low` to before `high`.
+
+    At each level the nodes inside that are not part of a larger node inside: at most 30, at either end.
     """
-    keys = _entry_key(entries)
-    probes = requests.where(C.is_cacheable(F.col("method"))).select("id", *keys, "created_at")
-    facts = entries.select(
-        *keys, "created_at", "id", "expires_at", F.col("id").alias("entry_id"), F.col("created_at").alias("stored_at")
-    )
-    if not fixed_ttl:
-        lifetime = F.coalesce(C.micros(F.col("expires_at")) - C.micros(F.col("created_at")), F.lit(-1).cast("bigint"))
-        facts = facts.withColumn("lifetime", lifetime)
-        kinds = facts.select(*keys, "lifetime").distinct()
-        probes = probes.join(kinds, keys, "left")
-        keys = [*keys, "lifetime"]
-    found = last_before(probes, facts, keys, "created_at", "id", ["entry_id", "stored_at", "expires_at"])
-    live = C.is_live(F.col("expires_at"), F.col("created_at")) & F.col("entry_id").isNotNull()
-    age = C.age_seconds(F.col("stored_at"), F.col("created_at"))
-    hits = found.select("id", F.when(live, F.col("entry_id")).alias("entry_id"), F.when(live, age).alias("age_s"))
-    if fixed_ttl:
-        return hits
-    return hits.groupBy("id").agg(F.max("entry_id").alias("entry_id"), F.max_by("age_s", "entry_id").alias("age_s"))
+    def inside(level: int) -> tuple[Column, Column]:
+        return _node(low + ((1 << (BITS * level)) - 1), level), _node(high, level)
+
+    spans = []
+    for level in range(LEVELS):
+        first, past = inside(level)
+        upper_first, upper_past = inside(level + 1)
+        covered = upper_first < upper_past
+        left_past = F.when(covered, F.least(past, upper_first * (1 << BITS))).otherwise(past)
+        right_first = F.greatest(first, upper_past * (1 << BITS))
+        spans.append((level, first, left_past, first < left_past))
+        spans.append((level, right_first, past, covered & (right_first < past)))
+    return F.array(*[
+        F.when(real, F.struct(F.lit(level).alias("level"), a.alias("first"), (b - 1).alias("last"))) for level, a, b, real in spans
+    ])
+
+
+def cache_lookup(requests: DataFrame, entries: DataFrame, keys: Sequence[str] = ENTRY_KEY) -> DataFrame:
+    """The entry each cacheable request finds: stored before it, still live, newest id; entries may end at any time or never.
+
+    Needs `id, created_at` and the `keys` on both sides. Time is a tree of nodes, each a sixteenth of the one
+    above. An entry's life is a few nodes per level, and of all entries that live throughout a node only the newest id
+    counts, so the entries shrink before they are joined; a request asks the one node per level that holds
+    it. Rows are linear in both inputs, and a busy key is spread over its nodes.
+    """
+    asked = requests.where(C.is_cacheable(F.col("method"))).select("id", *keys, "created_at")
+    low = C.micros(F.col("created_at")) + 1
+    high = F.coalesce(C.micros(F.col("expires_at")), F.lit(NEVER_ENDS))
+    lives = entries.select(*keys, "id", "created_at", low.alias("low"), high.alias("high")).where("low < high")
+    spans = lives.select(*keys, "id", "created_at", F.explode(_nodes_within(F.col("low"), F.col("high"))).alias("span"))
+    nodes = spans.where("span IS NOT NULL").select(
+        *keys, "id", "created_at", F.col("span.level").alias("level"), F.explode(F.sequence("span.first", "span.last")).alias("node"))
+    newest = nodes.groupBy(*keys, "level", "node").agg(
+        F.max("id").alias("entry_id"), F.max_by("created_at", "id").alias("stored_at"))
+    at = C.micros(F.col("created_at"))
+    places = F.array(*[F.struct(F.lit(level).alias("level"), _node(at, level).alias("node")) for level in range(LEVELS)])
+    probes = asked.select("id", *keys, "created_at", F.inline(places))
+    found = probes.join(newest, [*keys, "level", "node"], "left").groupBy("id").agg(
+        F.max("entry_id").alias("entry_id"), F.max_by("stored_at", "entry_id").alias("stored_at"),
+        F.any_value("created_at").alias("created_at"))
+    return found.select("id", "entry_id", C.age_seconds(F.col("stored_at"), F.col("created_at")).alias("age_s"))
+
+
+HOUR_US = 3_600_000_000
 
 
 def trim_cache(entries: DataFrame, limit_bytes: int, mode: str = "pass") -> DataFrame:
-    """Entries left after trimming by size, oldest first (ties by id).
+    """Entries left after trimming by size (`resp_bytes`), oldest first (ties by id, rows without a time before all others).
 
     `pass`: where the cache is over its limit, one pass drops the oldest tenth, at least one row.
     `budget`: drops the oldest rows until what is left fits the limit. A limit of zero or less trims nothing.
-    Both find one cutoff row exactly and turn the trim into a filter.
+    Both find one cutoff row exactly and turn the trim into a filter: one scan gives rows and bytes per hour, and
+    the row is looked for inside the hour that holds it.
     """
+    if mode not in ("pass", "budget"):
+        raise ValueError(f"unknown trim mode {mode!r}")
     if limit_bytes <= 0:
         return entries
-    size = F.coalesce(F.col("resp_bytes"), F.lit(0).cast("bigint"))
-    total, rows = entries.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
+    size = F.coalesce(F.col("resp_bytes").cast("bigint"), F.lit(0).cast("bigint"))
+    at_us = C.micros(F.col("created_at"))
+    # A row per hour of the cache's age, whatever its number of entries.
+    hours = entries.groupBy(F.expr(f"floor(unix_micros(CAST(created_at AS TIMESTAMP)) / {HOUR_US})").alias("hour")).agg(
+        F.sum(size).alias("bytes"), F.count("*").alias("rows"), F.min(at_us).alias("low"), F.max(at_us).alias("high")).collect()
+    total, rows = sum(h["bytes"] for h in hours), sum(h["rows"] for h in hours)
     if total <= limit_bytes:
         return entries
-    if mode == "pass":
-        weight, need = F.lit(1).cast("bigint"), max(1, rows // 10)
-    elif mode == "budget":
-        weight, need = size, total - limit_bytes
-    else:
-        raise ValueError(f"unknown trim mode {mode!r}")
-    cut = prefix_cutoff(entries, ["created_at", "id"], weight, need)
+    weight, need = (F.lit(1).cast("bigint"), max(1, rows // 10)) if mode == "pass" else (size, total - limit_bytes)
+    for hour in sorted(hours, key=lambda h: (h["hour"] is not None, h["hour"])):
+        inside = hour["rows"] if mode == "pass" else hour["bytes"]
+        if inside >= need:
+            break
+        need -= inside
+    if hour["hour"] is None:
+        cut = prefix_cutoff(entries.where("created_at IS NULL"), ["id"], weight, need)
+        return entries.where(F.col("created_at").isNotNull() | (F.col("id") > cut["id"]))
+    cut = prefix_cutoff(entries, ["created_at", "id"], weight, need, known=(hour["low"], hour["high"]))
     at = F.timestamp_micros(F.lit(cut["created_at"])).cast("timestamp_ntz")
     return entries.where((F.col("created_at") > at) | ((F.col("created_at") == at) & (F.col("id") > cut["id"])))

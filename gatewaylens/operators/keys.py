@@ -11,17 +11,21 @@ from gatewaylens.functions import columns as C
 
 
 def onboard_keys(plain: DataFrame) -> DataFrame:
-    """Register keys in bulk: only hash, hint and prefix are kept, one row per hash (the lowest id)."""
+    """Register keys in bulk: rows of the registry, one per hash (the lowest id). Of the key only hash, hint and prefix are kept.
+
+    Needs `id, plain_key, rate_text, hc_username, app_name, machine, created_at`.
+    """
     key = F.col("plain_key")
     # Hint and prefix follow from the key as the hash does, so they may join the grouping.
     made = plain.select(
         "id", C.sha256_hex(key).alias("key_hash"), C.key_hint(key).alias("key_hint"), C.key_prefix(key).alias("key_prefix"),
-        C.rate_or_default(F.col("rate_text")).alias("rate"),
+        C.rate_or_default(F.col("rate_text")).alias("rate_limit_per_sec"), "hc_username", "app_name", "machine", "created_at",
     )
+    carried = ["hc_username", "app_name", "machine", "rate_limit_per_sec", "created_at"]
     first = made.groupBy("key_hash", "key_hint", "key_prefix").agg(
-        F.min("id").alias("id"), F.min_by("rate", "id").alias("rate_limit")
+        F.min("id").alias("id"), *[F.min_by(c, "id").alias(c) for c in carried]
     )
-    return first.select("id", "key_hash", "key_hint", "key_prefix", "rate_limit")
+    return first.select("id", "key_hash", "key_hint", "key_prefix", *carried, F.lit(False).alias("disabled"))
 
 
 def mask_collisions(plain: DataFrame) -> DataFrame:

@@ -14,45 +14,50 @@ MICRO = 1_000_000
 class TokenBucket(R.Rule):
     """A bucket of `rate` tokens that refills `rate` tokens per `unit_s` seconds; a request costs one.
 
-    All arithmetic is in whole numbers: time is stretched by the rate, so that a token is `unit` wide. The
-    state is the stretched time at which the bucket was last empty: `rate * time - level`. It never falls
-    behind `now - rate * unit` (the bucket is full there), and a request passes if it is at least one token
-    behind now. A rate of zero or less refuses everything and keeps no state.
+    Every row brings its key's rate of that moment: the time since the row before refills at the new rate, up to the
+    new size. All arithmetic is in whole numbers: a token is `unit` wide, and a microsecond refills `rate` of it.
+    The state is the level after the newest row and that row's time. A rate of zero or less refuses the row and
+    leaves the bucket alone.
     """
 
     def __init__(self, unit_s: int):
         self.unit = unit_s * MICRO
 
+    def level_at(self, state, t, rate):
+        full = rate * self.unit
+        return full if state is None else min(full, state[0] + (t - state[1]) * rate)
+
     def replay(self, state, times, args):
-        rate = args[0] if args else 0
-        if rate <= 0:
-            return None, [False] * len(times)
-        unit, full = self.unit, rate * self.unit
-        empty_at = R.NEVER * rate if state is None else state
+        unit = self.unit
+        level, last = (None, 0) if state is None else state
         passed = []
-        for t in times:
-            now = rate * t
-            if empty_at < now - full:
-                empty_at = now - full
-            if empty_at + unit <= now:
-                empty_at += unit
+        for t, rate in zip(times, args):
+            if rate <= 0:
+                passed.append(False)
+                continue
+            full = rate * unit
+            level = full if level is None else min(full, level + (t - last) * rate)
+            last = t
+            if level >= unit:
+                level -= unit
                 passed.append(True)
             else:
                 passed.append(False)
-        return empty_at, passed
+        return (None if level is None else [int(level), int(last)]), passed
 
     def step_width(self, arg):
         return self.unit
 
     def is_event(self, arg):
-        return True
+        return arg > 0
 
     def to_time(self, state):
-        # With one token in the bucket a request passes once `unit` has gone by since the last that passed.
-        return R.NEVER if state is None else state + self.unit
+        # With one token in the bucket a request passes once the token is whole again.
+        return R.NEVER if state is None else state[1] + self.unit - min(state[0], self.unit)
 
-    def from_time(self, time):
-        return time - self.unit
+    def from_time(self, time, payload):
+        last = payload[0]
+        return None if time == R.NEVER else [min(self.unit, last - time + self.unit), last]
 
     def summary(self):
         return _BucketSummary(self)
@@ -60,16 +65,17 @@ class TokenBucket(R.Rule):
     def close(self, payload, state):
         """Passed requests of a chunk in which the bucket never fills up.
 
-        Each of the n requests passes if the state is a token behind now, so the state can advance by at most
-        n tokens, and at no request past its time: min(n, floor((bound - state) / token)) tokens, where bound
-        is the least of `now_j + (n - j) tokens` over the requests j.
+        On the axis of what has been refilled since the first row, the state is where the bucket was last empty.
+        Each of the n requests passes if the state is a token behind its place, so the state can advance by at most
+        n tokens, and at no request past its place: min(n, floor((bound - state) / token)) tokens, where bound
+        is the least of `place_j + (n - j) tokens` over the requests j.
         """
-        rate, first_now, n, bound, floor_state, never_full = payload
-        full = rate * self.unit
-        state = first_now - full if state is None else max(state, first_now - full)
-        if not never_full or state < floor_state:
+        first_at, first_rate, n, bound, floor_state, never_full, last_place, last_at = payload
+        empty = -self.level_at(state, first_at, first_rate)
+        if not never_full or empty < floor_state:
             raise R.Unresolved
-        return state + self.unit * min(n, (bound - state) // self.unit)
+        empty += self.unit * min(n, (bound - empty) // self.unit)
+        return [last_place - empty, last_at]
 
 
 class _BucketSummary(R.Summary):
@@ -77,28 +83,31 @@ class _BucketSummary(R.Summary):
 
     def __init__(self, rule: TokenBucket):
         self.rule = rule
-        self.rate: int | None = None
-        self.state: int | None = None  # exact from the moment the bucket is surely full
-        self.first_now = self.n = 0
+        self.state: list[int] | None = None  # exact from the moment the bucket is surely full
+        self.first: tuple[int, int] | None = None  # time and rate of the first row
+        self.last_at = self.place = self.n = 0  # place: what has been refilled since the first row
+        self.only_ones = True
         self.bound: int | None = None  # the latest the state can be; also the bound of the closed form
         self.floor_state = R.NEVER * 2**20
         self.never_full = True
 
     def add(self, times, args):
-        if self.rate is None:
-            self.rate, self.first_now = args[0], args[0] * times[0]
-        rate, unit = self.rate, self.rule.unit
-        if rate <= 0:
-            return
+        unit = self.rule.unit
         if self.state is not None:
             self.state, _ = self.rule.replay(self.state, times, args)
             return
-        full = rate * unit
-        for i, t in enumerate(times):
-            now = rate * t
+        for i, (t, rate) in enumerate(zip(times, args)):
+            if rate <= 0:
+                continue
+            if self.first is None:
+                self.first, self.last_at = (int(t), int(rate)), t
+            self.place += (t - self.last_at) * rate
+            self.last_at = t
+            self.only_ones = self.only_ones and rate == 1
+            now, full = self.place, rate * unit
             if self.bound is not None:
                 if self.bound <= now - full:
-                    self.state, _ = self.rule.replay(now - full, times[i:], args[i:])
+                    self.state, _ = self.rule.replay(None, times[i:], args[i:])
                     return
                 self.never_full = self.never_full and self.bound - unit + 1 >= now - full
                 self.floor_state = max(self.floor_state, now - full - self.n * unit)
@@ -106,13 +115,14 @@ class _BucketSummary(R.Summary):
             self.n += 1
 
     def finish(self):
-        if self.rate is None or self.rate <= 0:
-            return R.KNOWN, [None]
         if self.state is not None:
             return R.KNOWN, [self.state]
-        if self.rate == 1:
-            return R.STEPS, []
-        return R.CLOSED, [self.rate, self.first_now, self.n, self.bound, self.floor_state, self.never_full]
+        if self.first is None:
+            return R.SAME, []
+        if self.only_ones:
+            return R.STEPS, [int(self.last_at)]
+        numbers = (*self.first, self.n, self.bound, self.floor_state, self.never_full, self.place, self.last_at)
+        return R.CLOSED, [x if isinstance(x, bool) else int(x) for x in numbers]
 
 
 def rate_limit(
@@ -121,7 +131,7 @@ def rate_limit(
 ) -> DataFrame:
     """`requests` with `allowed` from one token bucket per key, in (time, id) order.
 
-    The rate belongs to the key: all rows of a key must carry the same. Select the needed columns first.
+    Each row's rate counts from that row on; it may change from row to row. Select the needed columns first.
     """
     at_us = C.micros(F.col(at_col))
     return R.decide(requests, TokenBucket(unit_s), F.col(key_col), at_us, id_col, rate, "allowed", partitions)
@@ -146,7 +156,8 @@ def admission_status(
     """Outcome of each request (`id, api_key, outcome`), the first rule that matches.
 
     A blank key, a disabled key, the limiter, the body limit. Only requests of known and enabled keys reach a
-    bucket; an unknown key has rate 0 and is refused. Body limits are checked after a token was taken.
+    bucket; an unknown key has rate 0 and is refused. Body limits are checked after a token was taken. What is
+    decided without a bucket (a blank key may be the busiest of all) is neither shuffled for it nor sorted.
     """
     policy = keys.select("key_hash", "disabled", F.col("rate_limit_per_sec").alias("rate"))
     narrow = requests.select("id", "api_key", "created_at", "body_bytes")
@@ -154,13 +165,12 @@ def admission_status(
     blank = F.coalesce(C.trimmed(F.col("api_key")), F.lit("")) == ""
     rate = F.coalesce("rate", F.lit(0))
     early = F.when(blank, MISSING_KEY).when(F.col("disabled"), DISABLED).when(rate <= 0, LIMITED)
-    # Early outcomes hold for a whole key, so its rows go along with rate 0, which leaves no bucket.
     staged = joined.select("id", "api_key", "created_at", "body_bytes", early.alias("early"), rate.alias("rate"))
-    bucket_rate = F.when(F.col("early").isNull(), F.col("rate")).otherwise(F.lit(0))
-    limited = rate_limit(staged, bucket_rate, unit_s, partitions=partitions)
+    decided = staged.where("early IS NOT NULL").select("id", "api_key", F.col("early").alias("outcome"))
+    limited = rate_limit(staged.where("early IS NULL").drop("early"), F.col("rate"), unit_s, partitions=partitions)
     too_large = (F.lit(max_body) > 0) & (F.col("body_bytes") > max_body)
     late = F.when(~F.col("allowed"), LIMITED).when(too_large, TOO_LARGE).otherwise(PASSED)
-    return limited.select("id", "api_key", F.coalesce("early", late).alias("outcome"))
+    return decided.unionByName(limited.select("id", "api_key", late.alias("outcome")))
 
 
 def admission_outcomes(

@@ -7,45 +7,42 @@ from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
 
-# The access-log line and the words that mark a failure.
+# The access-log line and the words that mark a failure. The path is written decoded and without quotes,
+# so it may hold anything; what stands before and after it has a fixed form, and the last such end counts.
 LINE = (
-    r'^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) (\S+) (\S+) (\d{3}) \(([^)]*)\) ua="([^"\\]*(?:\\.[^"\\]*)*)" key=(.*)$'
+    r'(?s)^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) (\S+) (.*) (\d{3}) \(([^()]*)\) ua="((?:[^"\\]|\\.)*)" key=(.*)$'
 )
-FIELDS = 7
 FAILURE_WORDS = "(?i)error|fail"
 
-MARK = "\x01"
-
 
 def _fields(lines: DataFrame) -> DataFrame:
-    """`lines` with the array `parts` of the line's fields; lines of another shape are left out.
-
-    One regular expression runs once per line: it rewrites the line with a mark before each field, and the
-    marks are split on. The mark is a control character, which the log's writer never leaves in a line.
-    Exploding an array of none or one drops the other lines; a filter would be pushed down and run it twice.
-    """
-    marked = F.regexp_replace("line", LINE, "".join(f"{MARK}${group}" for group in range(1, FIELDS + 1)))
-    one = F.filter(F.array(F.split(marked, MARK)), lambda parts: F.size(parts) == FIELDS + 1)
-    return lines.select("*", F.explode(one).alias("parts"))
+    """`lines` with a struct of all fields, null for lines of another shape."""
+    names = ("at", "method", "path", "status", "duration", "ua", "key")
+    parts = F.struct(*[F.regexp_extract("line", LINE, n).alias(name) for n, name in enumerate(names, 1)])
+    return lines.select("*", parts.alias("parts"))
 
 
-def _field(group: int) -> Column:
-    return F.get("parts", group)
+def _parsed() -> list[Column]:
+    return [
+        F.try_to_timestamp(F.col("parts.at"), F.lit("yyyy/MM/dd HH:mm:ss")).cast("timestamp_ntz").alias("ts"),
+        F.col("parts.method").alias("method"),
+        F.col("parts.path").alias("path"),
+        F.col("parts.status").try_cast("int").alias("status"),
+        C.duration_ms(F.col("parts.duration")).alias("duration_ms"),
+        F.regexp_replace("parts.ua", r'\\(["\\])', "$1").alias("ua"),
+        F.col("parts.key").alias("key"),
+    ]
 
 
 def parse_access_log(lines: DataFrame) -> DataFrame:
-    """Access-log text lines as columns; lines of another shape are left out."""
+    """Access-log text lines as columns. Lines of another shape are left out here; `unparsed_lines` has them."""
     others = [c for c in lines.columns if c != "line"]
-    return _fields(lines).select(
-        *others,
-        F.to_timestamp_ntz(_field(1), F.lit("yyyy/MM/dd HH:mm:ss")).alias("ts"),
-        _field(2).alias("method"),
-        _field(3).alias("path"),
-        _field(4).cast("int").alias("status"),
-        C.duration_ms(_field(5)).alias("duration_ms"),
-        F.regexp_replace(_field(6), r'\\(["\\])', "$1").alias("ua"),
-        _field(7).alias("key"),
-    )
+    return _fields(lines).where("parts.at != ''").select(*others, *_parsed())
+
+
+def unparsed_lines(lines: DataFrame) -> DataFrame:
+    """The lines that are no request lines, as they are."""
+    return lines.where(~F.col("line").rlike(LINE) | F.col("line").isNull())
 
 
 def filter_log(lines: DataFrame, pattern: str) -> DataFrame:
@@ -58,12 +55,11 @@ def log_errors(lines: DataFrame) -> DataFrame:
 
     A failure line that is no request line counts under an empty path and no status.
     """
-    marked = F.regexp_replace("line", LINE, f"{MARK}$3{MARK}$4")
-    rows = lines.select(F.split(marked, MARK).alias("parts"), F.col("line").rlike(FAILURE_WORDS).alias("speaks"))
-    status, path = F.get("parts", 2).cast("int"), F.coalesce(F.get("parts", 1), F.lit(""))
-    counts = rows.groupBy(status.alias("status"), path.alias("path")).agg(
-        F.count("*").alias("all"), F.count_if("speaks").alias("speaking")
-    )
+    status = F.regexp_extract("line", LINE, 4).try_cast("int")
+    path = F.regexp_extract("line", LINE, 3)
+    rows = lines.where("line IS NOT NULL").select(
+        status.alias("status"), path.alias("path"), F.col("line").rlike(FAILURE_WORDS).alias("speaks"))
+    counts = rows.groupBy("status", "path").agg(F.count("*").alias("all"), F.count_if("speaks").alias("speaking"))
     # Chosen among counts, not rows: a filter on rows would be pushed down and parse every line again.
     failing = F.when(F.col("status") >= 400, F.col("all")).otherwise(F.col("speaking"))
     return counts.select("status", "path", failing.alias("lines")).where("lines > 0")
@@ -120,23 +116,34 @@ def load_summary(results: DataFrame, target_rps: float = 500.0) -> DataFrame:
     )
 
 
+STEPS_PER_PART = 1000
+
+
 def load_progress(results: DataFrame, step_s: int = 10) -> DataFrame:
     """Requests per time step with the running count and the rate since the start of the test.
 
-    The rows become one per step before anything is ordered. The running count adds up steps within a day
-    and days before it, so that no window runs over the whole length of the test.
+    Every step from the first request to the last is a row, also one without requests. The rows become one per step
+    before anything is ordered. The running count adds up steps within a part of the test and parts before it, so
+    that no window runs over the whole length of the test.
     """
-    step = F.expr(f"INTERVAL {int(step_s)} SECONDS")
-    start = F.window(F.col("ts").cast("timestamp"), f"{int(step_s)} seconds")["start"].cast("timestamp_ntz")
-    buckets = results.groupBy(start.alias("bucket")).agg(F.count("*").alias("requests"))
-    buckets = buckets.withColumn("day", F.to_date("bucket"))
-    days = buckets.groupBy("day").agg(F.sum("requests").alias("in_day"), F.min("bucket").alias("first"))
-    by_day = Window.orderBy("day")
-    earlier = F.coalesce(F.sum("in_day").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
-    days = days.select("day", earlier.alias("before"), F.first("first").over(by_day).alias("started"))
-    upto = Window.partitionBy("day").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    width = int(step_s) * 1_000_000
+    number = F.expr(f"floor(unix_micros(CAST(ts AS TIMESTAMP)) / {width})")
+    counted = results.where("ts IS NOT NULL").groupBy(number.alias("step")).agg(F.count("*").alias("requests"))
+    ends = results.agg(F.min("ts").alias("ts")).select(number.alias("first")).crossJoin(
+        results.agg(F.max("ts").alias("ts")).select(number.alias("last")))
+    parts = ends.where("first IS NOT NULL").select("first", "last", F.explode(F.expr(
+        f"sequence(first div {STEPS_PER_PART}, last div {STEPS_PER_PART})")).alias("part"))
+    inside = F.sequence(
+        F.greatest("first", F.col("part") * STEPS_PER_PART), F.least("last", F.col("part") * STEPS_PER_PART + STEPS_PER_PART - 1))
+    steps = parts.select("first", "part", F.explode(inside).alias("step"))
+    buckets = steps.join(counted, "step", "left").withColumn("requests", F.coalesce("requests", F.lit(0).cast("bigint")))
+    sums = buckets.groupBy("part").agg(F.sum("requests").alias("in_part"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0).cast("bigint")).alias("before"))
+    upto = Window.partitionBy("part").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     running = F.sum("requests").over(upto) + F.col("before")
-    elapsed = (C.micros(F.col("bucket") + step) - C.micros(F.col("started"))) / 1_000_000.0
-    return buckets.join(days, "day").select(
-        "bucket", "requests", running.alias("cumulative"), (running.cast("double") / elapsed).alias("rps")
+    elapsed = (F.col("step") + 1 - F.col("first")) * width / 1_000_000.0
+    bucket = F.timestamp_micros(F.col("step") * width).cast("timestamp_ntz")
+    return buckets.join(sums, "part").select(
+        bucket.alias("bucket"), "requests", running.alias("cumulative"), (running.cast("double") / elapsed).alias("rps")
     )

@@ -1,9 +1,9 @@
 """Work that needs an order inside a key, without ever giving a whole key to one task.
 
-Where a count shows that no key is large, rows are shuffled once by key and ordered there. Otherwise
-`in_order` range-partitions rows by (keys, order). With a unique id as the last order column the ranges
-come out even however the keys are spread: a key that holds a third of the table simply spans a third of
-the partitions ("chunks"). What must pass from chunk to chunk is then one small row per chunk and key.
+Rows are range-partitioned by (keys, order). With a unique id as the last order column the ranges come out even
+however the keys are spread: a key that holds a third of the table simply spans a third of the partitions
+("chunks"). What must pass from chunk to chunk is then one small row per chunk and key. Tables of all sizes
+go the same way, and nothing is counted to choose it.
 """
 
 from __future__ import annotations
@@ -15,19 +15,10 @@ from pyspark.sql import functions as F
 
 from gatewaylens.session import use_checkpoints, written
 
-# Rows of one key that one task may order by itself. Beyond it the rows are cut into chunks.
-ROWS_PER_KEY = 4_000_000
-
 # Position = chunk number in the upper bits, row number inside the chunk below.
 CHUNK_BITS = 33
 
 
-def has_large_key(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
-    """Whether any key has more rows than one task should order. Counts are combined before the shuffle."""
-    limit = ROWS_PER_KEY if limit is None else limit
-    return not df.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > limit).isEmpty()
-
-
 def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], partitions: int | None) -> DataFrame:
     wanted = [F.col(k) for k in keys] + list(order)
     ranged = df.repartitionByRange(partitions, *wanted) if partitions else df.repartitionByRange(*wanted)
@@ -67,12 +58,9 @@ def chunk_offsets(chunked: DataFrame, keys: Sequence[str], value: Column) -> Dat
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "n") -> DataFrame:
     """Row number from 1 within each key, exact.
 
-    A table that one task could order whole is numbered by a plain window; its count needs no columns. Beyond
-    that no key is in a single task: with few keys the offsets are little more than one row per chunk, and the
+    No key is in a single task: with few keys the offsets are little more than one row per chunk, and the
     rows are not shuffled again.
     """
-    if df.count() <= ROWS_PER_KEY:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     chunked = numbered_rows(df, keys, order)
     offsets = written(chunk_offsets(chunked, keys, F.lit(1).cast("bigint")), "offsets")
     joined = chunked.join(offsets, [*keys, "chunk"])
@@ -85,20 +73,15 @@ def last_before(
 ) -> DataFrame:
     """As-of join: each probe with the newest fact of its key strictly before it (nulls where none).
 
-    Both sides are ordered together; at equal times the probe comes first, and a window carries the newest
-    fact forward. With a large key the window works inside chunks. From chunk to chunk only the last fact
-    of a key that goes on is carried: at most one row per chunk, so the join that brings it back is small
-    on one side.
+    Both sides are ordered together; at equal times the probe comes first, and a window inside each chunk carries
+    the newest fact forward. From chunk to chunk only the last fact of a key that goes on is carried: at most one
+    row per chunk, so the join that brings it back is small on one side.
     """
     both = probes.select(*keys, at, id_col, F.lit(False).alias("is_fact")).unionByName(
         facts.select(*keys, at, id_col, F.lit(True).alias("is_fact"), *carried), allowMissingColumns=True
     )
     order = [F.col(at), F.col("is_fact"), F.col(id_col)]
     here = F.when(F.col("is_fact"), F.struct(*carried))
-    if not has_large_key(both, keys):
-        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        near = both.withColumn("near", F.last(here, ignorenulls=True).over(upto)).where("NOT is_fact")
-        return near.select(*keys, at, id_col, *[F.col("near")[c].alias(c) for c in carried])
     chunked = numbered_rows(both, keys, order)
     fact_pos = F.when(F.col("is_fact"), F.col("pos"))
     touched = chunked.groupBy(*keys, "chunk").agg(
@@ -119,14 +102,16 @@ def last_before(
 
 
 def prefix_cutoff(
-    df: DataFrame, axes: Sequence[str], weight: Column, need: int, cells: int = 1 << 16
+    df: DataFrame, axes: Sequence[str], weight: Column, need: int, cells: int = 1 << 16,
+    known: tuple[int, int] | None = None,
 ) -> dict[str, int] | None:
-    """The first row, in the order of the `axes`, at which the running weight reaches `need`.
+    """The first row, in the order of the `axes`, at which the running weight reaches `need` (at least 1).
 
-    Axes are whole numbers or timestamps (as microseconds); the last one must be unique. Each step counts
-    weight over at most `cells` equal cells of the current range and narrows to the cell that holds the
-    boundary: a few scans, filtered ever more tightly, with small results in place of a global sort. It is
-    exact for any spread of values, many rows at one instant included. None where all weight is below `need`.
+    Axes are whole numbers or timestamps (as microseconds); the last one must be unique, and no row may be null
+    there. Each step counts weight over at most `cells` equal cells of the current range and narrows to the cell that
+    holds the boundary: a few scans, filtered ever more tightly, with small results in place of a global sort. It is
+    exact for any spread of values, many rows at one instant included. None where all weight is below `need`. `known`
+    are bounds of the first axis between which the row is known to lie; it saves the scan for them.
     """
     here = df
     found: dict[str, int] = {}
@@ -138,9 +123,12 @@ def prefix_cutoff(
             kind = df.schema[name].dataType
             return F.timestamp_micros(F.lit(x)).cast(kind) if is_time else F.lit(x).cast(kind)
 
-        low, high, whole = here.agg(F.min(axis), F.max(axis), F.sum(weight)).first()
-        if low is None or whole < need:
-            return None
+        if known and name == axes[0]:
+            low, high = known
+        else:
+            low, high, whole = here.agg(F.min(axis), F.max(axis), F.sum(weight)).first()
+            if low is None or whole < need:
+                return None
         while low < high:
             width = -(-(high - low + 1) // cells)
             cell = F.expr(f"(x - {low}L) div {width}L")
@@ -152,6 +140,8 @@ def prefix_cutoff(
                     low, high = low + row["cell"] * width, min(high, low + (row["cell"] + 1) * width - 1)
                     break
                 need -= row["w"]
+            else:
+                return None
         found[name] = low
         here = here.where(F.col(name) == value(low))
     return found

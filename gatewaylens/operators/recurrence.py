@@ -6,8 +6,6 @@ Rows are cut into even chunks in (key, time, id) order, so a hot key spans many
 2. those rows, one per chunk, are chained to the state at the start of each chunk;
 3. every chunk replays its rows from that state.
 
-Where no key is large, rows are instead shuffled once by key and replayed in a single pass.
-
 A chunk whose closing state does not depend on the entering one (the usual case) says so. Otherwise a rule
 may know a closed form, or the chunk is a step function of the entering time; long rows of step functions
 are combined by a tree of small group jobs, so that no task ever sees more than a few chunks.
@@ -27,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatewaylens.operators.ordered import has_large_key, in_order
+from gatewaylens.operators.ordered import in_order
 from gatewaylens.session import written
 
 NEVER = -(2**62)  # an entering time before all others: nothing has happened yet
@@ -44,8 +42,11 @@ STATES = "key_ string, state_ string, seen_ long"
 KNOWN, SAME, CLOSED, STEPS, REPLAY = "known", "same", "closed", "steps", "replay"
 
 
+State = int | list[int] | None
+
+
 class Rule:
-    """A recurrence. States are whole numbers, None where the key has no history."""
+    """A recurrence. States are whole numbers or lists of them, None where the key has no history."""
 
     def step_width(self, arg: int) -> int:
         """Time that must pass between two events of a step function."""
@@ -55,20 +56,21 @@ class Rule:
         """Whether a row with this argument can change the state of a step function."""
         raise NotImplementedError
 
-    def replay(self, state: int | None, times: list[int], args: list[int]) -> tuple[int | None, list[bool]]:
+    def replay(self, state: State, times: list[int], args: list[int]) -> tuple[State, list[bool]]:
         raise NotImplementedError
 
     def summary(self) -> "Summary":
         raise NotImplementedError
 
-    def close(self, payload: list[int], state: int | None) -> int | None:
+    def close(self, payload: list, state: State) -> State:
         """Closing state by the closed form; raises Unresolved where that does not hold for this state."""
         raise NotImplementedError
 
-    def to_time(self, state: int | None) -> int:
+    def to_time(self, state: State) -> int:
         raise NotImplementedError
 
-    def from_time(self, time: int) -> int | None:
+    def from_time(self, time: int, payload: list) -> State:
+        """The state after a chunk of steps that closes at a time; `payload` is the chunk's own."""
         raise NotImplementedError
 
 
@@ -78,7 +80,7 @@ class Summary:
     def add(self, times: list[int], args: list[int]) -> None:
         raise NotImplementedError
 
-    def finish(self) -> tuple[str, list[int | None]]:
+    def finish(self) -> tuple[str, list]:
         raise NotImplementedError
 
 
@@ -96,10 +98,10 @@ class Batch:
     starts: list[int]
     kept: pa.Array | None  # states kept from an earlier run
 
-    def opening(self, row: int) -> int | None:
+    def opening(self, row: int) -> State:
         """State of a key that begins at a row."""
         kept = None if self.kept is None else self.kept[row].as_py()
-        return None if kept is None else int(kept)
+        return None if kept is None else json.loads(kept)
 
 
 def _batches(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Batch]]:
@@ -155,19 +157,17 @@ _SUMMARY_ARROW = pa.schema([
 ])
 
 
-def _decide(rule: Rule, entering: dict[int, int] | None, out: str, keep: bool = False):
-    """Replays each chunk from its entering state; without any, every key is whole in its partition. With `keep`, the last row of a key in each batch also
+def _decide(rule: Rule, entering: dict[int, State], out: str, keep: bool = False):
+    """Replays each chunk from its entering state. With `keep`, the last row of a key in each batch also
     carries the state after it."""
-    chunked = entering is not None
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, begun = None, False
         for batch, b in _batches(source):
             if not begun:
                 begun = True
-                if chunked:
-                    state = entering.get(batch.column("chunk")[0].as_py())
-                    b.starts = b.starts[1:]
+                state = entering.get(batch.column("chunk")[0].as_py())
+                b.starts = b.starts[1:]
             times, args = b.times.tolist(), b.args.tolist()
             marks: list[bool] = []
             after: list[str | None] = [None] * batch.num_rows
@@ -177,7 +177,7 @@ def _decide(rule: Rule, entering: dict[int, int] | None, out: str, keep: bool =
                 before = b.opening(begin) if begin in fresh else state
                 state, outcome = rule.replay(before, times[begin:end], args[begin:end])
                 marks.extend(outcome)
-                after[end - 1] = None if state is None else str(state)
+                after[end - 1] = None if state is None else json.dumps(state)
             decided = batch.append_column(out, pa.array(marks, pa.bool_()))
             if keep:
                 decided = decided.append_column("after_", pa.array(after, pa.string()))
@@ -189,7 +189,7 @@ INNER = ("key_", "at_", "arg_", "state_", "pos", "chunk")
 KEPT = ("key_", "at_", "pos")
 
 
-def _closing_states(rule: Rule, entering: dict[int, int | None]):
+def _closing_states(rule: Rule, entering: dict[int, State]):
     """Closing state of single-key chunks replayed from a known entering state."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, state = None, None
@@ -321,13 +321,13 @@ def _through_steps(rows: DataFrame, heads: list[tuple[int, int]], longest: int)
     return found.collect()
 
 
-def _entering_states(rule: Rule, chunked: DataFrame) -> dict[int, int | None]:
+def _entering_states(rule: Rule, chunked: DataFrame) -> dict[int, State]:
     """State at the start of each chunk, from one summary row per chunk."""
     chunked = chunked.select("key_", "at_", "arg_", "chunk", *[c for c in chunked.columns if c == "state_"])
     rows = sorted(chunked.mapInArrow(_summarise(rule), SUMMARY).collect(), key=lambda r: r["chunk"])
-    closed: dict[int, int | None] = {}  # closing states found by jobs
+    closed: dict[int, State] = {}  # closing states found by jobs
     while True:
-        entering: dict[int, int | None] = {}
+        entering: dict[int, State] = {}
         waiting: list[int] = []
         carry, carry_key, known = None, None, True
         for n, row in enumerate(rows):
@@ -361,12 +361,12 @@ def _entering_states(rule: Rule, chunked: DataFrame) -> dict[int, int | None]:
         closed.update(_run_waiting(rule, chunked, rows, waiting, entering))
 
 
-def _run_waiting(rule, chunked, rows, waiting, entering) -> dict[int, int | None]:
-    found: dict[int, int | None] = {}
+def _run_waiting(rule, chunked, rows, waiting, entering) -> dict[int, State]:
+    found: dict[int, State] = {}
     places: dict[int, tuple[int, int]] = {}
     heads: list[tuple[int, int]] = []
     longest = 0
-    to_replay: dict[int, int | None] = {}
+    to_replay: dict[int, State] = {}
     for n in waiting:
         if rows[n]["kind"] != STEPS:
             to_replay[rows[n]["chunk"]] = entering[rows[n]["chunk"]]
@@ -382,8 +382,10 @@ def _run_waiting(rule, chunked, rows, waiting, entering) -> dict[int, int | None
         wanted = chunked.where(F.col("chunk").isin(list(places)))
         steps = wanted.mapInArrow(_step_rows(rule, places), STEP_ROWS)
         by_place = {place: chunk for chunk, place in places.items()}
+        payloads = {row["chunk"]: json.loads(row["payload"]) for row in rows if row["chunk"] in places}
         for row in _through_steps(steps, heads, longest):
-            found[by_place[(row["stretch"], row["place"])]] = rule.from_time(row["closing"])
+            chunk = by_place[(row["stretch"], row["place"])]
+            found[chunk] = rule.from_time(row["closing"], payloads[chunk])
     if to_replay:
         wanted = chunked.where(F.col("chunk").isin(list(to_replay)))
         for row in wanted.mapInArrow(_closing_states(rule, to_replay), "chunk int, state string").collect():
@@ -403,16 +405,8 @@ def _replayed(
         # A row older than its key's state counts as arriving at the state's time.
         rows = rows.join(states, "key_", "left").withColumn("at_", F.greatest("at_", "seen_")).drop("seen_")
     order = [F.col("at_"), F.col(id_col)]
-    if partitions is None and not has_large_key(rows, ["key_"]):
-        # By a hash of the key: Spark leaves out a repartition by the key itself where a join has placed the
-        # rows by it, and adaptive execution may then turn that join into one that does not.
-        placed = rows.repartition(F.xxhash64("key_")).sortWithinPartitions("key_", *order)
-        if keep:
-            placed = placed.withColumn("pos", F.monotonically_increasing_id())
-        entering = None
-    else:
-        placed = in_order(rows, ["key_"], order, partitions)
-        entering = _entering_states(rule, placed)
+    placed = in_order(rows, ["key_"], order, partitions)
+    entering = _entering_states(rule, placed)
     passed_on = [f for f in placed.schema.fields if f.name in df.columns or (keep and f.name in KEPT)]
     added = [T.StructField(out, T.BooleanType())] + ([T.StructField("after_", T.StringType())] if keep else [])
     return placed.mapInArrow(_decide(rule, entering, out, keep), T.StructType([*passed_on, *added]))
@@ -421,10 +415,8 @@ def _replayed(
 def decide(
     df: DataFrame, rule: Rule, key: Column, at_us: Column, id_col: str, arg: Column, out: str, partitions: int | None = None
 ) -> DataFrame:
-    """`df` with the boolean column `out`, decided row by row in (key, time, id) order.
-
-    With a number of partitions the rows are cut into that many chunks, whether or not a key is large.
-    """
+    """`df` with the boolean column `out`, decided row by row in (key, time, id) order, in as many chunks as
+    `partitions` says."""
     return _replayed(df, rule, key, at_us, id_col, arg, out, partitions)
 
 

@@ -42,7 +42,7 @@ class CacheLifetime(R.Rule):
     def to_time(self, state):
         return R.NEVER if state is None else state
 
-    def from_time(self, time):
+    def from_time(self, time, payload):
         return None if time == R.NEVER else time
 
     def summary(self):

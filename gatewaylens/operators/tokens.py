@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
@@ -47,30 +47,44 @@ def choose_token(tokens: DataFrame, limits: DataFrame) -> DataFrame:
     return best.select("category", "best.*")
 
 
+def _lowest_levels(quota: DataFrame, asked: DataFrame) -> DataFrame:
+    """(category, lowest): the level of quota down to which a category's requests can reach.
+
+    Tokens become one row per category and amount left. Between two amounts the number of tokens that still have a
+    unit per level is constant, so a stretch of levels is one row, and the stretch in which the requests end gives the level.
+    """
+    amounts = quota.groupBy("category", F.col("remaining").cast("bigint").alias("top")).agg(F.count("*").alias("tokens"))
+    falling = Window.partitionBy("category").orderBy(F.desc("top"))
+    upto = falling.rowsBetween(Window.unboundedPreceding, 0)
+    below = F.coalesce(F.lead("top").over(falling), F.lit(0).cast("bigint"))
+    stretches = amounts.select("category", "top", F.sum("tokens").over(upto).alias("alive"), below.alias("below"))
+    units = F.col("alive") * (F.col("top") - F.col("below"))
+    stretches = stretches.withColumn("past", F.sum(units).over(upto)).withColumn("before", F.col("past") - units)
+    wanted = asked.groupBy("category").agg(F.count("*").alias("requests"))
+    reached = stretches.join(wanted, "category").where("before < requests")
+    level = F.when(F.col("past") <= F.col("requests"), F.col("below") + 1).otherwise(
+        F.col("top") - F.expr("(requests - 1 - before) div alive"))
+    return reached.groupBy("category").agg(F.min(level).alias("lowest"))
+
+
 def allocate_requests(requests: DataFrame, tokens: DataFrame, limits: DataFrame) -> DataFrame:
     """Give each request (`id, category, created_at`) the token that depletes the pool evenly.
 
     Taking always the token with the most quota left, then the earliest reset, uses up units of quota in the
-    order (level falling, reset, id): request n of a category gets unit n. Both sides are numbered without
-    gathering a category in one task and met by an equi-join on (category, n), which is even by nature.
-    Requests beyond the whole quota get no token.
+    order (level falling, reset, id): request n of a category gets unit n. Only levels that the requests reach become
+    units, so there are no more of them than requests and tokens. Both sides are numbered without gathering a category
+    in one task and met by an equi-join on (category, n), which is even by nature. Requests beyond the whole
+    quota get no token.
     """
-    # Read three times below, and never larger than the pool times the categories.
+    asked = requests.select("id", "category", "created_at")
+    # Read twice below, and never larger than the pool times the categories.
     quota = written(live_quota(tokens, limits).where("remaining > 0"), "quota")
-    units = quota.select(
-        "category", "token_id", "reset", "last_ok_at", F.explode(F.sequence(F.lit(1), F.col("remaining"))).alias("level")
-    )
+    levels = F.explode(F.sequence(F.col("lowest"), F.col("remaining").cast("bigint"))).alias("level")
+    reached = quota.join(_lowest_levels(quota, asked), "category").where("remaining >= lowest")
+    units = reached.select("category", "token_id", "reset", "last_ok_at", levels)
     units = numbered(units, ["category"], [F.col("level").desc(), *_token_order()]).select("category", "n", "token_id")
-    # At most one row per category: how many requests can get a token at all. Only those meet the units.
-    whole = {r["category"]: r["n"] for r in quota.groupBy("category").agg(F.sum("remaining").alias("n")).collect()}
-    last_unit = F.lit(0).cast("bigint")
-    for category, count in whole.items():
-        last_unit = F.when(F.col("category") == category, F.lit(count)).otherwise(last_unit)
-    asked = numbered(requests.select("id", "category", "created_at"), ["category"], [F.col("created_at"), F.col("id")])
-    asked = asked.select("id", "category", "n")
-    served = asked.where(F.col("n") <= last_unit).join(units, ["category", "n"]).select("id", "category", "token_id")
-    beyond = asked.where(F.col("n") > last_unit).select("id", "category")
-    return served.unionByName(beyond, allowMissingColumns=True)
+    asked = numbered(asked, ["category"], [F.col("created_at"), F.col("id")]).select("id", "category", "n")
+    return asked.join(units, ["category", "n"], "left").select("id", "category", "token_id")
 
 
 def donor_attribution(allocated: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -81,16 +95,19 @@ def donor_attribution(allocated: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def ingest_rate_limits(snapshots: DataFrame) -> DataFrame:
-    """The newest quota per (token, category) from snapshot JSON, by fetch time and then snapshot id."""
+    """The newest quota per (token, category) from snapshot JSON, by fetch time and then snapshot id.
+
+    A number that the JSON does not have is 0.
+    """
     parsed = F.from_json("body", QUOTA_SNAPSHOT)["resources"]
     rows = snapshots.select("token_id", "fetched_at", "snap_id", F.explode(parsed).alias("category", "quota"))
     # Time and id come first in the struct and decide; the rest goes along.
     newest = F.max(F.struct("fetched_at", "snap_id", "quota.limit", "quota.remaining", "quota.reset"))
     return rows.groupBy("token_id", "category").agg(newest.alias("newest")).select(
         "token_id", "category",
-        F.col("newest.limit").alias("rate_limit"),
-        F.col("newest.remaining").alias("remaining"),
-        C.epoch_to_ntz(F.col("newest.reset")).alias("reset"),
+        F.coalesce("newest.limit", F.lit(0)).alias("rate_limit"),
+        F.coalesce("newest.remaining", F.lit(0)).alias("remaining"),
+        C.epoch_to_ntz(F.coalesce("newest.reset", F.lit(0).cast("bigint"))).alias("reset"),
         F.col("newest.fetched_at").alias("updated_at"),
     )
 
@@ -125,8 +142,8 @@ def upsert_tokens(pool: DataFrame, donations: DataFrame) -> DataFrame:
     """The pool after donations, one row per user.
 
     The newest donation of a user replaces token and scopes, makes the token live and sets `last_ok_at`;
-    the id and creation time of a known user stay. A new user gets an id above the pool's largest, offset
-    by the id of the first donation.
+    the id and creation time of a known user stay. A new user's id is made from the user's name where ids are
+    texts (in the form of a UUID), else it lies above the pool's largest, offset by the id of the first donation.
     """
     newest = F.max_by(F.struct("token", "scopes"), F.struct("donated_at", "donation_id"))
     given = donations.groupBy("github_user").agg(
@@ -134,12 +151,16 @@ def upsert_tokens(pool: DataFrame, donations: DataFrame) -> DataFrame:
         F.max("donated_at").alias("given_at"),
         F.min(F.struct("donated_at", "donation_id")).alias("first"),
     )
-    top_id = pool.select(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
+    if pool.schema["id"].dataType.typeName() == "string":
+        new_id = F.regexp_replace(F.md5("github_user"), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    else:
+        top_id = pool.select(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
+        new_id = top_id + 1 + F.col("first.donation_id")
     merged = pool.select(*TOKEN_COLUMNS).join(given, "github_user", "full_outer")
     donated = F.col("given_at").isNotNull()
     return merged.select(
         "github_user",
-        F.coalesce(F.col("id"), top_id + 1 + F.col("first.donation_id")).alias("id"),
+        F.coalesce(F.col("id"), new_id).alias("id"),
         F.when(donated, F.col("new.token")).otherwise(F.col("token")).alias("token"),
         # A donated row without an id in the pool is new; a known row keeps even a null creation time.
         F.when(F.col("id").isNull(), F.col("first.donated_at")).otherwise(F.col("created_at")).alias("created_at"),

@@ -85,7 +85,7 @@ def key_totals(log: DataFrame) -> DataFrame:
 
 
 def key_report(keys: DataFrame, log: DataFrame) -> DataFrame:
-    """Every registered key with its totals. Sort by creation time where it is written out.
+    """Every registered key with its totals. Sort by `created_at`, newest first, where it is written out.
 
     The log is reduced to one row per key before the join; that hot keys collapse on the map side
     keeps the join even.
@@ -100,6 +100,7 @@ def key_report(keys: DataFrame, log: DataFrame) -> DataFrame:
         C.hit_rate(cached, total).alias("hit_rate"),
         "last_used",
         "disabled",
+        "created_at",
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
@@ -20,7 +20,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _lookup_requests(t: Tables) -> DataFrame:
     """Requests with the target their path stands for; the stored entries carry it without a query."""
-    return t["request_log"].select("id", "method", C.proxied_target(F.col("path")).alias("url"), "created_at")
+    body = F.concat(F.lit("h"), (F.col("id") % 2).cast("string"))
+    return t["request_log"].select(
+        "id", "method", C.proxied_target(F.col("path")).alias("url"), body.alias("content_hash"), "created_at")
 
 
 def _categorised(t: Tables) -> DataFrame:
@@ -36,6 +38,11 @@ def _migrated(t: Tables) -> DataFrame:
     return tokens.migrate_tokens(t["donated_tokens"], t["prod_tokens"], EXCLUDED_USER)
 
 
+def _rate_of_day() -> Column:
+    """A rate that differs by key and day, none on some days."""
+    return (F.dayofmonth("created_at") + F.length("api_key")) % 4
+
+
 def _disabled(t: Tables) -> DataFrame:
     registry = t["api_keys"]
     idle = keys.idle_keys(registry, t["request_log"], IDLE_SINCE)
@@ -58,6 +65,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "cache_admission": lambda t: cache.cache_admission(t["responses"]),
     "cache_snapshot": lambda t: cache.cache_snapshot(t["cached_responses"], C.instant(SNAPSHOT_AT)),
     "cache_lookup": lambda t: cache.cache_lookup(_lookup_requests(t), t["cached_responses"]),
+    "cache_lookup_mixed": lambda t: cache.cache_lookup(_lookup_requests(t), t["cached_mixed"]),
     "cache_trim": lambda t: cache.trim_cache(
         t["cached_responses"].select("id", "created_at", "resp_bytes"), CACHE_LIMIT, "pass"),
     "cache_trim_budget": lambda t: cache.trim_cache(
@@ -66,8 +74,11 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "target_allowlist": lambda t: cache.target_verdicts(t["target_urls"]),
     # tokens
     "token_ranking": lambda t: tokens.rank_tokens(t["donated_tokens"], t["token_rate_limits"]),
+    "token_choice": lambda t: tokens.choose_token(t["donated_tokens"], t["token_rate_limits"]),
     "request_allocation": _allocated,
     "rate_limit_snapshot": lambda t: tokens.ingest_rate_limits(t["rate_limit_snapshots"]),
+    "rate_limit_merge": lambda t: tokens.merge_rate_limits(t["token_rate_limits"], t["rate_limit_snapshots"]),
+    "token_touch": lambda t: tokens.touch_last_ok(t["donated_tokens"], t["rate_limit_snapshots"]),
     "token_upsert": lambda t: tokens.upsert_tokens(t["donated_tokens"], t["donations"]),
     "token_status": lambda t: tokens.token_status(t["token_events"], t["donated_tokens"]),
     "token_age": lambda t: tokens.token_age(t["donated_tokens"], C.instant(AS_OF)),
@@ -83,11 +94,15 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "rate_limit_decisions": lambda t: limiter.rate_limit(
         t["request_log"].select("id", "api_key", "created_at"), F.lit(BUCKET_RATE), BUCKET_UNIT_S
     ).select("id", "api_key", "allowed"),
+    "rate_limit_changing": lambda t: limiter.rate_limit(
+        t["request_log"].select("id", "api_key", "created_at"), _rate_of_day(), BUCKET_UNIT_S
+    ).select("id", "api_key", "allowed"),
     "admission_outcomes": lambda t: limiter.admission_outcomes(
         t["request_log"], t["api_keys"], BUCKET_UNIT_S, BODY_LIMIT),
     "cache_replay": lambda t: replay.cache_replay(t["request_log"], LOOKUP_TTL_S),
     # logs and load tests
     "access_log_parse": lambda t: logs.parse_access_log(t["access_log_lines"]),
+    "log_unparsed": lambda t: logs.unparsed_lines(t["access_log_lines"]),
     "log_errors": lambda t: logs.log_errors(t["access_log_lines"]),
     "log_key_counts": lambda t: logs.log_key_counts(t["access_log_lines"]),
     "latency_profile": lambda t: logs.latency_profile(logs.parse_access_log(t["access_log_lines"])),

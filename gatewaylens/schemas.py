@@ -53,10 +53,10 @@ CACHED_RESPONSES = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("method", T.StringType()),
     T.StructField("url", T.StringType()),
-    T.StructField("req_body", T.BinaryType()),
     T.StructField("status", T.IntegerType()),
-    T.StructField("resp_headers", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
-    T.StructField("resp_body", T.BinaryType()),
+    T.StructField("resp_headers", T.StringType()),
+    T.StructField("resp_body", T.StringType()),
+    T.StructField("resp_bytes", T.LongType()),
     T.StructField("created_at", T.TimestampNTZType()),
     T.StructField("expires_at", T.TimestampNTZType()),
     T.StructField("content_hash", T.StringType()),

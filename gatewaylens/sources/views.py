@@ -34,20 +34,22 @@ SELECT event_id AS id, CAST(user_id AS STRING) AS api_key,
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) e
 """,
     "api_keys": r"""
-SELECT c_custkey AS id, CAST(c_custkey AS STRING) AS key_hash, lower(c_mktsegment) AS hc_username,
+SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 9 THEN 'other' ELSE '' END || CAST(c_custkey AS STRING) AS key_hash,
+  lower(c_mktsegment) AS hc_username,
   'app' || CAST(c_custkey % 7 AS STRING) AS app_name, 'm' || CAST(c_nationkey AS STRING) AS machine,
   CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE substr(c_name, length(c_name) - 5, 6) END AS key_hint,
   CAST(c_custkey % 10 + 1 AS INT) AS rate_limit_per_sec, (c_acctbal < 0) AS disabled, f.first_order AS created_at
 FROM customer
 LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_order FROM orders GROUP BY o_custkey) f
   ON f.o_custkey = c_custkey
-WHERE c_custkey % 10 <> 9
 """,
     "plain_keys": r"""
 SELECT c_custkey AS id, lower(c_mktsegment) || '_app' || CAST(c_custkey % 7 AS STRING) || '_m'
     || CAST(c_nationkey AS STRING) || '_' || substr(md5(c_name), 1, 24) AS plain_key,
   CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '-5'
-       ELSE CAST(c_custkey % 50 + 1 AS STRING) END AS rate_text
+       ELSE CAST(c_custkey % 50 + 1 AS STRING) END AS rate_text,
+  lower(c_mktsegment) AS hc_username, 'app' || CAST(c_custkey % 7 AS STRING) AS app_name,
+  'm' || CAST(c_nationkey AS STRING) AS machine, (SELECT min(ts) FROM events) AS created_at
 FROM customer
 """,
     "donated_tokens": r"""
@@ -62,10 +64,10 @@ LEFT JOIN (SELECT l_suppkey, min(l_shipdate) AS first_ship, max(l_shipdate) AS l
     "token_rate_limits": r"""
 SELECT token_id, category, 5000 AS rate_limit,
   CAST(round(sum(l_quantity)) AS BIGINT) % 50 AS remaining, max(l_shipdate) AS reset
-FROM (SELECT l_suppkey AS token_id,
-        CASE l_partkey % 5 WHEN 0 THEN 'core' WHEN 1 THEN 'search' WHEN 2 THEN 'code_search' WHEN 3 THEN 'graphql' END AS category,
+FROM (SELECT l_suppkey + CASE WHEN l_suppkey % 6 = 0 THEN 1000000 ELSE 0 END AS token_id,
+        CASE l_partkey % 5 WHEN 0 THEN 'core' WHEN 1 THEN 'search' WHEN 2 THEN 'code_search' WHEN 3 THEN 'graphql'
+          ELSE 'dependency_snapshots' END AS category,
         l_quantity, l_shipdate FROM lineitem) x
-WHERE category IS NOT NULL AND token_id % 6 <> 0
 GROUP BY token_id, category
 """,
     "rate_limit_snapshots": r"""
@@ -80,13 +82,13 @@ FROM orders
 SELECT o_orderkey AS donation_id,
   COALESCE(lower(replace(s_name, ' ', '_')), 'new_' || CAST(o_custkey % 200 AS STRING)) AS github_user,
   'don' || CAST(o_orderkey AS STRING) AS token, 'read:user' AS scopes, o_orderdate AS donated_at
-FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey % 200
-WHERE o_custkey % 200 < 120
+FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey % 200 AND o_custkey % 200 < 120
 """,
     "prod_tokens": r"""
-SELECT id + 1000000 AS id, CASE WHEN id % 9 = 0 THEN 'prod_only_' || CAST(id AS STRING) ELSE github_user END AS github_user,
+SELECT id + 1000000 AS id,
+  CASE WHEN id % 9 = 0 OR id % 3 <> 0 THEN 'prod_only_' || CAST(id AS STRING) ELSE github_user END AS github_user,
   'old' || CAST(id AS STRING) AS token, created_at, (id % 2 = 0) AS revoked, last_ok_at, 'repo' AS scopes
-FROM donated_tokens WHERE id % 3 = 0
+FROM donated_tokens
 """,
     "token_events": r"""
 SELECT id, CAST(api_key AS BIGINT) % (SELECT count(*) FROM supplier) AS token_id, created_at,
@@ -102,13 +104,19 @@ SELECT id, method, 'https://api.github.com' || substr(path, 4) AS url, status, c
        ELSE '{"Cache-Control":["' || CASE k % 6 WHEN 0 THEN 'No-Cache' WHEN 1 THEN 'private, no-store'
             WHEN 2 THEN 'public, max-age=60' ELSE 'private' END
             || '"],"Set-Cookie":["s=1"],"Connection":["close"],"Etag":["e' || CAST(k AS STRING) || '"]}' END AS resp_headers,
-  CAST(round(latency_ms * 1000) AS BIGINT) AS resp_bytes
+  '{"k":' || CAST(k AS STRING) || ',"o":"é' || repeat('x', k) || '"}' AS resp_body
 FROM request_log
 """,
     "cached_responses": r"""
-SELECT id, method, 'https://api.github.com' || substr(path, 4) AS url, status,
+SELECT id, method, 'https://api.github.com' || substr(path, 4) AS url, 'h' || CAST(id % 2 AS STRING) AS content_hash, status,
   created_at, created_at + INTERVAL '6' HOUR AS expires_at, CAST(round(latency_ms * 1000) AS BIGINT) AS resp_bytes
 FROM request_log WHERE method IN ('GET','HEAD') AND status = 200 AND NOT cache_hit
+""",
+    "cached_mixed": r"""
+SELECT id % 7 * 1000000000000 + id AS id, method, url, content_hash, created_at,
+  CASE WHEN id % 50 = 0 THEN NULL WHEN id % 3 = 0 THEN created_at + INTERVAL '37' HOUR
+       WHEN id % 3 = 1 THEN expires_at ELSE created_at + INTERVAL '95' MINUTE END AS expires_at
+FROM cached_responses
 """,
     "target_urls": r"""
 SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN 'https://api.github.com/repos/p' || CAST(page_id AS STRING)
@@ -121,12 +129,15 @@ SELECT id, created_at AS ts, latency_ms, (status >= 200 AND status < 300) AS ok,
 FROM request_log
 """,
     "access_log_lines": r"""
-SELECT id, replace(substr(CAST(created_at AS STRING), 1, 19), '-', '/') || ' ' || method || ' ' || path || ' '
+SELECT id, CASE WHEN k % 40 = 7 THEN 'restart: could not read status (1s), will fail' ELSE
+  replace(substr(CAST(created_at AS STRING), 1, 19), '-', '/') || ' ' || method || ' ' || path
+  || CASE k % 9 WHEN 1 THEN '/a b' WHEN 2 THEN '/a' || chr(1) || 'b' WHEN 3 THEN '/q"uo' WHEN 4 THEN '/x 200 (1s) ua="u" key=v'
+       WHEN 5 THEN '/é' ELSE '' END || ' '
   || CAST(status AS STRING) || ' ('
   || CASE k % 5 WHEN 0 THEN CAST(k + 1 AS STRING) || 'ms' WHEN 1 THEN CAST(k % 50 AS STRING) || '.25s'
        WHEN 2 THEN '1m' || CAST(k % 60 AS STRING) || 's' WHEN 3 THEN '0s' ELSE '12.5s' END
   || ') ua="curl/8.' || CAST(k % 4 AS STRING) || '" key='
-  || CASE WHEN k % 20 = 0 THEN '***' ELSE 'usr_ap…' || lpad(api_key, 4, '0') END AS line
+  || CASE WHEN k % 20 = 0 THEN '***' ELSE 'usr_ap…' || lpad(api_key, 4, '0') END END AS line
 FROM request_log
 """,
 }
@@ -175,11 +186,15 @@ class Tables:
         def source(name: str) -> DataFrame:
             if name != "events":
                 return self.base(name)
-            # A pattern, as the stream source takes a table that is one file only through one.
-            path = f"{self.sf_dir}/events.parquet*"
-            return file_stream(self.spark, path, EVENTS, bytes_per_batch=bytes_per_batch)
+            return file_stream(self.spark, self._events_path(), EVENTS, bytes_per_batch=bytes_per_batch)
         return self._view(view, source)
 
+    def _events_path(self) -> str:
+        """The folder, or for a table that is one file a pattern of just that name, as the stream source takes no file."""
+        path = f"{self.sf_dir}/events.parquet"
+        listed = self.spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
+        return f"{self.sf_dir}/events.parque[t]" if listed and listed[0]["path"].endswith("/events.parquet") else path
+
     def _view(self, view: str, source: Callable[[str], DataFrame]) -> DataFrame:
         text = with_views(f"SELECT * FROM {view}", view)
         for table in BASE_TABLES:

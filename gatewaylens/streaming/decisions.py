@@ -1,19 +1,22 @@
 """Keyed stateful streams: token bucket and cache lifetime.
 
-Rows of a key are decided in (time, id) order inside each micro-batch, from the state the batch before left.
-Time never runs back: a row older than the state counts as arriving at the state's time.
+`*_in_batches` run the batch operators on each micro-batch and keep the states in written tables: no key is held in
+one task. Rows wait until a watermark has passed them (the newest time seen less `delay`), so files may come in any
+order within that delay; when the input is worked through, what waits is decided. A row that comes later than that
+counts as arriving at its key's newest time.
 
-`stream_*` keep the state in Spark's state store. A key's rows of one micro-batch are sorted in one task, which
-the reader bounds by bytes: the form for steady, small batches. `*_in_batches` run the batch operators on each
-micro-batch and keep the states in written tables: no key is held in one task, so batches may be large, which
-is the form for catching up with a long history.
+`stream_*` keep the state in Spark's state store for an input in time order. A key's rows of one micro-batch are sorted
+in one task, which the reader bounds by bytes: the form for steady, small batches of a live source.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,13 +41,13 @@ def _decide_stream(rows: DataFrame, keys: list[str], rule: Rule, out: str, outpu
         held = pd.concat(parts, ignore_index=True).sort_values(["at_", "id"], ignore_index=True)
         before, seen = (None, None) if not state.exists else state.get
         times = held["at_"] if seen is None else held["at_"].clip(lower=seen)
-        now = None if before is None else int(before)
+        now = None if before is None else json.loads(before)
         for begin in range(0, len(held), ROWS_PER_FRAME):
             end = begin + ROWS_PER_FRAME
             now, marks = rule.replay(now, times[begin:end].tolist(), held["arg_"][begin:end].tolist())
             decided = pd.DataFrame({"id": held["id"][begin:end], out: marks})
             yield decided.assign(**dict(zip(keys, key)))
-        state.update((None if now is None else str(now), int(times.iloc[-1])))
+        state.update((None if now is None else json.dumps(now), int(times.iloc[-1])))
 
     return rows.groupBy(*keys).applyInPandasWithState(
         each, output, "before string, seen long", "append", GroupStateTimeout.NoTimeout
@@ -69,36 +72,69 @@ def stream_cache_replay(log: DataFrame, ttl_s: int) -> DataFrame:
     )
 
 
-def _in_batches(
-    stream: DataFrame, each: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], path: str, checkpoint: str
-) -> DataFrame:
-    """Decide micro-batch by micro-batch; rows and states are written under the batch's number.
+Each = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+DELAY = dt.timedelta(days=7)
+
+
+def _in_batches(stream: DataFrame, each: Each, path: str, checkpoint: str, delay: dt.timedelta) -> DataFrame:
+    """Decide micro-batch by micro-batch; rows, states and waiting rows are written under the batch's number.
 
-    A batch reads the states of the batch before and overwrites only its own folders, so running it again
-    after a failure changes nothing.
+    A batch reads what the batch before left and overwrites only its own folders, so running it again
+    after a failure changes nothing. What waits at the end is decided under the last number's own `end` folders, from
+    which the next run goes on.
     """
     spark = stream.sparkSession
+    begun = last = None
+
+    def left_by(session, name: str, kind: str) -> DataFrame:
+        return session.read.parquet(f"{path}/{kind}/{name}")
+
+    def before(session, number: int) -> tuple[DataFrame, DataFrame]:
+        if number == 0:
+            return no_states(session), session.createDataFrame([], stream.schema)
+        names = [f"{number - 1}-end", f"{number - 1}"] if begun == number else [f"{number - 1}"]
+        for name in names:
+            try:
+                return left_by(session, name, "states"), left_by(session, name, "waiting")
+            except AnalysisException:  # the run before ended early: it decided no waiting rows
+                if name == names[-1]:
+                    raise
+        raise AssertionError
 
     def run(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        states = no_states(session) if number == 0 else session.read.parquet(f"{path}/states/{number - 1}")
-        decided, kept = each(batch, states)
-        decided.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
-        kept.write.mode("overwrite").parquet(f"{path}/states/{number}")
+        nonlocal begun, last
+        begun, last = number if begun is None else begun, number
+        states, waiting = before(batch.sparkSession, number)
+        rows = batch.unionByName(waiting)
+        newest = rows.agg(F.max("created_at")).first()[0]
+        late = F.coalesce(F.col("created_at") > F.lit(newest - delay if newest else None).cast("timestamp_ntz"), F.lit(False))
+        _write(each(rows.where(~late), states), rows.where(late), f"{number}", path)
 
     run_available(stream, "append", run, checkpoint)
+    if last is not None:
+        states, waiting = left_by(spark, f"{last}", "states"), left_by(spark, f"{last}", "waiting")
+        _write(each(waiting, states), waiting.where("false"), f"{last}-end", path)
     return spark.read.parquet(f"{path}/rows").drop("batch")
 
 
-def rate_limit_in_batches(requests: DataFrame, rate: Column, unit_s: int, path: str, checkpoint: str) -> DataFrame:
+def _write(decided: tuple[DataFrame, DataFrame], waiting: DataFrame, name: str, path: str) -> None:
+    rows, states = decided
+    rows.write.mode("overwrite").parquet(f"{path}/rows/batch={name}")
+    states.write.mode("overwrite").parquet(f"{path}/states/{name}")
+    waiting.write.mode("overwrite").parquet(f"{path}/waiting/{name}")
+
+
+def rate_limit_in_batches(
+    requests: DataFrame, rate: Column, unit_s: int, path: str, checkpoint: str, delay: dt.timedelta = DELAY
+) -> DataFrame:
     """`id, api_key, allowed` of a stream of requests (`id, api_key, created_at` and what the rate needs)."""
     def each(batch: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
         decided, kept = rate_limit_from(batch, rate, states, unit_s)
         return decided.select("id", "api_key", "allowed"), kept
 
-    return _in_batches(requests, each, path, checkpoint)
+    return _in_batches(requests, each, path, checkpoint, delay)
 
 
-def cache_replay_in_batches(log: DataFrame, ttl_s: int, path: str, checkpoint: str) -> DataFrame:
+def cache_replay_in_batches(log: DataFrame, ttl_s: int, path: str, checkpoint: str, delay: dt.timedelta = DELAY) -> DataFrame:
     """`id, method, path, hit` of a stream of logged requests under one cache lifetime."""
-    return _in_batches(log, lambda batch, states: cache_replay_from(batch, ttl_s, states), path, checkpoint)
+    return _in_batches(log, lambda batch, states: cache_replay_from(batch, ttl_s, states), path, checkpoint, delay)

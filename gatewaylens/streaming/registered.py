@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gatewaylens.functions import columns as C
 from gatewaylens.operators import usage
 from gatewaylens.plans.parameters import AS_OF, BUCKET_RATE, BUCKET_UNIT_S, LOOKUP_TTL_S, RECENT_ROWS
-from gatewaylens.sources.streams import BYTES_PER_KEYED_BATCH, append_decisions, fresh_paths
+from gatewaylens.sources.streams import fresh_paths
 from gatewaylens.sources.views import Tables
 from gatewaylens.streaming import decisions, totals
 
@@ -29,17 +29,12 @@ def _recent(t: Tables) -> DataFrame:
 
 
 def _rate_limit(t: Tables) -> DataFrame:
-    path, checkpoint = fresh_paths(t.spark, "limits")
-    log = t.streaming("request_log", BYTES_PER_KEYED_BATCH)
-    append_decisions(decisions.stream_rate_limit(log, F.lit(BUCKET_RATE), BUCKET_UNIT_S), path, checkpoint)
-    return t.spark.read.parquet(path)
+    log = t.streaming("request_log").select("id", "api_key", "created_at")
+    return decisions.rate_limit_in_batches(log, F.lit(BUCKET_RATE), BUCKET_UNIT_S, *fresh_paths(t.spark, "limits"))
 
 
 def _cache_replay(t: Tables) -> DataFrame:
-    path, checkpoint = fresh_paths(t.spark, "replay")
-    log = t.streaming("request_log", BYTES_PER_KEYED_BATCH)
-    append_decisions(decisions.stream_cache_replay(log, LOOKUP_TTL_S), path, checkpoint)
-    return t.spark.read.parquet(path)
+    return decisions.cache_replay_in_batches(t.streaming("request_log"), LOOKUP_TTL_S, *fresh_paths(t.spark, "replay"))
 
 
 def _token_status(t: Tables) -> DataFrame:

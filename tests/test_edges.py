@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
-from gatewaylens.operators import cache, keys, limiter, logs, ordered, replay, tokens, usage
+from gatewaylens.operators import cache, keys, limiter, logs, replay, tokens, usage
 
 LOG = "id long, api_key string, method string, path string, status int, cache_hit boolean, created_at timestamp_ntz, body_bytes long"
 KEYS = "id long, key_hash string, hc_username string, app_name string, machine string, key_hint string, rate_limit_per_sec int, disabled boolean, created_at timestamp_ntz"
@@ -126,10 +128,7 @@ ENTRY = "id long, method string, url string, content_hash string, created_at tim
 ASK = "id long, method string, url string, content_hash string, created_at timestamp_ntz"
 
 
-@pytest.mark.parametrize("fixed", [True, False])
-@pytest.mark.parametrize("limit", [1, 1000])
-def test_lookup_boundaries(spark, monkeypatch, fixed, limit):
-    monkeypatch.setattr(ordered, "ROWS_PER_KEY", limit)
+def test_lookup_boundaries(spark):
     entries = spark.createDataFrame([
         (1, "GET", "u", "h", at(0), at(60), 1), (2, "GET", "u", "h", at(10), at(70), 1), (3, "GET", "u", "other", at(10), at(70), 1),
     ], ENTRY)
@@ -138,7 +137,7 @@ def test_lookup_boundaries(spark, monkeypatch, fixed, limit):
         (13, "GET", "u", "h", at(70)), (14, "GET", "u", "h", at(69.5)), (15, "HEAD", "u", "h", at(20)), (16, "POST", "u", "h", at(20)),
         (17, "GET", "u", "h", at(10)),
     ], ASK)
-    got = {r["id"]: (r["entry_id"], r["age_s"]) for r in cache.cache_lookup(asks, entries, fixed_ttl=fixed).collect()}
+    got = {r["id"]: (r["entry_id"], r["age_s"]) for r in cache.cache_lookup(asks, entries).collect()}
     assert got == {10: (None, None), 11: (1, 1), 12: (2, 1), 13: (None, None), 14: (2, 59), 15: (None, None), 17: (1, 10)}
 
 
@@ -148,7 +147,7 @@ def test_lookup_with_mixed_lifetimes_takes_the_newest_live_entry(spark):
         (4, "GET", "u", "h", at(15), at(25), 1),
     ], ENTRY)
     asks = spark.createDataFrame([(10 + n, "GET", "u", "h", at(s)) for n, s in enumerate((5, 11, 14, 16, 30, 200))], ASK)
-    got = {r["id"]: r["entry_id"] for r in cache.cache_lookup(asks, entries, fixed_ttl=False).collect()}
+    got = {r["id"]: r["entry_id"] for r in cache.cache_lookup(asks, entries).collect()}
     assert got == {10: 1, 11: 2, 12: 3, 13: 4, 14: 3, 15: 1}
 
 
@@ -172,12 +171,51 @@ def test_trim_modes(spark):
     assert cache.trim_cache(one, 5, "pass").count() == 0
 
 
-RESPONSE = "id long, method string, url string, status int, created_at timestamp_ntz, req_body string, resp_headers string"
+def test_lookup_takes_the_newest_id_of_any_lives(spark):
+    draw = random.Random(3)
+    entries = [(n, "GET", f"u{draw.randrange(3)}", "h", at(a := draw.uniform(-1e5, 1e5)), None if draw.random() < 0.1 else at(a + draw.uniform(-5, 5e4)), 1)
+               for n in draw.sample(range(1000), 120)]
+    asks = [(5000 + n, "GET", f"u{draw.randrange(4)}", "h", at(draw.uniform(-1e5, 1.5e5))) for n in range(200)]
+    asks += [(6000 + n, "GET", e[2], "h", e[4] + dt.timedelta(microseconds=n % 2)) for n, e in enumerate(entries)]
+    got = {r["id"]: r["entry_id"] for r in cache.cache_lookup(
+        spark.createDataFrame(asks, ASK), spark.createDataFrame(entries, ENTRY)).collect()}
+    assert got == {i: max((e[0] for e in entries if e[2] == url and e[4] < t and (e[5] is None or e[5] > t)), default=None)
+                   for i, _, url, _, t in asks}
+
+
+def test_a_life_is_few_nodes(spark):
+    lives = spark.createDataFrame([(0, 1), (5, 5), (-7, 100), (123456789, 987654321012), (3, cache.NEVER_ENDS)], "low long, high long")
+    for r in lives.select("low", "high", cache._nodes_within(F.col("low"), F.col("high")).alias("n")).collect():
+        spans = sorted((s["first"] << (4 * s["level"]), (s["last"] + 1) << (4 * s["level"])) for s in r["n"] if s)
+        assert sum(s["last"] - s["first"] + 1 for s in r["n"] if s) <= 30 * cache.LEVELS
+        joined = [x for span in spans for x in span]
+        assert joined == ([] if r["low"] >= r["high"] else [r["low"], *(x for e in spans[1:] for x in (e[0], e[0])), r["high"]])
+
+
+def test_trim_with_rows_without_a_time_or_size(spark):
+    rows = [(1, "GET", "u", "h", None, None, 100), (2, "GET", "u", "h", at(0), None, 10), (3, "GET", "u", "h", at(9999), None, 10)]
+    left = lambda rows, limit, mode: sorted(r["id"] for r in cache.trim_cache(spark.createDataFrame(rows, ENTRY), limit, mode).collect())
+    assert left(rows, 110, "budget") == [2, 3] and left(rows, 15, "budget") == [3] and left(rows, 110, "pass") == [2, 3]
+    assert left(rows[:1], 5, "budget") == [] and left([], 5, "pass") == []
+    empty = [(n, "GET", "u", "h", at(n), None, 0) for n in range(5)] + [(9, "GET", "u", "h", None, None, 50), (8, "GET", "u", "h", None, None, 50)]
+    assert left(empty, 60, "budget") == [0, 1, 2, 3, 4, 9]
+
+
+def test_entries_compose_with_lookup_and_trim(spark):
+    rows = [(n, "GET", "u", 200, at(n), "", "{}", "b" * n) for n in range(1, 6)]
+    entries = cache.build_cache_entries(spark.createDataFrame(rows, RESPONSE), 60)
+    assert {r["id"]: r["resp_bytes"] for r in entries.collect()} == {n: n + 2 for n in range(1, 6)}
+    kept = cache.trim_cache(entries, 20, "budget")
+    asks = spark.createDataFrame([(9, "GET", "u", hashlib.sha256(b"").hexdigest(), at(5.5))], ASK)
+    assert cache.cache_lookup(asks, kept).first()["entry_id"] == 5 and kept.count() == 3
+
+
+RESPONSE = "id long, method string, url string, status int, created_at timestamp_ntz, req_body string, resp_headers string, resp_body string"
 
 
 def test_admission_reads_the_first_directive_only(spark):
     def response(i, headers, method="GET", status=200):
-        return (i, method, "u", status, T0, "", json.dumps(headers))
+        return (i, method, "u", status, T0, "", json.dumps(headers), None)
     rows = spark.createDataFrame([
         response(1, {"Cache-Control": ["private", "no-store"]}), response(2, {"Cache-Control": ["NO-STORE"]}),
         response(3, {}), response(4, {"Cache-Control": []}), response(5, {}, "POST"), response(6, {}, status=404),
@@ -216,9 +254,7 @@ def pool(spark, *rows):
 LIMITS = "token_id long, category string, rate_limit int, remaining long, reset timestamp_ntz"
 
 
-@pytest.mark.parametrize("limit", [1, 1000])
-def test_ranking_puts_a_missing_quota_row_before_a_spent_one(spark, monkeypatch, limit):
-    monkeypatch.setattr(ordered, "ROWS_PER_KEY", limit)
+def test_ranking_puts_a_missing_quota_row_before_a_spent_one(spark):
     tokens_df = pool(spark, (1, "a", "t", T0, False, at(9), None), (2, "b", "t", T0, False, None, None),
                      (3, "c", "t", T0, True, None, None), (4, "d", "t", T0, False, at(1), None), (5, "e", "t", T0, False, None, None))
     limits = spark.createDataFrame([(1, "core", 60, 0, at(5)), (4, "core", 60, 9, at(50)), (3, "core", 60, 99, at(1))], LIMITS)
@@ -228,9 +264,7 @@ def test_ranking_puts_a_missing_quota_row_before_a_spent_one(spark, monkeypatch,
     assert best == {"core": 4, "search": 2, "code_search": 2, "graphql": 2}
 
 
-@pytest.mark.parametrize("limit", [1, 1000])
-def test_allocation_equals_taking_the_fullest_token_each_time(spark, monkeypatch, limit):
-    monkeypatch.setattr(ordered, "ROWS_PER_KEY", limit)
+def test_allocation_equals_taking_the_fullest_token_each_time(spark):
     tokens_df = pool(spark, *[(i, f"u{i}", "t", T0, i == 4, at(i) if i % 2 else None, None) for i in range(1, 8)])
     limits = [(i, "core", 60, (i * 7) % 5, at(i % 3)) for i in range(1, 7)]
     asks = spark.createDataFrame([(n, "core" if n % 4 else "search", at(n % 5)) for n in range(40)],
@@ -273,6 +307,28 @@ def test_upsert_keeps_identity_and_revives(spark):
     }
 
 
+def test_upsert_of_a_pool_with_text_ids(spark):
+    pool_df = spark.createDataFrame([("b7", "a", "old", T0, True, None, "repo")], POOL.replace("id long", "id string"))
+    given = spark.createDataFrame([(7, "a", "new", "s", at(1)), (9, "c", "c1", "s", at(2))],
+                                  "donation_id long, github_user string, token string, scopes string, donated_at timestamp_ntz")
+    first, again = ({r["github_user"]: r["id"] for r in tokens.upsert_tokens(pool_df, given).collect()} for _ in range(2))
+    assert first == again and first["a"] == "b7" and len(first["c"]) == 36
+
+
+def test_allocation_with_large_quotas_makes_few_units(spark):
+    tokens_df = pool(spark, *[(i, f"u{i}", "t", T0, False, None, None) for i in range(1, 5)])
+    limits = spark.createDataFrame([(i, "core", 5000, 5000 - 3 * i, at(i)) for i in range(1, 5)], LIMITS)
+    asks = spark.createDataFrame([(n, "core", at(n)) for n in range(50)], "id long, category string, created_at timestamp_ntz")
+    got = {r["id"]: r["token_id"] for r in tokens.allocate_requests(asks, tokens_df, limits).collect()}
+    left, expected = {i: 5000 - 3 * i for i in range(1, 5)}, {}
+    for n in range(50):
+        expected[n] = min(left, key=lambda i: (-left[i], i))
+        left[expected[n]] -= 1
+    assert got == expected
+    lowest = tokens._lowest_levels(tokens.live_quota(tokens_df, limits).where("remaining > 0"), asks).first()["lowest"]
+    assert sum(max(0, 5000 - 3 * i - lowest + 1) for i in range(1, 5)) <= 50 + 4
+
+
 def test_migrating_twice_changes_nothing(spark):
     source = pool(spark, (1, "a", "s1", T0, False, at(1), None), (2, "b", "s2", T0, True, None, "x"), (3, "c", "s3", T0, False, None, "x"),
                   (4, "skip", "s4", T0, False, None, "x"))
@@ -301,9 +357,16 @@ def test_quota_merge_replaces_only_what_came(spark):
 
 
 def test_onboarding_keeps_one_row_per_hash(spark):
-    plain = spark.createDataFrame([(2, "u_a_m_secret99", "3"), (1, "u_a_m_secret99", ""), (3, "u_a_m_other", "x")], "id long, plain_key string, rate_text string")
-    got = {r["id"]: (r["key_hint"], r["key_prefix"], r["rate_limit"], len(r["key_hash"])) for r in keys.onboard_keys(plain).collect()}
+    plain = spark.createDataFrame(
+        [(2, "u_a_m_secret99", "3", "u", "a", "m", T0), (1, "u_a_m_secret99", "", "u", "a", "m", T0), (3, "u_a_m_other", "x", "u", "a", "m", T0)],
+        "id long, plain_key string, rate_text string, hc_username string, app_name string, machine string, created_at timestamp_ntz")
+    registry = keys.onboard_keys(plain)
+    got = {r["id"]: (r["key_hint"], r["key_prefix"], r["rate_limit_per_sec"], len(r["key_hash"])) for r in registry.collect()}
     assert got == {1: ("secret", "u_a_m", 10, 64), 3: ("other", "u_a_m", 10, 64)}
+    used = hashlib.sha256(b"u_a_m_other").hexdigest()
+    report = usage.key_report(registry, log(spark, req(1, used), req(2, used, hit=True))).orderBy("id").collect()
+    assert [(r["display"], r["total"], r["disabled"], r["created_at"]) for r in report] == [
+        ("u_a_m_secret", 0, False, T0), ("u_a_m_other", 2, False, T0)]
 
 
 def test_disabling_is_idempotent(spark):
@@ -335,6 +398,16 @@ def test_access_log(spark, tmp_path):
     errors = {(r["status"], r["path"]): r["lines"] for r in logs.log_errors(lines).collect()}
     assert errors == {(500, "/gh/graphql"): 1, (None, ""): 1}
     assert logs.filter_log(lines, "GET|POST").count() == 2
+    assert sorted(r["line"] for r in logs.unparsed_lines(lines).collect()) == sorted(LINES[2:4] + [r["line"] for r in lines.where("line = ''").collect()])
+
+
+def test_access_log_of_hostile_paths(spark):
+    paths = ["/gh/a b", "/gh/a\x01b", '/gh/"q" ua="x" key=y', "/gh/x 404 (3ms) ua=\"u\" key=k", "", "/gh/\ttab é"]
+    lines = [f'2024/03/01 12:00:0{n} GET {p} 500 (5ms) ua="c\\"d" key=***' for n, p in enumerate(paths)]
+    parsed = logs.parse_access_log(spark.createDataFrame([(x,) for x in lines], "line string")).orderBy("ts").collect()
+    assert [(r["path"], r["status"], r["duration_ms"], r["ua"], r["key"]) for r in parsed] == [(p, 500, 5, 'c"d', "***") for p in paths]
+    errors = logs.log_errors(spark.createDataFrame([(x,) for x in [*lines, None]], "line string")).collect()
+    assert sum(r["lines"] for r in errors) == len(lines)
 
 
 LOAD = "id long, ts timestamp_ntz, latency_ms double, ok boolean, cache_status string"
@@ -347,4 +420,6 @@ def test_load_figures(spark):
     summary = logs.load_summary(results, 0.00001).first()
     assert (summary["hits"], summary["misses"], summary["errors"], summary["avg_latency_ms"], summary["target_met"]) == (1, 1, 1, 15.0, True)
     steps = [(r["bucket"], r["requests"], r["cumulative"]) for r in logs.load_progress(results, 10).orderBy("bucket").collect()]
-    assert steps == [(at(0), 2, 2), (at(20), 1, 3), (at(86_400), 1, 4)]
+    assert len(steps) == 8641 and [x for x in steps if x[1]] == [(at(0), 2, 2), (at(20), 1, 3), (at(86_400), 1, 4)]
+    assert steps[1] == (at(10), 0, 2) and steps[5000][2] == 3
+    assert logs.load_progress(spark.createDataFrame([], LOAD), 10).count() == 0

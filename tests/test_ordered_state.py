@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatewaylens.operators import limiter, ordered, recurrence, replay
+from gatewaylens.operators import limiter, recurrence, replay
 from gatewaylens.operators.ordered import in_order, last_before, numbered, prefix_cutoff
 
 START = dt.datetime(2024, 1, 1)
@@ -77,7 +77,7 @@ def test_bucket_equals_step_by_step(spark, seed, gap, hot, rate, unit, whole):
     assert got == bucket_by_hand(rows, unit)
 
 
-def test_without_a_large_key_one_pass_decides(spark):
+def test_chunks_of_any_number_decide_alike(spark):
     rows = log_rows(31, 2000, 0.5, 0.6, 3)
     df = spark.createDataFrame(rows, LOG)
     assert {r["id"]: r["allowed"] for r in limiter.rate_limit(df, F.col("rate"), 10).collect()} == bucket_by_hand(rows, 10)
@@ -89,12 +89,37 @@ def test_without_a_large_key_one_pass_decides(spark):
     assert got == bucket_by_hand(rows, 10)
 
 
-def test_a_large_key_is_noticed(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "ROWS_PER_KEY", 100)
-    rows = log_rows(32, 1000, 0.5, 0.9, 2)
-    df = spark.createDataFrame(rows, LOG)
-    assert ordered.has_large_key(df, ["api_key"]) and not ordered.has_large_key(df, ["id"])
-    assert {r["id"]: r["allowed"] for r in limiter.rate_limit(df, F.col("rate"), 10).collect()} == bucket_by_hand(rows, 10)
+def changing(rows, seed, low=0):
+    """The same log with a rate that changes by key, up and down and to none."""
+    rnd = random.Random(seed)
+    return [(*row[:-1], rnd.choice([low, 1, 2, 3, 8]) if rnd.random() < 0.3 else 2) for row in rows]
+
+
+@pytest.mark.parametrize("seed,gap,unit,low", [(41, 0.5, 5, 0), (42, 0.1, 20, 1), (43, 3.0, 4, 0)])
+def test_a_rate_that_changes_counts_from_its_row_on(spark, seed, gap, unit, low):
+    rows = changing(log_rows(seed, 1500, gap, 0.8), seed, low)
+    expected = bucket_by_hand(rows, unit)
+    got = limiter.rate_limit(spark.createDataFrame(rows, LOG), F.col("rate"), unit, partitions=12).collect()
+    assert {r["id"]: r["allowed"] for r in got} == expected
+    states, pieces = recurrence.no_states(spark), {}
+    for piece in (sorted(rows)[:700], sorted(rows)[700:]):
+        decided, states = limiter.rate_limit_from(spark.createDataFrame(piece, LOG), F.col("rate"), states, unit, partitions=4)
+        pieces.update({r["id"]: r["allowed"] for r in decided.collect()})
+    assert pieces == expected
+
+
+def test_a_lowered_or_raised_rate_keeps_the_level(spark):
+    row = lambda i, s, rate: (i, "a", "GET", "/", 200, START + dt.timedelta(seconds=s), rate)
+    rows = [row(1, 0, 3), row(2, 0, 3), row(3, 86_400, 2), row(4, 86_400, 2), row(5, 86_400, 2), row(6, 86_400, 9), row(7, 86_400.5, 2)]
+    got = {r["id"]: r["allowed"] for r in limiter.rate_limit(spark.createDataFrame(rows, LOG), F.col("rate"), 1, partitions=3).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: False, 6: False, 7: True}
+
+
+@pytest.mark.parametrize("load", [1.0, 1.5, 1.7])
+def test_a_hot_key_at_any_load(spark, load):
+    rows = log_rows(int(load * 10), 3000, 0.9 / (2 * load) * 5, 0.9, 2)
+    got = limiter.rate_limit(spark.createDataFrame(rows, LOG), F.col("rate"), 5, partitions=12).collect()
+    assert {r["id"]: r["allowed"] for r in got} == bucket_by_hand(rows, 5)
 
 
 def test_bucket_falls_back_to_replaying_a_chunk(spark, monkeypatch):
@@ -170,9 +195,7 @@ def test_step_functions_compose_like_one():
             assert int(now[0]) == expected
 
 
-@pytest.mark.parametrize("limit", [100, 10**6])
-def test_numbering_is_exact_per_key(spark, monkeypatch, limit):
-    monkeypatch.setattr(ordered, "ROWS_PER_KEY", limit)
+def test_numbering_is_exact_per_key(spark):
     rows = log_rows(12, 3000, 1.0, 0.7)
     df = spark.createDataFrame(rows, LOG).select("id", "api_key", "created_at")
     got = {r["id"]: r["n"] for r in numbered(df, ["api_key"], [F.desc("created_at"), F.desc("id")]).collect()}
@@ -183,9 +206,7 @@ def test_numbering_is_exact_per_key(spark, monkeypatch, limit):
     assert got == expected
 
 
-@pytest.mark.parametrize("limit", [100, 10**6])
-def test_as_of_join_is_strict_and_crosses_chunks(spark, monkeypatch, limit):
-    monkeypatch.setattr(ordered, "ROWS_PER_KEY", limit)
+def test_as_of_join_is_strict_and_crosses_chunks(spark):
     rnd = random.Random(8)
     facts = [(n, "hot" if rnd.random() < 0.3 else f"k{n % 5}", rnd.randrange(400)) for n in range(60)]
     probes = [(1000 + n, "hot" if rnd.random() < 0.8 else f"k{n % 7}", rnd.randrange(400)) for n in range(3000)]

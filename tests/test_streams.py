@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 import pytest
@@ -100,6 +101,23 @@ def test_large_batches_and_a_restart(spark, log, parts, tmp_path, each):
     same(got, replay.cache_replay(log, 21_600))
 
 
+def test_files_in_any_order(spark, log, tmp_path):
+    """Ten files that come in another order than their rows' times."""
+    rows = log.withColumn("part", F.ntile(10).over(Window.orderBy("id")))
+    for place, n in enumerate((7, 2, 10, 1, 5, 9, 3, 8, 6, 4)):
+        rows.where(F.col("part") == n).drop("part").coalesce(1).write.parquet(str(tmp_path / f"made-{n}"))
+        target = tmp_path / f"part-{place}.parquet"
+        target.write_bytes(next((tmp_path / f"made-{n}").glob("*.parquet")).read_bytes())
+        os.utime(target, (1_700_000_000 + place, 1_700_000_000 + place))
+    path, checkpoint = paths(tmp_path)
+    source_ = source(spark, str(tmp_path / "part-*.parquet"), 4)
+    delay = dt.timedelta(days=60)
+    batch = limiter.rate_limit(log.select("id", "api_key", "created_at"), F.lit(2), 57_600).select("id", "api_key", "allowed")
+    same(decisions.rate_limit_in_batches(source_, F.lit(2), 57_600, path, checkpoint, delay), batch)
+    got = decisions.cache_replay_in_batches(source_, 21_600, path + "-replay", checkpoint + "-replay", delay)
+    same(got, replay.cache_replay(log, 21_600))
+
+
 def test_token_status(spark, log, parts, tmp_path):
     def events(rows):
         body = F.when(F.col("status") == 403, '{"message":"Bad credentials"}').otherwise("{}")
