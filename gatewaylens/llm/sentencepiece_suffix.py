@@ -30,10 +30,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from gatewaylens.llm.common import fresh_name, slices
 
 BLANK = "\u2581"  # fixed value: stands for a blank
-SLICE = 4 << 20
-SYMBOLS_AT_ONCE = 400_000  # of distinct chunks that are indexed together
-KNOWN_CHUNKS = 300_000  # chunks in each of the two generations that a worker remembers; any number gives the same ids
-KNOWN_PAIRS = 1 << 20
+SLICE = 1 << 20
+SYMBOLS_AT_ONCE = 150_000  # of distinct chunks that are indexed together
+KNOWN_CHUNKS = 100_000  # chunks in each of the two generations that a worker remembers; any number gives the same ids
+KNOWN_PAIRS = 1 << 19
 NEVER = np.iinfo(np.int64).max
 
 
