@@ -127,10 +127,12 @@ def load_progress(results: DataFrame, step_s: int = 10) -> DataFrame:
     that no window runs over the whole length of the test.
     """
     width = int(step_s) * 1_000_000
-    number = F.expr(f"floor(unix_micros(CAST(ts AS TIMESTAMP)) / {width})")
-    counted = results.where("ts IS NOT NULL").groupBy(number.alias("step")).agg(F.count("*").alias("requests"))
-    ends = results.agg(F.min("ts").alias("ts")).select(number.alias("first")).crossJoin(
-        results.agg(F.max("ts").alias("ts")).select(number.alias("last")))
+    def step_of(column: str) -> Column:
+        return F.expr(f"floor(unix_micros(CAST({column} AS TIMESTAMP)) / {width})")
+
+    counted = results.where("ts IS NOT NULL").groupBy(step_of("ts").alias("step")).agg(F.count("*").alias("requests"))
+    ends = results.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    ends = ends.select(step_of("low").alias("first"), step_of("high").alias("last"))
     parts = ends.where("first IS NOT NULL").select("first", "last", F.explode(F.expr(
         f"sequence(first div {STEPS_PER_PART}, last div {STEPS_PER_PART})")).alias("part"))
     inside = F.sequence(
