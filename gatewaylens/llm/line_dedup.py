@@ -47,8 +47,9 @@ def _all_shingles(text: Column, size: int) -> Column:
 
 
 def jaccard(a: Column, b: Column, size: int = SHINGLE) -> Column:
-    """Jaccard similarity of the sets of character shingles of two texts that are not empty."""
-    left, right = F.array_distinct(_all_shingles(a, size)), F.array_distinct(_all_shingles(b, size))
+    """Jaccard similarity of the sets of character shingles (by 64-bit hashes) of two texts that are not empty."""
+    left, right = (F.array_distinct(F.transform(_all_shingles(x, size), lambda s: F.xxhash64(s))) for x in (a, b))
+    # Worked out once each: what an expression names twice inside a lambda is bound to a variable.
     return F.transform(
         F.array(F.struct(left.alias("x"), right.alias("y"))),
         lambda s: F.transform(
@@ -127,44 +128,50 @@ def _candidates(lines: DataFrame, bands: int) -> DataFrame:
     place = F.struct("line", F.col("id").isNull().alias("no_id"), "id", "line_no", "d1", "d2")
     distinct = lines.groupBy("k1", "k2").agg(F.min(place).alias("best"), F.count("*").alias("n"))
     banded = _bands(distinct.where("n > 0"), bands).repartition("band")
-    shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
+    # Bounds of both keys rather than a count: the same columns are shuffled as for the join, so it is one shuffle.
+    bounds = [f(k).alias(f"{f.__name__}_{k}") for k in ("k1", "k2") for f in (F.min, F.max)]
+    shared = banded.groupBy("band").agg(*bounds).where("min_k1 < max_k1 OR min_k2 < max_k2").select("band")
     mates = banded.join(shared, "band").groupBy("k1", "k2").agg(F.collect_set("band").alias("bands"))
     return distinct.where("n > 0").join(mates, ["k1", "k2"], "left").where("n > 1 OR bands IS NOT NULL")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose lines are similar enough; each line's text is fetched by its key."""
+def _compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs of keys; each line's text is fetched by its key."""
     left = lines.select(F.struct("k1", "k2").alias("a"), F.col("line").alias("left"))
     right = lines.select(F.struct("k1", "k2").alias("b"), F.col("line").alias("right"))
     joined = pairs.join(left, "a").join(right, "b")
-    # Sets of n and m shingles have n / m similarity at most; the larger text cannot have fewer than its share.
-    return joined.where(jaccard(F.col("left"), F.col("right")) >= similarity).select("a", "b")
+    return joined.select("a", "b", jaccard(F.col("left"), F.col("right")).alias("similarity"))
 
 
 def line_links(candidates: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): enough similar pairs to connect all lines that share a band and are similar, or linked by such.
 
-    First every line of a band is compared with the band's first line: as many pairs as rows. Then only pairs
-    of a band whose lines are not yet connected remain, and all of them are compared. A group of a thousand
-    variants costs a thousand comparisons and not half a million, and no link between components is lost.
+    First every line of a band is compared with the band's first line: as many pairs as rows. What remains are pairs of a
+    band whose lines are not yet connected. The Jaccard distance is a metric, so two lines whose distances from the
+    band's first line differ by more than 1 - similarity cannot be similar; all other remaining pairs are compared.
     """
     lines = candidates.where("bands IS NOT NULL").select("k1", "k2", F.col("best.line").alias("line"), "bands")
     members = written(lines.select(F.struct("k1", "k2").alias("a"), F.explode("bands").alias("band")), "members")
     firsts = members.groupBy("band").agg(F.min("a").alias("b"))
-    first_pairs = members.join(firsts, "band").where("a != b").select("a", "b").distinct()
-    compared = written(first_pairs, "pairs")
-    links = written(_verified(compared, lines, similarity), "links")
+    with_first = members.join(firsts, "band")
+    compared = written(_compared(with_first.where("a != b").select("a", "b").distinct(), lines), "compared")
+    links = compared.where(F.col("similarity") >= similarity).select("a", "b")
     labels = connected_components(links, "a", "b")
-    labelled = written(
-        members.join(labels, members["a"] == labels["node"], "left")
-        .select("a", "band", F.coalesce("component", "a").alias("label")), "labelled")
-    named = firsts.join(labelled.withColumnRenamed("a", "b"), ["b", "band"]).select("band", F.col("label").alias("first_label"))
-    apart = labelled.join(named, "band").where("label != first_label").select("band", F.col("a").alias("x"), F.col("label").alias("lx"))
-    others = labelled.select("band", F.col("a").alias("y"), F.col("label").alias("ly"))
-    rest = apart.join(others, "band").where("lx != ly").select(
-        F.least("x", "y").alias("b"), F.greatest("x", "y").alias("a")).distinct()
-    rest = rest.join(compared, ["a", "b"], "left_anti")
-    return links.unionByName(written(_verified(rest, lines, similarity), "links"))
+    labelled = with_first.join(labels, with_first["a"] == labels["node"], "left").select(
+        "a", "b", "band", F.coalesce("component", "a").alias("label"))
+    labelled = labelled.join(compared, ["a", "b"], "left").select(
+        "a", "b", "band", "label", F.coalesce(1 - F.col("similarity"), F.lit(0.0)).alias("away"))
+    labelled = written(labelled, "labelled")
+    first_label = labelled.where("a = b").select("band", F.col("label").alias("first_label"))
+    apart = labelled.join(first_label, "band").where("label != first_label")
+    apart = apart.select("band", F.col("a").alias("x"), F.col("label").alias("x_label"), F.col("away").alias("x_away"))
+    others = labelled.where("a != b").select("band", F.col("a").alias("y"), F.col("label").alias("y_label"), F.col("away").alias("y_away"))
+    reach = F.abs(F.col("x_away") - F.col("y_away")) <= 1 - similarity + 1e-9
+    rest = apart.join(others, (apart["band"] == others["band"]) & (F.col("x_label") != F.col("y_label")) & reach)
+    rest = rest.select(F.least("x", "y").alias("b"), F.greatest("x", "y").alias("a")).distinct()
+    rest = rest.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    found = written(_compared(rest, lines).where(F.col("similarity") >= similarity).select("a", "b"), "links")
+    return links.unionByName(found)
 
 
 def repeated_lines(
