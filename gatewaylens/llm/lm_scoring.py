@@ -24,6 +24,7 @@ from gatewaylens.llm.common import slices
 from gatewaylens.session import written
 
 BLOCK_BYTES = 16 << 20
+TOKENS_AT_ONCE = 400_000  # of a block's texts that are walked together; a longer text alone
 WORD_STATES = 1 << 16
 ARCS = 1 << 20  # per order
 DISCOUNT = 0.75
@@ -252,8 +253,12 @@ def score(blocks: DataFrame, model: Model) -> DataFrame:
 
     The counts of a block's words come by a join, so no task holds the whole vocabulary.
     """
+    # Frequent words carry their number with them, so the block's own words need not be sent along.
+    frequent = pa.table({"word": model.automaton.words, "number": pa.array(range(len(model.automaton.words)), pa.int64())})
+    numbers = blocks.sparkSession.createDataFrame(frequent, "word string, number bigint")
+    counts = model.counts.join(numbers, "word", "left")
     asked = blocks.select(F.col("block").alias("of_block"), F.posexplode("words").alias("pos", "word"))
-    counted = asked.join(model.counts, "word").select("of_block", "pos", "c")
+    counted = asked.join(counts, "word").select("of_block", "pos", "c", F.coalesce("number", F.lit(-1).cast("bigint")).alias("number"))
     shared = blocks.sparkSession.sparkContext.broadcast(model.automaton)
     tokens, distinct = model.tokens, model.distinct
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
@@ -261,26 +266,35 @@ def score(blocks: DataFrame, model: Model) -> DataFrame:
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
         known = shared.value
         parts = []
+        place = words.column("pos").to_numpy()
         for row in block.combine_chunks().to_batches():
             for at in range(row.num_rows):
-                texts = row.column("words")[at].values
-                c = np.zeros(len(texts), np.int64)
-                c[words.column("pos").to_numpy()] = words.column("c").to_numpy()
+                size = row.column("n_words")[at].as_py()
+                c, number = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+                c[place], number[place] = words.column("c").to_numpy(), words.column("number").to_numpy()
                 codes = np.frombuffer(row.column("codes")[at].as_py(), np.int32)
-                sizes = row.column("sizes")[at].values.to_numpy()
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                unigram = log_unigram(c, tokens, distinct)[codes]
-                each = traverse(known, _word_ids(known, texts)[codes], sizes, unigram)
-                parts.append(pa.table({
-                    "doc_id": row.column("ids")[at].values, "n_tokens": pa.array(sizes.astype(np.int64)),
-                    "n_known": pa.array(np.bincount(owner, c[codes] > 0, len(sizes)).astype(np.int64)),
-                    "train_tokens": pa.array(np.full(len(sizes), tokens, np.int64)),
-                    "base_score": pa.array(np.bincount(owner, unigram, len(sizes))),
-                    "score": pa.array(np.bincount(owner, each, len(sizes)))}))
+                sizes = row.column("sizes")[at].values.to_numpy().astype(np.int64)
+                ends = np.cumsum(sizes)
+                group = (ends - sizes) // TOKENS_AT_ONCE
+                cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+                for first, past in zip(cuts, cuts[1:]):
+                    own = codes[ends[first] - sizes[first]:ends[past - 1]]
+                    parts.append(scored(known, own, sizes[first:past], c, number, row.column("ids")[at].values.slice(first, past - first)))
         return pa.concat_tables(parts)
 
+    def scored(known, codes, sizes, c, number, ids) -> pa.Table:
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        unigram = log_unigram(c[codes], tokens, distinct)
+        each = traverse(known, number[codes], sizes, unigram)
+        return pa.table({
+            "doc_id": ids, "n_tokens": pa.array(sizes),
+            "n_known": pa.array(np.bincount(owner, c[codes] > 0, len(sizes)).astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(sizes), tokens, np.int64)),
+            "base_score": pa.array(np.bincount(owner, unigram, len(sizes))),
+            "score": pa.array(np.bincount(owner, each, len(sizes)))})
+
     schema = f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    heads = blocks.select("block", "words", "ids", "sizes", "codes")
+    heads = blocks.select("block", F.size("words").alias("n_words"), "ids", "sizes", "codes")
     return heads.groupBy("block").cogroup(counted.groupBy("of_block")).applyInArrow(run, schema)
 
 
