@@ -1,12 +1,12 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the root, frequent words and frequent pairs. A state's arcs carry the smoothed log-probability of a
+States are the root, words and longer histories, all that occur. A state's arcs carry the smoothed log-probability of a
 next token; for any other token a failure arc leads to the state of the shorter history, at its backoff weight. At the
-root every token has its smoothed relative frequency. One traversal from left to right carries the state.
+root every token has its smoothed relative frequency.
 
-Counts cover all training documents. Word counts grow with the corpus and stay a distributed table, which is joined
-to the words of each block of documents. The states and arcs are bounded by proof: at most 2^16 words make
-up a 2^16th of the tokens each, and at most 2^20 pairs (or triples) a 2^20th each, however large the corpus is.
+Every n-gram of the training documents counts, however rare it is and however large the corpus. The n-grams with their
+weights are a distributed table, which is joined to the distinct n-grams of each block of documents. An n-gram is named
+by 64 bits, mixed from the name of its history and the hash of its word; an arc's name is that of the state it leads to.
 """
 
 from __future__ import annotations
@@ -23,31 +23,12 @@ from pyspark.sql import functions as F
 from gatewaylens.llm.common import slices
 from gatewaylens.session import written
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 TOKENS_AT_ONCE = 400_000  # of a block's texts that are walked together; a longer text alone
-WORD_STATES = 1 << 16
-ARCS = 1 << 20  # per order
 DISCOUNT = 0.75
 ADDED = 0.1
 END = ""  # counted as a token; no word is empty
-
-
-@dataclass(frozen=True)
-class Automaton:
-    """Frequent words (sorted) and, per order, sorted arc codes with their log10 probability and the backoff of each state.
-
-    The states of order 2 are the words and, last, the beginning of a text; those of order 3 are the arcs of order 2.
-    A code is state * (words + 1) + word.
-    """
-
-    words: pa.Array
-    codes: tuple[np.ndarray, ...]
-    logs: tuple[np.ndarray, ...]
-    backoffs: tuple[np.ndarray, ...]
-
-    @property
-    def width(self) -> int:
-        return len(self.words) + 1
+START = 0x5EED0F7E  # name of the history at the beginning of a text
 
 
 def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -95,92 +76,68 @@ def blocks_of(docs: DataFrame, train: Column, text: str, id_col: str) -> DataFra
     return written(picked.mapInArrow(run, schema), "blocks")
 
 
-def _trained_tokens(batch: pa.RecordBatch, row: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Words of a block, and codes and sizes of its training texts."""
-    words = batch.column("words")[row].values
-    sizes = batch.column("sizes")[row].values.to_numpy()
-    train = batch.column("train")[row].values.to_numpy(zero_copy_only=False)
-    codes = np.frombuffer(batch.column("codes")[row].as_py(), np.int32)
-    return words, codes[np.repeat(train, sizes)], sizes[train]
-
-
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """(word, c) over all training texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                words, codes, _ = _trained_tokens(batch, row)
-                counts = np.bincount(codes, minlength=len(words))
-                used = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(used)), pa.array(counts[used])], names=["word", "c"])
-
-    counted = blocks.select("words", "train", "sizes", "codes").mapInArrow(run, "word string, c bigint")
-    return counted.groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _histories(model: Automaton, ids: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
-    """The state of each order that a token is read in, -1 where the history is none."""
-    starts = np.cumsum(sizes) - sizes
-    state = np.empty(len(ids), np.int64)
-    state[1:] = ids[:-1]
-    state[starts] = len(model.words)
-    for level in range(order - 2):
-        # The state of the next order is the arc by which the token before was read.
-        before = np.full(len(ids), -1, np.int64)
-        arc = _find(model.codes[level], np.where((state >= 0) & (ids >= 0), state * model.width + ids, -1))
-        before[1:] = arc[:-1]
-        before[starts] = -1
-        state = before
-    return state
+def _hashed(blocks: DataFrame, *columns: str) -> DataFrame:
+    """Blocks with the hashes of their words in place of the words."""
+    return blocks.select(*columns, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
 
-def _find(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(codes):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
-    return np.where(codes[at] == wanted, at, -1)
+def _mixed(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Names of n-grams: for a fixed history another name for each word, for a fixed word another for each history."""
+    x = (history ^ (history >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _word_ids(model: Automaton, words: pa.Array) -> np.ndarray:
-    found = pc.index_in(words, value_set=model.words)
-    return pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+def _grams(words: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order (positions, names, names of the histories) of the n-grams that end at the tokens."""
+    every = np.arange(len(words))
+    place = every - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    found = [(every, words, np.zeros(len(words), np.uint64))]
+    before = words
+    for level in range(2, order + 1):
+        history = np.empty(len(words), np.uint64)
+        history[1:] = before[:-1]
+        if level == 2:
+            history[place == 0] = START
+        before = _mixed(history, words)
+        at = every if level == 2 else np.flatnonzero(place >= level - 2)
+        found.append((at, before[at], history[at]))
+    return found
 
 
-def _arc_counts(blocks: DataFrame, model: Automaton, order: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the n-grams of an order that make up a share of 1 / ARCS of all tokens: at most ARCS."""
-    shared = blocks.sparkSession.sparkContext.broadcast(model)
+def gram_counts(blocks: DataFrame, order: int) -> DataFrame:
+    """(id, history, shorter, level, n) of every n-gram of the training texts; `shorter` lacks its first token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
-                words, codes, sizes = _trained_tokens(batch, row)
-                if not len(codes):
-                    continue
-                ids = _word_ids(known, words)[codes]
-                state = _histories(known, ids, sizes, order)
-                arcs = np.sort((state * known.width + ids)[(state >= 0) & (ids >= 0)])
-                if len(arcs):
-                    first = np.flatnonzero(np.concatenate([[True], arcs[1:] != arcs[:-1]]))
-                    times = np.diff(np.append(first, len(arcs)))
-                    yield pa.RecordBatch.from_arrays([pa.array(arcs[first]), pa.array(times)], names=["code", "n"])
-
-    counted = blocks.select("words", "train", "sizes", "codes").mapInArrow(run, "code bigint, n bigint")
-    kept = counted.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") * ARCS >= total)
-    table = kept.toArrow().sort_by("code")
-    return table.column("code").to_numpy(), table.column("n").to_numpy()
+                sizes = batch.column("sizes")[row].values.to_numpy()
+                train = batch.column("train")[row].values.to_numpy(zero_copy_only=False)
+                codes = np.frombuffer(batch.column("codes")[row].as_py(), np.int32)[np.repeat(train, sizes)]
+                words = batch.column("hashes")[row].values.to_numpy().view(np.uint64)[codes]
+                shorter = np.zeros(len(words), np.uint64)
+                for level, (at, ids, history) in enumerate(_grams(words, sizes[train], order), 1):
+                    own, first, n = np.unique(ids, return_index=True, return_counts=True)
+                    columns = own, history[first], shorter[at[first]]
+                    shorter[at] = ids
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays([
+                            *(pa.array(c.view(np.int64)) for c in columns), pa.array(np.full(len(own), level, np.int8)),
+                            pa.array(n.astype(np.int64))], names=["id", "history", "shorter", "level", "n"])
+
+    counted = _hashed(blocks, "train", "sizes", "codes").mapInArrow(
+        run, "id bigint, history bigint, shorter bigint, level tinyint, n bigint")
+    return counted.groupBy("id").agg(
+        *[F.any_value(c).alias(c) for c in ("history", "shorter", "level")], F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
 class Model:
-    automaton: Automaton
-    counts: DataFrame  # (word, c), written
+    weights: DataFrame  # (id, log_p of the last token after its history, log_backoff as a history), log10, written
     tokens: int
     distinct: int
-
-    def log_unigram(self, c: np.ndarray) -> np.ndarray:
-        return log_unigram(c, self.tokens, self.distinct)
+    order: int
 
 
 def log_unigram(c: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
@@ -188,114 +145,117 @@ def log_unigram(c: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
 
 
 def train(blocks: DataFrame, order: int = 3) -> Model:
-    """Counts words, then n-grams order by order, and weighs the arcs by absolute discounting."""
-    counts = written(word_counts(blocks), "word-counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    """Counts all n-grams and weighs them by absolute discounting.
+
+    Every history but the end goes on in its text, so its count is the sum of its arcs' counts.
+    """
+    grams = written(gram_counts(blocks, order), "grams")
+    total = grams.where("level = 1").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = int(total["n"] or 0), int(total["v"])
-    frequent = counts.where(F.col("c") * WORD_STATES >= tokens).toArrow().sort_by("word").combine_chunks()
-    words = pa.array(frequent.column("word").to_pylist(), pa.string())
-    seen = frequent.column("c").to_numpy().astype(np.float64)
-    low = np.log10((seen + ADDED) / (tokens + ADDED * (distinct + 1)))
-    texts = blocks.agg(F.sum(F.size(F.filter("train", lambda t: t))).alias("n")).first()["n"] or 0
-    model = Automaton(words, (), (), ())
-    for level in range(2, order + 1):
-        codes, n = _arc_counts(blocks, model, level, tokens)
-        state, word = codes // model.width, codes % model.width
-        if level == 2:
-            context = np.append(seen, texts)
-        else:
-            context = arc_n
-        arc_n = n.astype(np.float64)
-        p = (arc_n - DISCOUNT) / context[state] if len(codes) else np.empty(0)
-        below = 10.0 ** _below(model, state, word, low, level) if len(codes) else np.empty(0)
-        left = 1.0 - np.bincount(state, p, len(context))
-        open_ = 1.0 - np.bincount(state, below, len(context))
-        backoff = np.where((left > 1e-12) & (open_ > 1e-12), np.maximum(left, 1e-12) / np.maximum(open_, 1e-12), 1.0)
-        model = Automaton(words, (*model.codes, codes), (*model.logs, np.log10(p)), (*model.backoffs, np.log10(backoff)))
-    return Model(model, counts, tokens, distinct)
-
-
-def _below(model: Automaton, state: np.ndarray, word: np.ndarray, low: np.ndarray, level: int) -> np.ndarray:
-    """log10 probability of an arc's word in the next shorter history."""
-    if level == 2:
-        return low[word]
-    # An arc of the order below is the state; its word is the shorter history.
-    shorter = model.codes[level - 3][state] % model.width
-    return _walk(model, [shorter], word, low[word])
-
-
-def _walk(model: Automaton, states: list[np.ndarray], ids: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-    """log10 probability of tokens read in states of order 2, 3, ...: the longest history that has the arc,
-    and the failure weights on the way down to it."""
-    result = unigram.copy()
-    for level, state in enumerate(states):
-        if not len(model.backoffs[level]):
-            continue  # no history is that long
-        has = state >= 0
-        arc = _find(model.codes[level], np.where(has & (ids >= 0), state * model.width + ids, -1))
-        failed = result + np.where(has, model.backoffs[level][np.maximum(state, 0)], 0.0)
-        hit = model.logs[level][np.maximum(arc, 0)] if len(model.codes[level]) else result
-        result = np.where(arc >= 0, hit, failed)
-    return result
-
-
-def traverse(model: Automaton, ids: np.ndarray, sizes: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-    """log10 probability of each token, texts one after another. All positions move on together: the state that a token is
-    read in follows from the tokens before it, as far back as the longest history."""
-    if not len(ids):
-        return np.empty(0)
-    states = [_histories(model, ids, sizes, level) for level in range(2, len(model.codes) + 2)]
-    return _walk(model, states, ids, unigram)
+    arcs = grams.where("level > 1")
+    totals = arcs.groupBy("history").agg(F.sum("n").alias("seen"))
+    unigram = (F.col("n") + ADDED) / (tokens + ADDED * (distinct + 1))
+    words = grams.where("level = 1").select("id", F.lit(None).cast("bigint").alias("history"), "shorter", unigram.alias("p"))
+    weighed = arcs.join(totals, "history").select("id", "history", "shorter", ((F.col("n") - DISCOUNT) / F.col("seen")).alias("p"))
+    weighed = written(words.unionByName(weighed), "weighed")
+    # What the shorter history gives to the same token: of every n-gram the shorter one is there too.
+    below = weighed.select(F.col("id").alias("shorter"), F.col("p").alias("below"))
+    open_ = weighed.where("history IS NOT NULL").join(below, "shorter").groupBy("history").agg(
+        (1 - F.sum("p")).alias("left"), (1 - F.sum("below")).alias("open"))
+    backoff = F.when((F.col("left") > 1e-12) & (F.col("open") > 1e-12), F.log10(F.col("left") / F.col("open"))).otherwise(0.0)
+    states = open_.select(F.col("history").alias("id"), backoff.alias("log_backoff"))
+    weights = weighed.select("id", F.log10("p").alias("log_p")).join(states, "id", "full")
+    return Model(written(weights, "weights"), tokens, distinct, order)
 
 
 def score(blocks: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every document of the blocks.
 
-    The counts of a block's words come by a join, so no task holds the whole vocabulary.
+    The weights of a block's n-grams come by a join, so no task holds the model.
     """
-    # Frequent words carry their number with them, so the block's own words need not be sent along.
-    frequent = pa.table({"word": model.automaton.words, "number": pa.array(range(len(model.automaton.words)), pa.int64())})
-    numbers = blocks.sparkSession.createDataFrame(frequent, "word string, number bigint")
-    counts = model.counts.join(numbers, "word", "left")
-    asked = blocks.select(F.col("block").alias("of_block"), F.posexplode("words").alias("pos", "word"))
-    counted = asked.join(counts, "word").select("of_block", "pos", "c", F.coalesce("number", F.lit(-1).cast("bigint")).alias("number"))
-    shared = blocks.sparkSession.sparkContext.broadcast(model.automaton)
-    tokens, distinct = model.tokens, model.distinct
+    tokens, distinct, order = model.tokens, model.distinct, model.order
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
 
-    def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        known = shared.value
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                codes = np.frombuffer(batch.column("codes")[row].as_py(), np.int32)
+                words = batch.column("hashes")[row].values.to_numpy().view(np.uint64)[codes]
+                sizes = batch.column("sizes")[row].values.to_numpy()
+                names = [np.array([START], np.uint64), *(np.unique(ids) for _, ids, _ in _grams(words, sizes, order))]
+                ids = np.unique(np.concatenate(names)).view(np.int64)
+                of = np.full(len(ids), batch.column("block")[row].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(ids)], names=["of_block", "id"])
+
+    asked = _hashed(blocks, "block", "sizes", "codes").mapInArrow(ask, "of_block bigint, id bigint")
+    answers = asked.join(model.weights, "id")
+
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        names = known.column("id").to_numpy().view(np.uint64)
+        sort = np.argsort(names)
+        # The last entry stands for names without an answer.
+        names = names[sort]
+        log_p = np.append(known.column("log_p").to_numpy()[sort], np.nan)
+        back = np.append(np.nan_to_num(known.column("log_backoff").to_numpy()[sort]), 0.0)
         parts = []
-        place = words.column("pos").to_numpy()
         for row in block.combine_chunks().to_batches():
             for at in range(row.num_rows):
-                size = row.column("n_words")[at].as_py()
-                c, number = np.zeros(size, np.int64), np.full(size, -1, np.int64)
-                c[place], number[place] = words.column("c").to_numpy(), words.column("number").to_numpy()
                 codes = np.frombuffer(row.column("codes")[at].as_py(), np.int32)
+                hashes = row.column("hashes")[at].values.to_numpy().view(np.uint64)
                 sizes = row.column("sizes")[at].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(sizes)
                 group = (ends - sizes) // TOKENS_AT_ONCE
                 cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
                 for first, past in zip(cuts, cuts[1:]):
-                    own = codes[ends[first] - sizes[first]:ends[past - 1]]
-                    parts.append(scored(known, own, sizes[first:past], c, number, row.column("ids")[at].values.slice(first, past - first)))
+                    own = hashes[codes[ends[first] - sizes[first]:ends[past - 1]]]
+                    ids = row.column("ids")[at].values.slice(first, past - first)
+                    parts.append(scored(names, log_p, back, own, sizes[first:past], ids))
         return pa.concat_tables(parts)
 
-    def scored(known, codes, sizes, c, number, ids) -> pa.Table:
+    def scored(names, log_p, back, words, sizes, ids) -> pa.Table:
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        unigram = log_unigram(c[codes], tokens, distinct)
-        each = traverse(known, number[codes], sizes, unigram)
+        unigram, each, seen = traverse(names, log_p, back, words, sizes)
         return pa.table({
             "doc_id": ids, "n_tokens": pa.array(sizes),
-            "n_known": pa.array(np.bincount(owner, c[codes] > 0, len(sizes)).astype(np.int64)),
+            "n_known": pa.array(np.bincount(owner, seen, len(sizes)).astype(np.int64)),
             "train_tokens": pa.array(np.full(len(sizes), tokens, np.int64)),
             "base_score": pa.array(np.bincount(owner, unigram, len(sizes))),
             "score": pa.array(np.bincount(owner, each, len(sizes)))})
 
+    def traverse(names, log_p, back, words, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each token alone and after its history, and whether it is known: the longest history
+        that has the arc, and the failure weights on the way down to it."""
+        missing = len(names)
+        start = _find(names, np.array([START], np.uint64))[0]
+        unigram = each = seen = None
+        for at, ids, _ in _grams(words, sizes, order):
+            found = _find(names, ids)
+            if each is None:
+                seen = found < missing
+                unigram = np.where(seen, log_p[found], log_unigram(np.zeros(1), tokens, distinct)[0])
+                each = unigram.copy()
+                state = np.full(len(words), start)
+                state[1:] = found[:-1]
+                state[(np.cumsum(sizes) - sizes)] = start
+            else:
+                each[at] = np.where(found < missing, log_p[found], each[at] + back[state[at]])
+                # The history of the next order is the arc by which the token before was read.
+                arc = np.full(len(words), missing)
+                arc[at] = found
+                state[1:] = arc[:-1]
+        return unigram, each, seen
+
     schema = f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    heads = blocks.select("block", F.size("words").alias("n_words"), "ids", "sizes", "codes")
-    return heads.groupBy("block").cogroup(counted.groupBy("of_block")).applyInArrow(run, schema)
+    heads = _hashed(blocks, "block", "ids", "sizes", "codes")
+    return heads.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(run, schema)
+
+
+def _find(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in the sorted names, their number where a name is missing."""
+    if not len(names):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return np.where(names[at] == wanted, at, len(names))
 
 
 def score_documents(docs: DataFrame, train_on: Column, text: str = "text", id_col: str = "doc_id", order: int = 3) -> DataFrame:

@@ -258,6 +258,14 @@ def test_scores_without_training_rows_repeated_rows_and_empty_table(spark):
     assert lm_scoring.score_documents(docs.where("false"), F.lit(True)).count() == 0
 
 
+def test_rare_ngrams_count_in_a_large_corpus(spark):
+    """Two occurrences among over 2^21 tokens."""
+    texts = [(n, "a " * 110_000, True) for n in range(20)] + [(20, "x y", True), (21, "x y", True), (22, "x y", False)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, t boolean").repartition(4)
+    found = lm_scoring.score_documents(docs, F.col("t")).where("doc_id = 22").first()
+    assert math.isclose(found["score"], math.log10(1.25 / 22) + 2 * math.log10(1.25 / 2), abs_tol=1e-9)
+
+
 def test_pipeline_stages(spark):
     kept = read_table(spark, SF_DIR, "documents")
     columns = kept.columns
