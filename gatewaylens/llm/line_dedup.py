@@ -143,18 +143,19 @@ def _compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return joined.select("a", "b", jaccard(F.col("left"), F.col("right")).alias("similarity"))
 
 
-def line_links(candidates: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def line_links(candidates: DataFrame, similarity: float = SIMILARITY, compare=_compared) -> DataFrame:
     """(a, b): enough similar pairs to connect all lines that share a band and are similar, or linked by such.
 
     First every line of a band is compared with the band's first line: as many pairs as rows. What remains are pairs of a
     band whose lines are not yet connected. The Jaccard distance is a metric, so two lines whose distances from the
-    band's first line differ by more than 1 - similarity cannot be similar; all other remaining pairs are compared.
+    band's first line differ by more than 1 - similarity cannot be similar; all other remaining pairs are compared. `compare` gives (a, b,
+    similarity) for pairs of keys.
     """
     lines = candidates.where("bands IS NOT NULL").select("k1", "k2", F.col("best.line").alias("line"), "bands")
     members = written(lines.select(F.struct("k1", "k2").alias("a"), F.explode("bands").alias("band")), "members")
     firsts = members.groupBy("band").agg(F.min("a").alias("b"))
     with_first = members.join(firsts, "band")
-    compared = written(_compared(with_first.where("a != b").select("a", "b").distinct(), lines), "compared")
+    compared = written(compare(with_first.where("a != b").select("a", "b").distinct(), lines), "compared")
     links = compared.where(F.col("similarity") >= similarity).select("a", "b")
     labels = connected_components(links, "a", "b")
     labelled = with_first.join(labels, with_first["a"] == labels["node"], "left").select(
@@ -170,7 +171,7 @@ def line_links(candidates: DataFrame, similarity: float = SIMILARITY) -> DataFra
     rest = apart.join(others, (apart["band"] == others["band"]) & (F.col("x_label") != F.col("y_label")) & reach)
     rest = rest.select(F.least("x", "y").alias("b"), F.greatest("x", "y").alias("a")).distinct()
     rest = rest.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    found = written(_compared(rest, lines).where(F.col("similarity") >= similarity).select("a", "b"), "links")
+    found = written(compare(rest, lines).where(F.col("similarity") >= similarity).select("a", "b"), "links")
     return links.unionByName(found)
 
 

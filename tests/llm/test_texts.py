@@ -281,6 +281,31 @@ def test_pipeline_stages(spark):
     assert [r["doc_id"] for r in corpus_pipeline.run(spark, SF_DIR).select("doc_id").orderBy("doc_id").collect()] == sorted(ids[-1])
 
 
+def test_near_copy_stage_equals_brute_force(spark):
+    """Planted copies with scattered word replacements, on both sides of a 5-word similarity of 0.8."""
+    draw = random.Random(11)
+
+    def words(n):
+        return ["".join(draw.choices("abcdefgh", k=draw.randint(3, 7))) for _ in range(n)]
+
+    def shingles(text):
+        own = text.split()
+        return {tuple(own[n:n + 5]) for n in range(max(1, len(own) - 4))}
+
+    texts = []
+    for _ in range(60):
+        base = words(draw.randint(100, 600))
+        copy = list(base)
+        for at in draw.sample(range(len(base)), max(1, int(len(base) * draw.uniform(0.002, 0.035)))):
+            copy[at] = "zz" + str(draw.randint(0, 999))
+        texts += [" ".join(base), " ".join(copy)]
+    near = [len(a & b) / len(a | b) >= 0.8 for a, b in zip(map(shingles, texts[::2]), map(shingles, texts[1::2]))]
+    assert 20 < sum(near) < 60
+    docs = spark.createDataFrame([(n, t, None, "s", len(t)) for n, t in enumerate(texts)], DOCS).repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF_DIR).collect()}
+    assert kept == set(range(0, 120, 2)) | {2 * n + 1 for n, gone in enumerate(near) if not gone}
+
+
 def test_pipeline_keeps_clean_documents_and_survives_odd_ones(spark, tmp_path):
     documents = [(100 + n, t, None, "s", None) for n, t in enumerate(ODD)] + [(None, None, None, None, None)]
     real = read_table(spark, SF_DIR, "documents").limit(60)
