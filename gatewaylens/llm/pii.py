@@ -4,7 +4,9 @@ Generators with high recall propose overlapping spans in looser formats; boosted
 context, and per kind a threshold calibrated on held-out examples selects what is added to the base spans.
 
 The trees learn from the corpus itself: base spans in their context, rewritten in looser formats, are examples of
-personal data; the same with broken checks (digit sums, ranges, lengths), in a wrong kind, and other numbers are not. At most SAMPLE base spans and SAMPLE other candidates are used, those of the smallest hash; everything else covers all text.
+personal data; the same with broken checks (digit sums, ranges, lengths), in a wrong kind, and other numbers are not. Of the
+corpus's other candidates only those are examples that fail a hard check of their kind; the others may be personal data
+and have no label. At most SAMPLE spans are used of each kind, and SAMPLE failing ones, those of the smallest hash; everything else covers all text.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 
 from gatewaylens.llm import boosting
 from gatewaylens.llm.common import slices, texts_of
+from gatewaylens.session import written
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 4000  # spans to learn from, of each label
+SAMPLE = 4000  # spans to learn from, of each kind and label
 CONTEXT = 30  # characters on either side
 PRECISION = 0.98  # on held-out examples, for the thresholds
 
@@ -98,6 +101,23 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), kind) for kind in KINDS for m in _LOOSE[kind].finditer(text)]
 
 
+_DATE = re.compile(r"(?:1[89]|20)[0-9]{2}([-./ ])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])([-./ ])(?:0?[1-9]|[12][0-9]|3[01])\2(?:1[89]|20)[0-9]{2}")
+
+
+def fails(kind: str, span: str, before: str, after: str) -> bool:
+    """Whether a candidate cannot be of its kind: digit sum, ranges, number of digits, dates and amounts."""
+    digits = _digits(span)
+    if kind == "email":
+        return not span[:1].isalnum() and not any(ch.isalnum() for ch in re.split(r"[@\[({ ]", span)[0])
+    if kind == "ip":
+        groups = re.findall(r"[0-9]+", span)
+        return len(groups) != 4 or not all(map(_octet, groups))
+    if kind == "card":
+        return not 12 <= len(digits) <= 19 or not luhn(digits)
+    amount = before.rstrip()[-1:] in ("$", "€", "£") or after.lstrip()[:1] in ("$", "€", "£", "%")
+    return not 7 <= len(digits) <= 15 or amount or _DATE.fullmatch(span) is not None
+
+
 #: Words that stand near personal data, by kind.
 CUES = {
     "email": ("mail", "contact", "write", "courriel", "correo"),
@@ -132,7 +152,9 @@ class Model:
 
 
 def _samples(docs: DataFrame, text: str) -> list[tuple[str, str, str, str]]:
-    """(kind or `other`, span, before, after): the spans of the smallest hashes, at most SAMPLE of each label."""
+    """(kind or `other-` and kind, span, before, after): the spans of the smallest hashes, at most SAMPLE of each label."""
+    labels = (*KINDS, *(f"other-{k}" for k in KINDS))
+    limit = SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,21 +163,21 @@ def _samples(docs: DataFrame, text: str) -> list[tuple[str, str, str, str]]:
                 for value in texts_of(part, "t"):
                     found = base_spans(value)
                     taken = {(a, b) for a, b, _ in found}
-                    loose = [(a, b, f"other-{k}") for a, b, k in candidates(value) if (a, b) not in taken and not _meets(a, b, taken)]
-                    rows += [(k, value[a:b], value[max(0, a - CONTEXT):a], value[b:b + CONTEXT]) for a, b, k in found + loose]
+                    loose = [(a, b, k) for a, b, k in candidates(value) if (a, b) not in taken and not _meets(a, b, taken)]
+                    around = [(k, value[a:b], value[max(0, a - CONTEXT):a], value[b:b + CONTEXT]) for a, b, k in found + loose]
+                    rows += around[:len(found)]
+                    rows += [(f"other-{r[0]}", *r[1:]) for r in around[len(found):] if fails(*r)]
             # Of each label only what can be among the smallest of all goes on.
-            for label in (*KINDS, *(f"other-{k}" for k in KINDS)):
-                own = sorted({(_hash(r), *r) for r in rows if r[0] == label and len(r[1]) <= 200})[:SAMPLE]
+            for label in labels:
+                own = sorted({(_hash(r), *r) for r in rows if r[0] == label and len(r[1]) <= 200})[:limit]
                 if own:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*own)], names=["h", "kind", "span", "before", "after"])
 
     found = docs.select(F.col(text).alias("t")).mapInArrow(run, "h bigint, kind string, span string, before string, after string")
-    ranked = found.distinct().select(F.col("kind").startswith("other").alias("other"), "*")
-    picked = None
-    for other in (False, True):
-        one = ranked.where(F.col("other") == other).orderBy("h", "kind", "span", "before", "after").limit(SAMPLE)
-        picked = one if picked is None else picked.unionByName(one)
-    rows = picked.select("h", "kind", "span", "before", "after").collect()
+    ranked = written(found.distinct(), "pii-samples")
+    rows = []
+    for label in labels:
+        rows += ranked.where(F.col("kind") == label).orderBy("h", "span", "before", "after").limit(SAMPLE).collect()
     return [(r["kind"], r["span"], r["before"], r["after"]) for r in sorted(rows)]
 
 

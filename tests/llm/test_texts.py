@@ -164,6 +164,28 @@ def test_added_spans_are_personal_and_clean_text_is_left_alone(spark):
     assert joined == "mail ****** twice ******"
 
 
+def test_pii_of_a_corpus_full_of_loose_personal_data(spark):
+    """Loose phones and addresses outnumber the base spans: they are no examples of what is not personal."""
+    draw = random.Random(13)
+
+    def phone():
+        return f"{draw.randint(200, 999)}", f"{draw.randint(200, 999)}", f"{draw.randint(1000, 9999)}"
+
+    texts = [f"call +1 {a} {b} {c} now, mail {draw.choice('abcdef')}{a}@host{b}.org" for a, b, c in (phone() for _ in range(150))]
+    loose = [f"call ({a}) {b}-{c} now, mail kim{a} [at] host{b} [dot] org" for a, b, c in (phone() for _ in range(900))]
+    docs = spark.createDataFrame(list(enumerate(texts + loose)), "doc_id long, text string")
+    found = pii.find(docs.where(f"doc_id >= {len(texts)}"), pii.train(docs)).collect()
+    for kind in ("phone", "email"):
+        assert sum(any(s["kind"] == kind for s in r["spans"]) for r in found) / len(found) > 0.9, kind
+
+
+def test_pii_examples_of_a_rare_kind_beside_a_frequent_one(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 20)
+    texts = [f"mail a{n}@b{n}.org" for n in range(400)] + [f"host 10.0.0.{n} there" for n in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert Counter(kind for kind, *_ in pii._samples(docs, "text")) == {"email": 20, "ip": 20}
+
+
 def test_pii_of_odd_rows_and_without_examples(spark):
     rows = spark.createDataFrame([(n, t) for n, t in enumerate(ODD)] + [(None, "a@b.cd"), (1, "a@b.cd"), (1, "a@b.cd")], "doc_id long, text string")
     model = pii.train(rows.where("text NOT LIKE '%@%'"))
