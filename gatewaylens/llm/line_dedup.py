@@ -4,9 +4,9 @@ Equal lines are one row first. A line's signature is the minima of hashed charac
 bring lines together, the exact Jaccard similarity of all 5-character shingles decides, and a distributed
 union-find leaves one line of each component.
 
-The signature samples the shingles by content: those that begin at a word, or at every character where words
-are long. Lines near the limit between the two carry both, so that two similar lines always share a kind.
-Sampling serves the candidates only; the similarity that decides is over all shingles.
+The signature of a long line of words samples the shingles by content: those that begin at a word. Short lines and those
+whose words are long have all their shingles in it. Lines near the limit between the two carry both, so that two
+similar lines always share a kind. Sampling serves the candidates only; the similarity that decides is over all shingles.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from gatewaylens.session import written
 
 SIMILARITY = 0.8
 SHINGLE = 5  # characters per shingle of the similarity
-SIGNATURE_SHINGLE = 9  # characters per shingle of the signature
-BANDS = 12  # each of three minima: a pair at the limit, its edits spread, is found with probability over 0.99
+SIGNATURE_SHINGLE = 9  # characters per sampled shingle of the signature
+BANDS = 12  # each of three minima: of all shingles, a pair at the limit is found with probability over 0.999
+SAMPLED_FROM = 100  # characters of a line's different words
+WHOLE_BELOW = 160
 PIECE = 64
 
 _BLANK = " \t\r"
@@ -63,18 +65,22 @@ _EVERYWHERE = "\x01"  # marks a shingle of the second kind
 
 
 def _sampled(line: Column, words: Column) -> Column:
-    """Structs (a, b, c): a word and the two that follow, or a shingle of the second kind with a mark."""
+    """Structs (a, b, c): a word and the two that follow, or a shingle of the second kind with a mark.
+
+    A line is as long as its different words, since what it repeats adds no shingles.
+    """
     count = F.size(words)
     following = [F.slice(words, n, F.greatest(count - n + 1, F.lit(0))) for n in (2, 3)]
     at_words = F.arrays_zip(words.alias("a"), following[0].alias("b"), following[1].alias("c"))
-    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SIGNATURE_SHINGLE}}}))"), 1)
+    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), 1)
     mark = F.array_repeat(F.lit(_EVERYWHERE), F.size(runs))
     everywhere = F.arrays_zip(runs.alias("a"), mark.alias("b"), mark.alias("c"))
     kind = "array<struct<a:string,b:string,c:string>>"
     none = F.array().cast(kind)
+    length = F.length(F.array_join(F.array_distinct(words), " "))
     return F.concat(
-        F.when(count * 20 >= F.length(line), at_words.cast(kind)).otherwise(none),
-        F.when(count * 12 < F.length(line), everywhere.cast(kind)).otherwise(none),
+        F.when((count * 20 >= F.length(line)) & (length >= SAMPLED_FROM), at_words.cast(kind)).otherwise(none),
+        F.when((count * 12 < F.length(line)) | (length < WHOLE_BELOW), everywhere.cast(kind)).otherwise(none),
     )
 
 
@@ -86,12 +92,6 @@ def _shingle_hash(a: Column, b: Column, c: Column) -> Column:
     return F.xxhash64(F.substring(a, 1, SIGNATURE_SHINGLE), second, third)
 
 
-def _mask(n: int) -> int:
-    """Spreads the leading bits evenly: the least hash under each mask is another shingle."""
-    mask = (n * 0x9E3779B97F4A7C15) % (1 << 64)
-    return mask - (1 << 64) if mask >= 1 << 63 else mask
-
-
 def _bands(distinct: DataFrame, bands: int) -> DataFrame:
     """(k1, k2, band): one row for each line, kind and band. Lines stay in the partition that holds them."""
     split = distinct.select("k1", "k2", F.col("best.line").alias("line"), F.split("best.line", " ").alias("words"))
@@ -99,9 +99,8 @@ def _bands(distinct: DataFrame, bands: int) -> DataFrame:
     hashes = each.select(
         "k1", "k2", F.coalesce(F.col("s.b") == _EVERYWHERE, F.lit(False)).alias("kind"),
         _shingle_hash(F.col("s.a"), F.col("s.b"), F.col("s.c")).alias("h0"))
-    hashes = hashes.select("*", *[F.xxhash64("h0", F.lit(n)).alias(f"h{n}") for n in (1, 2)])
     minima = hashes.groupBy("k1", "k2", "kind").agg(*[
-        F.min(F.col(f"h{n}").bitwiseXOR(F.lit(_mask(band + 1)))).alias(f"m{n}_{band}")
+        F.min(F.xxhash64("h0", F.lit(3 * band + n))).alias(f"m{n}_{band}")  # a hash of its own: few shingles, too, are drawn anew
         for band in range(bands) for n in range(3)
     ])
     keys = [F.xxhash64(F.lit(band), "kind", *[f"m{n}_{band}" for n in range(3)]) for band in range(bands)]

@@ -182,6 +182,30 @@ def test_banding_finds_similar_lines(spark, edits, least):
         assert sum(n + 150 not in kept for n in wanted) / len(wanted) >= least
 
 
+def test_banding_finds_similar_short_lines(spark):
+    """Recall by line length: lines of a few words, each with a copy in which one character is changed."""
+    draw = random.Random(12)
+    lines, copies, sizes = [], [], []
+    for words in (5, 6, 8, 10, 15, 20, 25, 30):
+        for _ in range(150):
+            line = sentence(draw, words)
+            at = draw.choice([0, 1, len(line) - 1, draw.randrange(len(line))])
+            lines.append(line)
+            copies.append(line[:at] + "z" + line[at + 1:])
+            sizes.append(words)
+    kept = {r["doc_id"] for r in line_dedup.dedup_lines(docs_of(spark, lines + copies)).where("text != ''").collect()}
+    for words in sorted(set(sizes)):
+        wanted = [n for n, size in enumerate(sizes) if size == words and similar(lines[n], copies[n])]
+        assert len(wanted) > 20
+        assert sum(n + len(lines) not in kept for n in wanted) / len(wanted) >= 0.99, words
+
+
+def test_banding_finds_similar_lines_of_repeated_words(spark):
+    base = "some words of a line that stands here again and goes on for more than a hundred characters in its whole"
+    texts = [base, " ".join([base] * 4), "=" * 40, "=" * 300, "ab " * 20 + "ab", "ab " * 200 + "ab"]
+    assert [r["text"] for r in line_dedup.dedup_lines(docs_of(spark, texts)).orderBy("doc_id").collect()] == lines_by_brute_force(texts)
+
+
 def words_of(text):
     return __import__("re").findall(r"[^\W_]+", (text or "").lower())
 
