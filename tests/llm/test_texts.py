@@ -303,6 +303,12 @@ def test_pipeline_stages(spark):
     assert [r["doc_id"] for r in corpus_pipeline.run(spark, SF_DIR).select("doc_id").orderBy("doc_id").collect()] == sorted(ids[-1])
 
 
+def test_language_stage_without_labels_keeps_documents_with_letters(spark):
+    rows = [(1, "some words", None, "s", 0), (2, "日本語", None, "s", 0), (3, "123 !!", None, "s", 0), (4, "", None, "s", 0), (5, None, None, "s", 0)]
+    kept = corpus_pipeline.keep_languages(spark, spark.createDataFrame(rows, DOCS), SF_DIR)
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2}
+
+
 def test_near_copy_stage_equals_brute_force(spark):
     """Planted copies with scattered word replacements, on both sides of a 5-word similarity of 0.8."""
     draw = random.Random(11)
