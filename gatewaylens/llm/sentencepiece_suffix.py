@@ -32,7 +32,8 @@ from gatewaylens.llm.common import fresh_name, slices
 BLANK = "\u2581"  # fixed value: stands for a blank
 SLICE = 1 << 20
 SYMBOLS_AT_ONCE = 150_000  # of distinct chunks that are indexed together
-KNOWN_CHUNKS = 100_000  # chunks in each of the two generations that a worker remembers; any number gives the same ids
+KNOWN_BYTES = 24 << 20  # of chunks in each of the two generations that a worker remembers; any number gives the same ids
+ENTRY_BYTES = 200  # that a remembered chunk takes beside its characters and ids
 KNOWN_PAIRS = 1 << 19
 NEVER = np.iinfo(np.int64).max
 
@@ -53,6 +54,11 @@ class Pieces:
     matrix: np.ndarray = field(default=None)  # code points of the pieces in `ids`, zeros behind
     young: dict = field(default_factory=dict)  # chunk -> ids as bytes of int32
     old: dict = field(default_factory=dict)
+    young_bytes: int = 0
+
+    def forget(self) -> None:
+        """Gives the memory back: a worker process goes on with other tasks."""
+        self.young, self.old, self.young_bytes = {}, {}, 0
 
 
 @lru_cache(maxsize=4)
@@ -318,18 +324,27 @@ def encode_chunks(chunks: list[str], path: str) -> tuple[np.ndarray, np.ndarray]
     if not len(spelled):
         return piece, np.bincount(chunk, minlength=len(chunks))
     width = np.ones(len(piece), np.int64)
-    raw = [_bytes_of(int(points[at[n]]), chunks[chunk[n]], int(at[n] - begins[chunk[n]])) for n in spelled]
-    width[spelled] = [len(r) for r in raw]
+    # The bytes of all spelled characters, by their code points; U+FFFE stood in for NUL above.
+    point = points[at[spelled]].astype(np.int64)
+    for n in np.flatnonzero(point == 0xFFFE):
+        place = spelled[n]
+        point[n] = ord(chunks[chunk[place]][at[place] - begins[chunk[place]]])
+    spelled_ids, sizes = _byte_pieces(point, pieces)
+    width[spelled] = sizes
     out = np.repeat(piece, width)
-    starts = np.cumsum(width) - width
-    for n, r in zip(spelled, raw):
-        spelled_ids = pieces.byte_ids[list(r)]
-        out[starts[n]:starts[n] + len(r)] = np.where(spelled_ids < 0, pieces.unknown, spelled_ids)
+    out[np.repeat(piece == -1, width)] = spelled_ids
     return out, np.bincount(np.repeat(chunk, width), minlength=len(chunks))
 
 
-def _bytes_of(point: int, chunk: str, at: int) -> bytes:
-    return chunk[at].encode()
+def _byte_pieces(points: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the UTF-8 bytes of the code points in a row, and how many each has."""
+    sizes = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[sizes]
+    row = np.repeat(np.arange(len(points)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    part = points[row] >> (6 * (sizes[row] - 1 - place))
+    found = pieces.byte_ids[np.where(place == 0, lead[row] | part, 0x80 | (part & 0x3F))]
+    return np.where(found < 0, pieces.unknown, found), sizes
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -345,13 +360,17 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = SparkFiles.get(file)
-        for batch in batches:
-            for part in slices(batch, read, SLICE):
-                values, offsets = encode_texts(part.column(read).to_pylist(), local)
-                made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
-                made = pc.if_else(pc.is_null(part.column(read)), pa.scalar(None, made.type), made)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(f.name) for f in kept), made], names=[*(f.name for f in kept), ids])
+        try:
+            for batch in batches:
+                for part in slices(batch, read, SLICE):
+                    values, offsets = encode_texts(part.column(read).to_pylist(), local)
+                    made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+                    made = pc.if_else(pc.is_null(part.column(read)), pa.scalar(None, made.type), made)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(f.name) for f in kept), made], names=[*(f.name for f in kept), ids])
+        finally:
+            load_pieces(local).forget()
+            _follows.cache_clear()
 
     return docs.select(F.col(text).alias(read), *(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
 
@@ -370,8 +389,8 @@ def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.nda
 
 def _remembered(pieces: Pieces, chunks: set[str], path: str) -> dict[str, bytes]:
     """The worker's memory with all of these chunks; what was not used for long is forgotten."""
-    if len(pieces.young) > KNOWN_CHUNKS:
-        pieces.old, pieces.young = pieces.young, {}
+    if pieces.young_bytes > KNOWN_BYTES:
+        pieces.old, pieces.young, pieces.young_bytes = pieces.young, {}, 0
     young, old, new = pieces.young, pieces.old, []
     for chunk in chunks - young.keys():
         ids = old.get(chunk)
@@ -379,6 +398,7 @@ def _remembered(pieces: Pieces, chunks: set[str], path: str) -> dict[str, bytes]
             new.append(chunk)
         else:
             young[chunk] = ids
+            pieces.young_bytes += 4 * len(chunk) + len(ids) + ENTRY_BYTES
     new.sort(key=len)  # chunks of like length are relaxed in step
     symbols = np.cumsum([len(c) for c in new]) // SYMBOLS_AT_ONCE
     cuts = [0, *(np.flatnonzero(np.diff(symbols)) + 1).tolist(), len(new)] if new else []
@@ -387,6 +407,7 @@ def _remembered(pieces: Pieces, chunks: set[str], path: str) -> dict[str, bytes]
         raw, ends = values.astype(np.int32).tobytes(), np.cumsum(sizes) * 4
         for c, a, b in zip(new[start:stop], (ends - sizes * 4).tolist(), ends.tolist()):
             young[c] = raw[a:b]
+            pieces.young_bytes += 4 * len(c) + b - a + ENTRY_BYTES
     return young
 
 
@@ -402,11 +423,11 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces(SparkFiles.get(file))
         raw = _raw_pieces(pieces)
+        both = _doubled(raw)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = pa.array([None if x is None else decode_ids(x, raw, pieces.add_blank)
-                                 for x in part.column(read).to_pylist()], pa.string())
+                made = decode_lists(part.column(read), raw, both, pieces.add_blank)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(f.name) for f in kept), made], names=[*(f.name for f in kept), text])
 
@@ -429,6 +450,30 @@ def decode_ids(ids: list[int], raw: list[bytes], add_blank: bool) -> str:
     return text[1:] if add_blank and text.startswith(" ") else text
 
 
+def _doubled(raw: list[bytes]) -> pa.Array:
+    """The pieces, and behind them the pieces without the blank that they begin with."""
+    return pa.array([*raw, *(r.removeprefix(b" ") for r in raw)], pa.binary())
+
+
+def decode_lists(ids: pa.ListArray, raw: list[bytes], both: pa.Array, add_blank: bool) -> pa.Array:
+    """The text of every list: its pieces' bytes joined, without the blank that encoding puts in front."""
+    known = np.array(ids.flatten(), np.int64)
+    if len(known) and not 0 <= known.min() <= known.max() < len(raw):
+        raise IndexError("an id outside the vocabulary")
+    ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()])
+    begins = ends[:-1][np.diff(ends) > 0]
+    if add_blank:
+        if any(not raw[i] for i in known[begins].tolist()):  # a list that begins with a piece without text
+            return pa.array([None if x is None else decode_ids(x, raw, True) for x in ids.to_pylist()], pa.string())
+        known[begins] += len(raw)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both.take(pa.array(known))), b"")
+    try:
+        made = joined.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        made = pa.array([data.decode("utf-8", "replace") for data in joined.to_pylist()], pa.string())
+    return pc.if_else(pc.is_null(ids), pa.scalar(None, pa.string()), made)
+
+
 def _shipped(docs: DataFrame, path: str) -> str:
     """The model file's name on the executors; the file is sent with the job."""
     context = docs.sparkSession.sparkContext

@@ -73,7 +73,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label:
     """Training texts with their label; an id with several labels is toxic if one of them says so."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg(F.max(label).alias("toxic"))
     rows = docs.where(learned & F.col(text).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
-    return rows.join(known, "doc").select("doc", "text", (F.col("toxic") > 0).cast("long").alias("toxic"))
+    # Always by merging: labels grow with the corpus, and a plan that changes with their size could not be planned for.
+    return rows.join(known.hint("merge"), "doc").select("doc", "text", (F.col("toxic") > 0).cast("long").alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame, learned: Column | None = None, id_col: str = "doc_id", text: str = "text",

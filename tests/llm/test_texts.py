@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gatewaylens.llm import language_id, lm_scoring, pii, sentencepiece_suffix
+from gatewaylens.llm import language_id, lm_scoring, pii, sentencepiece_suffix, simhash_dedup
 from gatewaylens.llm.common import read_table, remainder
 from gatewaylens.llm.registered import TOKENIZER
 from pyspark.sql import functions as F
@@ -309,29 +309,26 @@ def test_language_stage_without_labels_keeps_documents_with_letters(spark):
     assert {r["doc_id"] for r in kept.collect()} == {1, 2}
 
 
-def test_near_copy_stage_equals_brute_force(spark):
-    """Planted copies with scattered word replacements, on both sides of a 5-word similarity of 0.8."""
+def test_simhash_stage_keeps_one_document_of_each_group(spark):
+    """Copies with a word changed: some are within 2 bits of the fingerprint of 3-word shingles, some are not."""
     draw = random.Random(11)
-
-    def words(n):
-        return ["".join(draw.choices("abcdefgh", k=draw.randint(3, 7))) for _ in range(n)]
-
-    def shingles(text):
-        own = text.split()
-        return {tuple(own[n:n + 5]) for n in range(max(1, len(own) - 4))}
-
-    texts = []
-    for _ in range(60):
-        base = words(draw.randint(100, 600))
+    texts = [None, "", " \n"]
+    for _ in range(40):
+        base = ["".join(draw.choices("abcdefgh", k=draw.randint(3, 7))) for _ in range(draw.randint(100, 600))]
         copy = list(base)
-        for at in draw.sample(range(len(base)), max(1, int(len(base) * draw.uniform(0.002, 0.035)))):
-            copy[at] = "zz" + str(draw.randint(0, 999))
-        texts += [" ".join(base), " ".join(copy)]
-    near = [len(a & b) / len(a | b) >= 0.8 for a, b in zip(map(shingles, texts[::2]), map(shingles, texts[1::2]))]
-    assert 20 < sum(near) < 60
-    docs = spark.createDataFrame([(n, t, None, "s", len(t)) for n, t in enumerate(texts)], DOCS).repartition(3)
-    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF_DIR).collect()}
-    assert kept == set(range(0, 120, 2)) | {2 * n + 1 for n, gone in enumerate(near) if not gone}
+        copy[draw.randrange(len(copy))] = "zz"
+        texts += [" ".join(base), " ".join(base).upper(), " ".join(copy)]
+    marks = [simhash_dedup.simhash(simhash_dedup.shingle_hashes(t, 3)) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if bin(marks[a] ^ marks[b]).count("1") <= 2 and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    assert 43 < len(set(group)) < 75
+    docs = spark.createDataFrame([(n, t, None, "s", None) for n, t in enumerate(texts)], DOCS).repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF_DIR)
+    assert {r["doc_id"] for r in kept.collect()} == set(group) and kept.columns == docs.columns
 
 
 def test_pipeline_keeps_clean_documents_and_survives_odd_ones(spark, tmp_path):
