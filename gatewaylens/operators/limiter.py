@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
 from gatewaylens.operators import recurrence as R
+from gatewaylens.operators.shifts import Run, Shifts, from_steps, identity
 
 MICRO = 1_000_000
 
@@ -45,19 +47,43 @@ class TokenBucket(R.Rule):
                 passed.append(False)
         return (None if level is None else [int(level), int(last)]), passed
 
-    def step_width(self, arg):
-        return self.unit
-
-    def is_event(self, arg):
-        return arg > 0
-
-    def to_time(self, state):
-        # With one token in the bucket a request passes once the token is whole again.
-        return R.NEVER if state is None else state[1] + self.unit - min(state[0], self.unit)
-
-    def from_time(self, time, payload):
-        last = payload[0]
-        return None if time == R.NEVER else [min(self.unit, last - time + self.unit), last]
+    # A state's place is where the bucket was last empty, on the axis of what has been refilled since the chunk's first row.
+    def enter(self, state, head):
+        return R.NEVER if state is None else -int(self.level_at(state, *head))
+
+    def leave(self, place, tail):
+        return None if tail is None or place <= R.NEVER // 2 else [tail[1] - place, tail[0]]
+
+    def settle(self, state):
+        return (R.NEVER, None) if state is None else (-state[0], (state[1], 0))
+
+    def gap(self, tail, head):
+        return tail[1] + (head[0] - tail[0]) * head[1]
+
+    def function(self, kind, payload, times, args):
+        counts = args > 0
+        times, args = times[counts], args[counts]
+        head = (int(times[0]), int(args[0]))
+        places = np.cumsum(np.diff(times, prepend=times[:1]) * args)
+        tail = (int(times[-1]), int(places[-1]))
+        full = head[1] * self.unit
+        if kind == R.STEPS:  # one token: a place is a token behind the time at which it is whole again
+            lo, out = R.step_function(np.unique(places) - self.unit, self.unit)
+            return head, tail, from_steps(lo, out)
+        n, bound = payload[2], payload[3]
+        try:
+            # Whole tokens are spent from a bucket that never fills up: one less for every token that it came emptier.
+            spent = max(-full, bound - n * self.unit)
+            first = bound - self.unit * ((bound - spent) // self.unit)
+            bounds = np.unique([-full, *range(first, 1, self.unit), 0])
+            ends = np.array([payload[-2] - self.close(payload, [-x, head[0]])[0] for x in bounds.tolist()], np.int64)
+            whole = bounds == -full  # and a bucket that came fuller, or had no history, was full
+            return head, tail, Shifts(bounds, whole, np.where(whole, ends, ends - bounds)).then(identity())
+        except R.Unresolved:
+            run = Run(self.unit, R.NEVER, 0)
+            for place, rate in zip(places.tolist(), args.tolist()):
+                run.add(place - rate * self.unit, place - self.unit)
+            return head, tail, run.function()
 
     def summary(self):
         return _BucketSummary(self)

@@ -2,13 +2,12 @@
 
 Rows are cut into even chunks in (key, time, id) order, so a hot key spans many chunks. Three passes:
 
-1. every chunk describes in one row what it does to the state that enters it;
-2. those rows, one per chunk, are chained to the state at the start of each chunk;
-3. every chunk replays its rows from that state.
+1. every chunk describes in one row the function from the state that enters it to the state that leaves it;
+2. those functions are composed up a tree of small groups, and the states handed down the same tree;
+3. every chunk replays its rows from the state that enters it.
 
-A chunk whose closing state does not depend on the entering one (the usual case) says so. Otherwise a rule
-may know a closed form, or the chunk is a step function of the entering time; long rows of step functions
-are combined by a tree of small group jobs, so that no task ever sees more than a few chunks.
+The functions (`shifts.py`) are closed under composition, so this holds for every load: the number of jobs follows the depth
+of the tree, no chunk waits for another one to be replayed, and the summaries never leave Spark.
 """
 
 from __future__ import annotations
@@ -25,52 +24,60 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gatewaylens.operators import shifts
 from gatewaylens.operators.ordered import in_order
+from gatewaylens.operators.shifts import NEVER, Shifts
 from gatewaylens.session import written
 
-NEVER = -(2**62)  # an entering time before all others: nothing has happened yet
 FOREVER = 2**62
 RADIX = 8  # chunks combined by one group of the tree
 
+# A chunk, or a run of chunks: its first key with the state that key begins with, its last key, where its axis begins and ends
+# (time and rate of the first row, time and place of the newest; null without rows that count), and its function.
 SUMMARY = (
-    "chunk int, first_key string, first_state string, last_key string, single boolean, arg long, kind string, payload string"
+    "place long, first_key string, first_state string, last_key string, head array<bigint>, tail array<bigint>, "
+    "upto array<bigint>, fixed array<boolean>, by array<bigint>"
 )
 # What is kept of a key between runs: its state and the time of its newest row.
 STATES = "key_ string, state_ string, seen_ long"
-# What a chunk does to the entering state: it ends in a known one, leaves it alone, follows a closed form,
-# is a step function of the entering time, or has to be replayed once that state is known.
-KNOWN, SAME, CLOSED, STEPS, REPLAY = "known", "same", "closed", "steps", "replay"
+# How a chunk that holds one key only is described: it ends in a known state, has no row that counts, follows a closed form, is a
+# step function of the entering time, or is none of these and composed row by row.
+KNOWN, SAME, CLOSED, STEPS = "known", "same", "closed", "steps"
 
 
 State = int | list[int] | None
+Ends = tuple[int, int] | None
 
 
 class Rule:
-    """A recurrence. States are whole numbers or lists of them, None where the key has no history."""
+    """A recurrence. States are whole numbers or lists of them, None where the key has no history.
 
-    def step_width(self, arg: int) -> int:
-        """Time that must pass between two events of a step function."""
+    On the axis of a chunk, a state is one whole number, `NEVER` for None: `enter` and `leave` translate.
+    """
+
+    def replay(self, state: State, times: list[int], args: list[int]) -> tuple[State, list[bool]]:
         raise NotImplementedError
 
-    def is_event(self, arg: int) -> bool:
-        """Whether a row with this argument can change the state of a step function."""
+    def summary(self) -> "Summary":
         raise NotImplementedError
 
-    def replay(self, state: State, times: list[int], args: list[int]) -> tuple[State, list[bool]]:
+    def enter(self, state: State, head: Ends) -> int:
+        """A state where the axis with this head begins."""
         raise NotImplementedError
 
-    def summary(self) -> "Summary":
+    def leave(self, place: int, tail: Ends) -> State:
         raise NotImplementedError
 
-    def close(self, payload: list, state: State) -> State:
-        """Closing state by the closed form; raises Unresolved where that does not hold for this state."""
+    def settle(self, state: State) -> tuple[int, Ends]:
+        """A place and a tail that stand for a known state."""
         raise NotImplementedError
 
-    def to_time(self, state: State) -> int:
+    def gap(self, tail: Ends, head: Ends) -> int:
+        """How far the next axis begins behind the one before."""
         raise NotImplementedError
 
-    def from_time(self, time: int, payload: list) -> State:
-        """The state after a chunk of steps that closes at a time; `payload` is the chunk's own."""
+    def function(self, kind: str, payload: list, times: np.ndarray, args: np.ndarray) -> tuple[Ends, Ends, Shifts]:
+        """Head, tail and function of a chunk of one key that is not KNOWN."""
         raise NotImplementedError
 
 
@@ -125,40 +132,51 @@ def _batches(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def _summarise(rule: Rule):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = first_key = first_state = last_key = None
-        arg, single, state = 0, True, None
+        single, state = True, None
         summary = rule.summary()
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of one chunk and one key, while its end is not known
         for batch, b in _batches(source):
             if chunk is None:
-                chunk, first_key, arg = batch.column("chunk")[0].as_py(), b.keys[0].as_py(), int(b.args[0])
+                chunk, first_key = batch.column("chunk")[0].as_py(), b.keys[0].as_py()
                 first_state = b.opening(0)
                 b.starts = b.starts[1:]
             last_key = b.keys[batch.num_rows - 1].as_py()
             if b.starts:
                 # Another key begins here: only the last one can go on in the next chunk.
-                single = False
+                single, held = False, []
                 begin = b.starts[-1]
                 state, _ = rule.replay(b.opening(begin), b.times[begin:].tolist(), b.args[begin:].tolist())
             elif single:
                 summary.add(b.times.tolist(), b.args.tolist())
+                held = [] if summary.state is not None else [*held, (b.times, b.args)]
             else:
                 state, _ = rule.replay(state, b.times.tolist(), b.args.tolist())
-        if chunk is not None:
-            kind, payload = summary.finish() if single else (KNOWN, [state])
-            yield pa.RecordBatch.from_pylist([{
-                "chunk": chunk, "first_key": first_key, "first_state": json.dumps(first_state), "last_key": last_key,
-                "single": single, "arg": arg, "kind": kind, "payload": json.dumps(payload),
-            }], schema=_SUMMARY_ARROW)
+        if chunk is None:
+            return
+        kind, payload = summary.finish() if single else (KNOWN, [state])
+        if kind == KNOWN:
+            end, tail = rule.settle(payload[0])
+            head, made = (0, 0), shifts.constant(end)
+        elif kind == SAME:
+            head, tail, made = None, None, shifts.identity()
+        else:
+            head, tail, made = rule.function(kind, payload, *(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_pylist([{
+            "place": chunk, "first_key": first_key, "first_state": json.dumps(first_state), "last_key": last_key,
+            "head": head, "tail": tail, "upto": made.upto, "fixed": made.fixed, "by": made.by,
+        }], schema=_SUMMARY_ARROW)
     return run
 
 
 _SUMMARY_ARROW = pa.schema([
-    ("chunk", pa.int32()), ("first_key", pa.string()), ("first_state", pa.string()), ("last_key", pa.string()),
-    ("single", pa.bool_()), ("arg", pa.int64()), ("kind", pa.string()), ("payload", pa.string()),
+    ("place", pa.int64()), ("first_key", pa.string()), ("first_state", pa.string()), ("last_key", pa.string()),
+    ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64())),
+    ("upto", pa.list_(pa.int64())), ("fixed", pa.list_(pa.bool_())), ("by", pa.list_(pa.int64())),
 ])
 
 
-def _decide(rule: Rule, entering: dict[int, State], out: str, keep: bool = False):
-    """Replays each chunk from its entering state. With `keep`, the last row of a key in each batch also
+def _decide(rule: Rule, out: str, keep: bool = False):
+    """Replays each chunk from the state in `enter_`. With `keep`, the last row of a key in each batch also
     carries the state after it."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +184,8 @@ def _decide(rule: Rule, entering: dict[int, State], out: str, keep: bool = False
         for batch, b in _batches(source):
             if not begun:
                 begun = True
-                state = entering.get(batch.column("chunk")[0].as_py())
+                known = batch.column("enter_")[0].as_py()
+                state = None if known is None else json.loads(known)
                 b.starts = b.starts[1:]
             times, args = b.times.tolist(), b.args.tolist()
             marks: list[bool] = []
@@ -185,55 +204,10 @@ def _decide(rule: Rule, entering: dict[int, State], out: str, keep: bool = False
     return run
 
 
-INNER = ("key_", "at_", "arg_", "state_", "pos", "chunk")
+INNER = ("key_", "at_", "arg_", "state_", "pos", "chunk", "enter_")
 KEPT = ("key_", "at_", "pos")
 
 
-def _closing_states(rule: Rule, entering: dict[int, State]):
-    """Closing state of single-key chunks replayed from a known entering state."""
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, state = None, None
-        for batch, b in _batches(source):
-            if chunk is None:
-                chunk = batch.column("chunk")[0].as_py()
-                if chunk not in entering:
-                    return
-                state = entering[chunk]
-            state, _ = rule.replay(state, b.times.tolist(), b.args.tolist())
-        if chunk is not None:
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "state": [json.dumps(state)]})
-    return run
-
-
-def _step_rows(rule: Rule, places: dict[int, tuple[int, int]]):
-    """The step function of single-key chunks: an entering time up to `lo` leads to the closing time `out`."""
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, width, parts = None, 0, []
-        for batch, b in _batches(source):
-            if chunk is None:
-                chunk = batch.column("chunk")[0].as_py()
-                if chunk not in places:
-                    return
-                width = rule.step_width(int(b.args[0]))
-            keep = np.fromiter((rule.is_event(a) for a in b.args.tolist()), bool, len(b.args))
-            parts.append(b.times[keep])
-        if chunk is None:
-            return
-        events = np.unique(np.concatenate(parts))
-        lo, out = step_function(events, width)
-        stretch, place = places[chunk]
-        n = len(lo)
-        top = int(events[0]) + width
-        yield pa.RecordBatch.from_pydict({
-            "stretch": pa.array([stretch] * n, pa.int64()), "place": pa.array([place] * n, pa.int64()),
-            "lo": pa.array(lo, pa.int64()), "out": pa.array(out, pa.int64()), "top": pa.array([top] * n, pa.int64()),
-        })
-    return run
-
-
-STEP_ROWS = "stretch long, place long, lo long, out long, top long"
-
-
 def step_function(events: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Closing time by entering time, for sorted distinct event times that fire at least `width` apart.
 
@@ -265,132 +239,98 @@ def apply_steps(lo: np.ndarray, out: np.ndarray, entering: np.ndarray) -> np.nda
     return result
 
 
-def _tables(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
-    ordered = pdf.sort_values(["place", "lo"])
+@dataclass
+class Link:
+    """A chunk or a run of chunks, as a row of SUMMARY has it."""
+
+    place: int
+    first_key: str
+    first_state: State
+    last_key: str
+    head: Ends
+    tail: Ends
+    made: Shifts
+
+    @property
+    def idle(self) -> bool:
+        """One key without a row that counts: the state passes through."""
+        return self.head is None
+
+    def close(self, rule: Rule, state: State) -> State:
+        return state if self.idle else rule.leave(int(self.made(rule.enter(state, self.head))), self.tail)
+
+
+def _links(pdf: pd.DataFrame) -> list[Link]:
+    def ends(value) -> Ends:
+        return None if value is None else tuple(int(x) for x in value)
+
     return [
-        (int(place), g["lo"].to_numpy(), g["out"].to_numpy(), int(g["top"].iloc[0]))
-        for place, g in ordered.groupby("place", sort=True)
-    ]
-
-
-def _compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    stretch, group = key
-    (_, lo, out, top), *later = _tables(pdf)
-    for _, next_lo, next_out, _ in later:
-        through = apply_steps(next_lo, next_out, out)
-        beyond = next_lo > lo[-1]
-        if lo[-1] < top and beyond.any():
-            extra = min(int(np.searchsorted(next_lo[beyond], top, "left")) + 1, int(beyond.sum()))
-            through = np.concatenate([through, next_out[beyond][:extra]])
-            lo = np.concatenate([lo, next_lo[beyond][:extra]])
-        lo, out = _distinct_steps(lo, through)
-    return pd.DataFrame({"stretch": stretch, "place": group, "lo": lo, "out": out, "top": top})
-
-
-def _descend(key: tuple, states: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
-    """Entering and closing time of each member of a group, from the group's entering time."""
-    rows = []
-    if len(states) and len(tables):
-        now = np.array([states["entering"].iloc[0]], dtype=np.int64)
-        for place, lo, out, _ in _tables(tables):
-            after = apply_steps(lo, out, now)
-            rows.append((key[0], place, int(now[0]), int(after[0])))
-            now = after
-    return pd.DataFrame(rows, columns=["stretch", "place", "entering", "closing"]).astype("int64")
-
-
-def _through_steps(rows: DataFrame, heads: list[tuple[int, int]], longest: int) -> list:
-    """Entering and closing time of every chunk of every stretch of step functions.
-
-    Step functions of RADIX neighbours are composed to one, again and again; then the entering times are
-    handed down the same tree. A group holds a bounded number of chunk summaries, whatever the key.
+        Link(int(r.place), r.first_key, json.loads(r.first_state), r.last_key, ends(r.head), ends(r.tail),
+             Shifts(np.asarray(r.upto, np.int64), np.asarray(r.fixed, bool), np.asarray(r.by, np.int64)))
+        for r in pdf.sort_values("place").itertuples()]
+
+
+def joined(rule: Rule, a: Link, b: Link) -> Link:
+    """The run of `a` and then `b`."""
+    if a.last_key != b.first_key:  # a key that begins with `b`: nothing of `a` comes through
+        place, tail = rule.settle(b.close(rule, b.first_state))
+        return Link(a.place, a.first_key, a.first_state, b.last_key, a.head or (0, 0), tail, shifts.constant(place))
+    if b.idle:
+        return Link(a.place, a.first_key, a.first_state, b.last_key, a.head, a.tail, a.made)
+    if a.idle:
+        return Link(a.place, a.first_key, a.first_state, b.last_key, b.head, b.tail, b.made)
+    if a.tail is None:  # the key has no history yet
+        made = shifts.constant(int(b.made(NEVER)))
+    else:
+        made = a.made.then(b.made, rule.gap(a.tail, b.head))
+    return Link(a.place, a.first_key, a.first_state, b.last_key, a.head, b.tail, made)
+
+
+def _compose(rule: Rule):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first, *later = _links(pdf)
+        for link in later:
+            first = joined(rule, first, link)
+        made = first.made
+        return pd.DataFrame([{
+            "place": key[0], "first_key": first.first_key, "first_state": json.dumps(first.first_state), "last_key": first.last_key,
+            "head": first.head, "tail": first.tail, "upto": made.upto, "fixed": made.fixed, "by": made.by}])
+    return run
+
+
+def _descend(rule: Rule):
+    """The key before each member of a group and its state there, from those before the group."""
+    def run(key: tuple, before: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        last, state = (before["last_key"].iloc[0], json.loads(before["state"].iloc[0])) if len(before) else (None, None)
+        rows = []
+        for link in _links(members):
+            goes_on = link.first_key == last
+            entering = state if goes_on else link.first_state
+            rows.append((link.place, last, json.dumps(state), json.dumps(entering) if entering is not None else None))
+            last, state = link.last_key, link.close(rule, entering)
+        return pd.DataFrame(rows, columns=["place", "last_key", "state", "enter_"])
+    return run
+
+
+def _entering_states(rule: Rule, chunked: DataFrame) -> DataFrame:
+    """(chunk, enter_): the state at the start of each chunk, null where its key has no history.
+
+    Functions of RADIX neighbours are composed to one, again and again; then the states are handed down the same tree. A group
+    holds a bounded number of summaries, whatever the key.
     """
-    spark = rows.sparkSession
-    levels = [rows.checkpoint()]
-    size = longest
+    chunked = chunked.select("key_", "at_", "arg_", "chunk", *[c for c in chunked.columns if c == "state_"])
+    levels = [chunked.mapInArrow(_summarise(rule), SUMMARY).checkpoint()]
+    size = (levels[0].agg(F.max("place")).first()[0] or 0) + 1
     while size > RADIX:
-        grouped = levels[-1].groupBy("stretch", F.expr(f"place div {RADIX}").alias("group"))
-        levels.append(grouped.applyInPandas(_compose, STEP_ROWS).checkpoint())
+        levels.append(levels[-1].groupBy(F.expr(f"place div {RADIX}").alias("group")).applyInPandas(_compose(rule), SUMMARY).checkpoint())
         size = -(-size // RADIX)
-    states = spark.createDataFrame(heads, "stretch long, entering long").withColumn("group", F.lit(0).cast("long"))
+    found = chunked.sparkSession.createDataFrame([], "group long, last_key string, state string, enter_ string")
     for level in reversed(levels):
-        tables = level.withColumn("group", F.expr(f"place div {RADIX}"))
-        pairs = states.groupBy("stretch", "group").cogroup(tables.groupBy("stretch", "group"))
-        found = pairs.applyInPandas(_descend, "stretch long, place long, entering long, closing long").checkpoint()
-        states = found.select("stretch", F.col("place").alias("group"), "entering")
-    return found.collect()
-
-
-def _entering_states(rule: Rule, chunked: DataFrame) -> dict[int, State]:
-    """State at the start of each chunk, from one summary row per chunk."""
-    chunked = chunked.select("key_", "at_", "arg_", "chunk", *[c for c in chunked.columns if c == "state_"])
-    rows = sorted(chunked.mapInArrow(_summarise(rule), SUMMARY).collect(), key=lambda r: r["chunk"])
-    closed: dict[int, State] = {}  # closing states found by jobs
-    while True:
-        entering: dict[int, State] = {}
-        waiting: list[int] = []
-        carry, carry_key, known = None, None, True
-        for n, row in enumerate(rows):
-            chunk = row["chunk"]
-            goes_on = n > 0 and row["first_key"] == carry_key
-            state, state_known = (carry, known) if goes_on else (json.loads(row["first_state"]), True)
-            carry_key = row["last_key"]
-            if state_known:
-                entering[chunk] = state
-            payload = json.loads(row["payload"])
-            known = True
-            if row["kind"] == KNOWN:
-                carry = payload[0]
-            elif chunk in closed:
-                carry = closed[chunk]
-            elif not state_known:
-                carry, known = None, False
-            elif row["kind"] == SAME:
-                carry = state
-            else:
-                try:
-                    if row["kind"] != CLOSED:
-                        raise Unresolved
-                    carry = rule.close(payload, state)
-                except Unresolved:
-                    waiting.append(n)
-                    carry, known = None, False
-        if not waiting:
-            # Chunks that begin with a fresh key need no entry; what ships to the tasks stays small.
-            return {chunk: state for chunk, state in entering.items() if state is not None}
-        closed.update(_run_waiting(rule, chunked, rows, waiting, entering))
-
-
-def _run_waiting(rule, chunked, rows, waiting, entering) -> dict[int, State]:
-    found: dict[int, State] = {}
-    places: dict[int, tuple[int, int]] = {}
-    heads: list[tuple[int, int]] = []
-    longest = 0
-    to_replay: dict[int, State] = {}
-    for n in waiting:
-        if rows[n]["kind"] != STEPS:
-            to_replay[rows[n]["chunk"]] = entering[rows[n]["chunk"]]
-            continue
-        stretch, end = len(heads), n
-        while end < len(rows) and rows[end]["kind"] in (STEPS, SAME) and rows[end]["first_key"] == rows[n]["first_key"]:
-            if rows[end]["kind"] == STEPS:
-                places[rows[end]["chunk"]] = (stretch, end - n)
-            end += 1
-        heads.append((stretch, rule.to_time(entering[rows[n]["chunk"]])))
-        longest = max(longest, end - n)
-    if places:
-        wanted = chunked.where(F.col("chunk").isin(list(places)))
-        steps = wanted.mapInArrow(_step_rows(rule, places), STEP_ROWS)
-        by_place = {place: chunk for chunk, place in places.items()}
-        payloads = {row["chunk"]: json.loads(row["payload"]) for row in rows if row["chunk"] in places}
-        for row in _through_steps(steps, heads, longest):
-            chunk = by_place[(row["stretch"], row["place"])]
-            found[chunk] = rule.from_time(row["closing"], payloads[chunk])
-    if to_replay:
-        wanted = chunked.where(F.col("chunk").isin(list(to_replay)))
-        for row in wanted.mapInArrow(_closing_states(rule, to_replay), "chunk int, state string").collect():
-            found[row["chunk"]] = json.loads(row["state"])
-    return found
+        members = level.withColumn("group", F.expr(f"place div {RADIX}"))
+        pairs = found.groupBy("group").cogroup(members.groupBy("group"))
+        found = pairs.applyInPandas(_descend(rule), "place long, last_key string, state string, enter_ string")
+        found = found.withColumnRenamed("place", "group")
+    return found.select(F.col("group").cast("int").alias("chunk"), "enter_").checkpoint()
 
 
 def _replayed(
@@ -406,10 +346,11 @@ def _replayed(
         rows = rows.join(states, "key_", "left").withColumn("at_", F.greatest("at_", "seen_")).drop("seen_")
     order = [F.col("at_"), F.col(id_col)]
     placed = in_order(rows, ["key_"], order, partitions)
-    entering = _entering_states(rule, placed)
+    # One row per chunk, so no more than there are partitions: small enough to go to every task.
+    started = placed.join(F.broadcast(_entering_states(rule, placed)), "chunk", "left")
     passed_on = [f for f in placed.schema.fields if f.name in df.columns or (keep and f.name in KEPT)]
     added = [T.StructField(out, T.BooleanType())] + ([T.StructField("after_", T.StringType())] if keep else [])
-    return placed.mapInArrow(_decide(rule, entering, out, keep), T.StructType([*passed_on, *added]))
+    return started.select(*placed.columns, "enter_").mapInArrow(_decide(rule, out, keep), T.StructType([*passed_on, *added]))
 
 
 def decide(

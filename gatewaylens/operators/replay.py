@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
 from gatewaylens.operators import recurrence as R
+from gatewaylens.operators.shifts import from_steps
 
 MICRO = 1_000_000
 
@@ -33,17 +35,21 @@ class CacheLifetime(R.Rule):
                     ends = t + ttl if ttl > 0 else R.FOREVER
         return (None if ends == R.NEVER else ends), hits
 
-    def step_width(self, arg):
-        return self.ttl
+    # A state's place is its time.
+    def enter(self, state, head):
+        return R.NEVER if state is None else state
 
-    def is_event(self, arg):
-        return arg == 1
+    def leave(self, place, tail):
+        return None if place <= R.NEVER // 2 else place
 
-    def to_time(self, state):
-        return R.NEVER if state is None else state
+    def settle(self, state):
+        return (R.NEVER, None) if state is None else (state, (0, 0))
+
+    def gap(self, tail, head):
+        return 0
 
-    def from_time(self, time, payload):
-        return None if time == R.NEVER else time
+    def function(self, kind, payload, times, args):
+        return (0, 0), (0, 0), from_steps(*R.step_function(np.unique(times[args == 1]), self.ttl))
 
     def summary(self):
         return _LifetimeSummary(self)

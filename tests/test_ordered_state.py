@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatewaylens.operators import limiter, recurrence, replay
+from gatewaylens.operators import limiter, recurrence, replay, shifts
 from gatewaylens.operators.ordered import in_order, last_before, numbered, prefix_cutoff
 
 START = dt.datetime(2024, 1, 1)
@@ -233,3 +233,43 @@ def test_cutoff_finds_the_exact_row(spark, spread):
                 break
         assert prefix_cutoff(df, ["at", "id"], F.col("w"), need, cells=7) == {"at": at, "id": i}
     assert prefix_cutoff(df, ["at"], F.col("w"), 10**9) is None
+
+
+def test_clamped_shifts_compose_like_their_rows():
+    """Rows with changing sizes, cut anywhere, on an axis that begins elsewhere after the cut."""
+    rnd = random.Random(1)
+    for _ in range(150):
+        unit, place, rows = rnd.choice([3, 10, 50]), 0, []
+        for _ in range(rnd.randint(1, 50)):
+            place += rnd.randint(0, 2 * unit // rnd.choice([1, 2, 3]))
+            rows.append((place - rnd.choice([1, 1, 2, 5]) * unit, place - unit))
+
+        def of(part, back=0):
+            run = shifts.Run(unit, shifts.NEVER, 10**6)
+            for a, b in part:
+                run.add(a - back, b - back)
+            return run.function()
+
+        cut, back = rnd.randint(0, len(rows)), rnd.randint(-20, 20)
+        whole, both = of(rows), of(rows[:cut]).then(of(rows[cut:], back), back)
+        for place in [rnd.randint(-400, 200) for _ in range(30)]:
+            now = place
+            for a, b in rows:
+                now = max(now, a)
+                now += unit if now <= b else 0
+            assert int(whole(place)) == now and int(both(place)) == now - back
+
+
+def test_jobs_follow_the_depth_of_the_tree(spark):
+    """A bucket that neither fills up nor has a closed form costs no job per chunk."""
+    rows = log_rows(31, 3000, 0.35, 1.0, 3)
+    df = spark.createDataFrame(rows, LOG)
+    counts = []
+    for partitions in (10, 40):
+        tracker, group = spark.sparkContext.statusTracker(), f"bucket-{partitions}"
+        spark.sparkContext.setJobGroup(group, "bucket")
+        got = {r["id"]: r["allowed"] for r in limiter.rate_limit(df, F.col("rate"), 5, partitions=partitions).collect()}
+        counts.append(len(tracker.getJobIdsForGroup(group)))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got == bucket_by_hand(rows, 5)
+    assert counts[1] <= counts[0] + 12
