@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
 from gatewaylens.operators.ordered import prefix_cutoff
+from gatewaylens.operators.sweep import best_live
 
 ENTRY_KEY = ("method", "url", "content_hash")  # what two requests must share to share a response
 
@@ -78,61 +79,24 @@ def cache_snapshot(entries: DataFrame, at: Column, keys: Sequence[str] = ENTRY_K
     )
 
 
-BITS = 4  # a node of one level has 16 of the level below
-LEVELS = 14  # microseconds up to 2^56, the year 4253
-NEVER_ENDS = 1 << (BITS * LEVELS)
+def _entry_key(keys: Sequence[str]) -> Column:
+    """One text for all keys, null where one of them is."""
+    parts = [F.col(k).cast("string") for k in keys]
+    return F.concat(*[part for k in parts for part in (F.length(k).cast("string"), F.lit(":"), k)])
 
 
-def _node(at: Column, level: int) -> Column:
-    return F.shiftright(at, BITS * level)
-
-
-def _nodes_within(low: Column, high: Column) -> Column:
-    """The fewest nodes (level, first, last) that make up the times from `low` to before `high`.
-
-    At each level the nodes inside that are not part of a larger node inside: at most 30, at either end.
-    """
-    def inside(level: int) -> tuple[Column, Column]:
-        return _node(low + ((1 << (BITS * level)) - 1), level), _node(high, level)
-
-    spans = []
-    for level in range(LEVELS):
-        first, past = inside(level)
-        upper_first, upper_past = inside(level + 1)
-        covered = upper_first < upper_past
-        left_past = F.when(covered, F.least(past, upper_first * (1 << BITS))).otherwise(past)
-        right_first = F.greatest(first, upper_past * (1 << BITS))
-        spans.append((level, first, left_past, first < left_past))
-        spans.append((level, right_first, past, covered & (right_first < past)))
-    return F.array(*[
-        F.when(real, F.struct(F.lit(level).alias("level"), a.alias("first"), (b - 1).alias("last"))) for level, a, b, real in spans
-    ])
-
-
-def cache_lookup(requests: DataFrame, entries: DataFrame, keys: Sequence[str] = ENTRY_KEY) -> DataFrame:
+def cache_lookup(requests: DataFrame, entries: DataFrame, keys: Sequence[str] = ENTRY_KEY, partitions: int | None = None) -> DataFrame:
     """The entry each cacheable request finds: stored before it, still live, newest id; entries may end at any time or never.
 
-    Needs `id, created_at` and the `keys` on both sides. Time is a tree of nodes, each a sixteenth of the one
-    above. An entry's life is a few nodes per level, and of all entries that live throughout a node only the newest id
-    counts, so the entries shrink before they are joined; a request asks the one node per level that holds
-    it. Rows are linear in both inputs, and a busy key is spread over its nodes.
+    Needs `id, created_at` and the `keys` on both sides. One sweep in (key, time) order: a row per request and entry is shuffled, and
+    what is remembered are the live entries that no entry with a larger id outlives. A busy key is spread over chunks.
     """
     asked = requests.where(C.is_cacheable(F.col("method"))).select("id", *keys, "created_at")
-    low = C.micros(F.col("created_at")) + 1
-    high = F.coalesce(C.micros(F.col("expires_at")), F.lit(NEVER_ENDS))
-    lives = entries.select(*keys, "id", "created_at", low.alias("low"), high.alias("high")).where("low < high")
-    spans = lives.select(*keys, "id", "created_at", F.explode(_nodes_within(F.col("low"), F.col("high"))).alias("span"))
-    nodes = spans.where("span IS NOT NULL").select(
-        *keys, "id", "created_at", F.col("span.level").alias("level"), F.explode(F.sequence("span.first", "span.last")).alias("node"))
-    newest = nodes.groupBy(*keys, "level", "node").agg(
-        F.max("id").alias("entry_id"), F.max_by("created_at", "id").alias("stored_at"))
-    at = C.micros(F.col("created_at"))
-    places = F.array(*[F.struct(F.lit(level).alias("level"), _node(at, level).alias("node")) for level in range(LEVELS)])
-    probes = asked.select("id", *keys, "created_at", F.inline(places))
-    found = probes.join(newest, [*keys, "level", "node"], "left").groupBy("id").agg(
-        F.max("entry_id").alias("entry_id"), F.max_by("stored_at", "entry_id").alias("stored_at"),
-        F.any_value("created_at").alias("created_at"))
-    return found.select("id", "entry_id", C.age_seconds(F.col("stored_at"), F.col("created_at")).alias("age_s"))
+    found = best_live(
+        asked, entries, lambda: _entry_key(keys), "created_at", F.col("created_at"), F.col("expires_at"), F.col("id"),
+        F.struct(F.col("id"), C.micros(F.col("created_at")).alias("at")), "entry", partitions)
+    age = F.floor((C.micros(F.col("created_at")) - F.col("entry.at")) / 1_000_000).cast("bigint")
+    return found.select("id", F.col("entry.id").alias("entry_id"), age.alias("age_s"))
 
 
 HOUR_US = 3_600_000_000

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
-from gatewaylens.operators import cache, keys, limiter, logs, replay, tokens, usage
+from gatewaylens.operators import cache, keys, limiter, logs, replay, sweep, tokens, usage
 
 LOG = "id long, api_key string, method string, path string, status int, cache_hit boolean, created_at timestamp_ntz, body_bytes long"
 KEYS = "id long, key_hash string, hc_username string, app_name string, machine string, key_hint string, rate_limit_per_sec int, disabled boolean, created_at timestamp_ntz"
@@ -183,13 +183,36 @@ def test_lookup_takes_the_newest_id_of_any_lives(spark):
                    for i, _, url, _, t in asks}
 
 
-def test_a_life_is_few_nodes(spark):
-    lives = spark.createDataFrame([(0, 1), (5, 5), (-7, 100), (123456789, 987654321012), (3, cache.NEVER_ENDS)], "low long, high long")
-    for r in lives.select("low", "high", cache._nodes_within(F.col("low"), F.col("high")).alias("n")).collect():
-        spans = sorted((s["first"] << (4 * s["level"]), (s["last"] + 1) << (4 * s["level"])) for s in r["n"] if s)
-        assert sum(s["last"] - s["first"] + 1 for s in r["n"] if s) <= 30 * cache.LEVELS
-        joined = [x for span in spans for x in span]
-        assert joined == ([] if r["low"] >= r["high"] else [r["low"], *(x for e in spans[1:] for x in (e[0], e[0])), r["high"]])
+def test_skyline_equals_a_list_of_all_live_spans():
+    draw = random.Random(8)
+    sky, kept, now = sweep.Skyline(), [], 0
+    for n in range(3000):
+        now += draw.randrange(4)
+        if draw.random() < 0.6:
+            span = (draw.randrange(40), now + draw.randrange(1, 60), n)
+            sky.add(*span)
+            kept.append(span)
+        else:
+            live = [s for s in kept if s[1] > now]
+            best = max(live, key=lambda s: s[:2], default=None)
+            found = sky.best(now)
+            assert (found is None) == (best is None) and (best is None or [s for s in live if s[2] == found][0][:2] == best[:2])
+    assert len(sky.ranks) < 41 and sky.ranks == sorted(sky.ranks) and sky.ends == sorted(sky.ends, reverse=True)
+
+
+def test_sweep_carries_the_skyline_over_many_chunks(spark):
+    draw = random.Random(5)
+    spans = [(n, draw.choice(["a", "a", "a", "b", None]), at(b := draw.uniform(0, 5000)), None if n % 40 == 0 else at(b + draw.uniform(-1, 3000)), [draw.randrange(30), n])
+             for n in range(400)]
+    probes = [(n, draw.choice(["a", "a", "b", "c", None]), at(draw.uniform(-10, 9000)) if n % 50 else None) for n in range(500)]
+    found = sweep.best_live(
+        spark.createDataFrame(probes, "id long, k string, t timestamp_ntz"),
+        spark.createDataFrame(spans, "n long, k string, b timestamp_ntz, e timestamp_ntz, r array<long>"),
+        lambda: F.col("k"), "t", F.col("b"), F.col("e"), F.col("r"), F.col("n"), "best", partitions=20).collect()
+    assert {r["id"]: r["best"] for r in found} == {
+        i: max(((s[4], s[0]) for s in spans if t and k and s[1] == k and s[2] < t and (s[3] is None or s[3] > t)), default=(0, None))[1]
+        for i, k, t in probes}
+    assert len(found) == 500
 
 
 def test_trim_with_rows_without_a_time_or_size(spark):
