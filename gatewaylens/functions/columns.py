@@ -229,14 +229,14 @@ def is_live(expires: Column, at: Column) -> Column:
 
 
 def duration_ms(text: Column) -> Column:
-    """Milliseconds of a duration such as `1h2m3.5s`, `250ms` or `0s`."""
-    def part(pattern: str, factor: int) -> Column:
-        return F.coalesce(F.regexp_extract(text, pattern, 1).try_cast("double") * factor, F.lit(0.0))
-
-    total = (
-        part("([0-9]+)h", 3_600_000)
-        + part("([0-9]+)m(?:[^s]|$)", 60_000)
-        + part("([0-9.]+)s", 1000)
-        + part("([0-9.]+)ms", 1)
-    )
+    """Milliseconds of a duration such as `1h2m3.5s`, `250ms` or `0s`; its parts are found by one match."""
+    def value(part: Column) -> Column:
+        def times(unit: str, factor: int) -> Column:
+            return F.substr(part, F.lit(1), F.length(part) - len(unit)).try_cast("double") * factor
+
+        return F.coalesce(
+            F.when(part.endswith("ms"), times("ms", 1)).when(part.endswith("s"), times("s", 1000))
+            .when(part.endswith("m"), times("m", 60_000)).otherwise(times("h", 3_600_000)), F.lit(0.0))
+
+    total = F.aggregate(F.regexp_extract_all(text, F.lit("[0-9.]+(?:ms|[hms])"), 0), F.lit(0.0), lambda sum_, part: sum_ + value(part))
     return F.when(text != "", F.round(total).cast("bigint"))

@@ -8,36 +8,61 @@ from pyspark.sql import functions as F
 from gatewaylens.functions import columns as C
 
 # The access-log line and the words that mark a failure. The path is written decoded and without quotes,
-# so it may hold anything; what stands before and after it has a fixed form, and the last such end counts.
+# so it may hold anything; what stands before and after it has a fixed form, and the last such end counts. The group is that end.
 LINE = (
-    r'(?s)^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) (\S+) (.*) (\d{3}) \(([^()]*)\) ua="((?:[^"\\]|\\.)*)" key=(.*)$'
+    r'(?s)^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2} \S+ .* (\d{3} \([^()]*\) ua="(?:[^"\\]|\\.)*" key=.*)$'
 )
+AT_LENGTH = 19
 FAILURE_WORDS = "(?i)error|fail"
 
 
-def _fields(lines: DataFrame) -> DataFrame:
-    """`lines` with a struct of all fields, null for lines of another shape."""
-    names = ("at", "method", "path", "status", "duration", "ua", "key")
-    parts = F.struct(*[F.regexp_extract("line", LINE, n).alias(name) for n, name in enumerate(names, 1)])
-    return lines.select("*", parts.alias("parts"))
+def _cut(lines: DataFrame, only_requests: bool) -> DataFrame:
+    """`lines` with the fixed `end_` of each request line, empty for others; these go with `only_requests`.
+
+    The one match of the whole line: it is generated as a column of its own, so it is neither repeated per field nor
+    pushed into a filter. All other fields are cut by their places.
+    """
+    found = F.array(F.regexp_extract("line", LINE, 1))
+    chosen = F.filter(found, lambda end: end != "") if only_requests else found
+    return lines.select("*", F.explode(chosen).alias("end_"))
+
+
+def _rest() -> Column:
+    """What follows the time: method, path and end."""
+    return F.substr("line", F.lit(AT_LENGTH + 2))
+
+
+def _method() -> Column:
+    return F.substring_index(_rest(), " ", 1)
+
+
+def _path() -> Column:
+    begin = F.length(_method()) + 2  # in the rest
+    return F.substr(_rest(), begin, F.length("line") - AT_LENGTH - 1 - F.length("end_") - begin)
 
 
 def _parsed() -> list[Column]:
+    duration = F.substring_index(F.substr("end_", F.lit(6)), ")", 1)
+    agent = F.substr("end_", F.length(duration) + F.lit(12))  # behind the quote that opens it
+    # An agent ends at its first quote without a backslash; few have a backslash at all.
+    written = F.when(F.contains(F.substring_index(agent, '" key=', 1), F.lit("\\")), F.regexp_extract(agent, r'^((?:[^"\\]|\\.)*)"', 1)).otherwise(
+        F.substring_index(agent, '"', 1))
+    plain = F.when(F.contains(written, F.lit("\\")), F.regexp_replace(written, r'\\(["\\])', "$1")).otherwise(written)
     return [
-        F.try_to_timestamp(F.col("parts.at"), F.lit("yyyy/MM/dd HH:mm:ss")).cast("timestamp_ntz").alias("ts"),
-        F.col("parts.method").alias("method"),
-        F.col("parts.path").alias("path"),
-        F.col("parts.status").try_cast("int").alias("status"),
-        C.duration_ms(F.col("parts.duration")).alias("duration_ms"),
-        F.regexp_replace("parts.ua", r'\\(["\\])', "$1").alias("ua"),
-        F.col("parts.key").alias("key"),
+        F.try_to_timestamp(F.substr("line", F.lit(1), F.lit(AT_LENGTH)), F.lit("yyyy/MM/dd HH:mm:ss")).cast("timestamp_ntz").alias("ts"),
+        _method().alias("method"),
+        _path().alias("path"),
+        F.substr("end_", F.lit(1), F.lit(3)).try_cast("int").alias("status"),
+        C.duration_ms(duration).alias("duration_ms"),
+        plain.alias("ua"),
+        F.substr(agent, F.length(written) + F.lit(7)).alias("key"),
     ]
 
 
 def parse_access_log(lines: DataFrame) -> DataFrame:
     """Access-log text lines as columns. Lines of another shape are left out here; `unparsed_lines` has them."""
     others = [c for c in lines.columns if c != "line"]
-    return _fields(lines).where("parts.at != ''").select(*others, *_parsed())
+    return _cut(lines, True).select(*others, *_parsed())
 
 
 def unparsed_lines(lines: DataFrame) -> DataFrame:
@@ -55,9 +80,9 @@ def log_errors(lines: DataFrame) -> DataFrame:
 
     A failure line that is no request line counts under an empty path and no status.
     """
-    status = F.regexp_extract("line", LINE, 4).try_cast("int")
-    path = F.regexp_extract("line", LINE, 3)
-    rows = lines.where("line IS NOT NULL").select(
+    status = F.substr("end_", F.lit(1), F.lit(3)).try_cast("int")
+    path = F.when(F.col("end_") != "", _path()).otherwise("")
+    rows = _cut(lines.where("line IS NOT NULL"), False).select(
         status.alias("status"), path.alias("path"), F.col("line").rlike(FAILURE_WORDS).alias("speaks"))
     counts = rows.groupBy("status", "path").agg(F.count("*").alias("all"), F.count_if("speaks").alias("speaking"))
     # Chosen among counts, not rows: a filter on rows would be pushed down and parse every line again.

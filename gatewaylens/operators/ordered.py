@@ -68,37 +68,14 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     return joined.withColumn(name, number).drop("pos", "chunk", "first_pos", "before")
 
 
-def last_before(
-    probes: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, id_col: str, carried: Sequence[str]
-) -> DataFrame:
-    """As-of join: each probe with the newest fact of its key strictly before it (nulls where none).
-
-    Both sides are ordered together; at equal times the probe comes first, and a window inside each chunk carries
-    the newest fact forward. From chunk to chunk only the last fact of a key that goes on is carried: at most one
-    row per chunk, so the join that brings it back is small on one side.
+def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """`df` with the `value` of the row that follows within the key in `name`, null at the last one.
+
+    Rows meet their follower by an equi-join on the number, so a key with very many rows is in no single task.
     """
-    both = probes.select(*keys, at, id_col, F.lit(False).alias("is_fact")).unionByName(
-        facts.select(*keys, at, id_col, F.lit(True).alias("is_fact"), *carried), allowMissingColumns=True
-    )
-    order = [F.col(at), F.col("is_fact"), F.col(id_col)]
-    here = F.when(F.col("is_fact"), F.struct(*carried))
-    chunked = numbered_rows(both, keys, order)
-    fact_pos = F.when(F.col("is_fact"), F.col("pos"))
-    touched = chunked.groupBy(*keys, "chunk").agg(
-        F.max(fact_pos).alias("last_pos"), *[F.max_by(c, fact_pos).alias(c) for c in carried]
-    )
-    earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    handed_on = F.when(F.col("last_pos").isNotNull(), F.struct(*carried))
-    carry = touched.select(
-        *keys, "chunk", F.last(handed_on, ignorenulls=True).over(earlier).alias("from_earlier")
-    ).where("from_earlier IS NOT NULL")
-    carry = written(carry, "carried")
-    upto = Window.partitionBy(*keys, "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    inside = chunked.withColumn("near", F.last(here, ignorenulls=True).over(upto)).where("NOT is_fact")
-    found = F.coalesce("near", "from_earlier")
-    return inside.join(carry, [*keys, "chunk"], "left").select(
-        *keys, at, id_col, *[found[c].alias(c) for c in carried]
-    )
+    rows = written(numbered(df, keys, order, "n_"), "numbered")
+    following = rows.select(*keys, (F.col("n_") - 1).alias("n_"), F.col(value).alias(name))
+    return rows.join(following, [*keys, "n_"], "left").drop("n_")
 
 
 def prefix_cutoff(

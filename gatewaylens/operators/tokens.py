@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
-from gatewaylens.operators.ordered import numbered
+from gatewaylens.operators.ordered import numbered, with_next
+from gatewaylens.operators.sweep import best_live
 from gatewaylens.schemas import QUOTA_SNAPSHOT
 from gatewaylens.session import written
 
@@ -47,6 +48,59 @@ def choose_token(tokens: DataFrame, limits: DataFrame) -> DataFrame:
     return best.select("category", "best.*")
 
 
+def _parsed_quota(snapshots: DataFrame) -> DataFrame:
+    """A row per category of each snapshot; a number that the JSON does not have is 0."""
+    parsed = F.from_json("body", QUOTA_SNAPSHOT)["resources"]
+    rows = snapshots.select("token_id", "fetched_at", "snap_id", F.explode(parsed).alias("category", "quota"))
+    return rows.select(
+        "token_id", "category", "fetched_at", "snap_id", F.coalesce("quota.remaining", F.lit(0)).cast("bigint").alias("remaining"),
+        F.coalesce("quota.reset", F.lit(0).cast("bigint")).alias("reset_s"))
+
+
+def quota_versions(snapshots: DataFrame) -> DataFrame:
+    """(token_id, category, remaining, reset_s, begin, until): how long each quota that was read held, null for the newest.
+
+    Of snapshots of a token at one time that with the largest id counts; those without a time do not.
+    """
+    keys = ["token_id", "category"]
+    read = _parsed_quota(snapshots).where("fetched_at IS NOT NULL").groupBy(*keys, F.col("fetched_at").alias("begin")).agg(
+        F.max(F.struct("snap_id", "remaining", "reset_s")).alias("newest"))
+    flat = read.select(*keys, "begin", "newest.remaining", "newest.reset_s")
+    return with_next(flat, keys, [F.col("begin")], "begin", "until")
+
+
+def choose_token_as_of(requests: DataFrame, tokens: DataFrame, snapshots: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The token that each request (`id, category, created_at`) would use at its own time: of the quotas read before it and not yet
+    read again, the most left, then the earliest reset, the least recently used and the smallest token id. Null where none was read.
+
+    Scores change with every quota that is read, so each version of a quota is a span, and the best live one is found by a
+    sweep per category: a row per request and version, however many tokens there are.
+    """
+    live = tokens.where("NOT revoked").select(F.col("id").alias("token_id"), C.micros(F.col("last_ok_at")).alias("used"))
+    versions = quota_versions(snapshots).join(live, "token_id")
+    first = F.lit(2**62)  # no time comes before all times
+    rank = F.array("remaining", -F.col("reset_s"), F.coalesce(-F.col("used"), first), -F.col("token_id"))
+    asked = requests.select("id", "category", "created_at")
+    found = best_live(
+        asked, versions, lambda: F.col("category"), "created_at", F.col("begin"), F.col("until"), rank, F.struct("token_id", "remaining"), "best",
+        partitions)
+    return found.select("id", "category", "best.token_id", "best.remaining")
+
+
+def token_intervals(events: DataFrame) -> DataFrame:
+    """(token_id, revoked, begin, until): the runs of equal state of each token by its events, `until` null for the state that still holds.
+
+    A donation makes a token live, refused credentials revoke it. At one time the event with the largest id decides. Events
+    without a time count for nothing.
+    """
+    changing = _changing_events(events).where("created_at IS NOT NULL")
+    states = changing.groupBy("token_id", F.col("created_at").alias("begin")).agg(F.max(F.struct("id", "refused")).alias("last"))
+    states = written(numbered(states.select("token_id", "begin", F.col("last.refused").alias("revoked")), ["token_id"], [F.col("begin")], "n_"), "states")
+    before = states.select("token_id", (F.col("n_") + 1).alias("n_"), F.col("revoked").alias("was"))
+    turns = states.join(before, ["token_id", "n_"], "left").where("was IS NULL OR was != revoked").select("token_id", "revoked", "begin")
+    return with_next(turns, ["token_id"], [F.col("begin")], "begin", "until").select("token_id", "revoked", "begin", "until")
+
+
 def _lowest_levels(quota: DataFrame, asked: DataFrame) -> DataFrame:
     """(category, lowest): the level of quota down to which a category's requests can reach.
 
@@ -170,14 +224,19 @@ def upsert_tokens(pool: DataFrame, donations: DataFrame) -> DataFrame:
     )
 
 
+def _changing_events(events: DataFrame) -> DataFrame:
+    """Donations and refused credentials, the latter marked `refused`."""
+    refused = (F.col("kind") == "response") & C.is_bad_credential(F.col("status"), F.col("body"))
+    return events.withColumn("refused", refused).where(F.col("refused") | (F.col("kind") == "donation"))
+
+
 def status_changes(events: DataFrame) -> DataFrame:
     """Per token the last status-changing event and the number of refused credentials.
 
     Donations bring a token back, bad credentials revoke it, all else changes nothing. The result is
     mergeable: the newest change and the sum of `revocations` over any split of the events.
     """
-    refused = (F.col("kind") == "response") & C.is_bad_credential(F.col("status"), F.col("body"))
-    changing = events.withColumn("refused", refused).where(F.col("refused") | (F.col("kind") == "donation"))
+    changing = _changing_events(events)
     last = F.max(F.struct("created_at", "id", "refused"))
     found = changing.groupBy("token_id").agg(last.alias("last"), F.count_if("refused").alias("revocations"))
     return found.select("token_id", F.col("last.created_at").alias("changed_at"), F.col("last.refused").alias("refused"), "revocations")

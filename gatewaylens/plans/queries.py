@@ -81,6 +81,8 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "token_touch": lambda t: tokens.touch_last_ok(t["donated_tokens"], t["rate_limit_snapshots"]),
     "token_upsert": lambda t: tokens.upsert_tokens(t["donated_tokens"], t["donations"]),
     "token_status": lambda t: tokens.token_status(t["token_events"], t["donated_tokens"]),
+    "token_intervals": lambda t: tokens.token_intervals(t["token_events"]),
+    "token_choice_as_of": lambda t: tokens.choose_token_as_of(_categorised(t), t["donated_tokens"], t["quota_reads"]),
     "token_age": lambda t: tokens.token_age(t["donated_tokens"], C.instant(AS_OF)),
     "donor_summary": lambda t: tokens.donor_summary(t["donated_tokens"], C.instant(AS_OF)),
     "donor_attribution": lambda t: tokens.donor_attribution(_allocated(t), t["donated_tokens"]),

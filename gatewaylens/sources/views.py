@@ -97,6 +97,13 @@ SELECT id, CAST(api_key AS BIGINT) % (SELECT count(*) FROM supplier) AS token_id
        WHEN status = 403 AND k % 3 = 1 THEN '{"message":"API rate limit exceeded"}'
        WHEN status = 403 THEN 'oops' ELSE '{}' END AS body
 FROM request_log
+""",
+    "quota_reads": r"""
+SELECT id AS snap_id, CAST(api_key AS BIGINT) % (SELECT count(*) FROM supplier) AS token_id, created_at AS fetched_at,
+  '{"resources":{"core":{"limit":5000,"used":0,"remaining":' || CAST(id * 7919 % 500 AS STRING) || ',"reset":'
+  || CAST(1691591363 + id % 97 AS STRING) || '}' || CASE WHEN k % 2 = 0 THEN ',"search":{"limit":30,"used":0,"remaining":'
+  || CAST(id * 31 % 30 AS STRING) || ',"reset":' || CAST(1691591091 + id % 89 AS STRING) || '}' ELSE '' END || '}}' AS body
+FROM request_log
 """,
     "responses": r"""
 SELECT id, method, 'https://api.github.com' || substr(path, 4) AS url, status, created_at, '' AS req_body,

@@ -446,3 +446,36 @@ def test_load_figures(spark):
     assert len(steps) == 8641 and [x for x in steps if x[1]] == [(at(0), 2, 2), (at(20), 1, 3), (at(86_400), 1, 4)]
     assert steps[1] == (at(10), 0, 2) and steps[5000][2] == 3
     assert logs.load_progress(spark.createDataFrame([], LOAD), 10).count() == 0
+
+
+def test_each_line_is_matched_once(spark):
+    lines = spark.createDataFrame([(1, "x")], "id long, line string")
+    for made in (logs.parse_access_log(lines), logs.log_errors(lines), logs.log_key_counts(lines), logs.latency_profile(logs.parse_access_log(lines))):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count(r"^\d{4}/") == 1
+
+
+def test_token_intervals_are_runs_of_equal_state(spark):
+    schema = "token_id long, created_at timestamp_ntz, id long, kind string, status int, body string"
+    bad = (401, "{}")
+    rows = [(1, at(0), 1, "donation", 200, ""), (1, at(5), 2, "donation", 200, ""), (1, at(7), 3, "response", *bad), (1, at(9), 4, "response", *bad),
+            (1, at(12), 5, "response", 200, ""), (1, at(20), 7, "donation", 200, ""), (1, at(20), 6, "response", *bad), (1, None, 9, "response", *bad),
+            (2, at(3), 8, "response", 403, '{"message":"Bad credentials"}'), (3, at(1), 10, "response", 500, None)]
+    found = tokens.token_intervals(spark.createDataFrame(rows, schema)).collect()
+    assert {(r["token_id"], r["revoked"], r["begin"], r["until"]) for r in found} == {
+        (1, False, at(0), at(7)), (1, True, at(7), at(20)), (1, False, at(20), None), (2, True, at(3), None)} and len(found) == 4
+    assert tokens.token_intervals(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_token_choice_follows_the_quotas_of_its_time(spark):
+    pool = spark.createDataFrame([(1, False, None), (2, False, at(-9)), (3, True, None), (4, False, at(-9))], "id long, revoked boolean, last_ok_at timestamp_ntz")
+    said = lambda **quota: json.dumps({"resources": {c: {"limit": 9, "remaining": r, "reset": s} for c, (r, s) in quota.items()}})
+    reads = spark.createDataFrame([
+        (1, 1, at(0), said(core=(5, 100))), (2, 2, at(10), said(core=(7, 100), search=(1, 1))), (3, 3, at(1), said(core=(9, 1))),
+        (4, 2, at(20), said(core=(5, 90))), (5, 1, at(30), said(core=(2, 5))), (6, 4, at(40), said(core=(5, 90))), (7, 2, at(50), said(core=(0, 1))),
+        (8, 2, at(50), said(core=(5, 90))), (9, 2, None, said(core=(99, 1)))], "snap_id long, token_id long, fetched_at timestamp_ntz, body string")
+    asks = spark.createDataFrame([(n, c, at(t)) for n, (c, t) in enumerate(
+        [("core", 0), ("core", 1), ("core", 10), ("core", 11), ("core", 21), ("core", 31), ("core", 41), ("core", 51), ("search", 60), ("graphql", 60)])],
+        "id long, category string, created_at timestamp_ntz")
+    found = {r["id"]: (r["token_id"], r["remaining"]) for r in tokens.choose_token_as_of(asks, pool, reads).collect()}
+    # At 41 tokens 2 and 4 have as much left, one reset and one last use: the smaller id.
+    assert found == {0: (None, None), 1: (1, 5), 2: (1, 5), 3: (2, 7), 4: (2, 5), 5: (2, 5), 6: (2, 5), 7: (2, 5), 8: (2, 1), 9: (None, None)}

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewaylens.operators import limiter, recurrence, replay, shifts
-from gatewaylens.operators.ordered import in_order, last_before, numbered, prefix_cutoff
+from gatewaylens.operators.ordered import in_order, numbered, prefix_cutoff, with_next
 
 START = dt.datetime(2024, 1, 1)
 LOG = "id long, api_key string, method string, path string, status int, created_at timestamp_ntz, rate int"
@@ -206,16 +206,15 @@ def test_numbering_is_exact_per_key(spark):
     assert got == expected
 
 
-def test_as_of_join_is_strict_and_crosses_chunks(spark):
+def test_each_row_meets_its_follower(spark):
     rnd = random.Random(8)
-    facts = [(n, "hot" if rnd.random() < 0.3 else f"k{n % 5}", rnd.randrange(400)) for n in range(60)]
-    probes = [(1000 + n, "hot" if rnd.random() < 0.8 else f"k{n % 7}", rnd.randrange(400)) for n in range(3000)]
-    f = spark.createDataFrame(facts, "id long, k string, at long").withColumn("fact", F.col("id"))
-    p = spark.createDataFrame(probes, "id long, k string, at long")
-    got = {r["id"]: r["fact"] for r in last_before(p, f, ["k"], "at", "id", ["fact"]).collect()}
-    expected = {
-        i: max(((fa, fi) for fi, fk, fa in facts if fk == k and fa < at), default=(None, None))[1] for i, k, at in probes
-    }
+    rows = [(n, "hot" if rnd.random() < 0.6 else f"k{n % 5}", rnd.randrange(10_000_000)) for n in range(1500)]
+    df = spark.createDataFrame(rows, "id long, k string, at long")
+    got = {r["id"]: r["next"] for r in with_next(df, ["k"], [F.col("at"), F.col("id")], "id", "next").collect()}
+    expected = {}
+    for key in {r[1] for r in rows}:
+        own = [i for i, k, _ in sorted(rows, key=lambda r: (r[2], r[0])) if k == key]
+        expected.update(zip(own, [*own[1:], None]))
     assert got == expected
 
 
