@@ -20,3 +20,4 @@ RECENT_ROWS = 1000
 TARGET_RPS = 500.0
 PROGRESS_STEP_S = 3600
 EXCLUDED_USER = "supplier#000000004"
+POST_DAYS = 3  # days of requests in one batch of the ledger

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
-from gatewaylens.operators import cache, keys, limiter, logs, replay, tokens, usage
+from gatewaylens.operators import cache, keys, ledger, limiter, logs, replay, tokens, usage
 from gatewaylens.plans.parameters import (
     AS_OF, BODY_LIMIT, BUCKET_RATE, BUCKET_UNIT_S, CACHE_LIMIT, EXCLUDED_USER, IDLE_SINCE, LAST_DAY, LOG_KEEP,
-    LOOKUP_TTL_S, PROGRESS_STEP_S, SNAPSHOT_AT, TARGET_RPS,
+    LOOKUP_TTL_S, POST_DAYS, PROGRESS_STEP_S, SNAPSHOT_AT, TARGET_RPS,
 )
+from gatewaylens.session import new_path
+from gatewaylens.sources import tables
 from gatewaylens.sources.views import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +45,54 @@ def _rate_of_day() -> Column:
     return (F.dayofmonth("created_at") + F.length("api_key")) % 4
 
 
+def _appended(t: Tables) -> DataFrame:
+    """The log as it is served: appended in two goes, and read back."""
+    path = new_path(t.spark, "request-log")
+    rows = tables.log_rows(t["request_log"])
+    for part in (0, 1):
+        tables.append_log(rows.where(F.col("id") % 2 == part), path)
+    return tables.read_log(t.spark, path)
+
+
+def _posted(t: Tables) -> DataFrame:
+    """The ledger after batches of some days each. After every batch the log is pruned to its newest rows, all that is left of it."""
+    path, log = new_path(t.spark, "ledger"), t["request_log"].select("id", "api_key", "cache_hit", "created_at")
+    first, last = (d[0] for d in (log.agg(F.min(F.to_date("created_at"))).first(), log.agg(F.max(F.to_date("created_at"))).first()))
+    number, left = F.floor(F.datediff(F.to_date("created_at"), F.lit(first)) / POST_DAYS), None
+    batches = (last - first).days // POST_DAYS + 1 if first else 0
+    for n in range(batches):
+        arrived = log.where(number == n)
+        ledger.post(arrived, n, path)
+        kept = new_path(t.spark, "pruned-log")
+        usage.retain_log(arrived if left is None else left.unionByName(arrived), LOG_KEEP).write.parquet(kept)
+        left = t.spark.read.parquet(kept)
+    return ledger.read(t.spark, batches, path) if batches else ledger.merged(ledger.deltas(log))
+
+
+def _reported(t: Tables) -> DataFrame:
+    """The key report as JSON lines, read back."""
+    report, path = usage.key_report(t["api_keys"], t["request_log"]), new_path(t.spark, "report")
+    tables.to_json_report(report, path)
+    return tables.read_json_report(t.spark, path, report.schema)
+
+
+def _from_text(t: Tables) -> DataFrame:
+    """Access-log lines from text files."""
+    path = new_path(t.spark, "access-log")
+    t["access_log_lines"].select("line").write.text(path)
+    return logs.parse_access_log(tables.read_log_lines(t.spark, path))
+
+
+def _moved(t: Tables) -> DataFrame:
+    earlier = t["request_log"].where(F.col("created_at") < C.instant(SNAPSHOT_AT))
+    return usage.stats_delta(usage.system_totals(earlier), usage.system_totals(t["request_log"]))
+
+
+def _labels(t: Tables) -> DataFrame:
+    report = usage.key_report(t["api_keys"], t["request_log"])
+    return report.select("id", C.pct_label(F.col("hit_rate")).alias("label"))
+
+
 def _disabled(t: Tables) -> DataFrame:
     registry = t["api_keys"]
     idle = keys.idle_keys(registry, t["request_log"], IDLE_SINCE)
@@ -60,6 +110,12 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "key_usage_nested": lambda t: usage.key_usage_nested(t["request_log"], t["api_keys"], LAST_DAY),
     "usage_sparkline": lambda t: usage.usage_sparkline(t["request_log"], t["api_keys"], LAST_DAY),
     "log_retention": lambda t: usage.retain_log(t["request_log"].select("id", "api_key", "created_at"), LOG_KEEP),
+    "log_append": _appended,
+    "ledger_totals": lambda t: ledger.system_totals(_posted(t)),
+    "ledger_key_totals": lambda t: ledger.key_totals(_posted(t)),
+    "key_report_json": _reported,
+    "totals_delta": _moved,
+    "hit_rate_labels": _labels,
     # cache
     "cache_entries": lambda t: cache.build_cache_entries(t["responses"], LOOKUP_TTL_S),
     "cache_admission": lambda t: cache.cache_admission(t["responses"]),
@@ -104,6 +160,7 @@ BATCH: dict[str, Callable[[Tables], DataFrame]] = {
     "cache_replay": lambda t: replay.cache_replay(t["request_log"], LOOKUP_TTL_S),
     # logs and load tests
     "access_log_parse": lambda t: logs.parse_access_log(t["access_log_lines"]),
+    "access_log_files": _from_text,
     "log_unparsed": lambda t: logs.unparsed_lines(t["access_log_lines"]),
     "log_errors": lambda t: logs.log_errors(t["access_log_lines"]),
     "log_key_counts": lambda t: logs.log_key_counts(t["access_log_lines"]),

@@ -47,9 +47,16 @@ def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/version={version}")
 
 
+REPORT_TIMES = {name: "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" for name in ("timestampFormat", "timestampNTZFormat")}
+
+
 def to_json_report(report: DataFrame, path: str) -> None:
-    """A report as JSON lines, written by the tasks that computed it."""
-    report.write.mode("overwrite").json(path)
+    """A report as JSON lines, written by the tasks that computed it; times keep their microseconds."""
+    report.write.mode("overwrite").options(**REPORT_TIMES).json(path)
+
+
+def read_json_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).options(**REPORT_TIMES).json(path)
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:

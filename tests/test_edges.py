@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewaylens.functions import columns as C
-from gatewaylens.operators import cache, keys, limiter, logs, replay, sweep, tokens, usage
+from gatewaylens.operators import cache, keys, ledger, limiter, logs, replay, sweep, tokens, usage
 
 LOG = "id long, api_key string, method string, path string, status int, cache_hit boolean, created_at timestamp_ntz, body_bytes long"
 KEYS = "id long, key_hash string, hc_username string, app_name string, machine string, key_hint string, rate_limit_per_sec int, disabled boolean, created_at timestamp_ntz"
@@ -479,3 +479,13 @@ def test_token_choice_follows_the_quotas_of_its_time(spark):
     found = {r["id"]: (r["token_id"], r["remaining"]) for r in tokens.choose_token_as_of(asks, pool, reads).collect()}
     # At 41 tokens 2 and 4 have as much left, one reset and one last use: the smaller id.
     assert found == {0: (None, None), 1: (1, 5), 2: (1, 5), 3: (2, 7), 4: (2, 5), 5: (2, 5), 6: (2, 5), 7: (2, 5), 8: (2, 1), 9: (None, None)}
+
+
+def test_ledger_counts_each_batch_once_and_reads_few_folders(spark, tmp_path):
+    rows = [log(spark, *[req(100 * n + i) for i in range(n % 4)]) for n in range(20)]
+    for n in [0, 1, 2, 2, *range(3, 16), 15, *range(16, 20)]:  # some batches run again
+        ledger.post(rows[n], n, str(tmp_path))
+    found = ledger.read(spark, 20, str(tmp_path))
+    assert ledger.system_totals(found).first()["total_requests"] == sum(n % 4 for n in range(20))
+    assert ledger.system_totals(ledger.read(spark, 9, str(tmp_path))).first()["total_requests"] == sum(n % 4 for n in range(9))
+    assert len(ledger.folders(20, "p")) == 6 and len(ledger.folders(8**3, "p")) == 1 and len(ledger.folders(8**3 - 1, "p")) == 21
