@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gatewaylens.llm.common import fresh_name
 from gatewaylens.llm.simhash_dedup import row_digest
 from gatewaylens.session import written
 
@@ -41,13 +42,17 @@ def _shingles(words: Column, size: int) -> Column:
 
 
 def _items(benchmark: DataFrame, text: str, id_col: str) -> DataFrame:
-    """(item, size, shingles): items with fewer than five words have one shingle of their own size."""
-    words = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item"), _words(F.col(text)).alias("words"))
-    words = words.where("size(words) > 0").select("item", "words", F.least(F.size("words"), F.lit(WORDS)).alias("size"))
+    """(item, name, size, shingles): items with fewer than five words have one shingle of their own size.
+
+    `item` stands for id and text by 64 bits, `name` is the id: texts that share an id are items of their own.
+    """
+    known = benchmark.where(F.col(id_col).isNotNull())
+    words = known.select(F.xxhash64(id_col, text).alias("item"), F.col(id_col).alias("name"), _words(F.col(text)).alias("words"))
+    words = words.where("size(words) > 0").select("item", "name", "words", F.least(F.size("words"), F.lit(WORDS)).alias("size"))
     cases = F.lit(None).cast("array<bigint>")
     for size in range(1, WORDS + 1):
         cases = F.when(F.col("size") == size, _shingles(F.col("words"), size)).otherwise(cases)
-    return words.select("item", "size", cases.alias("shingles")).dropDuplicates(["item", "shingles"])
+    return words.select("item", "name", "size", cases.alias("shingles")).dropDuplicates(["item"])
 
 
 def simhash_of(rows: DataFrame, keys: list[str], shingle: str) -> DataFrame:
@@ -102,7 +107,8 @@ def contaminated(
     Words are lower-case runs of letters and digits, shingles have five of them (an item with fewer words is
     one shingle, found where it stands word for word). `word` is where the window begins, the earliest of equals. d1
     and d2 stand for id and text, so rows that agree in both count once, and rows without an id are told apart
-    by their text. Null and empty texts, and items without an id or a word, match nothing.
+    by their text. Null and empty texts, and items without an id or a word, match nothing. Each text of an id that has several
+    is compared; the best of them is the row of that id.
     """
     items = written(_items(benchmark, item_text, item_id), "items")
     parts = items.select("item", "size", F.size("shingles").alias("m"), F.explode("shingles").alias("h"))
@@ -155,7 +161,7 @@ def contaminated(
     near = window_keys.join(item_keys, ["item", "block", "value"]).select(*keys, distance.alias("distance"))
     near = near.where(F.col("distance") <= radius).distinct()
     compared = near.join(cutouts, keys).join(items, "item").select(
-        "id", "d1", "d2", "item", F.col("start").alias("word"), "distance",
+        "id", "d1", "d2", F.col("name").alias("item"), F.col("start").alias("word"), "distance",
         weighted_similarity(F.col("hs"), F.col("shingles")).alias("similarity"))
     best = Window.partitionBy("d1", "d2", "item").orderBy(F.desc("similarity"), "word", "distance")
     enough = compared.where(F.col("similarity") >= similarity - 1e-12)
@@ -174,6 +180,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """`docs` without the documents that hold a window similar to a benchmark item; all columns as they are."""
     found = contaminated(docs, benchmark, text, id_col, similarity=similarity)
-    gone = written(found.select(F.col("d1").alias("__g1"), F.col("d2").alias("__g2")).distinct(), "contaminated")
+    names = [fresh_name("g1"), fresh_name("g2")]
+    gone = written(found.select(*[F.col(c).alias(n) for c, n in zip(("d1", "d2"), names)]).distinct(), "contaminated")
     d1, d2 = row_digest(id_col, text)
-    return docs.join(gone, (d1 == F.col("__g1")) & (d2 == F.col("__g2")), "left_anti")
+    return docs.join(gone, (d1 == F.col(names[0])) & (d2 == F.col(names[1])), "left_anti")

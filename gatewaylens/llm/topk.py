@@ -145,6 +145,11 @@ def _met(pairs: DataFrame, blocks: DataFrame, buckets: DataFrame) -> DataFrame:
     return with_rows.join(blocks.select("q_block", "q_ids", "q_data"), "q_block")
 
 
+def reachable(heads: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Pairs of a query block (dim, q_block, need) and a bucket (dim, block, longest) that can hold a result."""
+    return heads.join(buckets, "dim").where(F.col("longest") * (1 + 1e-9) >= F.col("need"))
+
+
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "vector",
     bucket: int = BUCKET, block: int = QUERY_BLOCK,
@@ -152,8 +157,8 @@ def top_k(
     """(query_id, rank, id, score): the k highest inner products of each query with every other row.
 
     `vector` holds whole numbers (`quantised` makes them); null vectors and rows with a null id take no part, and
-    vectors meet only those of their own dimension. Ties go to the smaller id. Rows with the query's id are its own; of other repeated
-    ids each row counts. A query with fewer than k others gets them all. Products must fit into 64 bits.
+    vectors meet only those of their own dimension. Ties go to the smaller id. Rows with the query's id are its own, and of several
+    the smallest vector asks; of other repeated ids each row counts. A query with fewer than k others gets them all. Products must fit into 64 bits.
     """
     sound = vectors.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
     length = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
@@ -161,7 +166,7 @@ def top_k(
     rows = sound.select(F.col(id_col).cast("bigint").alias("i"), F.col(vector).alias("v"), is_query.alias(flag))
     by_length = [F.size("v"), F.desc(length), F.col("i")]
     buckets = written(_blobs(rows.select("i", "v"), bucket, by_length), "buckets")
-    asked = rows.where(flag).select("i", "v").dropDuplicates(["i"])
+    asked = written(rows.where(flag).groupBy("i").agg(F.min("v").alias("v")), "asked")
     blocks = written(
         _blobs(asked, block, [F.size("v"), F.xxhash64("i"), F.col("i")]).select(
             "dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "queries")
@@ -174,11 +179,15 @@ def top_k(
     first = _met(heads.join(seeds, "dim"), blocks, buckets).withColumn("least", no_bound)
     started = written(_ranked(_search(first.repartition("q_block", "block"), k), k), "first")
     bounds = started.where(F.col("rank") == k).select(F.col("q"), F.col("score").cast("double").alias("least"))
-    place = blocks.select("q_block", F.explode("q_ids").alias("q"))
-    bounds = place.join(bounds, "q").groupBy("q_block").agg(F.collect_list(F.struct("q", "least")).alias("least"))
-    # Every block of the stated queries meets every other bucket; bucket by bucket, pruned inside.
-    others = buckets.select("dim", "block").join(seeds, ["dim", "block"], "left_anti")
-    rest = _met(heads.join(others, "dim"), blocks, buckets).join(bounds, "q_block", "left")
+    place = blocks.select("dim", "q_block", F.explode("q_ids").alias("q"))
+    known = place.join(bounds, "q", "left").join(asked.select(F.col("i").alias("q"), F.sqrt(length).alias("norm")), "q")
+    bounds = known.where("least IS NOT NULL").groupBy("q_block").agg(F.collect_list(F.struct("q", "least")).alias("least"))
+    # A bucket can add to a block only if its longest vector reaches the k-th score of one of its queries (by Cauchy and Schwarz;
+    # the factor covers rounding). The other pairs are dropped by these two numbers, before any vector is sent.
+    reach = F.when(F.col("least").isNull() | (F.col("norm") == 0), F.lit(float("-inf"))).otherwise(F.col("least") / F.col("norm"))
+    heads = written(known.groupBy("dim", "q_block").agg(F.min(reach).alias("need")), "needs")
+    others = buckets.select("dim", "block", "longest").join(seeds, ["dim", "block"], "left_anti")
+    rest = _met(reachable(heads, others), blocks, buckets).join(bounds, "q_block", "left")
     found = _search(rest.repartition("q_block", "block"), k).unionByName(started.select("q", "i", "score"))
     return _ranked(found, k).select(
         F.col("q").alias("query_id"), "rank", F.col("i").alias(id_col), "score")

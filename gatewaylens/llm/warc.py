@@ -111,11 +111,15 @@ def write_archives(plan: DataFrame, path: str | None = None) -> str:
 
 
 def byte_ranges(spark: SparkSession, path: str, size: int = RANGE_BYTES) -> DataFrame:
-    """(file, first, past, length) for each range; only names and lengths of the files are read."""
+    """(file, first, past, length) for each range, one partition each; only names and lengths of the files are read.
+
+    The number of partitions is given: rows as small as these would else be put into one.
+    """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(size).cast("bigint")))
     cut = listed.where("length > 0").select(F.col("path").alias("file"), starts.alias("first"), "length")
-    return cut.select("file", "first", F.least(F.col("first") + size, F.col("length")).alias("past"), "length").repartition("file", "first")
+    ranges = listed.agg(F.sum(F.ceil(F.col("length") / size))).first()[0] or 1
+    return cut.select("file", "first", F.least(F.col("first") + size, F.col("length")).alias("past"), "length").repartition(int(ranges))
 
 
 def _opened(file: str) -> pa.NativeFile:

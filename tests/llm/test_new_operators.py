@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from gatewaylens.llm import lexical_search, prefix_trie, toxicity
+from gatewaylens.llm import decontaminate, lexical_search, prefix_trie, topk, toxicity, warc
 from gatewaylens.session import written
 from pyspark.sql import functions as F
 
@@ -189,3 +189,37 @@ def test_ngrams_are_counted_inside_words():
     by = [sorted(ids[owner == n].tolist()) for n in range(3)]
     assert by[0] == by[2] and len(by[0]) == sum(max(0, 5 - n + 1) for n in toxicity.ORDERS) and len(by[1]) == 1
     assert len(toxicity.features_of([])[0]) == 0
+
+
+def test_items_that_share_an_id_are_all_looked_for(spark):
+    draw = random.Random(6)
+    items = [" ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(30)) for _ in range(12)]
+    docs = spark.createDataFrame([(n, "before it " + t + " after it", 1) for n, t in enumerate(items)], "doc_id long, text string, __g1 int")
+    for ids in (range(12), [5] * 12):
+        benchmark = spark.createDataFrame(list(zip(ids, items)), "item_id long, text string")
+        found = decontaminate.contaminated(docs, benchmark).collect()
+        assert {(r["id"], r["item"]) for r in found} == set(zip(range(12), ids)) and len(found) == 12
+    assert decontaminate.drop_contaminated(docs, benchmark).count() == 0
+
+
+def test_ranges_are_read_in_tasks_of_their_own(spark):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 20).alias("html"))
+    folder = warc.write_archives(warc.planned(pages.repartition(2)))
+    ranges = warc.byte_ranges(spark, folder, 1 << 14)
+    number = ranges.count()
+    tasks = ranges.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert number > 20 and tasks > number / 2
+    assert warc.read_archives(spark, folder, 1 << 14).count() == 3000
+
+
+def test_buckets_out_of_reach_are_not_sent(spark):
+    heads = spark.createDataFrame([(2, 0, 10.0), (2, 1, float("-inf")), (3, 2, 1.0)], "dim int, q_block long, need double")
+    buckets = spark.createDataFrame([(2, n, float(n)) for n in range(20)], "dim int, block long, longest double")
+    pairs = {(r["q_block"], r["block"]) for r in topk.reachable(heads, buckets).collect()}
+    assert pairs == {(0, n) for n in range(10, 20)} | {(1, n) for n in range(20)}
+
+
+def test_a_repeated_query_asks_with_its_smallest_vector(spark):
+    vectors = spark.createDataFrame([(0, [9, 1]), (0, [1, 9]), (1, [10, 0]), (2, [0, 10])], "vec_id long, vector array<bigint>")
+    found = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(vectors, F.col("vec_id") == 0, k=2).orderBy("rank").collect()]
+    assert found == [(1, 2, 90), (2, 1, 10)]
