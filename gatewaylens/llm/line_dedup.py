@@ -22,30 +22,29 @@ from gatewaylens.session import written
 SIMILARITY = 0.8
 SHINGLE = 5  # characters per shingle of the similarity
 SIGNATURE_SHINGLE = 9  # characters per sampled shingle of the signature
-BANDS = 12  # each of three minima: of all shingles, a pair at the limit is found with probability over 0.999
+BANDS = 12  # each of three minima
+SHARED = 2  # bands that similar lines share: a pair at the limit has them with a probability of 0.997, at 0.85 of 0.9998
+FIELD = 21  # bits of a shingle's hash that order the shingles for one minimum; three fields a hash
 SAMPLED_FROM = 100  # characters of a line's different words
 WHOLE_BELOW = 160
-PIECE = 64
 
 _BLANK = " \t\r"
 
 
+_ASTRAL = r"[\x{10000}-\x{10FFFF}]"  # characters that are two units of a Java text
+
+
 def _all_shingles(text: Column, size: int) -> Column:
     """Every run of `size` characters; a shorter text is its own only shingle.
 
-    Cut out of pieces of the text, since finding a character inside a text takes time in proportion to its place.
+    A look-ahead at every place, since cutting a text at each place takes time in proportion to it. The matcher goes by
+    units, so texts with characters of two units are cut as arrays of characters.
     """
-
-    def inside(piece: Column) -> Column:
-        last = F.length(piece) - size + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda at: F.substring(piece, at, F.lit(size)))
-
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(text) - 1) / PIECE).cast("int")),
-        lambda n: F.substring(text, n * PIECE + 1, F.lit(PIECE + size - 1)),
-    )
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.flatten(F.transform(pieces, inside)))
+    units = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
+    chars = F.split(text, "")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))),
+                      lambda at: F.array_join(F.slice(chars, at, size), ""))
+    return F.when(F.length(text) <= size, F.array(text)).when(text.rlike(_ASTRAL), cut).otherwise(units)
 
 
 def jaccard(a: Column, b: Column, size: int = SHINGLE) -> Column:
@@ -61,50 +60,39 @@ def jaccard(a: Column, b: Column, size: int = SHINGLE) -> Column:
     )[0]
 
 
-_EVERYWHERE = "\x01"  # marks a shingle of the second kind
-
-
-def _sampled(line: Column, words: Column) -> Column:
-    """Structs (a, b, c): a word and the two that follow, or a shingle of the second kind with a mark.
+def _sampled(lines: DataFrame) -> DataFrame:
+    """(k1, everywhere, run): of each line, runs of characters that begin at a word, or at every place, or both.
 
     A line is as long as its different words, since what it repeats adds no shingles.
     """
-    count = F.size(words)
-    following = [F.slice(words, n, F.greatest(count - n + 1, F.lit(0))) for n in (2, 3)]
-    at_words = F.arrays_zip(words.alias("a"), following[0].alias("b"), following[1].alias("c"))
-    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), 1)
-    mark = F.array_repeat(F.lit(_EVERYWHERE), F.size(runs))
-    everywhere = F.arrays_zip(runs.alias("a"), mark.alias("b"), mark.alias("c"))
-    kind = "array<struct<a:string,b:string,c:string>>"
-    none = F.array().cast(kind)
-    length = F.length(F.array_join(F.array_distinct(words), " "))
-    return F.concat(
-        F.when((count * 20 >= F.length(line)) & (length >= SAMPLED_FROM), at_words.cast(kind)).otherwise(none),
-        F.when((count * 12 < F.length(line)) | (length < WHOLE_BELOW), everywhere.cast(kind)).otherwise(none),
-    )
-
-
-def _shingle_hash(a: Column, b: Column, c: Column) -> Column:
-    """A hash of the first SIGNATURE_SHINGLE characters of three words with a blank between them."""
-    room = F.lit(SIGNATURE_SHINGLE) - 1 - F.length(a)
-    second = F.substring(F.coalesce(b, F.lit("")), F.lit(1), F.greatest(room, F.lit(0)))
-    third = F.substring(F.coalesce(c, F.lit("")), F.lit(1), F.greatest(room - 1 - F.length(second), F.lit(0)))
-    return F.xxhash64(F.substring(a, 1, SIGNATURE_SHINGLE), second, third)
+    words = F.split("line", " ")
+    length = F.when(F.length("line") < SAMPLED_FROM, F.length("line")).otherwise(F.length(F.array_join(F.array_distinct(words), " ")))
+    # Selected first, so that they are worked out once for both kinds.
+    sized = lines.select("k1", "line", (F.length("line") / F.size(words)).alias("per_word"), length.alias("length"))
+    none = F.array().cast("array<string>")
+    at_words = F.regexp_extract_all("line", F.lit(f"(?s)(?:^| )(?=(.{{1,{SIGNATURE_SHINGLE}}}))"), 1)
+    at_places = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), 1)
+    by_word = F.when((F.col("per_word") <= 20) & (F.col("length") >= SAMPLED_FROM), at_words).otherwise(none)
+    by_place = F.when((F.col("per_word") > 12) | (F.col("length") < WHOLE_BELOW), at_places).otherwise(none)
+    kinds = F.array(*[F.struct(F.lit(kind).alias("everywhere"), runs.alias("runs")) for kind, runs in ((False, by_word), (True, by_place))])
+    return sized.select("k1", F.explode(kinds).alias("s")).select("k1", "s.everywhere", F.explode("s.runs").alias("run"))
 
 
 def _bands(distinct: DataFrame, bands: int) -> DataFrame:
-    """(k1, k2, band): one row for each line, kind and band. Lines stay in the partition that holds them."""
-    split = distinct.select("k1", "k2", F.col("best.line").alias("line"), F.split("best.line", " ").alias("words"))
-    each = split.select("k1", "k2", F.explode(_sampled(F.col("line"), F.col("words"))).alias("s"))
-    hashes = each.select(
-        "k1", "k2", F.coalesce(F.col("s.b") == _EVERYWHERE, F.lit(False)).alias("kind"),
-        _shingle_hash(F.col("s.a"), F.col("s.b"), F.col("s.c")).alias("h0"))
-    minima = hashes.groupBy("k1", "k2", "kind").agg(*[
-        F.min(F.xxhash64("h0", F.lit(3 * band + n))).alias(f"m{n}_{band}")  # a hash of its own: few shingles, too, are drawn anew
+    """(k1, band): one row for each line, kind and band. Lines stay in the partition that holds them.
+
+    Half a line's key is enough here: lines that agree in it are candidates of each other's mates.
+    """
+    runs = _sampled(distinct.select("k1", F.col("best.line").alias("line")))
+    hashes = runs.select("k1", F.col("everywhere").alias("kind"), F.xxhash64("run").alias("h0"))
+    # A hash of its own for each band (few shingles, too, are drawn anew), cut into the fields of the band's three minima.
+    drawn = hashes.select("k1", "kind", *[F.xxhash64("h0", F.lit(band)).alias(f"h{band}") for band in range(bands)])
+    minima = drawn.groupBy("k1", "kind").agg(*[
+        F.min(F.shiftrightunsigned(f"h{band}", n * FIELD).bitwiseAND(F.lit((1 << FIELD) - 1)).cast("int")).alias(f"m{n}_{band}")
         for band in range(bands) for n in range(3)
     ])
     keys = [F.xxhash64(F.lit(band), "kind", *[f"m{n}_{band}" for n in range(3)]) for band in range(bands)]
-    return minima.select("k1", "k2", F.explode(F.array(*keys)).alias("band"))
+    return minima.select("k1", F.explode(F.array(*keys)).alias("band"))
 
 
 def _lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -125,13 +113,12 @@ def _candidates(lines: DataFrame, bands: int) -> DataFrame:
     and at the end, where only lines with a mate in some band go on.
     """
     place = F.struct("line", F.col("id").isNull().alias("no_id"), "id", "line_no", "d1", "d2")
-    distinct = lines.groupBy("k1", "k2").agg(F.min(place).alias("best"), F.count("*").alias("n"))
+    distinct = lines.repartition("k1").groupBy("k1", "k2").agg(F.min(place).alias("best"), F.count("*").alias("n"))
     banded = _bands(distinct.where("n > 0"), bands).repartition("band")
-    # Bounds of both keys rather than a count: the same columns are shuffled as for the join, so it is one shuffle.
-    bounds = [f(k).alias(f"{f.__name__}_{k}") for k in ("k1", "k2") for f in (F.min, F.max)]
-    shared = banded.groupBy("band").agg(*bounds).where("min_k1 < max_k1 OR min_k2 < max_k2").select("band")
-    mates = banded.join(shared, "band").groupBy("k1", "k2").agg(F.collect_set("band").alias("bands"))
-    return distinct.where("n > 0").join(mates, ["k1", "k2"], "left").where("n > 1 OR bands IS NOT NULL")
+    # Bounds of the key rather than a count: the same columns are shuffled as for the join, so it is one shuffle.
+    shared = banded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("band")
+    mates = banded.join(shared, "band").groupBy("k1").agg(F.collect_set("band").alias("bands")).where(F.size("bands") >= SHARED)
+    return distinct.where("n > 0").join(mates, "k1", "left").where("n > 1 OR bands IS NOT NULL")
 
 
 def _compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -145,35 +132,45 @@ def _compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def line_links(candidates: DataFrame, similarity: float = SIMILARITY, compare=_compared) -> DataFrame:
     """(a, b): enough similar pairs to connect all lines that share a band and are similar, or linked by such.
 
-    First every line of a band is compared with the band's first line: as many pairs as rows. What remains are pairs of a
-    band whose lines are not yet connected. The Jaccard distance is a metric, so two lines whose distances from the
-    band's first line differ by more than 1 - similarity cannot be similar; all other remaining pairs are compared. `compare` gives (a, b,
-    similarity) for pairs of keys.
+    Only lines that share SHARED bands are compared. First every line of a band is compared with the band's first line: as
+    many pairs as rows. What remains are pairs of a band whose lines are not yet connected. The Jaccard distance is a
+    metric, so two lines whose known distances from the band's first line differ by more than 1 - similarity cannot be
+    similar; all other remaining pairs are compared. `compare` gives (a, b, similarity) for pairs of keys.
     """
     lines = candidates.where("bands IS NOT NULL").select("k1", "k2", F.col("best.line").alias("line"), "bands")
-    members = written(lines.select(F.struct("k1", "k2").alias("a"), F.explode("bands").alias("band")), "members")
-    firsts = members.groupBy("band").agg(F.min("a").alias("b"))
+    members = written(lines.select(F.struct("k1", "k2").alias("a"), "bands", F.explode("bands").alias("band")), "members")
+    firsts = members.groupBy("band").agg(F.min("a").alias("b"), F.min_by("bands", "a").alias("b_bands"))
     with_first = members.join(firsts, "band")
-    compared = written(compare(with_first.where("a != b").select("a", "b").distinct(), lines), "compared")
+    pairs = with_first.where((F.col("a") != F.col("b")) & _mates("bands", "b_bands"))
+    compared = written(compare(pairs.select("a", "b").distinct(), lines), "compared")
     links = compared.where(F.col("similarity") >= similarity).select("a", "b")
     labels = connected_components(links, "a", "b")
     labelled = with_first.join(labels, with_first["a"] == labels["node"], "left").select(
-        "a", "b", "band", F.coalesce("component", "a").alias("label"))
-    labelled = labelled.join(compared, ["a", "b"], "left").select(
-        "a", "b", "band", "label", F.coalesce(1 - F.col("similarity"), F.lit(0.0)).alias("away"))
-    labelled = written(labelled, "labelled")
+        "a", "b", "band", "bands", F.coalesce("component", "a").alias("label"))
     first_label = labelled.where("a = b").select("band", F.col("label").alias("first_label"))
-    apart = labelled.join(first_label, "band").where("label != first_label")
-    apart = apart.select("band", F.col("a").alias("x"), F.col("label").alias("x_label"), F.col("away").alias("x_away"))
-    others = labelled.where("a != b").select("band", F.col("a").alias("y"), F.col("label").alias("y_label"), F.col("away").alias("y_away"))
-    reach = F.abs(F.col("x_away") - F.col("y_away")) <= 1 - similarity + 1e-9
-    rest = apart.join(others, (apart["band"] == others["band"]) & (F.col("x_label") != F.col("y_label")) & reach)
+    open_bands = labelled.join(first_label, "band").withColumn("apart", F.col("label") != F.col("first_label"))
+    labelled = open_bands.join(compared, ["a", "b"], "left").select(
+        "a", "b", "band", "bands", "label", "apart", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("similarity")).alias("away"))
+    labelled = written(labelled, "labelled")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("band", F.col("a").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("label", "away", "bands", "apart")])
+
+    rest = side(labelled.where("apart"), "x").join(side(labelled.where("a != b"), "y"), "band")
+    # Of two lines that are both apart the pair comes once.
+    once = (F.col("x") > F.col("y")) | ~F.col("y_apart")
+    reach = F.coalesce(F.abs(F.col("x_away") - F.col("y_away")) <= 1 - similarity + 1e-9, F.lit(True))
+    rest = rest.where((F.col("x_label") != F.col("y_label")) & once & reach & _mates("x_bands", "y_bands"))
     rest = rest.select(F.least("x", "y").alias("b"), F.greatest("x", "y").alias("a")).distinct()
     rest = rest.join(compared.select("a", "b"), ["a", "b"], "left_anti")
     found = written(compare(rest, lines).where(F.col("similarity") >= similarity).select("a", "b"), "links")
     return links.unionByName(found)
 
 
+def _mates(x: str, y: str) -> Column:
+    return F.size(F.array_intersect(x, y)) >= SHARED
+
+
 def repeated_lines(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS
 ) -> DataFrame:
