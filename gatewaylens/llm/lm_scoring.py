@@ -1,12 +1,17 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the root, words and longer histories, all that occur. A state's arcs carry the smoothed log-probability of a
+States are the root, words and pairs of words, all that occur. A state's arcs carry the smoothed log-probability of a
 next token; for any other token a failure arc leads to the state of the shorter history, at its backoff weight. At the
 root every token has its smoothed relative frequency.
 
-Every n-gram of the training documents counts, however rare it is and however large the corpus. The n-grams with their
-weights are a distributed table, which is joined to the distinct n-grams of each block of documents. An n-gram is named
-by 64 bits, mixed from the name of its history and the hash of its word; an arc's name is that of the state it leads to.
+Every n-gram of the training documents counts, however rare it is and however large the corpus. Documents are cut into
+blocks; a block sends its distinct n-grams with their counts, sorted and packed, to shards and gets back, in the same order,
+what the arcs and failure arcs of these n-grams need. All that follows from whole numbers: an n-gram's count, and per
+history how many arcs it has and how often the shorter history goes on with the tokens of these arcs.
+
+A shard has all n-grams (a, b, c) of its middle words b, so it knows the arcs of (a, b), those of b, and the counts of
+(b, c), which are sums over a. A frequent middle word is spread over several shards by c; the numbers of its histories are
+then added up by a plain aggregation. A word is named by 64 bits.
 """
 
 from __future__ import annotations
@@ -17,18 +22,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewaylens.llm.common import slices
-from gatewaylens.session import written
+from gatewaylens.session import new_path, written
 
 BLOCK_BYTES = 8 << 20
-TOKENS_AT_ONCE = 400_000  # of a block's texts that are walked together; a longer text alone
+SHARD_TOKENS = 2_000_000  # n-grams of one shard, about
 DISCOUNT = 0.75
 ADDED = 0.1
 END = ""  # counted as a token; no word is empty
 START = 0x5EED0F7E  # name of the history at the beginning of a text
+NOTHING = 0x0B5E55ED  # what is before it
+
 
 
 def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -45,10 +53,22 @@ def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, np.insert(inside, ends, 0), counts + 1
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes: all first bytes, all second bytes and so on, compressed."""
+    values = np.ascontiguousarray(values)
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
+
+
+def unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
+
+
 def blocks_of(docs: DataFrame, train: Column, text: str, id_col: str) -> DataFrame:
-    """Documents in blocks, tokenised once: (block, words, ids, train, sizes, codes).
+    """Documents in blocks, tokenised once: (block, hashes, ids, train, sizes, codes, and three totals).
 
-    Written, so that the numbers of blocks and of words in them hold for all later passes.
+    A table in buckets of blocks, so that the two later passes that bring a block its answers do not shuffle it.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -58,196 +78,323 @@ def blocks_of(docs: DataFrame, train: Column, text: str, id_col: str) -> DataFra
             for part in slices(batch, "t", BLOCK_BYTES):
                 words, codes, sizes = _tokens(part.column("t"))
                 task = part.column("task")[0].as_py()
-                values = part.column("i"), part.column("train")
-                one = np.array([0, len(part)], np.int32)
+                values = part.column("i"), part.column("train"), pa.array(sizes.astype(np.int64))
+                learned = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
+                one = pa.array([0, len(part)], pa.int32())
+                totals = len(codes), sizes[learned].sum(), learned.sum()
                 yield pa.RecordBatch.from_arrays([
                     pa.array([(task << 32) + number], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                    *(pa.ListArray.from_arrays(pa.array(one), v) for v in values),
-                    pa.ListArray.from_arrays(pa.array(one), pa.array(sizes.astype(np.int64))),
-                    pa.array([codes.astype(np.int32).tobytes()], pa.binary()),
-                ], names=["block", "words", "ids", "train", "sizes", "codes"])
+                    *(pa.ListArray.from_arrays(one, v) for v in values),
+                    pa.array([pack(codes.astype(np.int32))], pa.binary()),
+                    *(pa.array([int(n)], pa.int64()) for n in totals),
+                ], names=["block", "words", "ids", "train", "sizes", "codes", "tokens", "train_tokens", "train_docs"])
                 number += 1
 
+    spark = docs.sparkSession
     picked = docs.select(
         F.col(id_col).alias("i"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("t"),
         F.spark_partition_id().cast("bigint").alias("task"))
-    schema = f"block bigint, words array<string>, ids array<{kind}>, train array<boolean>, sizes array<bigint>, codes binary"
-    return written(picked.mapInArrow(run, schema), "blocks")
+    schema = (f"block bigint, words array<string>, ids array<{kind}>, train array<boolean>, sizes array<bigint>, codes binary, "
+              "tokens bigint, train_tokens bigint, train_docs bigint")
+    cut = picked.mapInArrow(run, schema).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    path = new_path(spark, "blocks")
+    table = "lm_" + path.rsplit("-", 1)[1]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut.write.format("parquet").bucketBy(buckets, "block").option("path", path).saveAsTable(table)
+    return spark.table(table)
 
 
-def _hashed(blocks: DataFrame, *columns: str) -> DataFrame:
-    """Blocks with the hashes of their words in place of the words."""
-    return blocks.select(*columns, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+@dataclass(frozen=True)
+class Sizes:
+    """Totals of the blocks, and how n-grams are dealt to shards."""
+
+    tokens: int  # of the training texts
+    texts: int  # training texts
+    shards: int
+    most: int  # occurrences from which a middle word is spread
+
+    @staticmethod
+    def of(blocks: DataFrame) -> Sizes:
+        total = blocks.agg(*(F.sum(c) for c in ("tokens", "train_tokens", "train_docs"))).first()
+        every, tokens, texts = (int(n or 0) for n in total)
+        return Sizes(tokens, texts, every // SHARD_TOKENS + 1, SHARD_TOKENS // 2)
 
 
 def _mixed(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Names of n-grams: for a fixed history another name for each word, for a fixed word another for each history."""
+    """Names of pairs: for a fixed history another name for each word, for a fixed word another for each history."""
     x = (history ^ (history >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + word
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _grams(words: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order (positions, names, names of the histories) of the n-grams that end at the tokens."""
-    every = np.arange(len(words))
-    place = every - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    found = [(every, words, np.zeros(len(words), np.uint64))]
-    before = words
-    for level in range(2, order + 1):
-        history = np.empty(len(words), np.uint64)
-        history[1:] = before[:-1]
-        if level == 2:
-            history[place == 0] = START
-        before = _mixed(history, words)
-        at = every if level == 2 else np.flatnonzero(place >= level - 2)
-        found.append((at, before[at], history[at]))
+class _Block:
+    """One row of the blocks; words by code, then the start, then what is before it."""
+
+    def __init__(self, row: pa.Table | pa.RecordBatch, at: int = 0) -> None:
+        self.codes = unpack(row.column("codes")[at].as_py(), np.int32)
+        self.hashes = row.column("hashes")[at].values.to_numpy().view(np.uint64)
+        self.sizes = row.column("sizes")[at].values.to_numpy()
+        train = row.column("train")[at].values.to_numpy(zero_copy_only=False).astype(bool)
+        self.learned = np.repeat(train, self.sizes)
+
+    def word_order(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of words by shard and name, and the bounds of the shards among them."""
+        shard = (self.hashes % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((self.hashes, shard))
+        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+    def take_counts(self, rows: list[tuple[int, list[bytes]]], sizes: Sizes) -> None:
+        """Occurrences of the words in the training texts and in all texts, from the word shards' answers."""
+        order, bounds = self.word_order(sizes.shards)
+        words = len(self.hashes)
+        self.seen, every = np.zeros(words + 2, np.int64), np.zeros(words + 2, np.int64)
+        for shard, data in rows:
+            own = order[bounds[shard]:bounds[shard + 1]]
+            self.seen[own], every[own] = unpack(data[0]), unpack(data[1])
+        self.names = np.append(self.hashes, np.array([START, NOTHING], np.uint64))
+        self.seen[words] = every[words] = sizes.texts
+        self.spread = 1 + every // sizes.most
+
+    def grams(self, sizes: Sizes) -> None:
+        """Distinct (a, b, c) that end at the tokens, in the order in which they are sent, by shard."""
+        words = len(self.hashes)
+        place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        codes = self.codes.astype(np.int64)
+        middle, first = np.full(len(codes), words), np.full(len(codes), words + 1)
+        middle[1:][place[1:] > 0] = codes[:-1][place[1:] > 0]
+        first[place == 1] = words
+        first[2:][place[2:] > 1] = codes[:-2][place[2:] > 1]
+        base = words + 2
+        pairs, pair = np.unique(middle * base + codes, return_inverse=True)
+        whole, entry = np.unique(pair * base + first, return_inverse=True)
+        of = pairs[whole // base]
+        b, c, a = of // base, of % base, whole % base
+        kinds = self.spread[b].astype(np.uint64)
+        shard = ((_mixed(np.zeros(1, np.uint64), self.names[b]) + self.names[c] % kinds) % np.uint64(sizes.shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        self.place, self.entry = place, at[entry]
+        self.a, self.b, self.c = a[order], b[order], c[order]
+        self.bounds = np.searchsorted(shard[order], np.arange(sizes.shards + 1))
+
+
+def _split(rows: pa.Table) -> dict[int, list]:
+    """What was sent to a block, by kind."""
+    found = {0: [], 1: []}
+    for kind, shard, data in zip(*(rows.column(c).to_pylist() for c in ("kind", "shard", "data"))):
+        if kind < 2:
+            found[kind].append((shard, data))
     return found
 
 
-def gram_counts(blocks: DataFrame, order: int) -> DataFrame:
-    """(id, history, shorter, level, n) of every n-gram of the training texts; `shorter` lacks its first token."""
+def _sent(blocks: list[int], shards: list[int], data: list[list[bytes]]) -> list[pa.Array]:
+    return [pa.array(blocks, pa.int64()), pa.array(shards, pa.int32()), pa.array(data, pa.list_(pa.binary()))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def word_counts(blocks: DataFrame, sizes: Sizes) -> DataFrame:
+    """For every block and word shard, the counts of the block's words over all blocks; and once a shard its distinct words."""
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                sizes = batch.column("sizes")[row].values.to_numpy()
-                train = batch.column("train")[row].values.to_numpy(zero_copy_only=False)
-                codes = np.frombuffer(batch.column("codes")[row].as_py(), np.int32)[np.repeat(train, sizes)]
-                words = batch.column("hashes")[row].values.to_numpy().view(np.uint64)[codes]
-                shorter = np.zeros(len(words), np.uint64)
-                for level, (at, ids, history) in enumerate(_grams(words, sizes[train], order), 1):
-                    own, first, n = np.unique(ids, return_index=True, return_counts=True)
-                    columns = own, history[first], shorter[at[first]]
-                    shorter[at] = ids
-                    if len(own):
-                        yield pa.RecordBatch.from_arrays([
-                            *(pa.array(c.view(np.int64)) for c in columns), pa.array(np.full(len(own), level, np.int8)),
-                            pa.array(n.astype(np.int64))], names=["id", "history", "shorter", "level", "n"])
-
-    counted = _hashed(blocks, "train", "sizes", "codes").mapInArrow(
-        run, "id bigint, history bigint, shorter bigint, level tinyint, n bigint")
-    return counted.groupBy("id").agg(
-        *[F.any_value(c).alias(c) for c in ("history", "shorter", "level")], F.sum("n").alias("n"))
+                block = _Block(batch, row)
+                order, bounds = block.word_order(sizes.shards)
+                every = np.bincount(block.codes, minlength=len(order))
+                train = np.bincount(block.codes[block.learned], minlength=len(order))
+                shards = np.flatnonzero(np.diff(bounds)).tolist()
+                data = []
+                for shard in shards:
+                    own = order[bounds[shard]:bounds[shard + 1]]
+                    data.append([pack(np.diff(block.hashes[own], prepend=np.uint64(0))), pack(train[own]), pack(every[own])])
+                number = batch.column("block")[row].as_py()
+                yield pa.RecordBatch.from_arrays(_sent([number] * len(shards), shards, data), names=["block", "shard", "data"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        packed = rows.column("data").to_pylist()
+        names = [np.cumsum(unpack(d[0], np.uint64), dtype=np.uint64) for d in packed]
+        ends = np.cumsum([len(n) for n in names])[:-1]
+        own, at = np.unique(np.concatenate(names), return_inverse=True)
+        train, every = (np.bincount(at, np.concatenate([unpack(d[n]) for d in packed]), len(own)).astype(np.int64) for n in (1, 2))
+        data = [[pack(train[part]), pack(every[part])] for part in np.split(at, ends)]
+        distinct = np.zeros(len(packed), np.int64)
+        distinct[0] = np.count_nonzero(train)
+        columns = _sent(rows.column("block").to_pylist(), rows.column("shard").to_pylist(), data)
+        return pa.table([*columns, pa.array(distinct)], names=["block", "shard", "data", "words"])
+
+    offered = blocks.select("block", "hashes", "train", "sizes", "codes").mapInArrow(
+        offer, "block bigint, shard int, data array<binary>").repartition(sizes.shards, "shard")
+    return written(offered.groupBy("shard").applyInArrow(add, "block bigint, shard int, data array<binary>, words bigint"), "words")
+
+
+def gram_numbers(blocks: DataFrame, counts: DataFrame, sizes: Sizes) -> DataFrame:
+    """For every block and shard the numbers of the block's n-grams; beside them the parts of the spread histories' numbers.
+
+    (block, shard, data, keys, arcs, low): where block is null, keys with their numbers; else the keys that the block needs.
+    """
 
-
-@dataclass(frozen=True)
-class Model:
-    weights: DataFrame  # (id, log_p of the last token after its history, log_backoff as a history), log10, written
-    tokens: int
-    distinct: int
-    order: int
+    def offer(block: pa.Table, known: pa.Table) -> pa.Table:
+        number = block.column("block")[0].as_py()
+        block = _Block(block.combine_chunks())
+        block.take_counts(_split(known)[0], sizes)
+        block.grams(sizes)
+        n = np.bincount(block.entry[block.learned], minlength=len(block.a))
+        shards = np.flatnonzero(np.diff(block.bounds)).tolist()
+        data = []
+        for shard in shards:
+            own = slice(block.bounds[shard], block.bounds[shard + 1])
+            size = own.stop - own.start
+            used, at = np.unique(np.concatenate([block.a[own], block.b[own], block.c[own]]), return_inverse=True)
+            sort = np.argsort(block.names[used], kind="stable")
+            back = np.empty(len(sort), np.int32)
+            back[sort] = np.arange(len(sort), dtype=np.int32)
+            used, at = used[sort], back[at]
+            data.append([pack(np.diff(block.names[used], prepend=np.uint64(0))), pack(block.seen[used]), pack(block.spread[used]),
+                         *(pack(at[k * size:(k + 1) * size]) for k in range(3)), pack(n[own])])
+        return pa.table(_sent([number] * len(shards), shards, data), names=["block", "shard", "data"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        packed = rows.column("data").to_pylist()
+        numbers = rows.column("block").to_pylist()
+        names = [np.cumsum(unpack(d[0], np.uint64), dtype=np.uint64) for d in packed]
+        words, where = np.unique(np.concatenate(names), return_inverse=True)
+        seen, spread = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
+        codes = [[], [], []]
+        at = 0
+        for d, own in zip(packed, names):
+            here = where[at:at + len(own)]
+            at += len(own)
+            seen[here], spread[here] = unpack(d[1]), unpack(d[2])
+            for k in range(3):
+                codes[k].append(here[unpack(d[3 + k], np.int32)])
+        ends = np.cumsum([len(x) for x in codes[0]])[:-1]
+        a, b, c = (np.concatenate(x) for x in codes)
+        base = len(words)
+        pairs, pair = np.unique(b * base + c, return_inverse=True)
+        whole, entry = np.unique(pair * base + a, return_inverse=True)
+        n3 = np.bincount(entry, np.concatenate([unpack(d[6]) for d in packed]), len(whole))
+        n2 = np.bincount(whole // base, n3, len(pairs))
+        histories, history = np.unique(b * base + a, return_inverse=True)
+        of = np.empty(len(whole), np.int64)
+        of[entry] = history
+        live = n3 > 0
+        arcs3 = np.bincount(of[live], minlength=len(histories))
+        low3 = np.bincount(of[live], n2[(whole // base)[live]], len(histories))
+        live = n2 > 0
+        arcs2 = np.bincount(pairs[live] // base, minlength=base)
+        low2 = np.bincount(pairs[live] // base, seen[pairs[live] % base], base)
+        columns = [x.astype(np.int64) for x in (n3[entry], n2[pair], arcs3[history], low3[history], arcs2[b], low2[b])]
+        data = [[pack(x) for x in part] for part in zip(*(np.split(x, ends) for x in columns))]
+        far = spread[b] > 1
+        wide = np.where(far, _mixed(words[a], words[b]), 0).view(np.int64), np.where(far, words[b], 0).view(np.int64)
+        asked = [np.unique(np.concatenate([x[f], y[f]]))
+                 for x, y, f in zip(*(np.split(x, ends) for x in (*wide, far)))]
+        parts = spread[histories // base] > 1
+        mids = np.flatnonzero((spread > 1) & (arcs2 > 0))
+        keys = np.concatenate([_mixed(words[histories % base], words[histories // base])[parts], words[mids]]).view(np.int64)
+        totals = (np.concatenate([x[parts], y[mids]]).astype(np.int64) for x, y in ((arcs3, arcs2), (low3, low2)))
+        count = len(packed)
+        listed = pa.list_(pa.int64())
+        return pa.table([
+            pa.array([*numbers, None], pa.int64()), pa.array([rows.column("shard")[0].as_py()] * (count + 1), pa.int32()),
+            pa.array([*data, None], pa.list_(pa.binary())), pa.array([*asked, keys], listed),
+            *(pa.array([None] * count + [x], listed) for x in totals)], names=["block", "shard", "data", "keys", "arcs", "low"])
+
+    offered = blocks.select("block", "hashes", "train", "sizes", "codes").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
+        offer, "block bigint, shard int, data array<binary>").repartition(sizes.shards, "shard")
+    return written(offered.groupBy("shard").applyInArrow(
+        add, "block bigint, shard int, data array<binary>, keys array<bigint>, arcs array<bigint>, low array<bigint>"), "grams")
+
+
+def _answers(counts: DataFrame, numbers: DataFrame) -> DataFrame:
+    """All that is sent to the blocks. The numbers of a spread history are sums over the shards that have arcs of it."""
+    none = F.lit(None).cast("bigint")
+    of = F.arrays_zip("keys", "arcs", "low")
+    parts = numbers.where("block IS NULL").select(F.explode(of).alias("x")).groupBy(F.col("x.keys").alias("key")).agg(
+        F.sum("x.arcs").alias("arcs"), F.sum("x.low").alias("low"))
+    asked = numbers.where("block IS NOT NULL").select("block", F.explode("keys").alias("key")).distinct()
+    spread = asked.join(parts, "key").select(
+        "block", F.lit(2).cast("tinyint").alias("kind"), F.lit(0).alias("shard"), F.lit(None).cast("array<binary>").alias("data"),
+        "key", "arcs", "low")
+    for kind, packed in enumerate((counts, numbers.where("block IS NOT NULL"))):
+        columns = "block", F.lit(kind).cast("tinyint").alias("kind"), "shard", "data", *(none.alias(c) for c in ("key", "arcs", "low"))
+        spread = spread.unionByName(packed.select(*columns))
+    return spread
 
 
 def log_unigram(c: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
     return np.log10((c + ADDED) / (tokens + ADDED * (distinct + 1)))
 
 
-def train(blocks: DataFrame, order: int = 3) -> Model:
-    """Counts all n-grams and weighs them by absolute discounting.
+def _failure(left: np.ndarray, open_: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+    """Weight of a failure arc: what the arcs leave, over what the shorter history has beside them."""
+    ok = (arcs > 0) & (left > 1e-12) & (open_ > 1e-12)
+    return np.where(ok, np.log10(np.where(ok, left, 1.0) / np.where(ok, open_, 1.0)), 0.0)
 
-    Every history but the end goes on in its text, so its count is the sum of its arcs' counts.
-    """
-    grams = written(gram_counts(blocks, order), "grams")
-    total = grams.where("level = 1").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    tokens, distinct = int(total["n"] or 0), int(total["v"])
-    arcs = grams.where("level > 1")
-    totals = arcs.groupBy("history").agg(F.sum("n").alias("seen"))
-    unigram = (F.col("n") + ADDED) / (tokens + ADDED * (distinct + 1))
-    words = grams.where("level = 1").select("id", F.lit(None).cast("bigint").alias("history"), "shorter", unigram.alias("p"))
-    weighed = arcs.join(totals, "history").select("id", "history", "shorter", ((F.col("n") - DISCOUNT) / F.col("seen")).alias("p"))
-    weighed = written(words.unionByName(weighed), "weighed")
-    # What the shorter history gives to the same token: of every n-gram the shorter one is there too.
-    below = weighed.select(F.col("id").alias("shorter"), F.col("p").alias("below"))
-    open_ = weighed.where("history IS NOT NULL").join(below, "shorter").groupBy("history").agg(
-        (1 - F.sum("p")).alias("left"), (1 - F.sum("below")).alias("open"))
-    backoff = F.when((F.col("left") > 1e-12) & (F.col("open") > 1e-12), F.log10(F.col("left") / F.col("open"))).otherwise(0.0)
-    states = open_.select(F.col("history").alias("id"), backoff.alias("log_backoff"))
-    weights = weighed.select("id", F.log10("p").alias("log_p")).join(states, "id", "full")
-    return Model(written(weights, "weights"), tokens, distinct, order)
-
-
-def score(blocks: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every document of the blocks.
-
-    The weights of a block's n-grams come by a join, so no task holds the model.
-    """
-    tokens, distinct, order = model.tokens, model.distinct, model.order
-    kind = blocks.schema["ids"].dataType.elementType.simpleString()
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                codes = np.frombuffer(batch.column("codes")[row].as_py(), np.int32)
-                words = batch.column("hashes")[row].values.to_numpy().view(np.uint64)[codes]
-                sizes = batch.column("sizes")[row].values.to_numpy()
-                names = [np.array([START], np.uint64), *(np.unique(ids) for _, ids, _ in _grams(words, sizes, order))]
-                ids = np.unique(np.concatenate(names)).view(np.int64)
-                of = np.full(len(ids), batch.column("block")[row].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(ids)], names=["of_block", "id"])
-
-    asked = _hashed(blocks, "block", "sizes", "codes").mapInArrow(ask, "of_block bigint, id bigint")
-    answers = asked.join(model.weights, "id")
-
-    def run(block: pa.Table, known: pa.Table) -> pa.Table:
-        names = known.column("id").to_numpy().view(np.uint64)
-        sort = np.argsort(names)
-        # The last entry stands for names without an answer.
-        names = names[sort]
-        log_p = np.append(known.column("log_p").to_numpy()[sort], np.nan)
-        back = np.append(np.nan_to_num(known.column("log_backoff").to_numpy()[sort]), 0.0)
-        parts = []
-        for row in block.combine_chunks().to_batches():
-            for at in range(row.num_rows):
-                codes = np.frombuffer(row.column("codes")[at].as_py(), np.int32)
-                hashes = row.column("hashes")[at].values.to_numpy().view(np.uint64)
-                sizes = row.column("sizes")[at].values.to_numpy().astype(np.int64)
-                ends = np.cumsum(sizes)
-                group = (ends - sizes) // TOKENS_AT_ONCE
-                cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
-                for first, past in zip(cuts, cuts[1:]):
-                    own = hashes[codes[ends[first] - sizes[first]:ends[past - 1]]]
-                    ids = row.column("ids")[at].values.slice(first, past - first)
-                    parts.append(scored(names, log_p, back, own, sizes[first:past], ids))
-        return pa.concat_tables(parts)
-
-    def scored(names, log_p, back, words, sizes, ids) -> pa.Table:
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        unigram, each, seen = traverse(names, log_p, back, words, sizes)
+def score(blocks: DataFrame, order: int) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every document of the blocks."""
+    sizes = Sizes.of(blocks)
+    counts = word_counts(blocks, sizes)
+    distinct = int(counts.agg(F.sum("words")).first()[0] or 0)
+    heads = blocks.select("block", "hashes", "ids", "train", "sizes", "codes")
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    none = F.lit(None).cast("bigint")
+    known = counts.select("block", F.lit(0).cast("tinyint").alias("kind"), "shard", "data", *(none.alias(c) for c in ("key", "arcs", "low")))
+    numbers = gram_numbers(blocks, known, sizes)
+    root = sizes.tokens + ADDED * (distinct + 1)
+
+    def walk(block: _Block, told: list, spread: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each token alone and after its history, and whether it is known: the arc of the longest
+        history that has it, and the failure weights on the way down to it."""
+        found = np.zeros((6, len(block.a)), np.int64)
+        for shard, data in told:
+            for k in range(6):
+                found[k, block.bounds[shard]:block.bounds[shard + 1]] = unpack(data[k])
+        far = np.flatnonzero(block.spread[block.b] > 1)
+        if len(far):
+            keys = spread.column("key").to_numpy()
+            sort = np.argsort(keys)
+            keys = keys[sort]
+            a, b = block.names[block.a[far]], block.names[block.b[far]]
+            for row, wanted in ((2, _mixed(a, b)), (4, b)):
+                at = _find(keys, wanted.view(np.int64))
+                for k, name in enumerate(("arcs", "low")):
+                    found[row + k, far] = np.append(spread.column(name).to_numpy()[sort], 0)[at]
+        n3, n2, arcs3, low3, arcs2, low2 = found[:, block.entry]
+        last, before = block.seen[block.c][block.entry], block.seen[block.b][block.entry]
+        once = np.maximum(before, 1)  # where a history was not seen, it has no arcs and the value does not matter
+        unigram = log_unigram(last, sizes.tokens, distinct)
+        fail = _failure(DISCOUNT * arcs2 / once, 1 - (low2 + ADDED * arcs2) / root, arcs2)
+        each = np.where(n2 > 0, np.log10(np.maximum(n2 - DISCOUNT, DISCOUNT / 9) / once), fail + unigram)
+        if order > 2:
+            # The state by which a token is read is the pair that ended at the token before.
+            pair = np.ones(len(n2), np.int64)
+            pair[1:] = np.maximum(n2[:-1], 1)
+            fail = _failure(DISCOUNT * arcs3 / pair, 1 - (low3 - DISCOUNT * arcs3) / once, arcs3)
+            longer = np.where(n3 > 0, np.log10(np.maximum(n3 - DISCOUNT, DISCOUNT / 9) / pair), fail + each)
+            each = np.where(block.place > 0, longer, each)
+        return unigram, each, last > 0
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, answers = rows.combine_chunks(), answers.combine_chunks()
+        block, told = _Block(rows), _split(answers)
+        block.take_counts(told[0], sizes)
+        block.grams(sizes)
+        unigram, each, seen = walk(block, told[1], answers.filter(pc.equal(answers.column("kind"), 2)))
+        owner = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        total = len(block.sizes)
         return pa.table({
-            "doc_id": ids, "n_tokens": pa.array(sizes),
-            "n_known": pa.array(np.bincount(owner, seen, len(sizes)).astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(sizes), tokens, np.int64)),
-            "base_score": pa.array(np.bincount(owner, unigram, len(sizes))),
-            "score": pa.array(np.bincount(owner, each, len(sizes)))})
-
-    def traverse(names, log_p, back, words, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 probability of each token alone and after its history, and whether it is known: the longest history
-        that has the arc, and the failure weights on the way down to it."""
-        missing = len(names)
-        start = _find(names, np.array([START], np.uint64))[0]
-        unigram = each = seen = None
-        for at, ids, _ in _grams(words, sizes, order):
-            found = _find(names, ids)
-            if each is None:
-                seen = found < missing
-                unigram = np.where(seen, log_p[found], log_unigram(np.zeros(1), tokens, distinct)[0])
-                each = unigram.copy()
-                state = np.full(len(words), start)
-                state[1:] = found[:-1]
-                state[(np.cumsum(sizes) - sizes)] = start
-            else:
-                each[at] = np.where(found < missing, log_p[found], each[at] + back[state[at]])
-                # The history of the next order is the arc by which the token before was read.
-                arc = np.full(len(words), missing)
-                arc[at] = found
-                state[1:] = arc[:-1]
-        return unigram, each, seen
+            "doc_id": rows.column("ids")[0].values, "n_tokens": pa.array(block.sizes),
+            "n_known": pa.array(np.bincount(owner, seen, total).astype(np.int64)),
+            "train_tokens": pa.array(np.full(total, sizes.tokens, np.int64)),
+            "base_score": pa.array(np.bincount(owner, unigram, total)),
+            "score": pa.array(np.bincount(owner, each, total))})
 
     schema = f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    heads = _hashed(blocks, "block", "ids", "sizes", "codes")
-    return heads.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(run, schema)
+    return heads.groupBy("block").cogroup(_answers(counts, numbers).groupBy("block")).applyInArrow(run, schema)
 
 
 def _find(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -259,11 +406,12 @@ def _find(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, train_on: Column, text: str = "text", id_col: str = "doc_id", order: int = 3) -> DataFrame:
-    """Scores every row of `docs` by a model of the rows where `train_on` holds.
+    """Scores every row of `docs` by a model of the rows where `train_on` holds; `order` is 2 or 3.
 
     Tokens are runs without ASCII white space, A-Z in lower case, and an end. A null text is empty: one token. Rows
     are scored one by one, repeated ones alike, and a null id stays null. Without training rows every token is unknown, at
     a probability of 1. Other columns are not looked at.
     """
-    blocks = blocks_of(docs, train_on, text, id_col)
-    return score(blocks, train(blocks, order))
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
+    return score(blocks_of(docs, train_on, text, id_col), order)

@@ -265,6 +265,31 @@ def test_scores_equal_a_token_by_token_walk(spark, order):
         assert math.isclose(r["base_score"], base, abs_tol=1e-9) and math.isclose(r["score"], score, abs_tol=1e-7), texts[n]
 
 
+def test_spread_middle_words_and_many_shards_give_the_same_scores(spark, monkeypatch):
+    """Blocks of a few texts, shards of 40 tokens: frequent words are spread over shards, their histories are added up."""
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 40)
+    draw = random.Random(6)
+    words = ["the", "of", *(f"w{n}" for n in range(30))]
+    texts = [" ".join(draw.choices(words, weights=[60, 20, *[1] * 30], k=draw.randint(0, 40))) for _ in range(80)]
+    texts += ["hot unseen " * 30, "the the the", "hot the"]
+    docs = spark.createDataFrame([(n, t, n % 4 != 0 and n < 80) for n, t in enumerate(texts)], "doc_id long, text string, t boolean")
+    blocks = lm_scoring.blocks_of(docs.repartition(6), F.col("t"), "text", "doc_id")
+    sizes = lm_scoring.Sizes.of(blocks)
+    assert blocks.count() > 3 and sizes.shards > 20
+    rows = {r["doc_id"]: r for r in lm_scoring.score(blocks, 3).collect()}
+    expected, total, _ = scored_by_definition([t for n, t in enumerate(texts) if n % 4 and n < 80], texts, 3)
+    assert sizes.tokens == total and len(rows) == len(texts)
+    for n, (base, score) in enumerate(expected):
+        assert math.isclose(rows[n]["base_score"], base, abs_tol=1e-9) and math.isclose(rows[n]["score"], score, abs_tol=1e-7), texts[n]
+
+
+def test_blocks_are_not_shuffled_for_their_answers(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string")
+    plan = lm_scoring.score_documents(docs, F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    cogroup = plan[plan.index("FlatMapCoGroupsInArrow"):]
+    assert "Exchange" not in cogroup[:cogroup.index("FileScan")] and "Bucketed: true" in cogroup
+
+
 def test_the_model_is_better_than_single_words_on_held_out_text(spark):
     docs = read_table(spark, "/root/testdata/sf0.1", "documents")
     held = remainder(F.col("doc_id"), 10) == 0
