@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from gatewaylens.llm.common import slices
 from gatewaylens.session import new_path, written
 
-BLOCK_BYTES = 8 << 20
-SHARD_TOKENS = 2_000_000  # n-grams of one shard, about
+BLOCK_BYTES = 6 << 20
+SHARD_TOKENS = 1_200_000  # n-grams of one shard, about
+TOKENS_AT_ONCE = 200_000  # of a block, in the walk
 DISCOUNT = 0.75
 ADDED = 0.1
 END = ""  # counted as a token; no word is empty
@@ -65,6 +66,17 @@ def unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the place among them of every key; with less memory than numpy's own."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], at
+
+
 def blocks_of(docs: DataFrame, train: Column, text: str, id_col: str) -> DataFrame:
     """Documents in blocks, tokenised once: (block, hashes, ids, train, sizes, codes, and three totals).
 
@@ -160,25 +172,29 @@ class _Block:
     def grams(self, sizes: Sizes) -> None:
         """Distinct (a, b, c) that end at the tokens, in the order in which they are sent, by shard."""
         words = len(self.hashes)
-        place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        codes = self.codes.astype(np.int64)
-        middle, first = np.full(len(codes), words), np.full(len(codes), words + 1)
-        middle[1:][place[1:] > 0] = codes[:-1][place[1:] > 0]
-        first[place == 1] = words
-        first[2:][place[2:] > 1] = codes[:-2][place[2:] > 1]
         base = words + 2
-        pairs, pair = np.unique(middle * base + codes, return_inverse=True)
-        whole, entry = np.unique(pair * base + first, return_inverse=True)
+        place = np.arange(len(self.codes), dtype=np.int32) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes).astype(np.int32)
+        middle, first = np.full(len(place), words, np.int32), np.full(len(place), words + 1, np.int32)
+        np.copyto(middle[1:], self.codes[:-1], where=place[1:] > 0)
+        first[place == 1] = words
+        np.copyto(first[2:], self.codes[:-2], where=place[2:] > 1)
+        pairs, pair = _distinct(middle.astype(np.int64) * base + self.codes)
+        whole, entry = _distinct(pair.astype(np.int64) * base + first)
+        del middle, first, pair
+        a = (whole % base).astype(np.int32)
         of = pairs[whole // base]
-        b, c, a = of // base, of % base, whole % base
-        kinds = self.spread[b].astype(np.uint64)
-        shard = ((_mixed(np.zeros(1, np.uint64), self.names[b]) + self.names[c] % kinds) % np.uint64(sizes.shards)).astype(np.int64)
+        del whole, pairs
+        b, c = (of // base).astype(np.int32), (of % base).astype(np.int32)
+        del of
+        home = _mixed(np.zeros(1, np.uint64), self.names)
+        shard = home[b] + self.names[c] % self.spread.astype(np.uint64)[b]
+        shard = (shard % np.uint64(sizes.shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
-        at = np.empty(len(order), np.int64)
-        at[order] = np.arange(len(order))
-        self.place, self.entry = place, at[entry]
-        self.a, self.b, self.c = a[order], b[order], c[order]
         self.bounds = np.searchsorted(shard[order], np.arange(sizes.shards + 1))
+        at = np.empty(len(order), np.int32)
+        at[order] = np.arange(len(order), dtype=np.int32)
+        self.starts, self.entry = place == 0, at[entry]
+        self.a, self.b, self.c = a[order], b[order], c[order]
 
 
 def _split(rows: pa.Table) -> dict[int, list]:
@@ -264,38 +280,47 @@ def gram_numbers(blocks: DataFrame, counts: DataFrame, sizes: Sizes) -> DataFram
         codes = [[], [], []]
         at = 0
         for d, own in zip(packed, names):
-            here = where[at:at + len(own)]
+            here = where[at:at + len(own)].astype(np.int32)
             at += len(own)
             seen[here], spread[here] = unpack(d[1]), unpack(d[2])
             for k in range(3):
                 codes[k].append(here[unpack(d[3 + k], np.int32)])
+        del names, where
         ends = np.cumsum([len(x) for x in codes[0]])[:-1]
-        a, b, c = (np.concatenate(x) for x in codes)
+        a, b, c = (np.concatenate(codes.pop(0)) for _ in range(3))
+        n = np.concatenate([unpack(d[6]) for d in packed])
+        del packed
         base = len(words)
-        pairs, pair = np.unique(b * base + c, return_inverse=True)
-        whole, entry = np.unique(pair * base + a, return_inverse=True)
-        n3 = np.bincount(entry, np.concatenate([unpack(d[6]) for d in packed]), len(whole))
-        n2 = np.bincount(whole // base, n3, len(pairs))
-        histories, history = np.unique(b * base + a, return_inverse=True)
-        of = np.empty(len(whole), np.int64)
-        of[entry] = history
+        pairs, pair = _distinct(b.astype(np.int64) * base + c)
+        del c
+        whole, entry = _distinct(pair.astype(np.int64) * base + a)
+        n3 = np.bincount(entry, n, len(whole)).astype(np.int64)
+        del n
+        pair_of = (whole // base).astype(np.int32)
+        n2 = np.bincount(pair_of, n3, len(pairs)).astype(np.int64)
+        histories, of = _distinct(pairs[pair_of] // base * base + whole % base)
+        del whole
         live = n3 > 0
         arcs3 = np.bincount(of[live], minlength=len(histories))
-        low3 = np.bincount(of[live], n2[(whole // base)[live]], len(histories))
+        low3 = np.bincount(of[live], n2[pair_of[live]], len(histories)).astype(np.int64)
         live = n2 > 0
         arcs2 = np.bincount(pairs[live] // base, minlength=base)
-        low2 = np.bincount(pairs[live] // base, seen[pairs[live] % base], base)
-        columns = [x.astype(np.int64) for x in (n3[entry], n2[pair], arcs3[history], low3[history], arcs2[b], low2[b])]
-        data = [[pack(x) for x in part] for part in zip(*(np.split(x, ends) for x in columns))]
-        far = spread[b] > 1
-        wide = np.where(far, _mixed(words[a], words[b]), 0).view(np.int64), np.where(far, words[b], 0).view(np.int64)
-        asked = [np.unique(np.concatenate([x[f], y[f]]))
-                 for x, y, f in zip(*(np.split(x, ends) for x in (*wide, far)))]
+        low2 = np.bincount(pairs[live] // base, seen[pairs[live] % base], base).astype(np.int64)
+        del pair_of, pairs
+        found = []
+        for values, index in ((n3, entry), (n2, pair), (arcs3, of[entry]), (low3, of[entry]), (arcs2, b), (low2, b)):
+            found.append([pack(values[own]) for own in np.split(index, ends)])
+        data = [list(d) for d in zip(*found)]
+        asked = []
+        for x, y in zip(np.split(a, ends), np.split(b, ends)):
+            far = spread[y] > 1
+            x, y = words[x[far]], words[y[far]]
+            asked.append(np.unique(np.concatenate([_mixed(x, y), y])).view(np.int64))
         parts = spread[histories // base] > 1
         mids = np.flatnonzero((spread > 1) & (arcs2 > 0))
         keys = np.concatenate([_mixed(words[histories % base], words[histories // base])[parts], words[mids]]).view(np.int64)
-        totals = (np.concatenate([x[parts], y[mids]]).astype(np.int64) for x, y in ((arcs3, arcs2), (low3, low2)))
-        count = len(packed)
+        totals = [np.concatenate([x[parts], y[mids]]) for x, y in ((arcs3, arcs2), (low3, low2))]
+        count = len(data)
         listed = pa.list_(pa.int64())
         return pa.table([
             pa.array([*numbers, None], pa.int64()), pa.array([rows.column("shard")[0].as_py()] * (count + 1), pa.int32()),
@@ -334,6 +359,11 @@ def _failure(left: np.ndarray, open_: np.ndarray, arcs: np.ndarray) -> np.ndarra
     return np.where(ok, np.log10(np.where(ok, left, 1.0) / np.where(ok, open_, 1.0)), 0.0)
 
 
+def _arc(n: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """log10 of the weight of an arc that was seen `n` times."""
+    return np.log10((np.maximum(n, 1) - DISCOUNT) / seen)
+
+
 def score(blocks: DataFrame, order: int) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every document of the blocks."""
     sizes = Sizes.of(blocks)
@@ -363,20 +393,22 @@ def score(blocks: DataFrame, order: int) -> DataFrame:
                 at = _find(keys, wanted.view(np.int64))
                 for k, name in enumerate(("arcs", "low")):
                     found[row + k, far] = np.append(spread.column(name).to_numpy()[sort], 0)[at]
-        n3, n2, arcs3, low3, arcs2, low2 = found[:, block.entry]
-        last, before = block.seen[block.c][block.entry], block.seen[block.b][block.entry]
-        once = np.maximum(before, 1)  # where a history was not seen, it has no arcs and the value does not matter
-        unigram = log_unigram(last, sizes.tokens, distinct)
-        fail = _failure(DISCOUNT * arcs2 / once, 1 - (low2 + ADDED * arcs2) / root, arcs2)
-        each = np.where(n2 > 0, np.log10(np.maximum(n2 - DISCOUNT, DISCOUNT / 9) / once), fail + unigram)
-        if order > 2:
-            # The state by which a token is read is the pair that ended at the token before.
-            pair = np.ones(len(n2), np.int64)
-            pair[1:] = np.maximum(n2[:-1], 1)
-            fail = _failure(DISCOUNT * arcs3 / pair, 1 - (low3 - DISCOUNT * arcs3) / once, arcs3)
-            longer = np.where(n3 > 0, np.log10(np.maximum(n3 - DISCOUNT, DISCOUNT / 9) / pair), fail + each)
-            each = np.where(block.place > 0, longer, each)
-        return unigram, each, last > 0
+        each = []
+        for at in range(0, len(block.entry), TOKENS_AT_ONCE):
+            entry = block.entry[at:at + TOKENS_AT_ONCE]
+            n3, n2, arcs3, low3, arcs2, low2 = found[:, entry]
+            last, before = block.seen[block.c[entry]], block.seen[block.b[entry]]
+            once = np.maximum(before, 1)  # where a history was not seen, it has no arcs and the value does not matter
+            unigram = log_unigram(last, sizes.tokens, distinct)
+            fail = _failure(DISCOUNT * arcs2 / once, 1 - (low2 + ADDED * arcs2) / root, arcs2)
+            best = np.where(n2 > 0, _arc(n2, once), fail + unigram)
+            if order > 2:
+                # The state by which a token is read is the pair that ended at the token before.
+                pair = np.maximum(found[1, block.entry[np.maximum(np.arange(at, at + len(entry)) - 1, 0)]], 1)
+                fail = _failure(DISCOUNT * arcs3 / pair, 1 - (low3 - DISCOUNT * arcs3) / once, arcs3)
+                best = np.where(block.starts[at:at + len(entry)], best, np.where(n3 > 0, _arc(n3, pair), fail + best))
+            each.append((unigram, best, last > 0))
+        return tuple(np.concatenate(x) for x in zip(*each))
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         rows, answers = rows.combine_chunks(), answers.combine_chunks()
