@@ -11,7 +11,10 @@ history how many arcs it has and how often the shorter history goes on with the
 
 A shard has all n-grams (a, b, c) of its middle words b, so it knows the arcs of (a, b), those of b, and the counts of
 (b, c), which are sums over a. A frequent middle word is spread over several shards by c; the numbers of its histories are
-then added up by a plain aggregation. A word is named by 64 bits.
+then added up by a plain aggregation.
+
+Words are counted in shards of their own, by names of 64 bits, and numbered there: frequent words have small numbers, which
+take one to three bytes where a name takes eight. N-grams are sent by these numbers.
 """
 
 from __future__ import annotations
@@ -35,9 +38,8 @@ TOKENS_AT_ONCE = 200_000  # of a block, in the walk
 DISCOUNT = 0.75
 ADDED = 0.1
 END = ""  # counted as a token; no word is empty
-START = 0x5EED0F7E  # name of the history at the beginning of a text
-NOTHING = 0x0B5E55ED  # what is before it
-
+START, NOTHING = 0, 1  # numbers of the beginning of a text and of what is before it; words have the numbers after these
+ALONE = np.uint64(2**64 - 1)  # in place of the first word, in the key of a history of one word
 
 
 def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -142,7 +144,7 @@ def _mixed(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """One row of the blocks; words by code, then the start, then what is before it."""
+    """One row of the blocks. Words have codes: places among the hashes, and once numbers are there places among these."""
 
     def __init__(self, row: pa.Table | pa.RecordBatch, at: int = 0) -> None:
         self.codes = unpack(row.column("codes")[at].as_py(), np.int32)
@@ -160,23 +162,27 @@ class _Block:
     def take_counts(self, rows: list[tuple[int, list[bytes]]], sizes: Sizes) -> None:
         """Occurrences of the words in the training texts and in all texts, from the word shards' answers."""
         order, bounds = self.word_order(sizes.shards)
-        words = len(self.hashes)
-        self.seen, every = np.zeros(words + 2, np.int64), np.zeros(words + 2, np.int64)
+        counts = np.zeros((3, len(order)), np.int64)
         for shard, data in rows:
             own = order[bounds[shard]:bounds[shard + 1]]
-            self.seen[own], every[own] = unpack(data[0]), unpack(data[1])
-        self.names = np.append(self.hashes, np.array([START, NOTHING], np.uint64))
-        self.seen[words] = every[words] = sizes.texts
-        self.spread = 1 + every // sizes.most
+            counts[:, own] = [unpack(d) for d in data]
+            counts[2, own] = counts[2, own] * sizes.shards + shard + 2
+        sort = np.argsort(counts[2], kind="stable")
+        code = np.empty(len(sort), np.int32)
+        code[sort] = np.arange(2, len(sort) + 2, dtype=np.int32)
+        self.codes = code[self.codes]
+        seen, every, number = counts[:, sort]
+        self.seen = np.concatenate([[sizes.texts, 0], seen])
+        self.spread = np.concatenate([[sizes.texts, 0], every]) // sizes.most + 1
+        self.numbers = np.concatenate([[START, NOTHING], number])
 
     def grams(self, sizes: Sizes) -> None:
         """Distinct (a, b, c) that end at the tokens, in the order in which they are sent, by shard."""
-        words = len(self.hashes)
-        base = words + 2
+        base = len(self.numbers)
         place = np.arange(len(self.codes), dtype=np.int32) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes).astype(np.int32)
-        middle, first = np.full(len(place), words, np.int32), np.full(len(place), words + 1, np.int32)
+        middle, first = np.full(len(place), START, np.int32), np.full(len(place), NOTHING, np.int32)
         np.copyto(middle[1:], self.codes[:-1], where=place[1:] > 0)
-        first[place == 1] = words
+        first[place == 1] = START
         np.copyto(first[2:], self.codes[:-2], where=place[2:] > 1)
         pairs, pair = _distinct(middle.astype(np.int64) * base + self.codes)
         whole, entry = _distinct(pair.astype(np.int64) * base + first)
@@ -186,8 +192,8 @@ class _Block:
         del whole, pairs
         b, c = (of // base).astype(np.int32), (of % base).astype(np.int32)
         del of
-        home = _mixed(np.zeros(1, np.uint64), self.names)
-        shard = home[b] + self.names[c] % self.spread.astype(np.uint64)[b]
+        numbers = self.numbers.view(np.uint64)
+        shard = _mixed(ALONE, numbers)[b] + numbers[c] % self.spread.astype(np.uint64)[b]
         shard = (shard % np.uint64(sizes.shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         self.bounds = np.searchsorted(shard[order], np.arange(sizes.shards + 1))
@@ -211,7 +217,8 @@ def _sent(blocks: list[int], shards: list[int], data: list[list[bytes]]) -> list
 
 
 def word_counts(blocks: DataFrame, sizes: Sizes) -> DataFrame:
-    """For every block and word shard, the counts of the block's words over all blocks; and once a shard its distinct words."""
+    """For every block and word shard, the counts of the block's words over all blocks and their numbers in the shard, the most
+    frequent first; and once a shard how many distinct words the training texts have there."""
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +241,9 @@ def word_counts(blocks: DataFrame, sizes: Sizes) -> DataFrame:
         ends = np.cumsum([len(n) for n in names])[:-1]
         own, at = np.unique(np.concatenate(names), return_inverse=True)
         train, every = (np.bincount(at, np.concatenate([unpack(d[n]) for d in packed]), len(own)).astype(np.int64) for n in (1, 2))
-        data = [[pack(train[part]), pack(every[part])] for part in np.split(at, ends)]
+        rank = np.empty(len(own), np.int64)
+        rank[np.argsort(-every, kind="stable")] = np.arange(len(own))
+        data = [[pack(x[part]) for x in (train, every, rank)] for part in np.split(at, ends)]
         distinct = np.zeros(len(packed), np.int64)
         distinct[0] = np.count_nonzero(train)
         columns = _sent(rows.column("block").to_pylist(), rows.column("shard").to_pylist(), data)
@@ -261,52 +270,42 @@ def gram_numbers(blocks: DataFrame, counts: DataFrame, sizes: Sizes) -> DataFram
         data = []
         for shard in shards:
             own = slice(block.bounds[shard], block.bounds[shard + 1])
-            size = own.stop - own.start
-            used, at = np.unique(np.concatenate([block.a[own], block.b[own], block.c[own]]), return_inverse=True)
-            sort = np.argsort(block.names[used], kind="stable")
-            back = np.empty(len(sort), np.int32)
-            back[sort] = np.arange(len(sort), dtype=np.int32)
-            used, at = used[sort], back[at]
-            data.append([pack(np.diff(block.names[used], prepend=np.uint64(0))), pack(block.seen[used]), pack(block.spread[used]),
-                         *(pack(at[k * size:(k + 1) * size]) for k in range(3)), pack(n[own])])
+            middle, last = np.unique(block.b[own]), np.unique(block.c[own])
+            data.append([pack(np.diff(block.numbers[block.b[own]], prepend=0)), pack(block.numbers[block.c[own]]),
+                         pack(block.numbers[block.a[own]]), pack(n[own]), pack(block.spread[middle]), pack(block.seen[last])])
         return pa.table(_sent([number] * len(shards), shards, data), names=["block", "shard", "data"])
 
     def add(rows: pa.Table) -> pa.Table:
         packed = rows.column("data").to_pylist()
         numbers = rows.column("block").to_pylist()
-        names = [np.cumsum(unpack(d[0], np.uint64), dtype=np.uint64) for d in packed]
-        words, where = np.unique(np.concatenate(names), return_inverse=True)
-        seen, spread = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
-        codes = [[], [], []]
-        at = 0
-        for d, own in zip(packed, names):
-            here = where[at:at + len(own)].astype(np.int32)
-            at += len(own)
-            seen[here], spread[here] = unpack(d[1]), unpack(d[2])
-            for k in range(3):
-                codes[k].append(here[unpack(d[3 + k], np.int32)])
-        del names, where
-        ends = np.cumsum([len(x) for x in codes[0]])[:-1]
-        a, b, c = (np.concatenate(codes.pop(0)) for _ in range(3))
-        n = np.concatenate([unpack(d[6]) for d in packed])
+        columns = [[np.cumsum(unpack(d[0])) for d in packed], *([unpack(d[k]) for d in packed] for k in (1, 2))]
+        ends = np.cumsum([len(x) for x in columns[0]])[:-1]
+        middle, b = _distinct(np.concatenate(columns.pop(0)))
+        last, c = _distinct(np.concatenate(columns.pop(0)))
+        first, a = _distinct(np.concatenate(columns.pop(0)))
+        # Sent once a row for its distinct middle and last words, in the order of their numbers.
+        spread, seen = np.ones(len(middle), np.int64), np.zeros(len(last), np.int64)
+        for d, of_b, of_c in zip(packed, np.split(b, ends), np.split(c, ends)):
+            spread[np.unique(of_b)], seen[np.unique(of_c)] = unpack(d[4]), unpack(d[5])
+        n = np.concatenate([unpack(d[3]) for d in packed])
         del packed
-        base = len(words)
-        pairs, pair = _distinct(b.astype(np.int64) * base + c)
-        del c
-        whole, entry = _distinct(pair.astype(np.int64) * base + a)
+        pairs, pair = _distinct(b.astype(np.int64) * len(last) + c)
+        pair_b, pair_c = pairs // len(last), pairs % len(last)
+        del c, pairs
+        whole, entry = _distinct(pair.astype(np.int64) * len(first) + a)
         n3 = np.bincount(entry, n, len(whole)).astype(np.int64)
         del n
-        pair_of = (whole // base).astype(np.int32)
-        n2 = np.bincount(pair_of, n3, len(pairs)).astype(np.int64)
-        histories, of = _distinct(pairs[pair_of] // base * base + whole % base)
+        pair_of = (whole // len(first)).astype(np.int32)
+        n2 = np.bincount(pair_of, n3, len(pair_b)).astype(np.int64)
+        histories, of = _distinct(pair_b[pair_of] * len(first) + whole % len(first))
         del whole
         live = n3 > 0
         arcs3 = np.bincount(of[live], minlength=len(histories))
         low3 = np.bincount(of[live], n2[pair_of[live]], len(histories)).astype(np.int64)
         live = n2 > 0
-        arcs2 = np.bincount(pairs[live] // base, minlength=base)
-        low2 = np.bincount(pairs[live] // base, seen[pairs[live] % base], base).astype(np.int64)
-        del pair_of, pairs
+        arcs2 = np.bincount(pair_b[live], minlength=len(middle))
+        low2 = np.bincount(pair_b[live], seen[pair_c[live]], len(middle)).astype(np.int64)
+        del pair_of, pair_b, pair_c
         found = []
         for values, index in ((n3, entry), (n2, pair), (arcs3, of[entry]), (low3, of[entry]), (arcs2, b), (low2, b)):
             found.append([pack(values[own]) for own in np.split(index, ends)])
@@ -314,11 +313,13 @@ def gram_numbers(blocks: DataFrame, counts: DataFrame, sizes: Sizes) -> DataFram
         asked = []
         for x, y in zip(np.split(a, ends), np.split(b, ends)):
             far = spread[y] > 1
-            x, y = words[x[far]], words[y[far]]
-            asked.append(np.unique(np.concatenate([_mixed(x, y), y])).view(np.int64))
-        parts = spread[histories // base] > 1
+            x, y = first[x[far]].view(np.uint64), middle[y[far]].view(np.uint64)
+            asked.append(np.unique(np.concatenate([_mixed(x, y), _mixed(ALONE, y)])).view(np.int64))
+        first, middle = first.view(np.uint64), middle.view(np.uint64)
+        of_b = histories // len(first)
+        parts = spread[of_b] > 1
         mids = np.flatnonzero((spread > 1) & (arcs2 > 0))
-        keys = np.concatenate([_mixed(words[histories % base], words[histories // base])[parts], words[mids]]).view(np.int64)
+        keys = np.concatenate([_mixed(first[histories % len(first)], middle[of_b])[parts], _mixed(ALONE, middle[mids])]).view(np.int64)
         totals = [np.concatenate([x[parts], y[mids]]) for x, y in ((arcs3, arcs2), (low3, low2))]
         count = len(data)
         listed = pa.list_(pa.int64())
@@ -388,8 +389,9 @@ def score(blocks: DataFrame, order: int) -> DataFrame:
             keys = spread.column("key").to_numpy()
             sort = np.argsort(keys)
             keys = keys[sort]
-            a, b = block.names[block.a[far]], block.names[block.b[far]]
-            for row, wanted in ((2, _mixed(a, b)), (4, b)):
+            numbers = block.numbers.view(np.uint64)
+            a, b = numbers[block.a[far]], numbers[block.b[far]]
+            for row, wanted in ((2, _mixed(a, b)), (4, _mixed(ALONE, b))):
                 at = _find(keys, wanted.view(np.int64))
                 for k, name in enumerate(("arcs", "low")):
                     found[row + k, far] = np.append(spread.column(name).to_numpy()[sort], 0)[at]
