@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from gatewaylens.llm.common import slices
 from gatewaylens.session import new_path, written
 
-BLOCK_BYTES = 6 << 20
-SHARD_TOKENS = 1_200_000  # n-grams of one shard, about
+BLOCK_BYTES = 4 << 20
+SHARD_TOKENS = 800_000  # n-grams of one shard, about
 TOKENS_AT_ONCE = 200_000  # of a block, in the walk
 DISCOUNT = 0.75
 ADDED = 0.1
@@ -79,6 +79,32 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ranked[new], at
 
 
+def _dense(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `_distinct`, by a table of the numbers where that is small; they are not negative."""
+    size = int(numbers.max(initial=0)) + 1
+    if size > 4 * len(numbers) + 1024:
+        return _distinct(numbers)
+    there = np.zeros(size, bool)
+    there[numbers] = True
+    return np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[numbers]
+
+
+def _triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, sizes: tuple[int, int, int]) -> tuple[np.ndarray, ...]:
+    """Distinct (a, b, c) in the order of b, c, a: their a, b and c, and the place among them of every triple.
+
+    The three are codes below the `sizes`; one sort where a triple fits into 63 bits.
+    """
+    size_a, size_b, size_c = sizes
+    if size_a * size_b * size_c < 2**63:
+        whole, entry = _distinct((b.astype(np.int64) * size_c + c) * size_a + a)
+        of = whole // size_a
+    else:
+        pairs, pair = _distinct(b.astype(np.int64) * size_c + c)
+        whole, entry = _distinct(pair.astype(np.int64) * size_a + a)
+        of = pairs[whole // size_a]
+    return (whole % size_a).astype(np.int32), (of // size_c).astype(np.int32), (of % size_c).astype(np.int32), entry
+
+
 def blocks_of(docs: DataFrame, train: Column, text: str, id_col: str) -> DataFrame:
     """Documents in blocks, tokenised once: (block, hashes, ids, train, sizes, codes, and three totals).
 
@@ -132,7 +158,7 @@ class Sizes:
     def of(blocks: DataFrame) -> Sizes:
         total = blocks.agg(*(F.sum(c) for c in ("tokens", "train_tokens", "train_docs"))).first()
         every, tokens, texts = (int(n or 0) for n in total)
-        return Sizes(tokens, texts, every // SHARD_TOKENS + 1, SHARD_TOKENS // 2)
+        return Sizes(tokens, texts, every // SHARD_TOKENS + 1, SHARD_TOKENS // 3)
 
 
 def _mixed(history: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -184,17 +210,11 @@ class _Block:
         np.copyto(middle[1:], self.codes[:-1], where=place[1:] > 0)
         first[place == 1] = START
         np.copyto(first[2:], self.codes[:-2], where=place[2:] > 1)
-        pairs, pair = _distinct(middle.astype(np.int64) * base + self.codes)
-        whole, entry = _distinct(pair.astype(np.int64) * base + first)
-        del middle, first, pair
-        a = (whole % base).astype(np.int32)
-        of = pairs[whole // base]
-        del whole, pairs
-        b, c = (of // base).astype(np.int32), (of % base).astype(np.int32)
-        del of
+        a, b, c, entry = _triples(first, middle, self.codes, (base, base, base))
+        del middle, first
         numbers = self.numbers.view(np.uint64)
         shard = _mixed(ALONE, numbers)[b] + numbers[c] % self.spread.astype(np.uint64)[b]
-        shard = (shard % np.uint64(sizes.shards)).astype(np.int32)
+        shard = (shard % np.uint64(sizes.shards)).astype(np.uint16 if sizes.shards < 1 << 16 else np.int64)  # 16 bits are sorted by radix
         order = np.argsort(shard, kind="stable")
         self.bounds = np.searchsorted(shard[order], np.arange(sizes.shards + 1))
         at = np.empty(len(order), np.int32)
@@ -270,7 +290,7 @@ def gram_numbers(blocks: DataFrame, counts: DataFrame, sizes: Sizes) -> DataFram
         data = []
         for shard in shards:
             own = slice(block.bounds[shard], block.bounds[shard + 1])
-            middle, last = np.unique(block.b[own]), np.unique(block.c[own])
+            middle, last = _dense(block.b[own])[0], _dense(block.c[own])[0]
             data.append([pack(np.diff(block.numbers[block.b[own]], prepend=0)), pack(block.numbers[block.c[own]]),
                          pack(block.numbers[block.a[own]]), pack(n[own]), pack(block.spread[middle]), pack(block.seen[last])])
         return pa.table(_sent([number] * len(shards), shards, data), names=["block", "shard", "data"])
@@ -280,34 +300,36 @@ def gram_numbers(blocks: DataFrame, counts: DataFrame, sizes: Sizes) -> DataFram
         numbers = rows.column("block").to_pylist()
         columns = [[np.cumsum(unpack(d[0])) for d in packed], *([unpack(d[k]) for d in packed] for k in (1, 2))]
         ends = np.cumsum([len(x) for x in columns[0]])[:-1]
-        middle, b = _distinct(np.concatenate(columns.pop(0)))
-        last, c = _distinct(np.concatenate(columns.pop(0)))
-        first, a = _distinct(np.concatenate(columns.pop(0)))
+        middle, b = _dense(np.concatenate(columns.pop(0)))
+        last, c = _dense(np.concatenate(columns.pop(0)))
+        first, a = _dense(np.concatenate(columns.pop(0)))
         # Sent once a row for its distinct middle and last words, in the order of their numbers.
         spread, seen = np.ones(len(middle), np.int64), np.zeros(len(last), np.int64)
         for d, of_b, of_c in zip(packed, np.split(b, ends), np.split(c, ends)):
-            spread[np.unique(of_b)], seen[np.unique(of_c)] = unpack(d[4]), unpack(d[5])
+            spread[_dense(of_b)[0]], seen[_dense(of_c)[0]] = unpack(d[4]), unpack(d[5])
         n = np.concatenate([unpack(d[3]) for d in packed])
         del packed
-        pairs, pair = _distinct(b.astype(np.int64) * len(last) + c)
-        pair_b, pair_c = pairs // len(last), pairs % len(last)
-        del c, pairs
-        whole, entry = _distinct(pair.astype(np.int64) * len(first) + a)
-        n3 = np.bincount(entry, n, len(whole)).astype(np.int64)
+        whole_a, whole_b, whole_c, entry = _triples(a, b, c, (len(first), len(middle), len(last)))
+        del c
+        n3 = np.bincount(entry, n, len(whole_a)).astype(np.int64)
         del n
-        pair_of = (whole // len(first)).astype(np.int32)
+        # Equal pairs (b, c) follow each other.
+        new = np.ones(len(n3), bool)
+        new[1:] = (whole_b[1:] != whole_b[:-1]) | (whole_c[1:] != whole_c[:-1])
+        pair_of = np.cumsum(new, dtype=np.int32) - 1
+        pair_b, pair_c = whole_b[new], whole_c[new]
         n2 = np.bincount(pair_of, n3, len(pair_b)).astype(np.int64)
-        histories, of = _distinct(pair_b[pair_of] * len(first) + whole % len(first))
-        del whole
+        histories, of = _distinct(whole_b.astype(np.int64) * len(first) + whole_a)
+        del whole_a, whole_b, whole_c, new
         live = n3 > 0
         arcs3 = np.bincount(of[live], minlength=len(histories))
         low3 = np.bincount(of[live], n2[pair_of[live]], len(histories)).astype(np.int64)
         live = n2 > 0
         arcs2 = np.bincount(pair_b[live], minlength=len(middle))
         low2 = np.bincount(pair_b[live], seen[pair_c[live]], len(middle)).astype(np.int64)
-        del pair_of, pair_b, pair_c
+        del pair_b, pair_c
         found = []
-        for values, index in ((n3, entry), (n2, pair), (arcs3, of[entry]), (low3, of[entry]), (arcs2, b), (low2, b)):
+        for values, index in ((n3, entry), (n2, pair_of[entry]), (arcs3, of[entry]), (low3, of[entry]), (arcs2, b), (low2, b)):
             found.append([pack(values[own]) for own in np.split(index, ends)])
         data = [list(d) for d in zip(*found)]
         asked = []
