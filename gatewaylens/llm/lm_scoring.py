@@ -140,7 +140,7 @@ def blocks_of(docs: DataFrame, train: Column, text: str, id_col: str) -> DataFra
     cut = picked.mapInArrow(run, schema).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
     path = new_path(spark, "blocks")
     table = "lm_" + path.rsplit("-", 1)[1]
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark's own bound of buckets
     cut.write.format("parquet").bucketBy(buckets, "block").option("path", path).saveAsTable(table)
     return spark.table(table)
 
