@@ -39,7 +39,7 @@ DISCOUNT = 0.75
 ADDED = 0.1
 END = ""  # counted as a token; no word is empty
 START, NOTHING = 0, 1  # numbers of the beginning of a text and of what is before it; words have the numbers after these
-ALONE = np.uint64(2**64 - 1)  # in place of the first word, in the key of a history of one word
+ALONE = np.array([2**64 - 1], np.uint64)  # in place of the first word, in the key of a history of one word
 
 
 def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
