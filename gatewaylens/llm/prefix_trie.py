@@ -28,6 +28,8 @@ from gatewaylens.session import written
 WORD = r"[^\x20\x09-\x0D]+"
 ROOT = 0  # both halves of the root's name
 IDS_PER_PIECE = 50_000  # conversation ids that one row of text holds while they are hashed
+TURNS_PER_TASK = 20_000  # a level's tables are written in so many files that this is a task's share of the turns
+LEAST_TASKS = 24
 
 
 def _name(salt: int, *parts: Column) -> list[Column]:
@@ -38,6 +40,16 @@ def _pair(columns: list[Column], h: str, g: str) -> list[Column]:
     return [columns[0].alias(h), columns[1].alias(g)]
 
 
+class _Tables:
+    """Tables of the levels. Each is at most a few rows for a turn; many tiny partitions would cost a file each, level by level."""
+
+    def __init__(self, turns: int) -> None:
+        self.files = max(LEAST_TASKS, -(-turns // TURNS_PER_TASK))
+
+    def written(self, rows: DataFrame, name: str) -> DataFrame:
+        return written(rows.coalesce(self.files), name)
+
+
 def coded_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, n, h, g, words): turns numbered from 1 by `turn` (null first), with the name of (role, text) and the words of the text.
 
@@ -72,7 +84,7 @@ def rebuilt(coded: DataFrame, shared: Column, base: Column) -> tuple[DataFrame,
     return heads.unionByName(tails), plan.select("conv", "length")
 
 
-def _blocks(turns: DataFrame, lengths: DataFrame, height: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+def _blocks(turns: DataFrame, lengths: DataFrame, height: int, tables: _Tables) -> tuple[list[DataFrame], DataFrame, DataFrame]:
     """Per level the distinct blocks of 2^level turns with their halves; per conversation the node at which it ends, and its one block of the top level."""
     digits = []
     halves: list[DataFrame] = [None]
@@ -86,8 +98,8 @@ def _blocks(turns: DataFrame, lengths: DataFrame, height: int) -> tuple[list[Dat
                 *[F.max(F.when(second, F.col(c))).alias(f"{c}2") for c in ("h", "g", "whole")])
             marks = [F.coalesce(c, F.lit(0).cast("bigint")) for c in ("h2", "g2")]
             name = _name(100 + level, F.col("h1"), F.col("g1"), F.col("h2").isNotNull().cast("int"), *marks)
-            current = written(joined.select("conv", "at", *_pair(name, "h", "g"), F.coalesce(F.col("whole1") & F.col("whole2"), F.lit(False)).alias("whole"),
-                                            "h1", "g1", "whole1", "h2", "g2"), "blocks")
+            current = tables.written(joined.select("conv", "at", *_pair(name, "h", "g"), F.coalesce(F.col("whole1") & F.col("whole2"), F.lit(False)).alias("whole"),
+                                                   "h1", "g1", "whole1", "h2", "g2"), "blocks")
             halves.append(current.select("h", "g", "h1", "g1", "whole1", "h2", "g2").distinct())
         # The binary digits of a length are the blocks that make it up.
         digit = current.join(lengths, "conv").where(
@@ -108,7 +120,7 @@ def _blocks(turns: DataFrame, lengths: DataFrame, height: int) -> tuple[list[Dat
     return halves, ends, current
 
 
-def _cut(top: DataFrame, halves: list[DataFrame], height: int) -> tuple[DataFrame, dict[int, DataFrame], dict[int, DataFrame]]:
+def _cut(top: DataFrame, halves: list[DataFrame], height: int, tables: _Tables) -> tuple[DataFrame, dict[int, DataFrame], dict[int, DataFrame]]:
     """Edges of the trie, and per level the cut nodes with the root above and with the cut nodes below.
 
     A problem is (root, segment) with the node at its end (b) where one is cut there, and with the number and the smallest of its conversations.
@@ -122,7 +134,7 @@ def _cut(top: DataFrame, halves: list[DataFrame], height: int) -> tuple[DataFram
         met = problems.join(halves[level], ["h", "g"]).select(
             "rh", "rg", "h1", "g1", "h2", "g2", "bh", "bg", "depth", "n", "conv",
             *[F.when(F.col("whole1"), m).alias(name) for m, name in zip(mid, ("mh", "mg"))])
-        met = written(met, "cut")
+        met = tables.written(met, "cut")
         upper = met.groupBy("rh", "rg", F.col("h1").alias("h"), F.col("g1").alias("g"), F.col("mh").alias("bh"), F.col("mg").alias("bg"), "depth").agg(
             F.sum("n").alias("n"), F.min("conv").alias("conv"))
         lower = met.where("h2 IS NOT NULL").select(
@@ -133,10 +145,10 @@ def _cut(top: DataFrame, halves: list[DataFrame], height: int) -> tuple[DataFram
         problems = upper.unionByName(lower)
     edges = problems.select(F.col("bh").alias("nh"), F.col("bg").alias("ng"), "rh", "rg", (F.col("depth") + 1).alias("depth"), "h", "g",
                             F.col("n").alias("n_convs"), F.col("conv").alias("conv_id"))
-    return written(edges, "edges"), above, below
+    return tables.written(edges, "edges"), above, below
 
 
-def _graft(values: DataFrame, above: dict[int, DataFrame], below: dict[int, DataFrame], height: int, names: list[str]) -> DataFrame:
+def _graft(values: DataFrame, above: dict[int, DataFrame], below: dict[int, DataFrame], height: int, names: list[str], tables: _Tables) -> DataFrame:
     """(nh, ng, depth) with the sums of `names` over each node's subtree; `values` has the same columns."""
     def gathered(rows: DataFrame) -> DataFrame:
         return rows.groupBy("nh", "ng", "depth").agg(*[F.sum(c).alias(c) for c in names])
@@ -150,15 +162,15 @@ def _graft(values: DataFrame, above: dict[int, DataFrame], below: dict[int, Data
     for level in range(1, height + 1):
         odd = (F.shiftright("depth", level - 1) % 2) == 1
         done[level - 1] = current.where(odd)
-        current = written(gathered(current.where(~odd).unionByName(moved(done[level - 1], above[level], ("mh", "mg"), level))), "block-totals")
+        current = tables.written(gathered(current.where(~odd).unionByName(moved(done[level - 1], above[level], ("mh", "mg"), level))), "block-totals")
     finished = current  # the root
     for level in range(height, 0, -1):
         lower = moved(finished, below[level], ("bh", "bg"), level)
-        finished = finished.unionByName(written(gathered(done[level - 1].unionByName(lower)), "totals"))
+        finished = finished.unionByName(tables.written(gathered(done[level - 1].unionByName(lower)), "totals"))
     return finished
 
 
-def _hashes(ends: DataFrame) -> DataFrame:
+def _hashes(ends: DataFrame, tables: _Tables) -> DataFrame:
     """(h, g, ends_sha256): SHA-256 of each node's ending conversations in order.
 
     Rows are numbered in (node, conversation) order over even chunks and become pieces of text; only the pieces of a node, as a
@@ -168,7 +180,7 @@ def _hashes(ends: DataFrame) -> DataFrame:
     piece = F.expr(f"(n - 1) div {IDS_PER_PIECE}")
     pieces = placed.groupBy("h", "g", piece.alias("piece")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list("conv")), lambda c: c.cast("string")), ",").alias("ids"))
-    ordered = pieces.repartition("h", "g").sortWithinPartitions("h", "g", "piece")
+    ordered = pieces.repartition("h", "g").coalesce(tables.files).sortWithinPartitions("h", "g", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, digest, made = None, None, []
@@ -203,11 +215,11 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     conversations there are no rows.
     """
     turns, lengths = written(turns, "turns"), written(lengths, "lengths")
-    longest = lengths.agg(F.max("length")).first()[0] or 0
-    height = max(1, int(longest).bit_length())
-    halves, ends, top = _blocks(turns, lengths, height)
-    ends = written(ends, "ends")
-    edges, above, below = _cut(top, halves, height)
+    longest, every = (n or 0 for n in lengths.agg(F.max("length"), F.sum("length")).first())
+    height, tables = max(1, int(longest).bit_length()), _Tables(int(every))
+    halves, ends, top = _blocks(turns, lengths, height, tables)
+    ends = tables.written(ends, "ends")
+    edges, above, below = _cut(top, halves, height, tables)
     zero = F.lit(0).cast("bigint")
     root = lengths.agg(F.count("*").alias("n_convs"), F.min("conv").alias("conv_id")).where("n_convs > 0").select(
         F.lit(ROOT).cast("bigint").alias("nh"), F.lit(ROOT).cast("bigint").alias("ng"), F.lit(None).cast("bigint").alias("rh"),
@@ -215,12 +227,12 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     words = turns.groupBy("h", "g").agg(F.max("words").alias("words"))
     children = edges.groupBy(F.col("rh").alias("nh"), F.col("rg").alias("ng")).agg(F.count("*").alias("n_children"))
     nodes = edges.join(words, ["h", "g"]).drop("h", "g").unionByName(root).join(children, ["nh", "ng"], "left")
-    nodes = written(nodes.withColumn("n_children", F.coalesce("n_children", zero)), "nodes")
+    nodes = tables.written(nodes.withColumn("n_children", F.coalesce("n_children", zero)), "nodes")
     values = nodes.select("nh", "ng", "depth", (F.col("n_children") == 0).cast("bigint").alias("n_leaves"),
                           ((F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens"))
-    totals = _graft(values, above, below, height, ["n_leaves", "saved_tokens"]).drop("depth")
+    totals = _graft(values, above, below, height, ["n_leaves", "saved_tokens"], tables).drop("depth")
     parents = nodes.select(F.col("nh").alias("rh"), F.col("ng").alias("rg"), F.col("conv_id").alias("parent_conv_id"))
-    hashed = _hashes(ends).select(F.col("h").alias("nh"), F.col("g").alias("ng"), "ends_sha256")
+    hashed = _hashes(ends, tables).select(F.col("h").alias("nh"), F.col("g").alias("ng"), "ends_sha256")
     found = nodes.join(totals, ["nh", "ng"]).join(parents, ["rh", "rg"], "left").join(hashed, ["nh", "ng"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
     return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
