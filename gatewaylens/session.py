@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "gatewaylens", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,12 +61,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/gatewaylens/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark removes a query's shuffle files when the query ends, not when the driver collects its garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP_CONF, None)
+    spark.conf.set(SHUFFLE_CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP_CONF)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP_CONF, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` computed once into a table of the shared folder and read back.
 
     It survives the loss of executors, every later pass reads only the columns it needs, and its size is
-    known, so that Spark broadcasts it in a join exactly where it is small enough.
+    known, so that Spark broadcasts it in a join exactly where it is small enough. What was shuffled for it
+    goes from the executors' disks as soon as it is written: nothing reads that again.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)  # the schema is known: no job to find it

@@ -1,11 +1,30 @@
 """What the operators leave on disk and how many tasks they take, beside their results."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from gatewaylens import session
 from gatewaylens.llm import prefix_trie
 
 
+def test_shuffles_of_a_written_table_are_gone_when_it_is_written(spark):
+    folder = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+
+    def shuffled() -> set:
+        return {f for f in folder.rglob("shuffle_*") if f.is_file()}
+
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = shuffled()
+    rows.write.parquet(session.new_path(spark, "plain"))
+    assert shuffled() - before
+    before = shuffled()
+    made = session.written(rows, "test")
+    assert not shuffled() - before
+    assert made.agg(F.count("*"), F.sum("count")).first() == (7, 1000)
+    assert spark.conf.get(session.SHUFFLE_CLEANUP_CONF) == "false"
+
+
 def test_levels_of_the_trie_are_few_files_however_many_partitions_a_shuffle_has(spark, monkeypatch):
     files = {}
 
