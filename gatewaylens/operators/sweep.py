@@ -14,11 +14,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from gatewaylens.operators.ordered import in_order
+from gatewaylens.operators.ordered import CHUNK_BITS, in_order
 
 FOREVER = 2**62
 RADIX = 8  # chunks in one group of the tree
@@ -54,6 +55,16 @@ class Skyline:
             self.loads.pop()
         return self.loads[-1] if self.loads else None
 
+    def hold(self) -> list:
+        """The payloads; in their place stand their numbers, so that a batch's payloads can be numbered on, until `release`."""
+        held = self.loads
+        self.loads = list(range(len(held)))
+        return held
+
+    def release(self, held: list, more: pa.Array) -> None:
+        """Numbers become payloads again: first those that `hold` gave, then those of a column. Only what is left is made a Python value."""
+        self.loads = [held[n] if n < len(held) else more[n - len(held)].as_py() for n in self.loads]
+
     def spans(self, after: int = -FOREVER) -> list[tuple]:
         return [s for s in zip(self.ranks, self.ends, self.loads) if s[1] > after]
 
@@ -80,14 +91,24 @@ def _closing(source: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
     place = first = last = newest = None
     sky, single = Skyline(), True
     for batch in source:
-        for chunk, key, at, rank, end, load in zip(*(batch.column(c).to_pylist() for c in ("chunk", "key_", "at_", "rank_", "end_", "load_"))):
-            if place is None:
-                place, first, last = chunk, key, key
-            if key != last:
-                last, sky, single = key, Skyline(), False
-            newest = at
-            if end is not None:
-                sky.add(_key(rank), end, load)
+        if not batch.num_rows:
+            continue
+        keys, ends = batch.column("key_"), batch.column("end_")
+        if place is None:
+            place, first = batch.column("chunk")[0].as_py(), keys[0].as_py()
+            last = first
+        ending = keys[-1].as_py()
+        if ending != last:
+            last, sky, single = ending, Skyline(), False
+        newest = batch.column("at_")[-1].as_py()
+        if last is None:
+            continue
+        # Only spans that live on where the chunk ends count, and it does not end before this batch.
+        live = batch.filter(pc.and_(pc.equal(keys, last), pc.greater(ends, -FOREVER if newest is None else newest)))
+        held = sky.hold()
+        for number, (rank, end) in enumerate(zip(_ranks(live.column("rank_")), _whole(live.column("end_"))), len(held)):
+            sky.add(rank, end, number)
+        sky.release(held, live.column("load_"))
     if place is not None:
         spans = sky.spans(newest if newest is not None else -FOREVER)
         yield pa.RecordBatch.from_pylist([{"place": place, "first_key": first, "last_key": last, "single": single, "newest": newest, **_packed(spans)}], schema=schema)
@@ -97,6 +118,22 @@ def _key(rank):
     return tuple(rank) if isinstance(rank, list) else rank
 
 
+def _whole(column: pa.Array) -> list[int]:
+    """Whole numbers, null as 0."""
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).tolist()
+
+
+def _ranks(column: pa.Array) -> list:
+    """Ranks as values that compare. Arrays of whole numbers that are equally long are cut from all their numbers in a row."""
+    if len(column) and pa.types.is_list(column.type) and pa.types.is_integer(column.type.value_type) and not column.null_count:
+        flat, sizes = column.flatten(), pc.list_value_length(column)
+        width = sizes[0].as_py()
+        if width and not flat.null_count and pc.all(pc.equal(sizes, width)).as_py():
+            numbers = flat.to_numpy(zero_copy_only=False).reshape(-1, width)
+            return list(zip(*(part.tolist() for part in numbers.T)))
+    return [_key(rank) for rank in column.to_pylist()]
+
+
 def _merged(first, later: list) -> dict:
     key, single, newest, spans = first.last_key, bool(first.single), first.newest, _unpacked(first)
     for row in later:
@@ -163,9 +200,9 @@ def best_live(
     for level in reversed(levels):
         pairs = found.groupBy("group").cogroup(level.withColumn("group", F.expr(f"place div {RADIX}")).groupBy("group"))
         found = pairs.applyInPandas(_down(entering.names), entering).withColumnRenamed("place", "group")
-    carried = found.select(F.col("group").cast("int").alias("chunk"), "last_key", F.struct("ranks", "ends", "loads").alias("carried_")).checkpoint()
-    # One row per chunk; its skyline holds live spans only, none of which another one outranks and outlives.
-    started = placed.join(F.broadcast(carried), "chunk", "left")
+    carried = found.select(F.shiftleft("group", CHUNK_BITS).alias("pos"), "last_key", F.struct("ranks", "ends", "loads").alias("carried_")).checkpoint()
+    # One row per chunk; its skyline holds live spans only, none of which another one outranks and outlives. It meets the chunk's first row only.
+    started = placed.join(F.broadcast(carried), "pos", "left")
     made = StructType([*use, StructField(out, kinds["load_"])])
     found_type = to_arrow_schema(StructType([made[out]])).field(0).type
 
@@ -179,20 +216,35 @@ def best_live(
                 carry = batch.column("carried_")[0].as_py() or {"ranks": [], "ends": [], "loads": []}
                 sky = Skyline([(_key(r), e, p) for r, e, p in zip(carry["ranks"], carry["ends"], carry["loads"])])
             answers, chosen = [], []
-            columns = zip(*(batch.column(c).to_pylist() for c in ("key_", "at_", "end_", "rank_", "load_")))
-            for number, (key_, at_, end_, rank_, load_) in enumerate(columns):
-                if key_ != last:
-                    last, sky = key_, Skyline()
-                if end_ is not None:
-                    sky.add(_key(rank_), end_, load_)
-                else:
-                    chosen.append(number)
-                    answers.append(None if key_ is None or at_ is None else sky.best(at_))
+            keys, ends, loads = (batch.column(c) for c in ("key_", "end_", "load_"))
+            codes = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(codes)) + 1
+            span, times, untimed = (pc.is_valid(ends).to_numpy(zero_copy_only=False), _whole(batch.column("at_")),
+                                    pc.is_null(batch.column("at_")).to_numpy(zero_copy_only=False))
+            ranks, until = iter(_ranks(batch.column("rank_").filter(pa.array(span)))), _whole(ends)
+            mute, span = (untimed | (codes < 0)).tolist(), span.tolist()
+            held = sky.hold()
+            base = len(held)
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                key = keys[start].as_py()
+                if key != last:
+                    last, sky = key, Skyline()
+                for number in range(start, stop):
+                    if span[number]:
+                        sky.add(next(ranks), until[number], base + number)
+                    else:
+                        chosen.append(number)
+                        answers.append(None if mute[number] else sky.best(times[number]))
+            sky.release(held, loads)
+            given = pa.concat_arrays([pa.array(held, loads.type), loads]).take(pa.array(answers, pa.int64()))
             part = batch.take(pa.array(chosen, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(f.name) for f in use), pa.array(answers, found_type)], names=[*(f.name for f in use), out])
+                [*(part.column(f.name) for f in use), given.cast(found_type)], names=[*(f.name for f in use), out])
 
-    return started.select(*placed.columns, "last_key", "carried_").mapInArrow(run, made)
+    # Others have an empty one: Arrow's writer takes time with the square of a batch for arrays inside of structs that are null.
+    empty = F.struct(*[F.array().cast(f.dataType).alias(f.name) for f in skyline])
+    brought = F.coalesce("carried_", empty).alias("carried_")
+    return started.select(*(f.name for f in use), "key_", "at_", "end_", "rank_", "load_", "last_key", brought).mapInArrow(run, made)
 
 
 def _micros(at: Column) -> Column:
