@@ -31,7 +31,7 @@ from gatewaylens.llm.common import fresh_name, slices
 
 BLANK = "\u2581"  # fixed value: stands for a blank
 SLICE = 1 << 20
-SYMBOLS_AT_ONCE = 150_000  # of distinct chunks that are indexed together
+SYMBOLS_AT_ONCE = 200_000  # of distinct chunks that are indexed together; the vocabulary is searched once for them
 KNOWN_BYTES = 24 << 20  # of chunks in each of the two generations that a worker remembers; any number gives the same ids
 ENTRY_BYTES = 200  # that a remembered chunk takes beside its characters and ids
 KNOWN_PAIRS = 1 << 19
@@ -43,7 +43,7 @@ class Pieces:
     """The vocabulary: texts by id, ranks of merges (lower merges first), and the bytes."""
 
     texts: list[str]
-    ids: np.ndarray  # ids of the pieces that stand for text
+    ids: np.ndarray  # ids of the pieces that stand for text, in order of the text: their searches go through the suffixes from front to back
     rank: np.ndarray  # by id; NEVER for what no merge makes
     byte_ids: np.ndarray
     unknown: int
@@ -86,7 +86,8 @@ def load_pieces(path: str) -> Pieces:
             byte_ids[int(texts[i][1:-1], 16)] = i
     scores = np.array([reader.get_score(i) for i in range(count)])
     ranks = np.unique(-scores, return_inverse=True)[1].astype(np.int64)
-    pieces = Pieces(texts, np.flatnonzero(plain), np.where(plain, ranks, NEVER), byte_ids, reader.unk_id(), spec.add_dummy_prefix)
+    ids = np.array(sorted(np.flatnonzero(plain).tolist(), key=texts.__getitem__), np.int64)
+    pieces = Pieces(texts, ids, np.where(plain, ranks, NEVER), byte_ids, reader.unk_id(), spec.add_dummy_prefix)
     _build_pairs(pieces)
     return pieces
 
@@ -369,8 +370,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kee
                     yield pa.RecordBatch.from_arrays(
                         [*(part.column(f.name) for f in kept), made], names=[*(f.name for f in kept), ids])
         finally:
-            load_pieces(local).forget()
-            _follows.cache_clear()
+            load_pieces(local).forget()  # which pieces may follow which is kept: it is small, and most of it comes up in every partition
 
     return docs.select(F.col(text).alias(read), *(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
 
@@ -405,9 +405,9 @@ def _remembered(pieces: Pieces, chunks: set[str], path: str) -> dict[str, bytes]
     for start, stop in zip(cuts, cuts[1:]):
         values, sizes = encode_chunks(new[start:stop], path)
         raw, ends = values.astype(np.int32).tobytes(), np.cumsum(sizes) * 4
-        for c, a, b in zip(new[start:stop], (ends - sizes * 4).tolist(), ends.tolist()):
-            young[c] = raw[a:b]
-            pieces.young_bytes += 4 * len(c) + b - a + ENTRY_BYTES
+        young.update(zip(new[start:stop], map(raw.__getitem__, map(slice, (ends - sizes * 4).tolist(), ends.tolist()))))
+        pieces.young_bytes += len(raw)
+    pieces.young_bytes += 4 * sum(map(len, new)) + ENTRY_BYTES * len(new)
     return young
 
 
