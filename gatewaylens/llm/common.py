@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,3 +43,18 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts of a column, null as the empty text."""
     return pc.fill_null(batch.column(column), "").to_pylist()
+
+
+def memory_returned(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run` for mapInArrow; what Arrow's pool still holds at the end of a partition goes back to the system.
+
+    Spark keeps the worker process, idle or for other stages, and an executor pays for all of its workers.
+    """
+
+    def returning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return returning

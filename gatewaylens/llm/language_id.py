@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from gatewaylens.llm.common import fresh_name, remainder, slices
+from gatewaylens.llm.common import fresh_name, memory_returned, remainder, slices
 
 ORDERS = (2, 3, 4)  # bytes per n-gram; a blank stands before and after each word
 BINS = 1 << 16  # n-grams are counted by a hash of this many values, so a language's model has a fixed size
@@ -25,6 +25,7 @@ SMOOTHING = 0.5
 ROUNDS = 6
 PENALTY = 6.0  # log-likelihood that each further language must bring, times log(1 + words)
 LETTER = r"\pL"
+TOKENS_AT_ONCE = 100_000  # of a slice, in the mixtures
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
                 "l": pa.array([name] * len(bins)), "bin": pa.array(bins), "n": pa.array(counts[bins])})
 
     picked = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
-    counted = picked.mapInArrow(run, "l string, bin bigint, n bigint").groupBy("l", "bin").agg(F.sum("n").alias("n"))
+    counted = picked.mapInArrow(memory_returned(run), "l string, bin bigint, n bigint").groupBy("l", "bin").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
     names = tuple(sorted(set(table.column("l").to_pylist())))
     counts = np.zeros((BINS, len(names)))
@@ -117,14 +118,13 @@ def _word_scores(words: pa.Array, log_p: np.ndarray) -> np.ndarray:
     data, starts = _word_bytes(words)
     size = len(data)
     scores = np.zeros((len(words), log_p.shape[1]), np.float32)
-    owner = np.zeros(size, np.int64)
-    owner[starts[1:]] = 1
-    owner = np.cumsum(owner)
+    begin = np.zeros(size, np.int8)
+    begin[starts[1:]] = 1
+    owner = np.cumsum(begin, dtype=np.int64)
     for order in ORDERS:
         grams = _grams(data, order)
-        each = log_p[grams]
         for k in range(log_p.shape[1]):
-            scores[:, k] += np.bincount(owner[: len(grams)], each[:, k], len(words)).astype(np.float32)
+            scores[:, k] += np.bincount(owner[: len(grams)], log_p[:, k][grams], len(words)).astype(np.float32)
     return scores / len(ORDERS)
 
 
@@ -143,11 +143,25 @@ def _mixture(word_p: np.ndarray, rows: np.ndarray, docs: int, allowed: np.ndarra
 def _infer(texts: pa.Array, model: LanguageModel, rounds: int, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text: proportions over the selected languages, number of them, number of words."""
     words, numbers, rows = _split(texts)
-    docs, kinds = len(texts), len(model.languages)
-    size = np.bincount(rows, minlength=docs)
+    size = np.bincount(rows, minlength=len(texts))
     scores = _word_scores(words, model.log_p).astype(np.float64)
-    top = scores.max(axis=1, keepdims=True)
-    word_p = np.maximum(np.exp(scores - top), 1e-30)[numbers]
+    word_p = np.maximum(np.exp(scores - scores.max(axis=1, keepdims=True)), 1e-30)
+    # A text's mixture depends on its own words only: texts go in runs, so that memory follows the run.
+    ends = np.cumsum(size)
+    cuts = np.flatnonzero(np.diff((ends - size) // TOKENS_AT_ONCE)) + 1
+    found = []
+    for start, stop in zip([0, *cuts], [*cuts, len(texts)]):
+        own = slice(ends[start] - size[start], ends[stop - 1]) if stop else slice(0, 0)
+        found.append(_mixtures(word_p[numbers[own]], rows[own] - start, size[start:stop], rounds, penalty))
+    shares, number = (np.concatenate(x) for x in zip(*found))
+    return shares, number, size
+
+
+def _mixtures(
+    word_p: np.ndarray, rows: np.ndarray, size: np.ndarray, rounds: int, penalty: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of a run of texts: proportions and number of languages, from each token's likelihoods and text."""
+    docs, kinds = len(size), word_p.shape[1]
     # One language: its summed log-likelihood. More: the languages in order of their share in the full mixture.
     alone = np.stack([np.bincount(rows, np.log(word_p[:, k]), docs) for k in range(kinds)], axis=1)
     full, _ = _mixture(word_p, rows, docs, np.ones((docs, kinds)), rounds)
@@ -173,7 +187,7 @@ def _infer(texts: pa.Array, model: LanguageModel, rounds: int, penalty: float) -
         shares[taken], number[taken] = own[better], count
         reached[taken] = fit[better] - 0.0
         open_ = taken
-    return shares, number, size
+    return shares, number
 
 
 def identify(
@@ -190,7 +204,9 @@ def identify(
     kept = [f for f in docs.schema.fields if f.name not in names and (keep is None or f.name in keep)]
     schema = StructType([*kept, *(StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), IntegerType())))])
 
-    read = fresh_name("text")
+    # A text that passes through is sent once.
+    read = text if "." not in text and any(f.name == text for f in kept) else fresh_name("text")
+    sent = [F.col(f"`{f.name}`") for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +226,9 @@ def identify(
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(f.name) for f in kept), *made], names=[*(f.name for f in kept), *names])
 
-    return docs.select(F.col(text).alias(read), *(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
+    if read != text:
+        sent.append(F.col(text).alias(read))
+    return docs.select(*sent).mapInArrow(memory_returned(run), schema)
 
 
 def accepted(lang: Column, score: Column, least: float) -> Column:

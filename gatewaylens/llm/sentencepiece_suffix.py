@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from gatewaylens.llm.common import fresh_name, slices
+from gatewaylens.llm.common import fresh_name, memory_returned, slices
 
 BLANK = "\u2581"  # fixed value: stands for a blank
 SLICE = 1 << 20
@@ -372,7 +372,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kee
         finally:
             load_pieces(local).forget()  # which pieces may follow which is kept: it is small, and most of it comes up in every partition
 
-    return docs.select(F.col(text).alias(read), *(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias(read), *(F.col(f"`{f.name}`") for f in kept)).mapInArrow(memory_returned(run), schema)
 
 
 def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -431,7 +431,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(f.name) for f in kept), made], names=[*(f.name for f in kept), text])
 
-    return docs.select(F.col(ids).alias(read), *(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
+    return docs.select(F.col(ids).alias(read), *(F.col(f"`{f.name}`") for f in kept)).mapInArrow(memory_returned(run), schema)
 
 
 def _raw_pieces(pieces: Pieces) -> list[bytes]:
