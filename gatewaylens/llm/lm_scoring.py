@@ -11,7 +11,7 @@ history how many arcs it has and how often the shorter history goes on with the
 
 A shard has all n-grams (a, b, c) of its middle words b, so it knows the arcs of (a, b), those of b, and the counts of
 (b, c), which are sums over a. A frequent middle word is spread over several shards by c; the numbers of its histories are
-then added up by a plain aggregation.
+added up in shards of histories, which a block asks in the same way: packed names go there, packed numbers come back in order.
 
 Words are counted in shards of their own, by names of 64 bits, and numbered there: frequent words have small numbers, which
 take one to three bytes where a name takes eight. N-grams are sent by these numbers.
@@ -39,7 +39,8 @@ DISCOUNT = 0.75
 ADDED = 0.1
 END = ""  # counted as a token; no word is empty
 START, NOTHING = 0, 1  # numbers of the beginning of a text and of what is before it; words have the numbers after these
-ALONE = np.array([2**64 - 1], np.uint64)  # in place of the first word, in the key of a history of one word
+ALONE = np.array([2**64 - 1], np.uint64)  # in place of the first word, in the name of a history of one word
+WORDS, GRAMS, HISTORIES, ASKED, PARTS = range(5)  # kinds of packed rows: three answers to a block; what a block asks of spread histories; their parts
 
 
 def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -169,6 +170,9 @@ def _mixed(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+PACKED = "block bigint, shard int, data array<binary>, kind tinyint"
+
+
 class _Block:
     """One row of the blocks. Words have codes: places among the hashes, and once numbers are there places among these."""
 
@@ -222,13 +226,34 @@ class _Block:
         self.starts, self.entry = place == 0, at[entry]
         self.a, self.b, self.c = a[order], b[order], c[order]
 
+    def histories(self, sizes: Sizes) -> None:
+        """Distinct spread histories, of two words (a, b) and of one (b), in the order in which they are asked, by shard."""
+        self.far = np.flatnonzero(self.spread[self.b] > 1)
+        a, b, base = self.a[self.far], self.b[self.far], len(self.numbers)
+        pairs, pair = _distinct(b.astype(np.int64) * base + a)
+        words, word = _dense(b)
+        of_b = self.numbers[np.concatenate([pairs // base, words])]
+        of_a = np.concatenate([self.numbers[pairs % base] + 1, np.zeros(len(words), np.int64)])
+        order, self.asked_bounds = _dealt(of_a, of_b, sizes.shards)
+        self.asked_a, self.asked_b = of_a[order], of_b[order]
+        at = np.empty(len(order), np.int32)
+        at[order] = np.arange(len(order), dtype=np.int32)
+        self.pair_at, self.word_at = at[pair], at[len(pairs) + word]
+
+
+def _dealt(a: np.ndarray, b: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Histories in the order of their shards, and the bounds of these; `a` is the first word's number and one, 0 where there is none."""
+    first = np.where(a > 0, (a - 1).view(np.uint64), ALONE)
+    shard = (_mixed(first, b.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
 
 def _split(rows: pa.Table) -> dict[int, list]:
     """What was sent to a block, by kind."""
-    found = {0: [], 1: []}
+    found = {WORDS: [], GRAMS: [], HISTORIES: []}
     for kind, shard, data in zip(*(rows.column(c).to_pylist() for c in ("kind", "shard", "data"))):
-        if kind < 2:
-            found[kind].append((shard, data))
+        found[kind].append((shard, data))
     return found
 
 
@@ -236,6 +261,10 @@ def _sent(blocks: list[int], shards: list[int], data: list[list[bytes]]) -> list
     return [pa.array(blocks, pa.int64()), pa.array(shards, pa.int32()), pa.array(data, pa.list_(pa.binary()))]
 
 
+def _kinds(kinds: list[int]) -> pa.Array:
+    return pa.array(kinds, pa.int8())
+
+
 def word_counts(blocks: DataFrame, sizes: Sizes) -> DataFrame:
     """For every block and word shard, the counts of the block's words over all blocks and their numbers in the shard, the most
     frequent first; and once a shard how many distinct words the training texts have there."""
@@ -275,15 +304,16 @@ def word_counts(blocks: DataFrame, sizes: Sizes) -> DataFrame:
 
 
 def gram_numbers(blocks: DataFrame, counts: DataFrame, sizes: Sizes) -> DataFrame:
-    """For every block and shard the numbers of the block's n-grams; beside them the parts of the spread histories' numbers.
+    """For every block and shard the numbers of the block's n-grams (GRAMS).
 
-    (block, shard, data, keys, arcs, low): where block is null, keys with their numbers; else the keys that the block needs.
+    Beside them, by shards of histories, what the blocks ask of spread histories (ASKED, as they sent it) and the parts of
+    these histories' numbers (PARTS, without a block).
     """
 
     def offer(block: pa.Table, known: pa.Table) -> pa.Table:
         number = block.column("block")[0].as_py()
         block = _Block(block.combine_chunks())
-        block.take_counts(_split(known)[0], sizes)
+        block.take_counts(_split(known)[WORDS], sizes)
         block.grams(sizes)
         n = np.bincount(block.entry[block.learned], minlength=len(block.a))
         shards = np.flatnonzero(np.diff(block.bounds)).tolist()
@@ -293,11 +323,21 @@ def gram_numbers(blocks: DataFrame, counts: DataFrame, sizes: Sizes) -> DataFram
             middle, last = _dense(block.b[own])[0], _dense(block.c[own])[0]
             data.append([pack(np.diff(block.numbers[block.b[own]], prepend=0)), pack(block.numbers[block.c[own]]),
                          pack(block.numbers[block.a[own]]), pack(n[own]), pack(block.spread[middle]), pack(block.seen[last])])
-        return pa.table(_sent([number] * len(shards), shards, data), names=["block", "shard", "data"])
+        block.histories(sizes)
+        asked = np.flatnonzero(np.diff(block.asked_bounds)).tolist()
+        kinds = [GRAMS] * len(shards) + [ASKED] * len(asked)
+        for shard in asked:
+            own = slice(block.asked_bounds[shard], block.asked_bounds[shard + 1])
+            data.append([pack(np.diff(block.asked_b[own], prepend=0)), pack(block.asked_a[own])])
+        shards += asked
+        return pa.table([*_sent([number] * len(shards), shards, data), _kinds(kinds)], names=["block", "shard", "data", "kind"])
 
     def add(rows: pa.Table) -> pa.Table:
+        is_asked = pc.equal(rows.column("kind"), ASKED)
+        asked, rows = rows.filter(is_asked), rows.filter(pc.invert(is_asked))
+        if not rows.num_rows:
+            return asked
         packed = rows.column("data").to_pylist()
-        numbers = rows.column("block").to_pylist()
         columns = [[np.cumsum(unpack(d[0])) for d in packed], *([unpack(d[k]) for d in packed] for k in (1, 2))]
         ends = np.cumsum([len(x) for x in columns[0]])[:-1]
         middle, b = _dense(np.concatenate(columns.pop(0)))
@@ -332,45 +372,53 @@ def gram_numbers(blocks: DataFrame, counts: DataFrame, sizes: Sizes) -> DataFram
         for values, index in ((n3, entry), (n2, pair_of[entry]), (arcs3, of[entry]), (low3, of[entry]), (arcs2, b), (low2, b)):
             found.append([pack(values[own]) for own in np.split(index, ends)])
         data = [list(d) for d in zip(*found)]
-        asked = []
-        for x, y in zip(np.split(a, ends), np.split(b, ends)):
-            far = spread[y] > 1
-            x, y = first[x[far]].view(np.uint64), middle[y[far]].view(np.uint64)
-            asked.append(np.unique(np.concatenate([_mixed(x, y), _mixed(ALONE, y)])).view(np.int64))
-        first, middle = first.view(np.uint64), middle.view(np.uint64)
         of_b = histories // len(first)
-        parts = spread[of_b] > 1
+        parts = np.flatnonzero((spread[of_b] > 1) & (arcs3 > 0))
         mids = np.flatnonzero((spread > 1) & (arcs2 > 0))
-        keys = np.concatenate([_mixed(first[histories % len(first)], middle[of_b])[parts], _mixed(ALONE, middle[mids])]).view(np.int64)
-        totals = [np.concatenate([x[parts], y[mids]]) for x, y in ((arcs3, arcs2), (low3, low2))]
-        count = len(data)
-        listed = pa.list_(pa.int64())
-        return pa.table([
-            pa.array([*numbers, None], pa.int64()), pa.array([rows.column("shard")[0].as_py()] * (count + 1), pa.int32()),
-            pa.array([*data, None], pa.list_(pa.binary())), pa.array([*asked, keys], listed),
-            *(pa.array([None] * count + [x], listed) for x in totals)], names=["block", "shard", "data", "keys", "arcs", "low"])
+        of_a = np.concatenate([first[histories[parts] % len(first)] + 1, np.zeros(len(mids), np.int64)])
+        of_b = middle[np.concatenate([of_b[parts], mids])]
+        arcs, low = (np.concatenate([x[parts], y[mids]]) for x, y in ((arcs3, arcs2), (low3, low2)))
+        order, bounds = _dealt(of_a, of_b, sizes.shards)
+        shards = np.flatnonzero(np.diff(bounds)).tolist()
+        kinds = [GRAMS] * len(data) + [PARTS] * len(shards)
+        for shard in shards:
+            own = order[bounds[shard]:bounds[shard + 1]]
+            data.append([pack(np.diff(of_b[own], prepend=0)), pack(of_a[own]), pack(arcs[own]), pack(low[own])])
+        made = _sent(rows.column("block").to_pylist() + [None] * len(shards), rows.column("shard").to_pylist() + shards, data)
+        return pa.concat_tables([pa.table([*made, _kinds(kinds)], names=["block", "shard", "data", "kind"]).cast(asked.schema), asked])
 
     offered = blocks.select("block", "hashes", "train", "sizes", "codes").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
-        offer, "block bigint, shard int, data array<binary>").repartition(sizes.shards, "shard")
-    return written(offered.groupBy("shard").applyInArrow(
-        add, "block bigint, shard int, data array<binary>, keys array<bigint>, arcs array<bigint>, low array<bigint>"), "grams")
-
-
-def _answers(counts: DataFrame, numbers: DataFrame) -> DataFrame:
-    """All that is sent to the blocks. The numbers of a spread history are sums over the shards that have arcs of it."""
-    none = F.lit(None).cast("bigint")
-    of = F.arrays_zip("keys", "arcs", "low")
-    parts = numbers.where("block IS NULL").select(F.explode(of).alias("x")).groupBy(F.col("x.keys").alias("key")).agg(
-        F.sum("x.arcs").alias("arcs"), F.sum("x.low").alias("low"))
-    # Dealt by key, equal rows meet where the join needs them.
-    asked = numbers.where("block IS NOT NULL").select("block", F.explode("keys").alias("key")).repartition("key").dropDuplicates()
-    spread = asked.join(parts, "key").select(
-        "block", F.lit(2).cast("tinyint").alias("kind"), F.lit(0).alias("shard"), F.lit(None).cast("array<binary>").alias("data"),
-        "key", "arcs", "low")
-    for kind, packed in enumerate((counts, numbers.where("block IS NOT NULL"))):
-        columns = "block", F.lit(kind).cast("tinyint").alias("kind"), "shard", "data", *(none.alias(c) for c in ("key", "arcs", "low"))
-        spread = spread.unionByName(packed.select(*columns))
-    return spread
+        offer, PACKED).repartition(sizes.shards, "shard")
+    return written(offered.groupBy("shard").applyInArrow(add, PACKED), "grams")
+
+
+def history_numbers(numbers: DataFrame, sizes: Sizes) -> DataFrame:
+    """For every block and shard of histories the numbers of the spread histories that the block asked for: sums over their parts."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        packed, blocks = rows.column("data").to_pylist(), rows.column("block").to_pylist()
+        is_part = [len(d) == 4 for d in packed]
+        middle, b = _dense(np.concatenate([np.cumsum(unpack(d[0])) for d in packed]))
+        of_a = [unpack(d[1]) for d in packed]
+        lengths = [len(x) for x in of_a]
+        first, a = _dense(np.concatenate(of_a))
+        whole, at = _distinct(b.astype(np.int64) * len(first) + a)
+        from_parts = at[np.repeat(is_part, lengths)]
+        totals = []
+        for k in (2, 3):
+            values = [unpack(d[k]) for d, part in zip(packed, is_part) if part]
+            totals.append(np.bincount(from_parts, np.concatenate([np.zeros(0, np.int64), *values]), len(whole)).astype(np.int64))
+        asked = [(block, own) for block, part, own in zip(blocks, is_part, np.split(at, np.cumsum(lengths)[:-1])) if not part]
+        data = [[pack(x[own]) for x in totals] for _, own in asked]
+        shards = [rows.column("shard")[0].as_py()] * len(asked)
+        return pa.table([*_sent([block for block, _ in asked], shards, data), _kinds([HISTORIES] * len(asked))], names=["block", "shard", "data", "kind"])
+
+    return numbers.where(F.col("kind") != GRAMS).repartition(sizes.shards, "shard").groupBy("shard").applyInArrow(add, PACKED)
+
+
+def _answers(counts: DataFrame, numbers: DataFrame, sizes: Sizes) -> DataFrame:
+    """All that is sent to the blocks."""
+    return counts.unionByName(numbers.where(F.col("kind") == GRAMS)).unionByName(history_numbers(numbers, sizes))
 
 
 def log_unigram(c: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
@@ -395,29 +443,23 @@ def score(blocks: DataFrame, order: int) -> DataFrame:
     distinct = int(counts.agg(F.sum("words")).first()[0] or 0)
     heads = blocks.select("block", "hashes", "ids", "train", "sizes", "codes")
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    none = F.lit(None).cast("bigint")
-    known = counts.select("block", F.lit(0).cast("tinyint").alias("kind"), "shard", "data", *(none.alias(c) for c in ("key", "arcs", "low")))
+    known = counts.select("block", "shard", "data", F.lit(WORDS).cast("tinyint").alias("kind"))
     numbers = gram_numbers(blocks, known, sizes)
     root = sizes.tokens + ADDED * (distinct + 1)
 
-    def walk(block: _Block, told: list, spread: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def walk(block: _Block, told: dict[int, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each token alone and after its history, and whether it is known: the arc of the longest
         history that has it, and the failure weights on the way down to it."""
         found = np.zeros((6, len(block.a)), np.int64)
-        for shard, data in told:
+        for shard, data in told[GRAMS]:
             for k in range(6):
                 found[k, block.bounds[shard]:block.bounds[shard + 1]] = unpack(data[k])
-        far = np.flatnonzero(block.spread[block.b] > 1)
-        if len(far):
-            keys = spread.column("key").to_numpy()
-            sort = np.argsort(keys)
-            keys = keys[sort]
-            numbers = block.numbers.view(np.uint64)
-            a, b = numbers[block.a[far]], numbers[block.b[far]]
-            for row, wanted in ((2, _mixed(a, b)), (4, _mixed(ALONE, b))):
-                at = _find(keys, wanted.view(np.int64))
-                for k, name in enumerate(("arcs", "low")):
-                    found[row + k, far] = np.append(spread.column(name).to_numpy()[sort], 0)[at]
+        block.histories(sizes)
+        for k in range(2):
+            spread = np.zeros(len(block.asked_a), np.int64)
+            for shard, data in told[HISTORIES]:
+                spread[block.asked_bounds[shard]:block.asked_bounds[shard + 1]] = unpack(data[k])
+            found[2 + k, block.far], found[4 + k, block.far] = spread[block.pair_at], spread[block.word_at]
         each = []
         for at in range(0, len(block.entry), TOKENS_AT_ONCE):
             entry = block.entry[at:at + TOKENS_AT_ONCE]
@@ -438,9 +480,9 @@ def score(blocks: DataFrame, order: int) -> DataFrame:
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         rows, answers = rows.combine_chunks(), answers.combine_chunks()
         block, told = _Block(rows), _split(answers)
-        block.take_counts(told[0], sizes)
+        block.take_counts(told[WORDS], sizes)
         block.grams(sizes)
-        unigram, each, seen = walk(block, told[1], answers.filter(pc.equal(answers.column("kind"), 2)))
+        unigram, each, seen = walk(block, told)
         owner = np.repeat(np.arange(len(block.sizes)), block.sizes)
         total = len(block.sizes)
         return pa.table({
@@ -451,15 +493,7 @@ def score(blocks: DataFrame, order: int) -> DataFrame:
             "score": pa.array(np.bincount(owner, each, total))})
 
     schema = f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return heads.groupBy("block").cogroup(_answers(counts, numbers).groupBy("block")).applyInArrow(run, schema)
-
-
-def _find(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places in the sorted names, their number where a name is missing."""
-    if not len(names):
-        return np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
-    return np.where(names[at] == wanted, at, len(names))
+    return heads.groupBy("block").cogroup(_answers(known, numbers, sizes).groupBy("block")).applyInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, train_on: Column, text: str = "text", id_col: str = "doc_id", order: int = 3) -> DataFrame:

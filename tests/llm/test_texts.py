@@ -283,6 +283,21 @@ def test_spread_middle_words_and_many_shards_give_the_same_scores(spark, monkeyp
         assert math.isclose(rows[n]["base_score"], base, abs_tol=1e-9) and math.isclose(rows[n]["score"], score, abs_tol=1e-7), texts[n]
 
 
+def test_spread_histories_are_asked_and_answered_packed(spark, monkeypatch):
+    """No row for each history: a row for each block and shard at most, whatever the number of spread histories."""
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 400)
+    docs = spark.createDataFrame([(n, " ".join(f"x{n}y{k} the" for k in range(200))) for n in range(12)], "doc_id long, text string")
+    blocks = lm_scoring.blocks_of(docs.repartition(4), F.lit(True), "text", "doc_id")
+    sizes = lm_scoring.Sizes.of(blocks)
+    counts = lm_scoring.word_counts(blocks, sizes).withColumn("kind", F.lit(lm_scoring.WORDS).cast("tinyint"))
+    numbers = lm_scoring.gram_numbers(blocks, counts.select("block", "shard", "data", "kind"), sizes)
+    answered = lm_scoring.history_numbers(numbers, sizes).toArrow()
+    asked = sum(len(lm_scoring.unpack(d[0])) for d in answered.column("data").to_pylist())
+    assert asked >= 12 * 200 and answered.num_rows <= blocks.count() * sizes.shards
+    assert numbers.where(F.col("kind") == lm_scoring.PARTS).count() <= sizes.shards ** 2
+    assert "Generate" not in lm_scoring.score(blocks, 3)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_blocks_are_not_shuffled_for_their_answers(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string")
     plan = lm_scoring.score_documents(docs, F.lit(True))._jdf.queryExecution().executedPlan().toString()
