@@ -27,6 +27,7 @@ SHARED = 2  # bands that similar lines share: a pair at the limit has them with
 FIELD = 21  # bits of a shingle's hash that order the shingles for one minimum; three fields a hash
 SAMPLED_FROM = 100  # characters of a line's different words
 WHOLE_BELOW = 160
+WORDS = 8  # of 64 bits, in which the shingles of a line are marked
 
 _BLANK = " \t\r"
 
@@ -47,9 +48,13 @@ def _all_shingles(text: Column, size: int) -> Column:
     return F.when(F.length(text) <= size, F.array(text)).when(text.rlike(_ASTRAL), cut).otherwise(units)
 
 
+def _hashes(text: Column, size: int = SHINGLE) -> Column:
+    return F.array_distinct(F.transform(_all_shingles(text, size), lambda s: F.xxhash64(s)))
+
+
 def jaccard(a: Column, b: Column, size: int = SHINGLE) -> Column:
     """Jaccard similarity of the sets of character shingles (by 64-bit hashes) of two texts that are not empty."""
-    left, right = (F.array_distinct(F.transform(_all_shingles(x, size), lambda s: F.xxhash64(s))) for x in (a, b))
+    left, right = _hashes(a, size), _hashes(b, size)
     # Worked out once each: what an expression names twice inside a lambda is bound to a variable.
     return F.transform(
         F.array(F.struct(left.alias("x"), right.alias("y"))),
@@ -129,13 +134,46 @@ def _compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return joined.select("a", "b", jaccard(F.col("left"), F.col("right")).alias("similarity"))
 
 
+def _marks(lines: DataFrame) -> DataFrame:
+    """(key, shingles, w0 ...): how many distinct shingles a line has, and a bit set for each."""
+    each = lines.repartition("key").select("key", F.explode(_hashes(F.col("line"))).alias("h"))
+    # Before they are aggregated: the place of a shingle's bit and its word.
+    placed = each.select("key", F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit"), F.expr(f"pmod(h >> 6, {WORDS})").alias("word"))
+    words = [F.bit_or(F.when(F.col("word") == n, F.col("bit")).otherwise(F.lit(0))).alias(f"w{n}") for n in range(WORDS)]
+    return placed.groupBy("key").agg(F.count("*").alias("shingles"), *words)
+
+
+def possible(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys that may be similar enough, by a bound that no similar pair fails.
+
+    A bit that is set for one line only stands for a shingle, at least, that the other does not have. So shingles are worked out
+    once a line, and most pairs that are not similar need no comparison.
+    """
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    texts = lines.select(F.struct("k1", "k2").alias("key"), "line").join(ends, "key", "left_semi")
+    marks = written(_marks(texts), "marks")
+
+    def of(side: str) -> DataFrame:
+        return marks.select(F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in marks.columns[1:]])
+
+    def shared(x: str, y: str) -> Column:
+        """The most shingles of x that y can have."""
+        alone = [F.bit_count(F.col(f"{x}_w{n}").bitwiseAND(F.bitwise_not(f"{y}_w{n}"))) for n in range(WORDS)]
+        return F.col(f"{x}_shingles") - sum(alone[1:], alone[0])
+
+    most = F.least(shared("a", "b"), shared("b", "a"))
+    joined = pairs.join(of("a"), "a").join(of("b"), "b")
+    return joined.where(most * (1 + similarity) >= similarity * (F.col("a_shingles") + F.col("b_shingles")) - 1e-6).select("a", "b")
+
+
 def line_links(candidates: DataFrame, similarity: float = SIMILARITY, compare=_compared) -> DataFrame:
     """(a, b): enough similar pairs to connect all lines that share a band and are similar, or linked by such.
 
     Only lines that share SHARED bands are compared. First every line of a band is compared with the band's first line: as
     many pairs as rows. What remains are pairs of a band whose lines are not yet connected. The Jaccard distance is a
     metric, so two lines whose known distances from the band's first line differ by more than 1 - similarity cannot be
-    similar; all other remaining pairs are compared. `compare` gives (a, b, similarity) for pairs of keys.
+    similar; of the other remaining pairs those are compared that have enough shingles in common by their marks. `compare` gives (a, b, similarity) for pairs of keys.
     """
     lines = candidates.where("bands IS NOT NULL").select("k1", "k2", F.col("best.line").alias("line"), "bands")
     members = written(lines.select(F.struct("k1", "k2").alias("a"), "bands", F.explode("bands").alias("band")), "members")
@@ -163,7 +201,7 @@ def line_links(candidates: DataFrame, similarity: float = SIMILARITY, compare=_c
     rest = rest.where((F.col("x_label") != F.col("y_label")) & once & reach & _mates("x_bands", "y_bands"))
     rest = rest.select(F.least("x", "y").alias("b"), F.greatest("x", "y").alias("a")).distinct()
     rest = rest.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    found = written(compare(rest, lines).where(F.col("similarity") >= similarity).select("a", "b"), "links")
+    found = written(compare(possible(rest, lines, similarity), lines).where(F.col("similarity") >= similarity).select("a", "b"), "links")
     return links.unionByName(found)
 
 

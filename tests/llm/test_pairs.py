@@ -269,3 +269,30 @@ def test_simhash_of_shingles_equals_definition(spark):
         assert r["fp"] & (1 << 64) - 1 == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
     near = spark.range(1).select(decontaminate.blocks(F.lit(-1).cast("long"), 22).alias("b")).first()["b"]
     assert len(near) == 23 and sum(bin(b["value"]).count("1") for b in near) == 64
+
+
+def test_no_similar_pair_of_lines_fails_the_bound_and_few_others_pass(spark):
+    draw = random.Random(8)
+    texts = []
+    for n in range(12):
+        size = [5, 9, 40, 120, 300][n % 5]
+        own = "".join(draw.choices("abcdefgh é\U0001F600", k=size))
+        texts.append(own)
+        for changes in (1, 2, 3, 6, 12):
+            chars = list(own)
+            for at in draw.sample(range(size), min(changes, size)):
+                chars[at] = draw.choice("xyz")
+            texts.append("".join(chars))
+    lines = spark.createDataFrame([(n, -n, t) for n, t in enumerate(texts)], "k1 long, k2 long, line string")
+    key = F.struct("k1", "k2")
+    pairs = lines.select(key.alias("a")).crossJoin(lines.select(key.alias("b"))).where("a.k1 > b.k1")
+    kept = {(r["a"]["k1"], r["b"]["k1"]) for r in line_dedup.possible(pairs, lines, 0.8).collect()}
+
+    def alike(x: str, y: str) -> float:
+        x, y = ({t[i:i + 5] for i in range(max(1, len(t) - 4))} for t in (x, y))
+        return len(x & y) / len(x | y)
+
+    found = {(a, b): alike(texts[a], texts[b]) for a in range(len(texts)) for b in range(a)}
+    similar = {p for p, s in found.items() if s >= 0.8}
+    assert similar and similar <= kept
+    assert len(kept) <= len(similar) + 0.02 * len(found)
