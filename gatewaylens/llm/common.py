@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,16 +46,31 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return pc.fill_null(batch.column(column), "").to_pylist()
 
 
-def memory_returned(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """`run` for mapInArrow; what Arrow's pool still holds at the end of a partition goes back to the system.
+def return_memory() -> None:
+    """What Arrow's pool and the process's heap hold without using it goes back to the system.
 
     Spark keeps the worker process, idle or for other stages, and an executor pays for all of its workers.
     """
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the heap of numpy and Python, where the C library is glibc
+        trim(0)
+
+
+def memory_returned(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run` for mapInArrow; a worker returns memory at the end of a partition."""
 
     def returning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            return_memory()
 
     return returning
+
+
+def group_returned(run: Callable[..., pa.Table], *tables: pa.Table) -> pa.Table:
+    """`run` on the tables of a group; a worker returns memory after each group."""
+    try:
+        return run(*tables)
+    finally:
+        return_memory()

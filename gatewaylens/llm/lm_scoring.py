@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewaylens.llm.common import slices
+from gatewaylens.llm.common import group_returned, memory_returned, slices
 from gatewaylens.session import new_path, written
 
 BLOCK_BYTES = 6 << 20
@@ -138,7 +138,7 @@ def blocks_of(docs: DataFrame, train: Column, text: str, id_col: str) -> DataFra
         F.spark_partition_id().cast("bigint").alias("task"))
     schema = (f"block bigint, words array<string>, ids array<{kind}>, train array<boolean>, sizes array<bigint>, codes binary, "
               "tokens bigint, train_tokens bigint, train_docs bigint")
-    cut = picked.mapInArrow(run, schema).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    cut = picked.mapInArrow(memory_returned(run), schema).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
     path = new_path(spark, "blocks")
     table = "lm_" + path.rsplit("-", 1)[1]
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark's own bound of buckets
@@ -299,8 +299,9 @@ def word_counts(blocks: DataFrame, sizes: Sizes) -> DataFrame:
         return pa.table([*columns, pa.array(distinct)], names=["block", "shard", "data", "words"])
 
     offered = blocks.select("block", "hashes", "train", "sizes", "codes").mapInArrow(
-        offer, "block bigint, shard int, data array<binary>").repartition(sizes.shards, "shard")
-    return written(offered.groupBy("shard").applyInArrow(add, "block bigint, shard int, data array<binary>, words bigint"), "words")
+        memory_returned(offer), "block bigint, shard int, data array<binary>").repartition(sizes.shards, "shard")
+    return written(offered.groupBy("shard").applyInArrow(
+        lambda rows: group_returned(add, rows), "block bigint, shard int, data array<binary>, words bigint"), "words")
 
 
 def gram_numbers(blocks: DataFrame, counts: DataFrame, sizes: Sizes) -> DataFrame:
@@ -388,8 +389,8 @@ def gram_numbers(blocks: DataFrame, counts: DataFrame, sizes: Sizes) -> DataFram
         return pa.concat_tables([pa.table([*made, _kinds(kinds)], names=["block", "shard", "data", "kind"]).cast(asked.schema), asked])
 
     offered = blocks.select("block", "hashes", "train", "sizes", "codes").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
-        offer, PACKED).repartition(sizes.shards, "shard")
-    return written(offered.groupBy("shard").applyInArrow(add, PACKED), "grams")
+        lambda block, known: group_returned(offer, block, known), PACKED).repartition(sizes.shards, "shard")
+    return written(offered.groupBy("shard").applyInArrow(lambda rows: group_returned(add, rows), PACKED), "grams")
 
 
 def history_numbers(numbers: DataFrame, sizes: Sizes) -> DataFrame:
@@ -413,7 +414,7 @@ def history_numbers(numbers: DataFrame, sizes: Sizes) -> DataFrame:
         shards = [rows.column("shard")[0].as_py()] * len(asked)
         return pa.table([*_sent([block for block, _ in asked], shards, data), _kinds([HISTORIES] * len(asked))], names=["block", "shard", "data", "kind"])
 
-    return numbers.where(F.col("kind") != GRAMS).repartition(sizes.shards, "shard").groupBy("shard").applyInArrow(add, PACKED)
+    return numbers.where(F.col("kind") != GRAMS).repartition(sizes.shards, "shard").groupBy("shard").applyInArrow(lambda rows: group_returned(add, rows), PACKED)
 
 
 def _answers(counts: DataFrame, numbers: DataFrame, sizes: Sizes) -> DataFrame:
@@ -493,7 +494,8 @@ def score(blocks: DataFrame, order: int) -> DataFrame:
             "score": pa.array(np.bincount(owner, each, total))})
 
     schema = f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return heads.groupBy("block").cogroup(_answers(known, numbers, sizes).groupBy("block")).applyInArrow(run, schema)
+    return heads.groupBy("block").cogroup(_answers(known, numbers, sizes).groupBy("block")).applyInArrow(
+        lambda rows, answers: group_returned(run, rows, answers), schema)
 
 
 def score_documents(docs: DataFrame, train_on: Column, text: str = "text", id_col: str = "doc_id", order: int = 3) -> DataFrame:

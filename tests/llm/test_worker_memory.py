@@ -1,11 +1,12 @@
 """What a Python worker needs at once, and what is sent to it."""
 
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
-from gatewaylens.llm import language_id
+from gatewaylens.llm import common, language_id
 
 
 def _model(kinds: int) -> language_id.LanguageModel:
@@ -39,3 +40,21 @@ def test_a_text_that_passes_through_is_sent_to_the_worker_once(spark):
     assert "__text_" not in plan
     alone = language_id.identify(docs, _model(2), keep=["doc_id"])
     assert alone.columns == ["doc_id", "lang_pred", "score", "languages"] and "__text_" in alone._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_memory_that_is_not_used_any_more_goes_back_to_the_system():
+    def used() -> float:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096 / 1e6
+
+    def filled(batches):
+        for batch in batches:
+            small = [np.ones(2000) for _ in range(6000)]  # 96 MB in pieces, of which one at the end stays
+            held.append(small[-1])
+            del small
+            yield batch
+
+    common.return_memory()
+    held, before = [], used()
+    assert list(common.memory_returned(filled)([1, 2])) == [1, 2]
+    assert used() < before + 40
+    assert common.group_returned(lambda x, y: x + y, 1, 2) == 3
