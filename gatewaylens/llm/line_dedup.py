@@ -11,7 +11,7 @@ similar lines always share a kind. Sampling serves the candidates only; the simi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewaylens.llm.common import fresh_name
@@ -112,7 +112,7 @@ def _lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:
 
 
 def _candidates(lines: DataFrame, bands: int) -> DataFrame:
-    """Lines that occur more than once or share a band: (k1, k2, n, best, bands), the text in `best`.
+    """Lines that occur more than once or share bands: (k1, k2, n, best, bands, mates), the text in `best`.
 
     The distinct lines are shuffled once and read twice: by the signatures, which need no further shuffle,
     and at the end, where only lines with a mate in some band go on.
@@ -121,8 +121,10 @@ def _candidates(lines: DataFrame, bands: int) -> DataFrame:
     distinct = lines.repartition("k1").groupBy("k1", "k2").agg(F.min(place).alias("best"), F.count("*").alias("n"))
     banded = _bands(distinct.where("n > 0"), bands).repartition("band")
     # Bounds of the key rather than a count: the same columns are shuffled as for the join, so it is one shuffle.
-    shared = banded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("band")
-    mates = banded.join(shared, "band").groupBy("k1").agg(F.collect_set("band").alias("bands")).where(F.size("bands") >= SHARED)
+    shared = banded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count("*").alias("mates"))
+    shared = shared.where("low < high").select("band", "mates")
+    mates = banded.join(shared, "band").groupBy("k1").agg(F.collect_set("band").alias("bands"), F.sum("mates").alias("mates"))
+    mates = mates.where(F.size("bands") >= SHARED)
     return distinct.where("n > 0").join(mates, "k1", "left").where("n > 1 OR bands IS NOT NULL")
 
 
@@ -167,42 +169,107 @@ def possible(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     return joined.where(most * (1 + similarity) >= similarity * (F.col("a_shingles") + F.col("b_shingles")) - 1e-6).select("a", "b")
 
 
-def line_links(candidates: DataFrame, similarity: float = SIMILARITY, compare=_compared) -> DataFrame:
-    """(a, b): enough similar pairs to connect all lines that share a band and are similar, or linked by such.
+def _open(labelled: DataFrame) -> DataFrame:
+    """(a, label, b): the stars in which lines of two components meet that share SHARED = 2 bands; b is the star's first line.
 
-    Only lines that share SHARED bands are compared. First every line of a band is compared with the band's first line: as
-    many pairs as rows. What remains are pairs of a band whose lines are not yet connected. The Jaccard distance is a
-    metric, so two lines whose known distances from the band's first line differ by more than 1 - similarity cannot be
-    similar; of the other remaining pairs those are compared that have enough shingles in common by their marks. `compare` gives (a, b, similarity) for pairs of keys.
+    Every two bands of a line are a key, and the star is that of the one whose first line has more mates. So two lines that
+    share bands are in one star at least, and a line that shares only one band with each of its mates is in none.
     """
-    lines = candidates.where("bands IS NOT NULL").select("k1", "k2", F.col("best.line").alias("line"), "bands")
-    members = written(lines.select(F.struct("k1", "k2").alias("a"), "bands", F.explode("bands").alias("band")), "members")
-    firsts = members.groupBy("band").agg(F.min("a").alias("b"), F.min_by("bands", "a").alias("b_bands"))
-    with_first = members.join(firsts, "band")
-    pairs = with_first.where((F.col("a") != F.col("b")) & _mates("bands", "b_bands"))
-    compared = written(compare(pairs.select("a", "b").distinct(), lines), "compared")
-    links = compared.where(F.col("similarity") >= similarity).select("a", "b")
-    labels = connected_components(links, "a", "b")
-    labelled = with_first.join(labels, with_first["a"] == labels["node"], "left").select(
-        "a", "b", "band", "bands", F.coalesce("component", "a").alias("label"))
-    first_label = labelled.where("a = b").select("band", F.col("label").alias("first_label"))
-    open_bands = labelled.join(first_label, "band").withColumn("apart", F.col("label") != F.col("first_label"))
-    labelled = open_bands.join(compared, ["a", "b"], "left").select(
-        "a", "b", "band", "bands", "label", "apart", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("similarity")).alias("away"))
-    labelled = written(labelled, "labelled")
+    mark = F.xxhash64("label")
+    several = labelled.groupBy("band").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low < high").select("band")
+    place = F.struct("band", "weight", "b")
+    bands = labelled.join(several, "band").groupBy("a").agg(F.min("label").alias("label"), F.sort_array(F.collect_list(place)).alias("of"))
+    top = lambda x, y: F.greatest(F.struct(x["weight"], x["b"]), F.struct(y["weight"], y["b"]))["b"]
+    two = F.flatten(F.transform("of", lambda x, at: F.transform(
+        F.slice("of", at + 2, F.size("of")), lambda y: F.struct(F.xxhash64(x["band"], y["band"]).alias("key"), top(x, y).alias("b")))))
+    keyed = bands.where(F.size("of") >= SHARED).select("a", "label", F.explode(two).alias("two"))
+    keyed = keyed.select("a", "label", "two.key", "two.b", mark.alias("mark"))
+    one = Window.partitionBy("key")
+    met = keyed.select("a", "label", "b", F.min("mark").over(one).alias("low"), F.max("mark").over(one).alias("high"))
+    return met.where("low < high").select("a", "label", "b").where("a != b").distinct()
+
+
+def _stars(open_rows: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """(m, a, b, label, same, apart, shingles, keep, differs): how each line a of a star differs from the star's first line b.
+
+    `differs` are the shingles that only one of the two has, named together with b. `keep` says how many of them, the rarest
+    first, hold one at least that a similar line of another component has as well (see `_meeting`).
+    """
+    left = lines.select(F.struct("k1", "k2").alias("a"), F.col("line").alias("left"))
+    right = lines.select(F.struct("k1", "k2").alias("b"), F.col("line").alias("right"))
+    sets = open_rows.join(left, "a").join(right, "b").select(
+        "a", "b", "label", "same", _hashes(F.col("left")).alias("x"), _hashes(F.col("right")).alias("y"))
+    one_sided = sets.select(
+        "a", "b", "label", "same", F.size("x").alias("shingles"), F.size("y").alias("of_first"),
+        F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("h"))
+    part = (1 - similarity) / (1 + similarity)  # similar: no more one-sided shingles than this part of both lines' shingles
+    over = F.size("h") - part * (F.col("shingles") + F.col("of_first"))
+    # Of what differs, at least so much is common with any similar line, if this line or that one is not similar to the first.
+    common = F.when(F.col("apart"), over / (1 + part)).otherwise((F.size("h") + part * (F.col("of_first") - F.col("shingles"))) / 2)
+    keep = F.size("h") + 1 - F.greatest(F.ceil(common - 1e-6), F.lit(1))
+    marked = one_sided.withColumn("apart", over > 1e-6).withColumn("keep", keep.cast("int"))
+    named = F.transform("h", lambda h: F.xxhash64(h, F.col("b.k1"), F.col("b.k2")))
+    return marked.select(F.xxhash64("a", "b").alias("m"), "a", "b", "label", "same", "apart", "shingles", "keep", named.alias("differs"))
+
+
+def _meeting(stars: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of a star's lines that may be similar and are not known to be connected; no similar pair is missing.
+
+    A shingle that x and y differ in is one in which exactly one of them differs from the first line f. So if D(x) are the shingles
+    in which x differs from f, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. If one of them is not similar to f, they can
+    only be similar if D(x) and D(y) share enough, and so share one of the rarest in each. What is equal in all lines of a large
+    group of variants, and what one line has alone, brings nothing together: the pairs follow what lines share beside the first.
+    """
+    part = (1 - similarity) / (1 + similarity)
+    each = stars.select("m", F.explode("differs").alias("h"))
+    common = each.select("m", "h", F.count("*").over(Window.partitionBy("h")).alias("n")).where("n > 1")
+    ranked = common.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("ranked"))
+    sized = stars.select("m", "apart", "shingles", "keep", F.xxhash64("label").alias("label"), F.size("differs").alias("size"))
+    # Those that no other line has come before all others.
+    alone = F.col("size") - F.size("ranked")
+    kept = sized.join(ranked, "m").select("*", alone.alias("alone")).where("keep > alone")
+    places = kept.select("m", "apart", "shingles", "label", "size", "alone", F.posexplode(F.expr("slice(ranked, 1, keep - alone)")).alias("at", "of"))
+    places = places.select("m", "apart", "shingles", "label", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left"), F.col("of.h").alias("h"))
+    places = written(places, "places")
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("band", F.col("a").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("label", "away", "bands", "apart")])
-
-    rest = side(labelled.where("apart"), "x").join(side(labelled.where("a != b"), "y"), "band")
-    # Of two lines that are both apart the pair comes once.
-    once = (F.col("x") > F.col("y")) | ~F.col("y_apart")
-    reach = F.coalesce(F.abs(F.col("x_away") - F.col("y_away")) <= 1 - similarity + 1e-9, F.lit(True))
-    rest = rest.where((F.col("x_label") != F.col("y_label")) & once & reach & _mates("x_bands", "y_bands"))
-    rest = rest.select(F.least("x", "y").alias("b"), F.greatest("x", "y").alias("a")).distinct()
-    rest = rest.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    found = written(compare(possible(rest, lines, similarity), lines).where(F.col("similarity") >= similarity).select("a", "b"), "links")
-    return links.unionByName(found)
+        return rows.select("h", *[F.col(c).alias(f"{name}_{c}") for c in ("m", "apart", "shingles", "label", "size", "left")])
+
+    enough = (F.col("x_size") + F.col("y_size") - part * (F.col("x_shingles") + F.col("y_shingles"))) / 2 - 1e-6
+    # At the first that two lines share, what is left of each must be enough. Of two lines that are both apart the pair comes once.
+    once = (F.col("x_m") > F.col("y_m")) | ~F.col("y_apart")
+    met = side(places.where("apart"), "x").join(side(places, "y"), "h").where(
+        (F.col("x_label") != F.col("y_label")) & once & (F.least("x_left", "y_left") >= enough)).select("x_m", "y_m").distinct()
+    x, y = stars.select(F.col("m").alias("x_m"), F.col("a").alias("x")), stars.select(F.col("m").alias("y_m"), F.col("a").alias("y"))
+    return met.join(x, "x_m").join(y, "y_m").select(F.least("x", "y").alias("b"), F.greatest("x", "y").alias("a")).distinct()
+
+
+def line_links(candidates: DataFrame, similarity: float = SIMILARITY, compare=_compared) -> DataFrame:
+    """(a, b): enough similar pairs to connect all lines that share SHARED bands and are similar, or linked by such.
+
+    First every line of a band is compared with the band's first line, if it shares SHARED bands with it: as many pairs as rows. The
+    first is the line that shares bands with most others: of a group of variants one near their middle. What remains are
+    pairs of a band whose lines are not yet connected. They are found by the shingles in which both differ from the first
+    line, and those are compared that have enough shingles in common by their marks. `compare` gives (a, b, similarity) for pairs of keys.
+    """
+    lines = candidates.where("bands IS NOT NULL").select("k1", "k2", F.col("best.line").alias("line"), "bands", "mates")
+    members = written(lines.select(F.struct("k1", "k2").alias("a"), "mates", "bands", F.explode("bands").alias("band")), "members")
+    firsts = members.groupBy("band").agg(F.max(F.struct("mates", "a", "bands")).alias("first"))
+    firsts = firsts.select("band", F.col("first.mates").alias("weight"), F.col("first.a").alias("b"), F.col("first.bands").alias("b_bands"))
+    with_first = members.join(firsts, "band").where("a != b").select("a", "b", "band", "weight", _mates("bands", "b_bands").alias("near"))
+    with_first = written(with_first, "with_first")
+    compared = compare(with_first.where("near").select("a", "b").distinct(), lines)
+    links = written(compared.where(F.col("similarity") >= similarity).select("a", "b"), "links")
+    labels = connected_components(links, "a", "b")
+    labelled = with_first.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").select(
+        "a", "b", "band", "weight", F.coalesce("component", "a").alias("label"))
+    opened = _open(written(labelled, "labelled"))
+    firsts_labels = labels.select(F.col("node").alias("b"), "component")
+    opened = opened.join(firsts_labels, "b", "left").select("a", "b", "label", (F.col("label") == F.coalesce("component", "b")).alias("same"))
+    stars = written(_stars(opened, lines, similarity), "stars")
+    also = stars.where("NOT apart AND NOT same").select("a", "b")
+    found = compare(possible(_meeting(stars, similarity), lines, similarity), lines).where(F.col("similarity") >= similarity).select("a", "b")
+    return links.unionByName(also).unionByName(written(found, "links"))
 
 
 def _mates(x: str, y: str) -> Column:

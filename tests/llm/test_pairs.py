@@ -161,6 +161,24 @@ def test_line_dedup_of_a_large_group_of_variants(spark):
     assert [r["text"] for r in line_dedup.dedup_lines(docs_of(spark, texts)).orderBy("doc_id").collect()] == lines_by_brute_force(texts)
 
 
+def test_pairs_of_a_large_group_of_variants_follow_its_lines(spark, monkeypatch):
+    """Lines that differ from their middle in many ways: what is left after it is compared does not grow with the square of the group."""
+    draw = random.Random(11)
+    base = sentence(draw, 60)
+    texts = [edited(draw, base, draw.choice([0, 1, 2, 3, 4, 6, 8, 10])) for _ in range(240)]
+    counts, possible = [], line_dedup.possible
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return possible(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "possible", counted)
+    kept = [r["text"] for r in line_dedup.dedup_lines(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    print("pairs", counts, "lines", len(set(texts)))
+    assert kept == lines_by_brute_force(texts)
+    assert sum(counts) < 4 * len(texts)
+
+
 def test_line_dedup_rows_without_id_repeated_rows_and_empty_table(spark):
     line = sentence(random.Random(6), 20)
     docs = spark.createDataFrame([(None, line, "a", "b"), (3, line, "a", "b"), (3, line, "a", "b"), (9, line + "\nalone here now", "a", "b")], DOCS)
