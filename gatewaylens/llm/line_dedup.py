@@ -11,6 +11,8 @@ similar lines always share a kind. Sampling serves the candidates only; the simi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,31 +27,25 @@ SIGNATURE_SHINGLE = 9  # characters per sampled shingle of the signature
 BANDS = 12  # each of three minima
 SHARED = 2  # bands that similar lines share: a pair at the limit has them with a probability of 0.997, at 0.85 of 0.9998
 FIELD = 21  # bits of a shingle's hash that order the shingles for one minimum; three fields a hash
+KEY = 40  # bits of a band's name
 SAMPLED_FROM = 100  # characters of a line's different words
 WHOLE_BELOW = 160
+FIRST_WORDS = 40  # of a line, from which it is first tried to tell that it is long
 WORDS = 8  # of 64 bits, in which the shingles of a line are marked
 
 _BLANK = " \t\r"
 
 
-_ASTRAL = r"[\x{10000}-\x{10FFFF}]"  # characters that are two units of a Java text
-
-
-def _all_shingles(text: Column, size: int) -> Column:
-    """Every run of `size` characters; a shorter text is its own only shingle.
+def _hashes(text: Column, size: int = SHINGLE) -> Column:
+    """The hashes of the different runs of `size` characters; a shorter text is its own only run.
 
-    A look-ahead at every place, since cutting a text at each place takes time in proportion to it. The matcher goes by
-    units, so texts with characters of two units are cut as arrays of characters.
+    A run is cut from the text at four bytes a character, where its place is known: neither a matcher nor a text for each run is needed.
     """
-    units = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
-    chars = F.split(text, "")
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))),
-                      lambda at: F.array_join(F.slice(chars, at, size), ""))
-    return F.when(F.length(text) <= size, F.array(text)).when(text.rlike(_ASTRAL), cut).otherwise(units)
+    def of(wide: Column) -> Column:
+        last = F.greatest(F.octet_length(wide) - F.lit(4 * size), F.lit(0))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), last + 1, F.lit(4)), lambda at: F.xxhash64(F.substring(wide, at, F.lit(4 * size)))))
 
-
-def _hashes(text: Column, size: int = SHINGLE) -> Column:
-    return F.array_distinct(F.transform(_all_shingles(text, size), lambda s: F.xxhash64(s)))
+    return F.transform(F.array(F.encode(text, "UTF-32")), of)[0]
 
 
 def jaccard(a: Column, b: Column, size: int = SHINGLE) -> Column:
@@ -66,21 +62,30 @@ def jaccard(a: Column, b: Column, size: int = SHINGLE) -> Column:
 
 
 def _sampled(lines: DataFrame) -> DataFrame:
-    """(k1, everywhere, run): of each line, runs of characters that begin at a word, or at every place, or both.
+    """(k1, kind, h0): of each line, hashes of runs of bytes that begin at a word, or at every place (kind), or both.
 
-    A line is as long as its different words, since what it repeats adds no shingles.
+    A line is as long as its different words, since what it repeats adds no shingles. Runs only propose candidates, so they are
+    cut from the bytes, where the next one is found without reading the line from its start.
     """
     words = F.split("line", " ")
-    length = F.when(F.length("line") < SAMPLED_FROM, F.length("line")).otherwise(F.length(F.array_join(F.array_distinct(words), " ")))
+    # The first words are mostly enough to know that a line is long.
+    some, all_of_them = (F.length(F.array_join(F.array_distinct(of), " ")) for of in (F.slice(words, 1, FIRST_WORDS), words))
+    length = F.when(F.length("line") < SAMPLED_FROM, F.length("line")).when(some >= WHOLE_BELOW, some).otherwise(all_of_them)
     # Selected first, so that they are worked out once for both kinds.
-    sized = lines.select("k1", "line", (F.length("line") / F.size(words)).alias("per_word"), length.alias("length"))
-    none = F.array().cast("array<string>")
-    at_words = F.regexp_extract_all("line", F.lit(f"(?s)(?:^| )(?=(.{{1,{SIGNATURE_SHINGLE}}}))"), 1)
-    at_places = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), 1)
-    by_word = F.when((F.col("per_word") <= 20) & (F.col("length") >= SAMPLED_FROM), at_words).otherwise(none)
-    by_place = F.when((F.col("per_word") > 12) | (F.col("length") < WHOLE_BELOW), at_places).otherwise(none)
-    kinds = F.array(*[F.struct(F.lit(kind).alias("everywhere"), runs.alias("runs")) for kind, runs in ((False, by_word), (True, by_place))])
-    return sized.select("k1", F.explode(kinds).alias("s")).select("k1", "s.everywhere", F.explode("s.runs").alias("run"))
+    sized = lines.select("k1", F.col("line").cast("binary").alias("bytes"), (F.length("line") / F.size(words)).alias("per_word"), length.alias("length"))
+    by_word = (F.col("per_word") <= 20) & (F.col("length") >= SAMPLED_FROM)
+    by_place = ((F.col("per_word") > 12) | (F.col("length") < WHOLE_BELOW)) & (F.octet_length("bytes") >= SHINGLE)
+    kinds = F.when(by_word & by_place, F.array(F.lit(False), F.lit(True))).when(by_word, F.array(F.lit(False))).when(by_place, F.array(F.lit(True)))
+    last = F.octet_length("bytes") - F.when(F.col("kind"), SHINGLE - 1).otherwise(0)
+    placed = sized.select("k1", "bytes", F.explode(kinds).alias("kind")).select("k1", "bytes", "kind", F.explode(F.sequence(F.lit(1), last)).alias("at"))
+    begins = F.col("kind") | (F.col("at") == 1) | (F.substring("bytes", F.col("at") - 1, F.lit(1)) == F.lit(b" "))
+    run = F.substring("bytes", F.col("at"), F.when(F.col("kind"), SHINGLE).otherwise(SIGNATURE_SHINGLE))
+    return placed.where(begins).select("k1", "kind", F.xxhash64(run).alias("h0"))
+
+
+def _short(key: Column) -> Column:
+    """A key that takes less room in a shuffle; lines that agree in it by chance are candidates more, no similar ones less."""
+    return F.shiftrightunsigned(key, 64 - KEY)
 
 
 def _bands(distinct: DataFrame, bands: int) -> DataFrame:
@@ -88,15 +93,14 @@ def _bands(distinct: DataFrame, bands: int) -> DataFrame:
 
     Half a line's key is enough here: lines that agree in it are candidates of each other's mates.
     """
-    runs = _sampled(distinct.select("k1", F.col("best.line").alias("line")))
-    hashes = runs.select("k1", F.col("everywhere").alias("kind"), F.xxhash64("run").alias("h0"))
+    hashes = _sampled(distinct.select("k1", F.col("best.line").alias("line")))
     # A hash of its own for each band (few shingles, too, are drawn anew), cut into the fields of the band's three minima.
     drawn = hashes.select("k1", "kind", *[F.xxhash64("h0", F.lit(band)).alias(f"h{band}") for band in range(bands)])
     minima = drawn.groupBy("k1", "kind").agg(*[
         F.min(F.shiftrightunsigned(f"h{band}", n * FIELD).bitwiseAND(F.lit((1 << FIELD) - 1)).cast("int")).alias(f"m{n}_{band}")
         for band in range(bands) for n in range(3)
     ])
-    keys = [F.xxhash64(F.lit(band), "kind", *[f"m{n}_{band}" for n in range(3)]) for band in range(bands)]
+    keys = [_short(F.xxhash64(F.lit(band), "kind", *[f"m{n}_{band}" for n in range(3)])) for band in range(bands)]
     return minima.select("k1", F.explode(F.array(*keys)).alias("band"))
 
 
@@ -106,11 +110,29 @@ def _lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     # Marked first: what stands beside a generator in one select is worked out again for each of its rows.
     marked = docs.select(F.col(id_col).alias("id"), d1.alias("d1"), d2.alias("d2"), F.split(text, "\n").alias("lines"))
     each = marked.select("id", "d1", "d2", F.posexplode_outer("lines").alias("line_no", "raw"))
-    line = F.btrim("raw", F.lit(_BLANK))
+    # Only where there is something to cut: that goes through the whole line.
+    ends = [end for blank in _BLANK for end in (F.startswith("raw", F.lit(blank)), F.endswith("raw", F.lit(blank)))]
+    line = F.when(reduce(Column.__or__, ends), F.btrim("raw", F.lit(_BLANK))).otherwise(F.col("raw"))
     lines = each.select("id", "d1", "d2", "line_no", line.alias("line")).where("line != ''")
     return lines.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
+def _pairs_of(bands: str, pair) -> Column:
+    """`pair` of every two elements of an array."""
+    return F.flatten(F.transform(bands, lambda x, at: F.transform(F.slice(bands, at + 2, F.size(bands)), lambda y: pair(x, y))))
+
+
+def _with_mates(lines: DataFrame) -> DataFrame:
+    """Those of the lines (k1, bands, mates) that share SHARED = 2 bands with one and the same line: every two bands of a line are a key.
+
+    Most lines share bands only with lines of which none has two of them.
+    """
+    keyed = lines.select("k1", F.explode(_pairs_of("bands", lambda x, y: _short(F.xxhash64(x, y)))).alias("key"))
+    one = Window.partitionBy("key")
+    met = keyed.select("k1", F.min("k1").over(one).alias("low"), F.max("k1").over(one).alias("high")).where("low < high")
+    return lines.join(met.select("k1").distinct(), "k1", "left_semi")
+
+
 def _candidates(lines: DataFrame, bands: int) -> DataFrame:
     """Lines that occur more than once or share bands: (k1, k2, n, best, bands, mates), the text in `best`.
 
@@ -120,11 +142,12 @@ def _candidates(lines: DataFrame, bands: int) -> DataFrame:
     place = F.struct("line", F.col("id").isNull().alias("no_id"), "id", "line_no", "d1", "d2")
     distinct = lines.repartition("k1").groupBy("k1", "k2").agg(F.min(place).alias("best"), F.count("*").alias("n"))
     banded = _bands(distinct.where("n > 0"), bands).repartition("band")
-    # Bounds of the key rather than a count: the same columns are shuffled as for the join, so it is one shuffle.
-    shared = banded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count("*").alias("mates"))
-    shared = shared.where("low < high").select("band", "mates")
-    mates = banded.join(shared, "band").groupBy("k1").agg(F.collect_set("band").alias("bands"), F.sum("mates").alias("mates"))
-    mates = mates.where(F.size("bands") >= SHARED)
+    # Bounds of the key rather than a count: a band's rows are sorted once, and most go at once.
+    one = Window.partitionBy("band")
+    met = banded.select("k1", "band", F.min("k1").over(one).alias("low"), F.max("k1").over(one).alias("high"), F.count("*").over(one).alias("mates"))
+    mates = met.where("low < high").groupBy("k1").agg(F.sort_array(F.collect_set("band")).alias("bands"), F.sum("mates").alias("mates"))
+    # Both columns are named, so that the two readers of this need the same shuffle.
+    mates = _with_mates(mates.where((F.size("bands") >= SHARED) & (F.col("mates") > 1)))
     return distinct.where("n > 0").join(mates, "k1", "left").where("n > 1 OR bands IS NOT NULL")
 
 
@@ -180,8 +203,7 @@ def _open(labelled: DataFrame) -> DataFrame:
     place = F.struct("band", "weight", "b")
     bands = labelled.join(several, "band").groupBy("a").agg(F.min("label").alias("label"), F.sort_array(F.collect_list(place)).alias("of"))
     top = lambda x, y: F.greatest(F.struct(x["weight"], x["b"]), F.struct(y["weight"], y["b"]))["b"]
-    two = F.flatten(F.transform("of", lambda x, at: F.transform(
-        F.slice("of", at + 2, F.size("of")), lambda y: F.struct(F.xxhash64(x["band"], y["band"]).alias("key"), top(x, y).alias("b")))))
+    two = _pairs_of("of", lambda x, y: F.struct(F.xxhash64(x["band"], y["band"]).alias("key"), top(x, y).alias("b")))
     keyed = bands.where(F.size("of") >= SHARED).select("a", "label", F.explode(two).alias("two"))
     keyed = keyed.select("a", "label", "two.key", "two.b", mark.alias("mark"))
     one = Window.partitionBy("key")

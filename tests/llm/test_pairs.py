@@ -314,3 +314,29 @@ def test_no_similar_pair_of_lines_fails_the_bound_and_few_others_pass(spark):
     similar = {p for p, s in found.items() if s >= 0.8}
     assert similar and similar <= kept
     assert len(kept) <= len(similar) + 0.02 * len(found)
+
+
+def test_only_lines_with_two_bands_in_common_with_one_line_go_on(spark):
+    rows = [(1, [10, 20], 4), (2, [10, 30], 4), (3, [20, 30], 4), (4, [40, 50], 4), (5, [40, 50, 60], 6), (6, [60, 70], 4)]
+    lines = spark.createDataFrame(rows, "k1 long, bands array<long>, mates long")
+    assert sorted(r["k1"] for r in line_dedup._with_mates(lines).collect()) == [4, 5]
+
+
+def test_runs_of_lines_are_cut_by_place(spark):
+    """No matcher goes over the lines, and the runs are those of the definition, for characters of all widths."""
+    texts = ["", "a", "abcde", "abcdef", "aaaaaaaa", "é漢\U0001F600字 bc", "\U0001F600" * 7 + "ab", "ein Satz über Straßen"]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    sizes = rows.select("n", F.size(line_dedup._hashes(F.col("t"))).alias("size")).collect()
+    cut = [{t[i:i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    assert {r["n"]: r["size"] for r in sizes} == {n: len(c) for n, c in enumerate(cut)}
+    pairs = rows.select(F.col("n").alias("x"), F.col("t").alias("left")).crossJoin(rows.select(F.col("n").alias("y"), F.col("t").alias("right")))
+    for r in pairs.where("left != '' AND right != ''").select("x", "y", line_dedup.jaccard(F.col("left"), F.col("right")).alias("s")).collect():
+        assert abs(r["s"] - len(cut[r["x"]] & cut[r["y"]]) / len(cut[r["x"]] | cut[r["y"]])) < 1e-9
+    word = "some words of a line that has more than one hundred and sixty characters in it, so that only runs at words are taken " * 2
+    lines = spark.createDataFrame([(1, "ab cd efg"), (2, " ".join(f"{n}{w}" for n, w in enumerate(word.split())))], "k1 long, line string")
+    runs = line_dedup._sampled(lines)
+    assert "regexp" not in runs._jdf.queryExecution().toString()
+    line = lines.collect()[1]["line"]
+    wanted = {(1, "ab cd efg"[i:i + 5]) for i in range(5)} | {(2, line[i:i + 9]) for i in range(len(line)) if i == 0 or line[i - 1] == " "}
+    hashed = spark.createDataFrame(sorted(wanted), "k1 long, run string").select("k1", F.xxhash64("run").alias("h0"))
+    assert {tuple(r) for r in runs.select("k1", "h0").collect()} == {tuple(r) for r in hashed.collect()}
