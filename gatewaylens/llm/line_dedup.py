@@ -23,7 +23,7 @@ from gatewaylens.session import written
 
 SIMILARITY = 0.8
 SHINGLE = 5  # characters per shingle of the similarity
-SIGNATURE_SHINGLE = 9  # characters per sampled shingle of the signature
+SIGNATURE_SHINGLE = 9  # bytes per sampled run of the signature; of those at every place, SHINGLE bytes
 BANDS = 12  # each of three minima
 SHARED = 2  # bands that similar lines share: a pair at the limit has them with a probability of 0.997, at 0.85 of 0.9998
 FIELD = 21  # bits of a shingle's hash that order the shingles for one minimum; three fields a hash
